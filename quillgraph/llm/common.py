@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +21,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quillgraph_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    name = Path(tempfile.mkdtemp()) / "quillgraph.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(f.relative_to(root.parent)))
+    sc.addPyFile(str(name))
+    sc._quillgraph_shipped = True
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (as in tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import WORD, Scratch, table
+from quillgraph.llm.common import WORD, Scratch, ship, table
 
 
 @dataclass(frozen=True)
@@ -181,6 +181,7 @@ def draw(spark: SparkSession, docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFr
                 shard[at] = tree.shard(int(s), f["rank"].to_numpy()[at])
             yield f.assign(shard=shard)[["doc_id", "row_key", "s", "epoch", "start", "words", "shard", "position"]]
 
+    ship(spark)
     drawn = ranked.withColumn("position", _hash(mix.seed + 1, "doc_id", "epoch", "start")).mapInPandas(
         deal, "doc_id long, row_key long, s int, epoch int, start long, words long, shard long, position long"
     )

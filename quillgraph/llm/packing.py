@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import table
+from quillgraph.llm.common import map_arrow, table
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
@@ -43,33 +43,54 @@ class WordTokenizer:
     """Token ids of texts, word by word: the vocabulary drops white space, so no token spans two words.
 
     Words are kept with their ids, up to a number of words; then the memory starts anew. A word that ends in full stops
-    or commas is its stem's ids and theirs, for punctuation is a piece of its own."""
+    or commas is its stem's ids and theirs, for punctuation is a piece of its own. Words of letters alone are one piece
+    each, whose last id is of a kind that ends pieces; they are encoded many at a time and divided there."""
 
-    MOST = 1_000_000
+    MOST = 1_500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self, words: set[bytes]) -> None:
-        known, stems, fresh = self.known, {}, set()
+        known, stems, fresh = self.known, [], set()
         for w in words:
             stem = w.rstrip(b".,")
             if stem and stem != w and (stem[-1:].isalnum() or stem[-1] >= 128 and stem.decode()[-1].isalpha()):
-                stems[w] = stem
-                fresh |= {x for x in (stem, w[len(stem) :]) if x not in known}
+                tail = w[len(stem) :]
+                stems.append((w, stem, tail))
+                fresh.add(stem)
+                fresh.add(tail)
             else:
                 fresh.add(w)
-        order = list(fresh)
-        for i in range(0, len(order), 4096):
-            part = order[i : i + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for w, e in zip(part, found, strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, stem in stems.items():
-            known[w] = known[stem] + known[w[len(stem) :]]
+        letters, others = [], []
+        for w in fresh.difference(known):
+            (letters if w.isalpha() or w.decode().lower().isalpha() else others).append(w)
+        for i in range(0, len(letters), 8192):
+            part = letters[i : i + 8192]
+            ids = self._ids([b" ".join(part).decode()])[0]
+            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cut) != len(part):
+                others += part
+                continue
+            flat, at = ids.tobytes(), 0
+            for w, to in zip(part, cut.tolist(), strict=True):
+                known[w] = flat[at:to]
+                at = to
+        for i in range(0, len(others), 8192):
+            part = others[i : i + 8192]
+            for w, ids in zip(part, self._ids([w.decode() for w in part]), strict=True):
+                known[w] = ids.tobytes()
+        for w, stem, tail in stems:
+            known[w] = known[stem] + known[tail]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -78,13 +99,22 @@ class WordTokenizer:
         known = self.known
         if len(known) > self.MOST:
             known.clear()
-        missing = {w for words in split for w in words if w not in known}
-        if missing:
+        if missing := set().union(*split).difference(known):
             self._learn(missing)
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
+_TOKENIZERS: dict[str, WordTokenizer] = {}
+
+
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker, so that its tasks share what it has learnt."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordTokenizer(path)
+    return _TOKENIZERS[path]
+
+
 class Packer:
     """The pool of one task: add() takes examples, and yields pieces as their places are known."""
 
@@ -211,7 +241,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, loss_tokens, sequence_id, offset) of all docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer_path)
+        words = word_tokenizer(tokenizer_path)
         packer = Packer(limits, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
@@ -225,7 +255,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
         if (out := packer.drain()) is not None:
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA)
 
 
 def tokenizer_file() -> str:
