@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import mixing, packing
+from quillgraph.llm import jaccard, mixing, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_packing": packing.op2_packing,
+    "op6_jaccard": jaccard.op6_jaccard,
+    "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES: dict[str, str] = {}
