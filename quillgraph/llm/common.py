@@ -63,8 +63,18 @@ class Scratch:
     def _fs(self):
         return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def write(self, run: Callable[[], None]) -> None:
+        """Runs a write whose shuffle files go when it ends, for what it wrote is read instead."""
+        conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(key, "false")
+        conf.set(key, "true")
+        try:
+            run()
+        finally:
+            conf.set(key, before)
+
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+        self.write(lambda: df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}"))
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import jaccard, mixing, packing, quality, toxicity
+from quillgraph.llm import hamming, jaccard, mixing, packing, pivots, quality, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_packing": packing.op2_packing,
+    "op4_pivots": pivots.op4_pivots,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_jaccard": jaccard.op6_jaccard,
+    "op7_hamming": hamming.op7_hamming,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
 }

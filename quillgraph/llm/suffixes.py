@@ -72,14 +72,12 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, k: int) -> Iterator
         yield doc, lo + shift, hi + shift, a + shift, gram[a], f1, f2
 
 
-def window_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the windows of a text from some places."""
-    out = []
-    for which in (0, 1):
-        parts = []
-        for base in range(0, len(data), STEP):
-            mine = starts[(starts >= base) & (starts < base + STEP)] - base
-            if len(mine):
-                parts.append(splitmix(span_hash(prefix_hash(data[base : base + STEP + length - 1], which), mine, mine + length, which)))
-        out.append(np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64))
-    return out[0], out[1]
+def window_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows of a text from some places, in their order."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for base in range(0, len(data), STEP):
+        mine = np.flatnonzero((starts >= base) & (starts < base + STEP))
+        if len(mine):
+            at = starts[mine] - base
+            out[mine] = splitmix(span_hash(prefix_hash(data[base : base + STEP + length - 1]), at, at + length))
+    return out
