@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import hamming, jaccard, mixing, packing, pivots, quality, suffix_dedup, toxicity
+from quillgraph.llm import hamming, jaccard, mixing, packing, pivots, quality, suffix_dedup, suffix_tree, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_jaccard": jaccard.op6_jaccard,
     "op7_hamming": hamming.op7_hamming,
+    "op8_suffix_tree": suffix_tree.op8_suffix_tree,
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
 }
