@@ -9,7 +9,7 @@ by the inner product in double precision. The radius is learnt on the sample, wh
 too few codes in it is probed with wider ones. Every row is indexed; queries meet all shards, in blocks; the best of each
 shard, k rows a query, are merged.
 
-Null or zero vectors, and vectors with null or non-finite components, take no part, as queries or as candidates. Vectors of
+Null or zero vectors, rows without an id, and vectors with null or non-finite components, take no part, as queries or as candidates. Vectors of
 unlike lengths aren't compared. Ties go to the smaller vec_id; an empty table gives no rows; other columns are ignored.
 """
 
@@ -177,7 +177,7 @@ def fit(vectors: DataFrame, p: Search) -> dict[int, Codes]:
 def nearest(spark: SparkSession, vectors: DataFrame, p: Search = Search()) -> DataFrame:  # noqa: B008
     """(query_id, rank, vec_id, score): of each query among vectors (vec_id, embedding) its k nearest found."""
     scratch = Scratch(spark)
-    rows = vectors.where(usable("embedding")).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = vectors.where(usable("embedding") & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     rows = scratch.save(rows.withColumn("size", F.size("v")), "vectors")
     codes = fit(rows, p)
     shards = max(1, -(-rows.count() // p.shard))

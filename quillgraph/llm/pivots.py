@@ -10,7 +10,7 @@ Equal vectors are one class with a count, so copies are compared once. Cells abo
 pairs, so a task holds two chunks whatever the cell's size. Links are counted and never listed: each unit gives a count for each
 vector, and the edges of a forest that spans its links. Components are found from those edges, distributed.
 
-Null labels, null or zero vectors, and vectors with null or non-finite components link with nothing: no links, a component of
+Null labels or ids, null or zero vectors, and vectors with null or non-finite components link with nothing: no links, a component of
 their own. Vectors of unlike lengths aren't compared. Ties go to the smaller vec_id; an empty table gives no rows; other columns
 are ignored; rows of one vec_id count as one vector each and share the id.
 """
@@ -152,7 +152,7 @@ def range_join(spark: SparkSession, vectors: DataFrame, p: Near = Near()) -> Dat
     """(vec_id, n_links, component_id, kept), a row for each row of vectors (vec_id, embedding, label)."""
     scratch, parts = Scratch(spark), n_parts(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"))
-    good = rows.where(usable("embedding") & F.col("label").isNotNull()).withColumn("v", F.col("embedding").cast("array<double>"))
+    good = rows.where(usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).withColumn("v", F.col("embedding").cast("array<double>"))
     good = good.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # -0.0 is 0.0
     members = scratch.save(good.withColumn("hash", F.sha2(F.to_json(F.struct("label", "v")), 256)).select("vec_id", "label", "hash", "v"), "members")
     classes = scratch.save(members.groupBy("hash").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.min("label").alias("label"), F.any_value("v").alias("v")), "classes")
@@ -201,7 +201,7 @@ def range_join(spark: SparkSession, vectors: DataFrame, p: Near = Near()) -> Dat
     by_vector = members.select("vec_id", "hash").join(first, "hash").join(per_class, "id").select("vec_id", "n_links", "component_id").dropDuplicates(["vec_id"])
     out = rows.select("vec_id").join(by_vector, "vec_id", "left")
     return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.coalesce("component_id", "vec_id") == F.col("vec_id")).alias("kept")
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce("component_id", "vec_id").eqNullSafe(F.col("vec_id")).alias("kept")
     )
 
 

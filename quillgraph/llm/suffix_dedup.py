@@ -14,8 +14,8 @@ within the anchor's group; large groups are split by the windows' hashes, so no
 meets its own repeated ranges and loses their bytes.
 
 Null and empty texts have no bytes and lose none. Texts shorter than `length` stay whole. Repeated rows (of other ids) are
-repeats of each other and lose all windows; rows of one id share that id's ranges, so ids are to be unique. An empty table gives
-no rows. Other columns are ignored, or passed on by without_repeats. Hashes of windows have 128 bits, or 64 within one anchor's
+repeats of each other and lose all windows; rows of one id share that id's ranges, so ids are to be unique. Rows without an id
+aren't compared and lose nothing. An empty table gives no rows. Other columns are ignored, or passed on by without_repeats. Hashes of windows have 128 bits, or 64 within one anchor's
 group, whose anchors have 64 bits more.
 """
 
@@ -198,7 +198,7 @@ def _ranges(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 def repeated_ranges(spark: SparkSession, docs: DataFrame, p: Repeats = Repeats(), scratch: Scratch | None = None) -> DataFrame:  # noqa: B008
     """(doc, spans): of each document with repeated windows, its ranges [lo, hi) of bytes, not merged."""
     scratch, parts = scratch or Scratch(spark), n_parts(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
     index = SuffixIndex(spark, p)
     for b in range(p.batches):
         index.add(texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(p.batches)) == b))
