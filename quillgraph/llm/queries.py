@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.llm import hamming, jaccard, mixing, packing, pivots, quality, suffix_dedup, suffix_tree, toxicity
+from quillgraph.llm import hamming, jaccard, licences, mixing, packing, pivots, quality, suffix_dedup, suffix_tree, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_packing": packing.op2_packing,
+    "op3_licences": licences.op3_licences,
     "op4_pivots": pivots.op4_pivots,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op6_jaccard": jaccard.op6_jaccard,
@@ -19,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": quality.op9_quality,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_licences": licences.ORACLE}
