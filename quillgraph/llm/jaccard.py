@@ -7,12 +7,13 @@ of two similar sets must be equal (pigeonhole), and an equi-join on (band, block
 wide that similar sets are in the same or in neighbouring ones. Blocks without shingles carry no information: there are spare
 blocks for them, and the few sets with more empty blocks than spare ones join on those too, so no pair is lost.
 
-Candidates are verified on the full sets, in three steps that never list all pairs of a group: each document with the
-candidate it shares most blocks with; then pairs with a group's first document that are still in different components; then,
-in groups that still span components, pairs across components. Equal sets within a task are linked at once and joined once.
+Candidates first pass a smaller sketch of the whole set (1024 bits, whose distance is a lower bound too), then are verified on
+the full sets, in three steps that never list all pairs of a group: each document with the candidate it shares most blocks with;
+then pairs with a group's first document that are still in different components; then, in groups that still span components,
+pairs across components. Equal sets within a task are linked at once and joined once.
 Components are found by alternating stars, distributed.
 
-Null, empty and blank texts have an empty set and link with nothing. Ties go to the smaller id. Repeated rows link as equal
+Null, empty and blank texts have an empty set and link with nothing; so do rows without an id, whose component is null. Ties go to the smaller id. Repeated rows link as equal
 texts do. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -88,14 +89,30 @@ def signatures(s: np.ndarray, p: Similar) -> np.ndarray:
     return np.concatenate(out)
 
 
-SIG = "kind byte, sig long, doc long, n int, rep long"
-_NAMES = ["kind", "sig", "doc", "n", "rep"]
+SIG = "kind byte, sig long, doc long, n int, rep long, sketch binary"
+_NAMES = ["kind", "sig", "doc", "n", "rep", "sketch"]
 
 
-def _rows(kind, sig, doc, n, rep) -> pa.RecordBatch:
+def _rows(kind, sig, doc, n, rep, sketch=None) -> pa.RecordBatch:
     size = max(np.size(x) for x in (kind, sig, doc, n, rep))
     full = lambda x, t: pa.array(np.broadcast_to(np.asarray(x).astype(t), (size,)))
-    return pa.RecordBatch.from_arrays([full(kind, np.int8), full(sig, np.int64), full(doc, np.int64), full(n, np.int32), full(rep, np.int64)], names=_NAMES)
+    bits = pa.nulls(size, pa.binary()) if sketch is None else pa.array(sketch, pa.binary())
+    return pa.RecordBatch.from_arrays([full(kind, np.int8), full(sig, np.int64), full(doc, np.int64), full(n, np.int32), full(rep, np.int64), bits], names=_NAMES)
+
+
+BITS = 1024
+
+
+def parity(mixed: np.ndarray) -> bytes:
+    """A sketch of a whole set: each of its BITS is the parity of the shingles that fall on it."""
+    return np.packbits(np.bincount((mixed >> np.uint64(54)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
+def may_be_similar(na, nb, ka: np.ndarray, kb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and sketches (rows of 64-bit words) leave room for the similarity."""
+    lo, hi = np.minimum(na, nb), np.maximum(na, nb)
+    differ = np.bitwise_count(ka ^ kb).sum(axis=-1, dtype=np.int64)
+    return (100 * lo >= percent * hi) & (differ * (100 + percent) <= (na + nb) * (100 - percent))
 
 
 def _sketch(p: Similar):
@@ -105,10 +122,11 @@ def _sketch(p: Similar):
             data, offsets = utf8(batch.column(1))
             docs = batch.column(0).to_pylist()
             for i, j in pieces(offsets):
-                sigs, of, info, equal = [], [], [], []
+                sigs, of, info, bits, equal = [], [], [], [], []
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], p.width)
                 for doc, s in zip(docs[i:j], sets, strict=True):
                     info.append((doc, len(s)))
+                    bits.append(parity(splitmix(s)))
                     if not len(s):
                         continue
                     with np.errstate(over="ignore"):
@@ -122,7 +140,7 @@ def _sketch(p: Similar):
                     sigs.append(signatures(s, p))
                     of.append((doc, len(s), len(sigs[-1])))
                 ids = np.array(info, dtype=np.int64)
-                yield _rows(INFO, splitmix(ids[:, 0].astype(np.uint64)).view(np.int64), ids[:, 0], ids[:, 1], -1)
+                yield _rows(INFO, splitmix(ids[:, 0].astype(np.uint64)).view(np.int64), ids[:, 0], ids[:, 1], -1, bits)
                 if equal:
                     e = np.array(equal, dtype=np.int64)
                     yield _rows(EQUAL, splitmix(e[:, 1].astype(np.uint64)).view(np.int64), e[:, 1], e[:, 2], e[:, 0])
@@ -165,7 +183,7 @@ def _set_column(width: int):
             data, offsets = utf8(batch.column(1))
             for i, j in pieces(offsets, 1 << 22):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "members"])
 
     return run
 
@@ -192,86 +210,112 @@ def _verify(percent: int):
     return run
 
 
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), BITS // 64)
+
+
+def _plausible(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows (a, b, c, doc, na, nb, ka, kb): those whose sizes and sketches leave room for the similarity."""
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy().astype(np.int64) for i in (4, 5))
+            ok = may_be_similar(na, nb, _words(batch.column(6)), _words(batch.column(7)), percent)
+            yield batch.select([0, 1, 2, 3]).filter(pa.array(ok))
+
+    return run
+
+
 def _cross(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs across components within units of rows sorted by (sig, i, j); a unit has two chunks at most."""
 
-        def pairs(x: np.ndarray) -> pa.RecordBatch:
-            i, j = np.triu_indices(len(x), 1)
+        def pairs(x: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
             doc, comp, n, chunk = x[:, 3], x[:, 4], x[:, 5], x[:, 6]
-            lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            ok = (comp[i] != comp[j]) & (100 * lo >= percent * hi) & ((chunk[i] != chunk[j]) | (x[0, 1] == x[0, 2]))
-            a, b = np.minimum(doc[i], doc[j])[ok], np.maximum(doc[i], doc[j])[ok]
+            same = x[0, 1] == x[0, 2]
+            found = [np.zeros((2, 0), dtype=np.int64)]
+            for i in range(len(x) - 1):
+                j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (same | (chunk[i + 1 :] != chunk[i]))) + i + 1
+                j = j[may_be_similar(n[i], n[j], k[i], k[j], percent)]
+                found.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]))
+            a, b = np.concatenate(found, axis=1)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        held = np.zeros((0, 7), dtype=np.int64)
+        held, bits = np.zeros((0, 7), dtype=np.int64), np.zeros((0, BITS // 64), dtype=np.uint64)
         for batch in batches:
             x = np.vstack([held, np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(7)])])
-            cut = np.flatnonzero((x[1:, :3] != x[:-1, :3]).any(axis=1)) + 1
-            units = np.split(x, cut)
-            held = units[-1]
-            for u in units[:-1]:
-                if len(u) > 1:
-                    yield pairs(u)
+            k = np.vstack([bits, _words(batch.column(7))])
+            cut = [0, *(np.flatnonzero((x[1:, :3] != x[:-1, :3]).any(axis=1)) + 1).tolist()]
+            for u, v in zip(cut, cut[1:], strict=False):
+                if v - u > 1:
+                    yield pairs(x[u:v], k[u:v])
+            held, bits = x[cut[-1] :], k[cut[-1] :]
         if len(held) > 1:
-            yield pairs(held)
+            yield pairs(held, bits)
 
     return run
 
 
-def verify(pairs: DataFrame, sets: DataFrame, p: Similar, parts: int) -> DataFrame:
-    """Those of pairs (a, b) whose sets are similar. Each pair's two sets meet under the pair's own key, so that no
-    document gathers its partners."""
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc"))
-    rows = sides.join(sets, "doc").select("a", "b", "members").repartition(parts, "a", "b").sortWithinPartitions("a", "b")
+def verify(pairs: DataFrame, texts: DataFrame, p: Similar, parts: int) -> DataFrame:
+    """Those of pairs (a, b) whose sets are similar. Each text is made a set once for each pair, under the pair's own key,
+    so that no document gathers its partners."""
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
+    ids = sides.select("doc_id").distinct()
+    sets = map_arrow(texts.join(ids, "doc_id", "left_semi"), _set_column(p.width), "doc_id long, members binary").dropDuplicates(["doc_id"])
+    rows = sides.join(sets, "doc_id").select("a", "b", "members").repartition(parts, "a", "b").sortWithinPartitions("a", "b")
     return map_arrow(rows, _verify(p.percent), "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, p: Similar = Similar()) -> DataFrame:  # noqa: B008
     """(doc_id, n_shingles, component_id), a row for each row of docs (doc_id, text)."""
     scratch, parts = Scratch(spark), n_parts(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    everything = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = everything.where("doc_id is not null")
     sigs = map_arrow(texts, _sketch(p), SIG).repartition(parts, "sig").sortWithinPartitions("kind", "sig", "doc")
     found = scratch.save(map_arrow(sigs, _groups, SIG), "groups")
-    info = found.where(F.col("kind") == INFO).select("doc", "n")
+    info = found.where(F.col("kind") == INFO).select("doc", "n", "sketch")
     member = found.where(F.col("kind") == MEMBER).select("sig", "doc", "n", "rep")
     equal = found.where(F.col("kind") == EQUAL).select(F.col("rep").alias("a"), F.col("doc").alias("b"))
+    one = info.dropDuplicates(["doc"])
 
-    starred = scratch.save(
-        member.where("doc <> rep").groupBy("rep", "doc").agg(F.count("*").alias("c")).select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b"), "c", "doc"), "starred"
-    )
-    ids = starred.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = scratch.save(map_arrow(texts.join(ids, "doc_id", "left_semi"), _set_column(p.width), "doc long, members binary").dropDuplicates(["doc"]), "sets")
+    starred = member.where("doc <> rep").groupBy("rep", "doc").agg(F.count("*").alias("c"))
+    starred = starred.join(one.select(F.col("doc").alias("rep"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "rep")
+    starred = starred.join(one.select("doc", F.col("n").alias("nb"), F.col("sketch").alias("kb")), "doc")
+    starred = starred.select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b"), "c", "doc", "na", "nb", "ka", "kb")
+    starred = scratch.save(map_arrow(starred, _plausible(p.percent), "a long, b long, c long, doc long"), "starred")
 
     best = starred.groupBy("doc").agg(F.expr("max_by(struct(a, b), struct(c, -a, -b))").alias("x")).select("x.a", "x.b").distinct()
-    links = scratch.save(verify(best, sets, p, parts).unionByName(equal), "links1")
+    links = scratch.save(verify(best, texts, p, parts).unionByName(equal), "links1")
     comp = scratch.save(components(spark, links, scratch, "cc1"), "comp1")
 
     def labelled(df: DataFrame, key: str, out: str) -> DataFrame:
         c = comp.select(F.col("id").alias(key), F.col("component_id").alias("__c"))
         return df.join(c, key, "left").withColumn(out, F.coalesce("__c", key)).drop("__c")
 
-    apart = labelled(labelled(starred.select("a", "b").distinct(), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
-    more = scratch.save(verify(apart.join(best, ["a", "b"], "left_anti"), sets, p, parts), "links2")
-    if more.take(1):
-        links = scratch.save(links.unionByName(more), "links12")
+    tried = starred.select("a", "b").distinct()
+    apart = labelled(labelled(tried, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b").join(best, ["a", "b"], "left_anti")
+    apart = scratch.save(apart, "apart")
+    if apart.take(1):
+        links = scratch.save(links.unionByName(verify(apart, texts, p, parts)), "links2")
         comp = scratch.save(components(spark, links, scratch, "cc2"), "comp2")
 
     inside = labelled(member, "doc", "comp")
     spans = inside.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 <> c1 and m > 2")
     units = (
         inside.join(spans.select("sig", F.ceil(F.col("m") / p.chunk).cast("int").alias("k")), "sig")
+        .join(one.select("doc", "sketch"), "doc")
         .withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        .select("sig", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "doc", "comp", "n", "chunk")
+        .select("sig", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "doc", "comp", "n", "chunk", "sketch")
         .repartition(parts, "sig", "i", "j")
         .sortWithinPartitions("sig", "i", "j")
     )
-    crossed = map_arrow(units, _cross(p.percent), "a long, b long").distinct().join(starred.select("a", "b"), ["a", "b"], "left_anti")
-    more = scratch.save(verify(crossed, sets, p, parts), "links3")
-    if more.take(1):
-        comp = scratch.save(components(spark, links.unionByName(more), scratch, "cc3"), "comp3")
-    return labelled(info, "doc", "component_id").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
+    crossed = scratch.save(map_arrow(units, _cross(p.percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "crossed")
+    if crossed.take(1):
+        links = scratch.save(links.unionByName(verify(crossed, texts, p, parts)), "links3")
+        comp = scratch.save(components(spark, links, scratch, "cc3"), "comp3")
+    out = labelled(info, "doc", "component_id").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
+    nameless = map_arrow(everything.where("doc_id is null"), _set_column(p.width), "doc_id long, members binary")
+    return out.unionByName(nameless.select("doc_id", F.floor(F.octet_length("members") / 8).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,5 +327,6 @@ def keep_first(spark: SparkSession, docs: DataFrame, p: Similar) -> DataFrame:
     one id, one stays."""
     scratch = Scratch(spark)
     found = near_duplicates(spark, docs, p)
-    first = scratch.save(found.where("doc_id = component_id").select("doc_id").distinct(), "first")
-    return docs.dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi")
+    later = scratch.save(found.where("doc_id <> component_id").select("doc_id").distinct(), "later")
+    nameless = docs.where("doc_id is null")
+    return docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(later, "doc_id", "left_anti").select(*docs.columns).unionByName(nameless)
