@@ -212,7 +212,7 @@ def mixed_texts(spark: SparkSession, docs: DataFrame, mix: Mix = Mix()) -> DataF
     keyed = docs.withColumn("__key", F.monotonically_increasing_id())
     keyed = scratch.save(keyed, "keyed")
     _, _, drawn = draw(spark, keyed.select(F.col("__key").alias("doc_id"), "text", "source"), mix)
-    whole = drawn.select(F.col("doc_id").alias("__key"), "epoch").distinct()
+    whole = drawn.select(F.col("doc_id").alias("__key"), "epoch").distinct().select("__key")
     return keyed.join(whole, "__key").select(*docs.columns)
 
 

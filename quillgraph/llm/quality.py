@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Quality = Quality()) -> BradleyTe
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")  # train_docs ids at most
     rows = map_arrow(known, _features, "doc_id long, y int, x array<double>").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r.doc_id)
-    return BradleyTerry(np.array([r.x for r in rows], dtype=float).reshape(len(rows), -1), np.array([r.y for r in rows], dtype=int), p)
+    return BradleyTerry(np.array([r.x for r in rows], dtype=float).reshape(len(rows), 14), np.array([r.y for r in rows], dtype=int), p)
 
 
 def score(docs: DataFrame, model: BradleyTerry, out: str = "score") -> DataFrame:
