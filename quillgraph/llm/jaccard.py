@@ -7,10 +7,10 @@ of two similar sets must be equal (pigeonhole), and an equi-join on (band, block
 wide that similar sets are in the same or in neighbouring ones. Blocks without shingles carry no information: there are spare
 blocks for them, and the few sets with more empty blocks than spare ones join on those too, so no pair is lost.
 
-Candidates first pass a smaller sketch of the whole set (1024 bits, whose distance is a lower bound too), then are verified on
-the full sets, in three steps that never list all pairs of a group: each document with the candidate it shares most blocks with;
-then pairs with a group's first document that are still in different components; then, in groups that still span components,
-pairs across components. Equal sets within a task are linked at once and joined once.
+Candidates first pass a sketch of the whole set (bits in proportion to the difference allowed at its size; of unlike lengths the
+longer is folded; their distance is a lower bound too), then are verified on the full sets, in three steps that never list all pairs of a group: each document with the candidate it shares most blocks with;
+then pairs with a group's first document that are still in different components; then, in groups of three at least whose members are
+not all in the first one's component, pairs across components. Equal sets within a task are linked at once and joined once.
 Components are found by alternating stars, distributed.
 
 Null, empty and blank texts have an empty set and link with nothing; so do rows without an id, whose component is null. Ties go to the smaller id. Repeated rows link as equal
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import Scratch, components, map_arrow, n_parts, splitmix, table
 from quillgraph.llm.words import pieces, shingle_sets, utf8
 
-MEMBER, EQUAL, INFO = 0, 1, 2
+MEMBER, EQUAL, INFO, PAIR = 0, 1, 2, 3
 
 
 @dataclass(frozen=True)
@@ -100,16 +100,24 @@ def _rows(kind, sig, doc, n, rep, sketch=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([full(kind, np.int8), full(sig, np.int64), full(doc, np.int64), full(n, np.int32), full(rep, np.int64), bits], names=_NAMES)
 
 
-BITS = 1024
+def parity(mixed: np.ndarray, percent: int) -> bytes:
+    """A sketch of a whole set: each bit is the parity of the shingles that fall on it. It has at least four times as many
+    bits as two such sets may differ in, so unlike sets differ in more; a power of two."""
+    differ = 2 * len(mixed) * (100 - percent) // (100 + percent)
+    bits = 1 << max(6, (4 * differ - 1).bit_length())
+    return np.packbits(np.bincount((mixed & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
-def parity(mixed: np.ndarray) -> bytes:
-    """A sketch of a whole set: each of its BITS is the parity of the shingles that fall on it."""
-    return np.packbits(np.bincount((mixed >> np.uint64(54)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+def folded(k: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) as those of fewer bits: halves by parity."""
+    while k.shape[1] > words:
+        half = k.shape[1] // 2
+        k = k[:, :half] ^ k[:, half:]
+    return k
 
 
 def may_be_similar(na, nb, ka: np.ndarray, kb: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes and sketches (rows of 64-bit words) leave room for the similarity."""
+    """Whether sizes and sketches (rows of 64-bit words, as many on either side) leave room for the similarity."""
     lo, hi = np.minimum(na, nb), np.maximum(na, nb)
     differ = np.bitwise_count(ka ^ kb).sum(axis=-1, dtype=np.int64)
     return (100 * lo >= percent * hi) & (differ * (100 + percent) <= (na + nb) * (100 - percent))
@@ -126,7 +134,7 @@ def _sketch(p: Similar):
                 sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], p.width)
                 for doc, s in zip(docs[i:j], sets, strict=True):
                     info.append((doc, len(s)))
-                    bits.append(parity(splitmix(s)))
+                    bits.append(parity(splitmix(s), p.percent))
                     if not len(s):
                         continue
                     with np.errstate(over="ignore"):
@@ -152,8 +160,8 @@ def _sketch(p: Similar):
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (kind, sig, doc): members of groups of two at least, with the group's first document; others as
-    they are. Holds one batch and one row."""
+    """Of rows sorted by (kind, sig, doc): members of groups, with the group's first document; of groups seen to be pairs, the
+    second one alone, as PAIR; others as they are. Holds one batch and one row."""
     held: np.ndarray | None = None  # the last member row, with its group's first document, and 1 if it has gone out
     for batch in batches:
         kind = batch.column(0).to_numpy()
@@ -172,8 +180,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rep = np.where(rep[head] >= 0, rep[head], x[head, 1])
         many = ~new | np.append(~new[1:], False)
         out = many & ~gone
-        if out.any():
-            yield _rows(MEMBER, x[out, 0], x[out, 1], x[out, 2], rep[out])
+        group = np.cumsum(new) - 1
+        pair = (np.bincount(group)[group] == 2) & (group < group[-1]) & ~gone[head]
+        for kind, pick in ((MEMBER, out & ~pair), (PAIR, pair & ~new)):
+            if pick.any():
+                yield _rows(kind, x[pick, 0], x[pick, 1], x[pick, 2], rep[pick])
         held = np.array([*x[-1], rep[-1], int(gone[-1] or many[-1])])
 
 
@@ -210,8 +221,9 @@ def _verify(percent: int):
     return run
 
 
-def _words(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), BITS // 64)
+def _words(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of one length as rows of 64-bit words."""
+    return np.frombuffer(b"".join(sketches), dtype=np.uint64).reshape(len(sketches), -1)
 
 
 def _plausible(percent: int):
@@ -219,7 +231,14 @@ def _plausible(percent: int):
         """Of rows (a, b, c, doc, na, nb, ka, kb): those whose sizes and sketches leave room for the similarity."""
         for batch in batches:
             na, nb = (batch.column(i).to_numpy().astype(np.int64) for i in (4, 5))
-            ok = may_be_similar(na, nb, _words(batch.column(6)), _words(batch.column(7)), percent)
+            ka, kb = (batch.column(i).to_pylist() for i in (6, 7))
+            length = np.array([(len(a), len(b)) for a, b in zip(ka, kb, strict=True)], dtype=np.int64).reshape(-1, 2)
+            ok = np.zeros(len(na), dtype=bool)
+            for la, lb in np.unique(length, axis=0).tolist():
+                at = np.flatnonzero((length == (la, lb)).all(axis=1))
+                words = min(la, lb) // 8
+                a, b = (folded(_words([k[i] for i in at.tolist()]), words) for k in (ka, kb))
+                ok[at] = may_be_similar(na[at], nb[at], a, b, percent)
             yield batch.select([0, 1, 2, 3]).filter(pa.array(ok))
 
     return run
@@ -229,7 +248,9 @@ def _cross(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs across components within units of rows sorted by (sig, i, j); a unit has two chunks at most."""
 
-        def pairs(x: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        def pairs(x: np.ndarray, sketches: list[bytes]) -> pa.RecordBatch:
+            least = min(map(len, sketches)) // 8
+            k = np.concatenate([folded(_words([b]), least) for b in sketches])
             doc, comp, n, chunk = x[:, 3], x[:, 4], x[:, 5], x[:, 6]
             same = x[0, 1] == x[0, 2]
             found = [np.zeros((2, 0), dtype=np.int64)]
@@ -240,10 +261,10 @@ def _cross(percent: int):
             a, b = np.concatenate(found, axis=1)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        held, bits = np.zeros((0, 7), dtype=np.int64), np.zeros((0, BITS // 64), dtype=np.uint64)
+        held, bits = np.zeros((0, 7), dtype=np.int64), []
         for batch in batches:
             x = np.vstack([held, np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(7)])])
-            k = np.vstack([bits, _words(batch.column(7))])
+            k = bits + batch.column(7).to_pylist()
             cut = [0, *(np.flatnonzero((x[1:, :3] != x[:-1, :3]).any(axis=1)) + 1).tolist()]
             for u, v in zip(cut, cut[1:], strict=False):
                 if v - u > 1:
@@ -273,12 +294,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: Similar = Similar()
     sigs = map_arrow(texts, _sketch(p), SIG).repartition(parts, "sig").sortWithinPartitions("kind", "sig", "doc")
     found = scratch.save(map_arrow(sigs, _groups, SIG), "groups")
     info = found.where(F.col("kind") == INFO).select("doc", "n", "sketch")
-    member = found.where(F.col("kind") == MEMBER).select("sig", "doc", "n", "rep")
+    wide = found.where(F.col("kind") == MEMBER).select("sig", "doc", "n", "rep")
     equal = found.where(F.col("kind") == EQUAL).select(F.col("rep").alias("a"), F.col("doc").alias("b"))
     one = info.dropDuplicates(["doc"])
 
-    starred = member.where("doc <> rep").groupBy("rep", "doc").agg(F.count("*").alias("c"))
-    starred = starred.join(one.select(F.col("doc").alias("rep"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "rep")
+    paired = found.where(F.col("kind").isin(MEMBER, PAIR) & (F.col("doc") != F.col("rep")))
+    paired = scratch.save(paired.groupBy("rep", "doc").agg(F.count("*").alias("c")), "paired")
+    starred = paired.join(one.select(F.col("doc").alias("rep"), F.col("n").alias("na"), F.col("sketch").alias("ka")), "rep")
     starred = starred.join(one.select("doc", F.col("n").alias("nb"), F.col("sketch").alias("kb")), "doc")
     starred = starred.select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b"), "c", "doc", "na", "nb", "ka", "kb")
     starred = scratch.save(map_arrow(starred, _plausible(p.percent), "a long, b long, c long, doc long"), "starred")
@@ -298,10 +320,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: Similar = Similar()
         links = scratch.save(links.unionByName(verify(apart, texts, p, parts)), "links2")
         comp = scratch.save(components(spark, links, scratch, "cc2"), "comp2")
 
-    inside = labelled(member, "doc", "comp")
-    spans = inside.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("m")).where("c0 <> c1 and m > 2")
+    split = labelled(labelled(paired.select("rep", "doc"), "rep", "ca"), "doc", "cb").where("ca <> cb").select("rep", "doc")
+    spans = wide.join(split, ["rep", "doc"], "left_semi").select("sig").distinct()
+    inside = scratch.save(labelled(wide.join(spans, "sig", "left_semi"), "doc", "comp"), "inside")
+    sizes = inside.groupBy("sig").agg(F.ceil(F.count("*") / p.chunk).cast("int").alias("k"))
     units = (
-        inside.join(spans.select("sig", F.ceil(F.col("m") / p.chunk).cast("int").alias("k")), "sig")
+        inside.join(sizes, "sig")
         .join(one.select("doc", "sketch"), "doc")
         .withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
