@@ -13,6 +13,7 @@ rows. Texts longer than a sequence are cut into full sequences first. Other colu
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,11 +43,12 @@ class Limits:
 class WordTokenizer:
     """Token ids of texts, word by word: the vocabulary drops white space, so no token spans two words.
 
-    Words are kept with their ids, up to a number of words; then the memory starts anew. A word that ends in full stops
+    Words are kept with their ids, up to a number of words; then those of the last texts alone stay, which the frequent ones are. A word that ends in full stops
     or commas is its stem's ids and theirs, for punctuation is a piece of its own. Words of letters alone are one piece
     each, whose last id is of a kind that ends pieces; they are encoded many at a time and divided there."""
 
-    MOST = 1_500_000
+    MOST = 400_000
+    RECENT = 8
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -56,6 +58,7 @@ class WordTokenizer:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.recent: deque[set[bytes]] = deque(maxlen=self.RECENT)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -97,9 +100,13 @@ class WordTokenizer:
         raw = [(t or "").encode() for t in texts]
         split = [(b if b"<|" in b else b.lower()).split() for b in raw]  # names of special tokens keep their case
         known = self.known
+        words = set().union(*split)
         if len(known) > self.MOST:
+            kept = {w: known[w] for some in self.recent for w in some}
             known.clear()
-        if missing := set().union(*split).difference(known):
+            known.update(kept)
+        self.recent.append(words)
+        if missing := words.difference(known):
             self._learn(missing)
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
