@@ -36,11 +36,27 @@ def ship(spark: SparkSession) -> None:
     sc._quillgraph_shipped = True
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
-    """df.mapInArrow, whose workers hand back what memory Arrow keeps when a task ends."""
+#: What workers keep from one task to the next.
+_HELD: list[dict] = []
+
+
+def held_between_tasks(memory: dict) -> None:
+    _HELD.append(memory)
+
+
+def release_held() -> None:
+    for memory in _HELD:
+        memory.clear()
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema, keeps: bool = False) -> DataFrame:
+    """df.mapInArrow, whose workers hand back what memory Arrow keeps when a task ends, and, unless it keeps, what tasks of
+    other operators have left in them."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            release_held()
         yield from fn(batches)
         pa.default_memory_pool().release_unused()
 

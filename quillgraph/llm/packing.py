@@ -13,9 +13,9 @@ rows. Texts longer than a sequence are cut into full sequences first. Other colu
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import map_arrow, table
+from quillgraph.llm.common import held_between_tasks, map_arrow, table
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
@@ -43,25 +43,36 @@ class Limits:
 class WordTokenizer:
     """Token ids of texts, word by word: the vocabulary drops white space, so no token spans two words.
 
-    Words are kept with their ids, up to a number of words; then those of the last texts alone stay, which the frequent ones are. A word that ends in full stops
+    Words are kept with their ids, up to a number of words; then the memory starts anew. A word that ends in full stops
     or commas is its stem's ids and theirs, for punctuation is a piece of its own. Words of letters alone are one piece
-    each, whose last id is of a kind that ends pieces; they are encoded many at a time and divided there."""
+    each, whose last id is of a kind that ends pieces; they are encoded many at a time and divided there. Of ASCII letters in small
+    ones, nothing is normalised, so such words go by a tokenizer with the same merges alone."""
 
-    MOST = 400_000
-    RECENT = 8
+    MOST = 2_000_000
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        self.recent: deque[set[bytes]] = deque(maxlen=self.RECENT)
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _letters(self, tokenizer, words: list[bytes]) -> list[bytes]:
+        """Learns words of one piece each; returns those that turn out otherwise."""
+        known, others = self.known, []
+        for i in range(0, len(words), 8192):
+            part = words[i : i + 8192]
+            ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cut) != len(part):
+                others += part
+                continue
+            flat, cut = ids.tobytes(), cut.tolist()
+            known.update(zip(part, map(flat.__getitem__, map(slice, [0, *cut[:-1]], cut)), strict=True))
+        return others
 
     def _learn(self, words: set[bytes]) -> None:
         known, stems, fresh = self.known, [], set()
@@ -74,24 +85,15 @@ class WordTokenizer:
                 fresh.add(tail)
             else:
                 fresh.add(w)
-        letters, others = [], []
-        for w in fresh.difference(known):
-            (letters if w.isalpha() or w.decode().lower().isalpha() else others).append(w)
-        for i in range(0, len(letters), 8192):
-            part = letters[i : i + 8192]
-            ids = self._ids([b" ".join(part).decode()])[0]
-            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(cut) != len(part):
-                others += part
-                continue
-            flat, at = ids.tobytes(), 0
-            for w, to in zip(part, cut.tolist(), strict=True):
-                known[w] = flat[at:to]
-                at = to
+        fresh = fresh.difference(known)
+        ascii_, letters, others = [], [], []
+        for w in fresh:
+            (ascii_ if w.isalpha() and w.islower() else letters if w.decode().lower().isalpha() else others).append(w)
+        others += self._letters(self.plain, ascii_) + self._letters(self.tokenizer, letters)
         for i in range(0, len(others), 8192):
             part = others[i : i + 8192]
-            for w, ids in zip(part, self._ids([w.decode() for w in part]), strict=True):
-                known[w] = ids.tobytes()
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, dtype="<u4").tobytes()
         for w, stem, tail in stems:
             known[w] = known[stem] + known[tail]
 
@@ -100,19 +102,19 @@ class WordTokenizer:
         raw = [(t or "").encode() for t in texts]
         split = [(b if b"<|" in b else b.lower()).split() for b in raw]  # names of special tokens keep their case
         known = self.known
-        words = set().union(*split)
         if len(known) > self.MOST:
-            kept = {w: known[w] for some in self.recent for w in some}
             known.clear()
-            known.update(kept)
-        self.recent.append(words)
-        if missing := words.difference(known):
+        missing: set[bytes] = set()
+        for words in split:
+            missing.update(filterfalse(known.__contains__, words))
+        if missing:
             self._learn(missing)
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
+held_between_tasks(_TOKENIZERS)
 
 
 def word_tokenizer(path: str) -> WordTokenizer:
@@ -262,7 +264,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits
         if (out := packer.drain()) is not None:
             yield out
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, SCHEMA, keeps=True)
 
 
 def tokenizer_file() -> str:
