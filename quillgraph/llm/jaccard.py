@@ -10,7 +10,8 @@ blocks for them, and the few sets with more empty blocks than spare ones join on
 Candidates first pass a sketch of the whole set (bits in proportion to the difference allowed at its size; of unlike lengths the
 longer is folded; their distance is a lower bound too), then are verified on the full sets, in three steps that never list all pairs of a group: each document with the candidate it shares most blocks with;
 then pairs with a group's first document that are still in different components; then, in groups of three at least whose members are
-not all in the first one's component, pairs across components. Equal sets within a task are linked at once and joined once.
+not all in the first one's component, pairs across components: a few partners for each document, then, for as long as any were left out,
+more, in components as they are by then. Equal sets within a task are linked at once and joined once.
 Components are found by alternating stars, distributed.
 
 Null, empty and blank texts have an empty set and link with nothing; so do rows without an id, whose component is null. Ties go to the smaller id. Repeated rows link as equal
@@ -37,11 +38,13 @@ MEMBER, EQUAL, INFO, PAIR = 0, 1, 2, 3
 @dataclass(frozen=True)
 class Similar:
     """width: words of a shingle. percent: of the union that the intersection has at least. chunk: members of a group that
-    one unit of the last verification compares. Sets of a task that wait to be told equal: most_sets."""
+    one unit of the last verification compares. partners: of a document in its first round. most_sets: sets of a task that wait
+    to be told equal."""
 
     width: int = 4
     percent: int = 85
     chunk: int = 1000
+    partners: int = 4
     most_sets: int = 1_000_000
 
 
@@ -101,10 +104,10 @@ def _rows(kind, sig, doc, n, rep, sketch=None) -> pa.RecordBatch:
 
 
 def parity(mixed: np.ndarray, percent: int) -> bytes:
-    """A sketch of a whole set: each bit is the parity of the shingles that fall on it. It has at least four times as many
-    bits as two such sets may differ in, so unlike sets differ in more; a power of two."""
+    """A sketch of a whole set: each bit is the parity of the shingles that fall on it. It has at least eight times as many
+    bits as two such sets may differ in, and 1024, so unlike sets differ in more; a power of two."""
     differ = 2 * len(mixed) * (100 - percent) // (100 + percent)
-    bits = 1 << max(6, (4 * differ - 1).bit_length())
+    bits = 1 << max(10, (8 * differ - 1).bit_length())
     return np.packbits(np.bincount((mixed & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
 
@@ -244,22 +247,25 @@ def _plausible(percent: int):
     return run
 
 
-def _cross(percent: int):
+def _cross(percent: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs across components within units of rows sorted by (sig, i, j); a unit has two chunks at most."""
+        """(a, b, more): pairs across components within units of rows sorted by (sig, i, j), at most so many for each row, and
+        whether there are more. A unit has two chunks at most."""
 
         def pairs(x: np.ndarray, sketches: list[bytes]) -> pa.RecordBatch:
             least = min(map(len, sketches)) // 8
             k = np.concatenate([folded(_words([b]), least) for b in sketches])
             doc, comp, n, chunk = x[:, 3], x[:, 4], x[:, 5], x[:, 6]
             same = x[0, 1] == x[0, 2]
-            found = [np.zeros((2, 0), dtype=np.int64)]
+            found, more = [np.zeros((2, 0), dtype=np.int64)], []
             for i in range(len(x) - 1):
                 j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (same | (chunk[i + 1 :] != chunk[i]))) + i + 1
                 j = j[may_be_similar(n[i], n[j], k[i], k[j], percent)]
+                more += [len(j) > most] * min(len(j), most)
+                j = j[:most]
                 found.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]))
             a, b = np.concatenate(found, axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more, pa.bool_())], names=["a", "b", "more"])
 
         held, bits = np.zeros((0, 7), dtype=np.int64), []
         for batch in batches:
@@ -320,23 +326,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: Similar = Similar()
         links = scratch.save(links.unionByName(verify(apart, texts, p, parts)), "links2")
         comp = scratch.save(components(spark, links, scratch, "cc2"), "comp2")
 
-    split = labelled(labelled(paired.select("rep", "doc"), "rep", "ca"), "doc", "cb").where("ca <> cb").select("rep", "doc")
-    spans = wide.join(split, ["rep", "doc"], "left_semi").select("sig").distinct()
-    inside = scratch.save(labelled(wide.join(spans, "sig", "left_semi"), "doc", "comp"), "inside")
-    sizes = inside.groupBy("sig").agg(F.ceil(F.count("*") / p.chunk).cast("int").alias("k"))
-    units = (
-        inside.join(sizes, "sig")
-        .join(one.select("doc", "sketch"), "doc")
-        .withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
-        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        .select("sig", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "doc", "comp", "n", "chunk", "sketch")
-        .repartition(parts, "sig", "i", "j")
-        .sortWithinPartitions("sig", "i", "j")
-    )
-    crossed = scratch.save(map_arrow(units, _cross(p.percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "crossed")
-    if crossed.take(1):
-        links = scratch.save(links.unionByName(verify(crossed, texts, p, parts)), "links3")
-        comp = scratch.save(components(spark, links, scratch, "cc3"), "comp3")
+    most, more = p.partners, True
+    while more:
+        split = labelled(labelled(paired.select("rep", "doc"), "rep", "ca"), "doc", "cb").where("ca <> cb").select("rep", "doc")
+        spans = wide.join(split, ["rep", "doc"], "left_semi").select("sig").distinct()
+        inside = scratch.save(labelled(wide.join(spans, "sig", "left_semi"), "doc", "comp"), "inside")
+        sizes = inside.groupBy("sig").agg(F.ceil(F.count("*") / p.chunk).cast("int").alias("k"))
+        units = (
+            inside.join(sizes, "sig")
+            .join(one.select("doc", "sketch"), "doc")
+            .withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("k")).cast("int"))
+            .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+            .select("sig", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "doc", "comp", "n", "chunk", "sketch")
+            .repartition(parts, "sig", "i", "j")
+            .sortWithinPartitions("sig", "i", "j")
+        )
+        pairs = map_arrow(units, _cross(p.percent, most), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+        crossed = scratch.save(pairs, f"crossed{most}")
+        fresh = scratch.save(crossed.select("a", "b").join(tried, ["a", "b"], "left_anti"), f"fresh{most}")
+        if fresh.take(1):
+            links = scratch.save(links.unionByName(verify(fresh, texts, p, parts)), f"links{most}")
+            comp = scratch.save(components(spark, links, scratch, f"cc{most}"), f"comp{most}")
+        more = bool(crossed.where("more").take(1))
+        tried, most = tried.unionByName(fresh), most * 8
     out = labelled(info, "doc", "component_id").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
     nameless = map_arrow(everything.where("doc_id is null"), _set_column(p.width), "doc_id long, members binary")
     return out.unionByName(nameless.select("doc_id", F.floor(F.octet_length("members") / 8).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
