@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import WORD, Scratch, ship, table
+from quillgraph.llm.common import WORD, Scratch, n_parts, ship, table
 
 
 @dataclass(frozen=True)
@@ -205,15 +205,18 @@ def mix_documents(spark: SparkSession, docs: DataFrame, mix: Mix = Mix()) -> Dat
 
 
 def mixed_texts(spark: SparkSession, docs: DataFrame, mix: Mix = Mix()) -> DataFrame:  # noqa: B008
-    """The rows of docs, each once for every epoch in which the mix takes words of it, with its columns as they are.
+    """The rows of docs, each once for every epoch in which the mix takes words of it, with its columns as they are, dealt to
+    shards and shuffled in each.
 
-    A document whose blocks are taken in part is kept whole in that epoch, so texts aren't cut."""
+    A document whose blocks are taken in part is kept whole in that epoch, in the place of its first block taken, so texts
+    aren't cut."""
     scratch = Scratch(spark)
     keyed = docs.withColumn("__key", F.monotonically_increasing_id())
     keyed = scratch.save(keyed, "keyed")
     _, _, drawn = draw(spark, keyed.select(F.col("__key").alias("doc_id"), "text", "source"), mix)
-    whole = drawn.select(F.col("doc_id").alias("__key"), "epoch").distinct().select("__key")
-    return keyed.join(whole, "__key").select(*docs.columns)
+    whole = drawn.groupBy("doc_id", "epoch").agg(F.min(F.struct("start", "shard", "position", "row_key")).alias("first")).select("doc_id", "epoch", "first.*")
+    rows = keyed.select(F.col("__key").alias("doc_id"), F.struct(*docs.columns).alias("row"))
+    return local_shuffle(rows.join(whole, "doc_id"), n_parts(spark)).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import defaultdict
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from quillgraph.llm import licences, mixing, packing
 from tokenizers import Tokenizer
 
@@ -96,6 +97,32 @@ def test_mixing(spark):
     assert set(mixing.mixed_texts(spark, odd, mix).columns) == set(odd.columns)
 
 
+def test_mixed_texts_are_dealt_and_shuffled(spark):
+    """Rows sorted by source leave in shards, each in the order of its shuffle, with a document's epochs apart."""
+    mix = mixing.Mix(block_words=1 << 40, shards=4, weights=(5.0, 2.0))
+    docs = spark.createDataFrame([(i, f"w{i} " * 10, "a" if i < 200 else "b", i) for i in range(400)], "doc_id long, text string, source string, shard int").repartitionByRange(1, "doc_id")
+    _, _, drawn = mixing.draw(spark, docs.select("doc_id", "text", "source"), mix)
+    want = defaultdict(list)
+    for r in sorted(drawn.collect(), key=lambda r: r.position):
+        want[r["shard"]].append(r.doc_id)
+    assert len(want) == 4 and max(map(len, want.values())) - min(map(len, want.values())) <= 2
+    got = defaultdict(list)
+    for r in mixing.mixed_texts(spark, docs, mix).select("*", F.spark_partition_id().alias("part")).collect():
+        got[r.part].append(r.doc_id)
+        assert r["shard"] == r.doc_id
+    where = {}
+    for part, mine in got.items():
+        at = 0
+        while at < len(mine):
+            k = next(k for k, x in want.items() if k not in where and mine[at : at + len(x)] == x)
+            where[k], at = part, at + len(want[k])
+    assert where.keys() == want.keys()
+    assert sum(map(len, got.values())) > len({i for x in got.values() for i in x})
+    for x in got.values():
+        assert all(a != b for a, b in zip(x, x[1:], strict=False))
+        assert sum((a < 200) != (b < 200) for a, b in zip(x, x[1:], strict=False)) > len(x) / 5
+
+
 def test_splitting_tree_meets_quotas():
     counts = [1000, 3, 0, 517]
     tree = mixing.SplittingTree(counts, 16, 7)
