@@ -1,8 +1,9 @@
 """Licence scans by canonical digests of entire texts.
 
-A text's canonical form has small letters, no copyright lines, one spelling of words that count as equal, and single spaces for all that
+A text's canonical form has small letters, no lines that name a copyright's holder, one spelling of words that count as equal, and single spaces for all that
 is neither an ASCII letter nor a digit. Its SHA-256 is hash-joined to the digests of known licences (a small fixed table). Built-in
-functions only; no shuffle.
+functions only; no shuffle. A holder's line has a copyright word and then (c), a sign or a year, maybe after comment marks or a
+licence's title, and ends with the line or where a known licence begins; if neither comes soon, only the words and years go.
 
 A null text has no digest and no licence; an empty one, or one of copyright lines alone, has the empty form's digest and no
 licence. Repeated rows are looked up each. An empty table gives no rows; other columns are ignored.
@@ -19,7 +20,22 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import table
 
 # Lines that name a holder, spellings that count as equal, and the texts of known licences.
-COPYRIGHT = r"(^|\n)[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+_OPENINGS = (
+    "permission is hereby granted",
+    "permission to use, copy",
+    "redistribution and use in source",
+    "this software is provided 'as-is'",
+    "this is free and unencumbered",
+    "(?:mit|isc|zlib|bsd [23]-clause) license",
+)
+_END = r"(?=\r?\n|$|" + "|".join(x.replace(" ", r"\s+") for x in _OPENINGS) + ")"
+_HOLDER = r"(?:copyright[ \t:]*(?:\(c\)|©|&copy;|(?=[12]\d\d\d))|\(c\)[ \t]*(?:copyright|(?=[12]\d\d\d))|©)"
+COPYRIGHT = (
+    r"(^|\n|license[ \t]+)[ \t]*(?:(?:[#*;%]+|//+|/\*+|--+|<!--+)[ \t]*)?"
+    rf"(?:{_HOLDER}[ \t]*(?:[12]\d\d\d[ \t,–-]*)*(?:[^\n]{{0,160}}?{_END}|)|all rights reserved[ \t.]*{_END})"
+)
+#: The SQL keeps the pattern it was written with: every line that begins with one of these words.
+SQL_COPYRIGHT = r"(^|\n)[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
 OTHER = r"[^a-z0-9]+"
 SPELLINGS = (
     ("licence", "license"),
@@ -122,9 +138,9 @@ KNOWN = {
 }
 
 
-def canonical(text: str) -> str:
+def canonical(text: str, lines: str = COPYRIGHT) -> str:
     """The canonical form, as canonical_column makes it."""
-    t = re.sub(OTHER, " ", re.sub(COPYRIGHT, r"\1", text.lower())).strip(" ")
+    t = re.sub(OTHER, " ", re.sub(lines, r"\1", text.lower())).strip(" ")
     for a, b in SPELLINGS:
         t = t.replace(a, b)
     return t
@@ -137,8 +153,8 @@ def canonical_column(text: Column) -> Column:
     return t
 
 
-def known_digests(known: dict[str, str]) -> list[tuple[str, str]]:
-    return [(hashlib.sha256(canonical(t).encode()).hexdigest(), k.removesuffix(" with its title")) for k, t in known.items()]
+def known_digests(known: dict[str, str], lines: str = COPYRIGHT) -> list[tuple[str, str]]:
+    return [(hashlib.sha256(canonical(t, lines).encode()).hexdigest(), k.removesuffix(" with its title")) for k, t in known.items()]
 
 
 def scan(spark: SparkSession, docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
@@ -153,11 +169,11 @@ def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    pattern = COPYRIGHT.replace("'", "''")
+    pattern = SQL_COPYRIGHT.replace("'", "''")
     t = f"trim(regexp_replace(regexp_replace(lower(text), '{pattern}', '\\1', 'g'), '{OTHER}', ' ', 'g'))"
     for a, b in SPELLINGS:
         t = f"replace({t}, '{a}', '{b}')"
-    values = ", ".join(f"('{d}', '{n}')" for d, n in sorted(set(known_digests(KNOWN))))
+    values = ", ".join(f"('{d}', '{n}')" for d, n in sorted(set(known_digests(KNOWN, SQL_COPYRIGHT))))
     return (
         f"WITH known(digest, licence) AS (VALUES {values}), docs AS (SELECT doc_id, sha256({t}) AS digest FROM documents) "
         "SELECT doc_id, docs.digest AS digest, licence FROM docs LEFT JOIN known ON docs.digest = known.digest"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+import textwrap
 import zlib
 from collections import defaultdict
 
@@ -141,6 +144,29 @@ def test_licences(spark):
     assert licences.scan(spark, df.limit(0)).count() == 0
 
 
+def test_licences_in_other_wrappings(spark):
+    """Every known licence, wrapped anew, on one line, and after lines of holders; body text that begins with the word stays."""
+    rows, want = [], {}
+    for name, text in licences.KNOWN.items():
+        one = " ".join(text.split())
+        title, body = ("", one) if "title" not in name else one.partition("icense ")[0::2]
+        title = title and title + "icense"
+        forms = [text, one, *(textwrap.fill(one, w) for w in (30, 41, 55, 60, 72, 80, 120)), *(textwrap.fill(one, w, initial_indent="# ", subsequent_indent="# ") for w in (64, 77))]
+        forms += [re.sub(rf"\s({w})", r"\n\1", one) for w in ("copyright", "COPYRIGHT")]
+        for holder in ("Copyright (c) 2019-2021, A. Person <a@b.example>", "(C) Copyright 2020 Some Firm, Inc. All rights reserved.", "Copyright © 2020 Ä. Ö.", "Copyright 2020 Nobody", "(c) 2020 Nobody"):
+            forms += [f"{title}\n{mark}{holder}\n{body}" for mark in ("", "# ", " * ", "// ")] + [f"{title} {holder} {body}".strip(), f"{title}\n{holder}\r\nAll rights reserved.\r\n\r\n{body}"]
+        for form in forms:
+            want[len(rows)] = name.removesuffix(" with its title")
+            rows.append((len(rows), form))
+    plain = ["copyright holders may not\nbe named", "may not\ncopyright holders", "Copyright (c) 2020 " + "unknown words " * 30]
+    rows += [(-1 - i, t) for i, t in enumerate(plain)]
+    got = {r.doc_id: r for r in licences.scan(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.licence for i, r in got.items() if i >= 0} == want
+    assert licences.canonical(plain[0]) == "copyright holders may not be named"
+    assert licences.canonical(plain[2]).startswith("unknown words unknown")
+    assert all(got[i].digest == hashlib.sha256(licences.canonical(t).encode()).hexdigest() for i, t in rows)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{brute.DATA}/documents.parquet")
     before = docs
