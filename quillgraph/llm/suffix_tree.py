@@ -2,15 +2,19 @@
 
 Tokens are words (A-Z as a-z), then one end. The model's symbols are the distinct training tokens and one symbol for any
 unknown token, like those of the base. The root's distribution has the counts of all training tokens, less a discount that
-depends on the count (estimated from the numbers of tokens seen once to four times); what is taken off is the unknown token's. A context of one or two tokens is a candidate if it is frequent enough: its
-share of all tokens is at least `least`, so there are 1 / least candidates of each depth at most, whatever the corpus. It is retained if
-its next-token distribution diverges from its parent's (the longest retained suffix) by more than chance, by a G test. A retained
-context's frequent successors have their own probabilities, discounted and interpolated with the parent's; all other tokens share
-what is left in proportion to the parent. A token is scored in the longest retained suffix of what stands before it.
-
-Counts of all tokens are exact and unbounded, so they are never held whole: the corpus is dealt into blocks of neighbouring
-rows, each block asks for the counts of its own distinct tokens (a shuffle by token), and gets them back sorted ahead of its
-texts (a shuffle by block). A task holds one block's tokens.
+depends on the count (estimated from the numbers of tokens seen once to four times); what is taken off is the unknown token's.
+A context is some tokens that occur `least` times before others in training texts, a fixed number whatever the corpus. It is
+retained if its next-token distribution diverges from its parent's (the longest retained suffix) by more than chance, by a G
+test over all its successors. Its distribution is interpolated with the parent's, the more so the more distinct successors it
+has (Witten and Bell). All contexts of one and two tokens are tested; longer ones are where they extend a retained one, and
+this goes on until a depth retains none. A context with a single successor isn't extended, for its extensions can't diverge
+from it. A token is scored in the longest retained suffix of what stands before it.
+
+All counts are exact and unbounded, so none is held whole: the corpus is dealt into blocks of neighbouring rows, each block asks
+for the counts of its own distinct tokens (a shuffle by token), and gets them back sorted ahead of its texts (a shuffle by
+block). So do contexts, depth by depth: a block tells which pairs of a context and a next token it has, in training texts or
+not; the pairs are counted, tested and given probabilities as tables; and the block gets back the probabilities of its own
+pairs in retained contexts. Contexts and pairs are named by 64-bit hashes. A task holds one block's tokens and pairs.
 
 Null and empty texts are the end alone. Repeated rows are counted and scored each. Null ids are training rows (their fold is
 not the held-out one). Without training tokens, N and V are 0 and every token is unknown for certain. An empty table gives no
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import Scratch, map_arrow, n_parts, table
+from quillgraph.llm.common import Scratch, map_arrow, n_parts, powers, prefix_hash, span_hash, splitmix, table
 from quillgraph.llm.fitting import in_fold
 
 END = b""
@@ -36,10 +40,9 @@ END = b""
 
 @dataclass(frozen=True)
 class Tree:
-    """least: share of all tokens that a context and a successor need. sigma: standard deviations above chance of the
-    divergence. rows: of a block. folds, held_out: rows whose crc32(doc_id) mod folds is held_out aren't learnt from."""
+    """least: occurrences that a context needs, 2 at least. sigma: standard deviations above chance of the divergence. rows: of a block. folds, held_out: rows whose crc32(doc_id) mod folds is held_out aren't learnt from."""
 
-    least: float = 1e-5
+    least: float = 2
     sigma: float = 6.0
     rows: int = 4096
     folds: int = 5
@@ -50,14 +53,34 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
+def _named(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each token."""
+    size = np.array([len(w) for w in words], dtype=np.int64)
+    stop = np.cumsum(size)
+    h = prefix_hash(np.frombuffer(b"".join(words), dtype=np.uint8))
+    return splitmix(span_hash(h, stop - size, stop) ^ splitmix(size.astype(np.uint64)))
+
+
+def _spans(tok: np.ndarray):
+    """A function of (places, depth): hashes of the `depth` tokens before each place, of one token after another."""
+    with np.errstate(over="ignore"):
+        h = np.append(np.uint64(0), np.cumsum(tok * powers(0, len(tok))[0][: len(tok)], dtype=np.uint64))
+
+    def name(at: np.ndarray, depth: int) -> np.ndarray:
+        return splitmix(span_hash(h, at - depth, at) + np.uint64(depth)).view(np.int64)
+
+    return name
+
+
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, token, n) of rows (block, held_out, text): each block's tokens with their count in its training rows."""
+    """(block, token, n, name) of rows (block, held_out, text): each block's tokens with their count in its training rows."""
     now, train, other = None, Counter(), set()
 
     def flush() -> pa.RecordBatch:
         words = list(train) + list(other.difference(train))
         n = [train.get(w, 0) for w in words]
-        out = pa.RecordBatch.from_arrays([pa.array(np.full(len(words), now), pa.int64()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["block", "token", "n"])
+        name = splitmix(_named(words) + np.uint64(1)).view(np.int64)
+        out = pa.RecordBatch.from_arrays([pa.array(np.full(len(words), now), pa.int64()), pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array(name)], names=["block", "token", "n", "name"])
         train.clear()
         other.clear()
         return out
@@ -102,95 +125,85 @@ class Model:
         level = np.clip(c, 1, 3).astype(np.int64) - 1
         return np.log10(np.where(c > 0, (c - off[level]) / self.n, unknown))
 
-    def contexts(self, ids: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
-        """The code of the `depth` tokens before each place; -1 if one isn't frequent or stands in another text."""
-        code, ok = np.zeros(len(ids), dtype=np.int64), np.ones(len(ids), dtype=bool)
-        for k in range(depth, 0, -1):
-            before = np.full(len(ids), -1, dtype=np.int64)
-            before[k:] = ids[:-k] if k else ids
-            ok &= (before >= 0) & (np.arange(len(ids)) - first >= k)
-            code = code * self.width + before
-        return np.where(ok, code, -1)
-
     @property
     def width(self) -> int:
         return max(1, len(self.frequent))
 
-    def score(self, ids: np.ndarray, first: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """log10 probabilities of tokens: ids among the frequent ones (or -1), the place where each one's text begins, and
-        their log10 probabilities at the root."""
-        out = root.copy()
-        for depth, (keys, factor, pairs, value) in enumerate(self.levels, 1):
-            if not len(keys):
-                continue
-            code = self.contexts(ids, first, depth)
-            at = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
-            here = np.flatnonzero(keys[at] == code)
-            out[here] += factor[at[here]]
-            if len(pairs) and len(here):
-                known = here[ids[here] >= 0]
-                x = at[np.asarray(known)] * self.width + ids[known]
-                j = np.minimum(np.searchsorted(pairs, x), len(pairs) - 1)
-                hit = pairs[j] == x
-                out[known[hit]] = value[j[hit]]
-        return out
 
+PAIRS = "block long, context long, pair long, shorter long, n long"
 
-def _numbered(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the tokens of some texts, and the place where each one's text begins."""
-    get = model.frequent.get
-    ids = [[get(w, -1) for w in tokens(t)] for t in texts]
-    size = np.array([len(x) for x in ids])
-    start = np.cumsum(size) - size
-    flat = np.array([i for x in ids for i in x], dtype=np.int64)
-    return flat, np.repeat(start, size)
 
+def _has(some: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which x are among some, sorted."""
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x if len(some) else np.zeros(len(x), dtype=bool)
 
-def _successors(model: Model, depth: int, wanted: np.ndarray | None):
-    """(context, token, n) of the frequent contexts of a depth (all, or those wanted) in training texts, summed by task."""
+
+def _tell(depth: int):
+    """PAIRS of rows (block, kind, name, held_out, text): the names of a block's contexts that may be extended (kind 0) and
+    of those that are frequent (kind 1), then its texts (kind 2). Depth 1 extends all; only depths 1 and 2 know what is frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, told, have = None, None, ([], [])
         held: list[np.ndarray] = []
-        sums: list[np.ndarray] = []
-
-        def reduce() -> None:
-            x = np.column_stack([*np.unique(np.concatenate(held), return_counts=True)]) if held else np.zeros((0, 2), dtype=np.int64)
-            held.clear()
-            sums.append(x)
-            if len(sums) > 8:
-                both = np.concatenate(sums)
-                key, back = np.unique(both[:, 0], return_inverse=True)
-                sums[:] = [np.column_stack([key, np.bincount(back, weights=both[:, 1]).astype(np.int64)])]
 
         def flush() -> pa.RecordBatch:
-            both = np.concatenate(sums) if sums else np.zeros((0, 2), dtype=np.int64)
-            key, back = np.unique(both[:, 0], return_inverse=True)
-            n = np.bincount(back, weights=both[:, 1], minlength=len(key)).astype(np.int64)
-            sums.clear()
-            w = model.width + 1
-            return pa.RecordBatch.from_arrays([pa.array(key // w), pa.array(key % w - 1), pa.array(n)], names=["context", "token", "n"])
+            x = np.concatenate(held)
+            held.clear()
+            _, at, back = np.unique(x[:, 1], return_index=True, return_inverse=True)
+            n = np.bincount(back, weights=x[:, 3]).astype(np.int64)
+            cols = [np.full(len(at), now), x[at, 0], x[at, 1], x[at, 2], n]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[f.split()[0] for f in PAIRS.split(", ")])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                ids, first = _numbered(model, batch.column(0).slice(i, 512).to_pylist())
-                code = model.contexts(ids, first, depth)
-                ok = code >= 0
-                if wanted is not None and ok.any():
-                    at = np.minimum(np.searchsorted(wanted, code), max(0, len(wanted) - 1))
-                    ok &= (wanted[at] == code) if len(wanted) else False
-                held.append(code[ok] * (model.width + 1) + ids[ok] + 1)  # token -1: not a frequent one
-                if sum(map(len, held)) > 2_000_000:
-                    reduce()
-            if sum(map(len, sums)) > 4_000_000:
-                yield flush()
-        reduce()
-        yield flush()
+            place = np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)])
+            cut = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1).tolist(), len(place)]
+            for a, b in zip(cut, cut[1:], strict=False):
+                block, kind = place[a].tolist()
+                part = batch.slice(a, b - a)
+                if block != now:
+                    if held:
+                        yield flush()
+                    now, told, have = block, None, ([], [])
+                if kind < 2:
+                    have[kind].append(part.column(2).to_numpy())
+                    continue
+                if told is None:
+                    told = [np.sort(np.concatenate(h)) if h else np.zeros(0, dtype=np.int64) for h in have]
+                for i in range(0, part.num_rows, 512):
+                    some = part.slice(i, 512)
+                    tok, start, size = _placed(some.column(4).to_pylist())
+                    name = _spans(tok)
+                    at = np.flatnonzero(np.arange(len(tok)) - np.repeat(start, size) >= depth)
+                    if depth > 1:
+                        at = at[_has(told[0], name(at, depth - 1))]
+                    context = name(at, depth)
+                    if depth < 3:
+                        ok = _has(told[1], context)
+                        at, context = at[ok], context[ok]
+                    if not len(at):
+                        continue
+                    train = np.repeat(~some.column(3).to_numpy(zero_copy_only=False).astype(bool), size)
+                    held.append(np.column_stack([context, name(at + 1, depth + 1), name(at + 1, depth), train[at]]))
+                    if sum(map(len, held)) > 2_000_000:
+                        yield flush()
+        if held:
+            yield flush()
 
     return run
 
 
+def _placed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the tokens of some texts, the place where each text begins, and its number of tokens."""
+    found = [tokens(t) for t in texts]
+    number: dict[bytes, int] = {}
+    flat = np.array([number.setdefault(w, len(number)) for ws in found for w in ws], dtype=np.int64)
+    size = np.array([len(f) for f in found])
+    return _named(list(number))[flat], np.cumsum(size) - size, size
+
+
 def _retain(model: Model, context: np.ndarray, token: np.ndarray, n: np.ndarray, unigram: np.ndarray, depth: int, p: Tree) -> tuple:
-    """The retained contexts of a depth, of sorted successor counts of all candidates."""
+    """The retained contexts of a depth, of sorted successor counts of all candidates: as tested() does, of a small model in
+    memory whose tokens are numbered (-1 for others)."""
     keys, factors, pairs, values = [], [], [], []
     cut = [0, *(np.flatnonzero(np.diff(context)) + 1).tolist(), len(context)]
     for a, b in zip(cut, cut[1:], strict=False):
@@ -233,13 +246,14 @@ def _parent(model: Model, context: int, w: np.ndarray, unigram: np.ndarray, dept
 SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(model: Model):
+def _score(model: Model, depths: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (block, kind, token, c, doc, held, text): a block's tokens with their counts, then its texts."""
-        now, number = None, {}
-        root, base, known, ids = (np.zeros(0),) * 4
+        """Rows (block, kind, token, c, name, p, doc, held, text): a block's tokens with their counts (kind 0), its pairs in
+        retained contexts of each depth with their log10 probabilities (kind is the depth), then its texts."""
+        now, ready = None, False
         words: list[bytes] = []
         counts: list[np.ndarray] = []
+        pairs: dict[int, list] = {}
         for batch in batches:
             place = np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)])
             cut = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1).tolist(), len(place)]
@@ -247,41 +261,74 @@ def _score(model: Model):
                 block, kind = place[x].tolist()
                 part = batch.slice(x, y - x)
                 if block != now:
-                    now, words, counts, number = block, [], [], {}
+                    now, ready, words, counts, pairs = block, False, [], [], {}
                 if kind == 0:
                     words += part.column(2).to_pylist()
                     counts.append(part.column(3).to_numpy())
                     continue
-                if not number:
+                if kind <= depths:
+                    pairs.setdefault(kind, []).append((part.column(4).to_numpy(), part.column(5).to_numpy()))
+                    continue
+                if not ready:
+                    ready = True
                     c = np.concatenate(counts).astype(float)
                     number = {w: i for i, w in enumerate(words)}
-                    root, known = model.root(c), c > 0
+                    names, root, known = _named(words), model.root(c), c > 0
                     base = np.log10((c + 0.5) / (model.n + 0.5 * (model.v + 1)))
-                    get = model.frequent.get
-                    ids = np.array([get(w, -1) for w in words], dtype=np.int64)
+                    levels = []
+                    for d in sorted(pairs):
+                        keys, p = (np.concatenate([h[k] for h in pairs[d]]) for k in (0, 1))
+                        order = np.argsort(keys)
+                        levels.append((d, keys[order], p[order]))
+                    pairs = {}
                 for i in range(0, part.num_rows, 512):
                     some = part.slice(i, 512)
-                    found = [[number[w] for w in tokens(t)] for t in some.column(6).to_pylist()]
+                    found = [[number[w] for w in tokens(t)] for t in some.column(8).to_pylist()]
                     size = np.array([len(f) for f in found])
                     start = np.cumsum(size) - size
                     at = np.array([j for f in found for j in f], dtype=np.int64)
-                    score = model.score(ids[at], np.repeat(start, size), root[at])
+                    score, name = root[at], _spans(names[at])
+                    before = np.arange(len(at)) - np.repeat(start, size)
+                    for d, keys, p in levels:
+                        here = np.flatnonzero(before >= d)
+                        pair = name(here + 1, d + 1)
+                        j = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+                        hit = keys[j] == pair
+                        score[here[hit]] = p[j[hit]]
                     add = lambda v: np.add.reduceat(v, start)
                     yield pa.RecordBatch.from_arrays(
-                        [some.column(4), some.column(5), pa.array(size), pa.array(add(known[at].astype(np.int64))), pa.array(np.full(len(size), model.n)), pa.array(add(base[at])), pa.array(add(score))],
+                        [some.column(6), some.column(7), pa.array(size), pa.array(add(known[at].astype(np.int64))), pa.array(np.full(len(size), model.n)), pa.array(add(base[at])), pa.array(add(score))],
                         names=[f.split()[0] for f in SCORE.split(", ")],
                     )
 
     return run
 
 
+def _root_column(model: Model):
+    """model.root() of a column c, not as a logarithm."""
+    if not model.n:
+        return F.lit(1.0)
+    p = [float(x) for x in 10 ** model.root(np.arange(4.0))]
+    off = float(model.discounts()[2])
+    return F.when(F.col("c") >= 3, (F.col("c") - off) / model.n).when(F.col("c") == 2, p[2]).when(F.col("c") == 1, p[1]).otherwise(p[0])
+
+
+def tested(pairs: DataFrame, p: Tree) -> DataFrame:
+    """(context, retained, total, lam, k) of the frequent contexts of pairs (context, n, p), p the parent's probability."""
+    at_least = max(2, p.least)
+    own = pairs.where("n > 0").groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.sum(F.col("n") * F.log(F.col("n") / F.col("p"))).alias("x"))
+    g, df = 2 * (F.col("x") - F.col("total") * F.log("total")), F.col("k") - 1
+    chance = ((df < 1) & (g < 20)) | (g <= df + p.sigma * F.sqrt(2 * F.greatest(df, F.lit(1))))
+    return own.where(F.col("total") >= at_least).select("context", (~chance).alias("retained"), "total", (F.col("k") / (F.col("total") + F.col("k"))).alias("lam"), "k")
+
+
 def score_documents(spark: SparkSession, docs: DataFrame, p: Tree = Tree()) -> DataFrame:  # noqa: B008
     """Scores of docs (doc_id, text, block), a row each. block groups some thousands of rows, neighbours at best."""
     scratch, parts = Scratch(spark), n_parts(spark)
     rows = docs.select("block", in_fold(p.folds, p.held_out).alias("held_out"), "text", F.col("doc_id").cast("long").alias("doc_id"))
-    asked = map_arrow(rows.select("block", "held_out", "text"), _ask, "block long, token binary, n long").repartition(parts, "token")
+    asked = map_arrow(rows.select("block", "held_out", "text"), _ask, "block long, token binary, n long, name long").repartition(parts, "token")
     own = Window.partitionBy("token")
-    counted = asked.groupBy("token", "block").agg(F.sum("n").alias("n"))
+    counted = asked.groupBy("token", "block", "name").agg(F.sum("n").alias("n"))
     counted = counted.withColumn("c", F.sum("n").over(own)).withColumn("first", F.row_number().over(own.orderBy("block")) == 1)
     counted = scratch.save(counted, "tokens")
     types = counted.where("first and c > 0").select("token", "c")
@@ -289,30 +336,45 @@ def score_documents(spark: SparkSession, docs: DataFrame, p: Tree = Tree()) -> D
     total = types.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), *seen).first()
     model = Model(total.n, total.v, (total.n1, total.n2, total.n3, total.n4))
 
-    enough = max(2.0, p.least * total.n)
-    common = sorted(types.where(F.col("c") >= enough).collect(), key=lambda r: bytes(r.token))  # 1 / least at most
-    model.frequent = {bytes(r.token): i for i, r in enumerate(common)}
-    unigram = 10 ** model.root(np.array([r.c for r in common], dtype=float))
-    train = rows.where(~F.col("held_out")).select("text")
-
-    pairs: np.ndarray | None = None
-    for depth in (1, 2):
-        counts = map_arrow(train, _successors(model, depth, pairs), "context long, token long, n long").groupBy("context", "token").agg(F.sum("n").alias("n"))
-        counts = scratch.save(counts, f"successors{depth}")
-        # successors that are rarer than a context may be count as others; so 1 / least rows at most, and one more for each context
-        kept = counts.select("context", F.when(F.col("n") >= enough, F.col("token")).otherwise(-1).alias("token"), "n").groupBy("context", "token").agg(F.sum("n").alias("n"))
-        got = sorted((r.context, r.token, r.n) for r in kept.collect())
-        x = np.array(got, dtype=np.int64).reshape(-1, 3)
-        model.levels.append(_retain(model, x[:, 0], x[:, 1], x[:, 2], unigram, depth, p))
-        often = x[(x[:, 1] >= 0)]
-        pairs = np.unique(often[:, 0] * model.width + often[:, 1]) if depth == 1 else None
-        if depth == 1 and not len(pairs):
+    at_least = max(2, p.least)
+    null = lambda kind: F.lit(None).cast(kind)
+    texts = rows.select("block", F.lit(2).alias("kind"), null("long").alias("name"), "held_out", "text")
+    told = counted.where(F.col("c") >= at_least).select("block", F.lit(1).alias("kind"), "name", null("boolean").alias("held_out"), null("string").alias("text"))
+    shorter = counted.where("first").select(F.col("name").alias("shorter"), _root_column(model).alias("p"))
+    answers, depth = [], 0
+    while True:
+        depth += 1
+        dealt = told.unionByName(texts).repartition(parts, "block").sortWithinPartitions("block", "kind")
+        has = scratch.save(map_arrow(dealt, _tell(depth), PAIRS), f"has{depth}")
+        pairs = has.groupBy("pair", "context", "shorter").agg(F.sum("n").alias("n")).join(shorter, "shorter").select("pair", "context", "n", "p")
+        pairs = scratch.save(pairs, f"pairs{depth}")
+        # a retained context gives its own probabilities, another one its parent's
+        mixed = F.when(F.col("retained"), (1 - F.col("lam")) * F.col("n") / F.col("total") + F.col("lam") * F.col("p")).otherwise(F.col("p"))
+        extends = (F.col("k") > 1) & (F.lit(True) if depth == 1 else F.col("retained"))
+        given = pairs.join(scratch.save(tested(pairs, p), f"tested{depth}"), "context")
+        given = scratch.save(given.select("pair", "context", "n", "retained", extends.alias("extends"), mixed.alias("p")), f"given{depth}")
+        scratch.drop(f"pairs{depth}")
+        scratch.drop(f"given{depth - 1}")
+        wanted = F.col("retained") | F.col("extends") | (F.lit(depth == 1) & (F.col("n") >= at_least))
+        back = scratch.save(has.select("block", "pair").join(given.where(wanted), "pair").select("block", "pair", "context", "n", "retained", "extends", "p"), f"back{depth}")
+        scratch.drop(f"has{depth}")
+        answers.append(back.where("retained").select("block", F.lit(depth).alias("kind"), F.col("pair").alias("name"), F.log10("p").alias("p")))
+        if back.where("extends").isEmpty():
             break
-
-    texts = rows.select("block", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("token"), F.lit(None).cast("long").alias("c"), "doc_id", "held_out", "text")
-    told = counted.select("block", F.lit(0).alias("kind"), "token", "c", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(None).cast("string").alias("text"))
+        # what is scored or counted at the next depth stands in a context that extends
+        shorter = given.where("extends").select(F.col("pair").alias("shorter"), "p")
+        told = back.where("extends").select("block", F.lit(0).alias("kind"), F.col("context").alias("name")).distinct()
+        if depth == 1:
+            told = told.unionByName(back.where(F.col("n") >= at_least).select("block", F.lit(1).alias("kind"), F.col("pair").alias("name")))
+        told = told.withColumns({"held_out": null("boolean"), "text": null("string")})
+
+    texts = rows.select("block", F.lit(depth + 1).alias("kind"), null("binary").alias("token"), null("long").alias("c"), null("long").alias("name"), null("double").alias("p"), "doc_id", "held_out", "text")
+    odd = {"doc_id": null("long"), "held_out": null("boolean"), "text": null("string")}
+    told = counted.select("block", F.lit(0).alias("kind"), "token", "c").withColumns({"name": null("long"), "p": null("double")} | odd)
+    for x in answers:
+        told = told.unionByName(x.withColumns({"token": null("binary"), "c": null("long")} | odd))
     dealt = told.unionByName(texts).repartition(parts, "block").sortWithinPartitions("block", "kind")
-    return map_arrow(dealt, _score(model), SCORE)
+    return map_arrow(dealt, _score(model, depth), SCORE)
 
 
 def op8_suffix_tree(spark: SparkSession, sf_dir: str, p: Tree = Tree()) -> DataFrame:  # noqa: B008

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 from quillgraph.llm import quality, suffix_tree, toxicity
@@ -99,3 +101,53 @@ def test_model_distributions_sum_to_one():
     keys, factor, pairs, value = m.levels[0]
     assert keys.tolist() == [0]
     assert (10**value).sum() + (1 - unigram.sum()) * 10 ** factor[0] == pytest.approx(1.0)
+
+
+def tree_scores(docs: dict, least: int, sigma: float) -> tuple[dict, int]:
+    """doc_id -> score by the definition, with all contexts in dictionaries, and the depth of the longest retained one."""
+    toks = {i: [*brute.lower(t), None] for i, t in docs.items()}
+    train = [t for i, t in toks.items() if brute.fold(i, 5) != 1]
+    c = Counter(w for t in train for w in t)
+    m = suffix_tree.Model(sum(c.values()), len(c), tuple(sum(v == k for v in c.values()) for k in (1, 2, 3, 4)))
+    p = {(): lambda w: float(10 ** m.root(np.array([c[w]]))[0])}
+    kept, open_, deepest = {()}, {()}, 0
+
+    def prob(ctx, w):
+        return p[ctx](w) if ctx in kept else prob(ctx[1:], w)
+
+    for depth in range(1, 100):
+        follow = defaultdict(Counter)
+        for t in train:
+            for i in range(depth, len(t)):
+                if tuple(t[i - depth + 1 : i]) in open_:
+                    follow[tuple(t[i - depth : i])][t[i]] += 1
+        open_ = set()
+        for ctx, n in follow.items():
+            total, k = sum(n.values()), len(n)
+            g = 2 * sum(x * np.log(x / total / prob(ctx[1:], w)) for w, x in n.items())
+            keeps = total >= least and not (k == 1 and g < 20 or g <= k - 1 + sigma * np.sqrt(2 * max(k - 1, 1)))
+            if keeps:
+                deepest = depth
+                p[ctx] = lambda w, n=n, total=total, k=k, ctx=ctx: (total * (n[w] / total) + k * prob(ctx[1:], w)) / (total + k)
+            if total >= least and k > 1 and (keeps or depth == 1):
+                open_.add(ctx)
+        kept |= p.keys()
+        if not open_:
+            break
+    longest = lambda t, i: next(x for d in range(min(i, deepest), -1, -1) if (x := tuple(t[i - d : i])) in kept)
+    return {i: sum(np.log10(p[longest(t, i)](w)) for i, w in enumerate(t)) for i, t in toks.items()}, deepest
+
+
+def test_suffix_tree_against_the_definition(spark):
+    """Contexts of any depth that occur least times, however many tokens there are, with all their successors."""
+    rng = np.random.default_rng(3)
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{brute.DATA}/documents.parquet").limit(60).collect()}
+    rows |= {10_000 + i: f"{'pq'[i % 2]} one two three four {'xy'[i % 2]} {rng.integers(50)} rare{i % 40}" for i in range(300)}
+    rows |= {20_000 + i: " ".join(f"f{rng.integers(20)}" for _ in range(1000)) for i in range(20)} | {30_000: None, 30_001: ""}
+    df = spark.createDataFrame([(i, t, i % 7) for i, t in rows.items()], "doc_id long, text string, block long")
+    p = suffix_tree.Tree()
+    want, deepest = tree_scores(rows, 2, p.sigma)
+    assert deepest >= 2
+    got = {r.doc_id: r.score for r in suffix_tree.score_documents(spark, df, p).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i] == pytest.approx(want[i], rel=1e-7) for i in want), deepest
