@@ -5,9 +5,11 @@ of the training sample. Pairs of a preferred (label 1) and a rejected (label 0)
 differences of their features learns the weights; a document's strength is the weighted sum of its own features. The cut is
 the quantile of the strengths that separates the sample best, and maps to a score of 0.3.
 
-Null and empty texts have the features of a text without words, and a score. Without labels, or with one class only, all
-scores are that class's share (0.5 without any). Repeated rows are scored each. Other columns are ignored. The text is read
-once for the sample (a broadcast semi-join of at most train_docs ids) and once for the scores, with no shuffle.
+Null and empty texts have the features of a text without words, and a score. Very long texts are read whole, one at a time. Without
+labels, or with one class only, all scores are that class's share (0.5 without any). Repeated rows are scored each, and equal texts
+alike; a score at the cut is kept. Of rows of one id the sample takes the one with the least features. An empty table gives no rows. Other
+columns, whatever their names, are ignored, or passed on by keep_good. The text is read once for the sample (a broadcast join of at
+most train_docs ids) and once for the scores, with no shuffle.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import map_arrow, table
+from quillgraph.llm.common import map_arrow, table, whole_row
 from quillgraph.llm.fitting import CUT, Calibrated, in_fold, labelled_sample, logistic
 
 UPPER = bytes(range(65, 91))
@@ -118,22 +120,27 @@ class BradleyTerry:
 def fit(docs: DataFrame, labels: DataFrame, p: Quality = Quality()) -> BradleyTerry:  # noqa: B008
     sample = labelled_sample(labels, "quality", p.folds, p.held_out, p.train_docs)
     known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text")  # train_docs ids at most
-    rows = map_arrow(known, _features, "doc_id long, y int, x array<double>").dropDuplicates(["doc_id"]).collect()
+    found = map_arrow(known, _features, "doc_id long, y int, x array<double>")
+    rows = found.groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect()  # a row for each document of the bounded sample
     rows.sort(key=lambda r: r.doc_id)
     return BradleyTerry(np.array([r.x for r in rows], dtype=float).reshape(len(rows), 14), np.array([r.y for r in rows], dtype=int), p)
 
 
-def score(docs: DataFrame, model: BradleyTerry, out: str = "score") -> DataFrame:
-    """docs with the score of each text; other columns pass as they are."""
-    fields = docs.schema.jsonValue()["fields"]
-    at = [f["name"] for f in fields].index("text")
+def score(docs: DataFrame, model: BradleyTerry) -> DataFrame:
+    """docs with the score of each text; other columns pass as they are, but one of that name."""
+    rows = docs.select(whole_row(docs).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t) for t in batch.column(at).to_pylist()], dtype=float).reshape(batch.num_rows, 14)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, batch.column(0)))], names=["row", "score"])
 
-    return map_arrow(docs, run, docs.withColumn(out, F.lit(0.0)).schema)
+    names = [c for c in docs.columns if c != "score"]
+    return map_arrow(rows, run, rows.withColumn("score", F.lit(0.0)).schema).select(*(F.col("row").getField(c).alias(c) for c in names), "score")
+
+
+def _scores(model: BradleyTerry, rows: pa.StructArray) -> np.ndarray:
+    texts = rows.field("text").to_pylist()
+    return model.score(np.array([features(t) for t in texts], dtype=float).reshape(len(texts), 14))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str, p: Quality = Quality()) -> DataFrame:  # noqa: B008
@@ -146,5 +153,11 @@ def op9_quality(spark: SparkSession, sf_dir: str, p: Quality = Quality()) -> Dat
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str, p: Quality = Quality()) -> DataFrame:  # noqa: B008
     """docs without those that the model rejects; its columns as they are."""
-    model = fit(docs, table(spark, sf_dir, "labels"), p)
-    return score(docs, model, "__score").where(F.col("__score") >= CUT).drop("__score")
+    model, names = fit(docs, table(spark, sf_dir, "labels"), p), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = batch.filter(pa.array(_scores(model, batch.column(0)) >= CUT))
+            yield pa.RecordBatch.from_arrays(good.column(0).flatten(), names=names)
+
+    return map_arrow(docs.select(whole_row(docs).alias("row")), run, docs.schema)
