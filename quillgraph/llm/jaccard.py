@@ -10,8 +10,8 @@ blocks for them, and the few sets with more empty blocks than spare ones join on
 Candidates first pass a sketch of the whole set (bits in proportion to the difference allowed at its size; of unlike lengths the
 longer is folded; their distance is a lower bound too), then are verified on the full sets, in three steps that never list all pairs of a group: each document with the candidate it shares most blocks with;
 then pairs with a group's first document that are still in different components; then, in groups of three at least whose members are
-not all in the first one's component, pairs across components: a few partners for each document, then, for as long as any were left out,
-more, in components as they are by then. Equal sets within a task are linked at once and joined once.
+not all in the first one's component, pairs across components: a few partners for each document, then, in the groups where any were left
+out, more, in components as they are by then. Equal sets within a task are linked at once and joined once.
 Components are found by alternating stars, distributed.
 
 Null, empty and blank texts have an empty set and link with nothing; so do rows without an id, whose component is null. Ties go to the smaller id. Repeated rows link as equal
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import Scratch, components, map_arrow, n_parts, splitmix, table
+from quillgraph.llm.common import Scratch, components, map_arrow, n_parts, splitmix, table, whole_row
 from quillgraph.llm.words import pieces, shingle_sets, utf8
 
 MEMBER, EQUAL, INFO, PAIR = 0, 1, 2, 3
@@ -249,7 +249,7 @@ def _plausible(percent: int):
 
 def _cross(percent: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(a, b, more): pairs across components within units of rows sorted by (sig, i, j), at most so many for each row, and
+        """(sig, a, b, more): pairs across components within units of rows sorted by (sig, i, j), at most so many for each row, and
         whether there are more. A unit has two chunks at most."""
 
         def pairs(x: np.ndarray, sketches: list[bytes]) -> pa.RecordBatch:
@@ -265,7 +265,7 @@ def _cross(percent: int, most: int):
                 j = j[:most]
                 found.append(np.stack([np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]))
             a, b = np.concatenate(found, axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(more, pa.bool_())], names=["a", "b", "more"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), x[0, 0])), pa.array(a), pa.array(b), pa.array(more, pa.bool_())], names=["sig", "a", "b", "more"])
 
         held, bits = np.zeros((0, 7), dtype=np.int64), []
         for batch in batches:
@@ -326,11 +326,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: Similar = Similar()
         links = scratch.save(links.unionByName(verify(apart, texts, p, parts)), "links2")
         comp = scratch.save(components(spark, links, scratch, "cc2"), "comp2")
 
-    most, more = p.partners, True
-    while more:
-        split = labelled(labelled(paired.select("rep", "doc"), "rep", "ca"), "doc", "cb").where("ca <> cb").select("rep", "doc")
-        spans = wide.join(split, ["rep", "doc"], "left_semi").select("sig").distinct()
-        inside = scratch.save(labelled(wide.join(spans, "sig", "left_semi"), "doc", "comp"), "inside")
+    split = labelled(labelled(paired.select("rep", "doc"), "rep", "ca"), "doc", "cb").where("ca <> cb").select("rep", "doc")
+    spans, most = wide.join(split, ["rep", "doc"], "left_semi").select("sig").distinct(), p.partners
+    while True:
+        inside = scratch.save(labelled(wide.join(spans, "sig", "left_semi"), "doc", "comp"), f"inside{most}")
         sizes = inside.groupBy("sig").agg(F.ceil(F.count("*") / p.chunk).cast("int").alias("k"))
         units = (
             inside.join(sizes, "sig")
@@ -341,13 +340,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: Similar = Similar()
             .repartition(parts, "sig", "i", "j")
             .sortWithinPartitions("sig", "i", "j")
         )
-        pairs = map_arrow(units, _cross(p.percent, most), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
-        crossed = scratch.save(pairs, f"crossed{most}")
-        fresh = scratch.save(crossed.select("a", "b").join(tried, ["a", "b"], "left_anti"), f"fresh{most}")
+        crossed = scratch.save(map_arrow(units, _cross(p.percent, most), "sig long, a long, b long, more boolean"), f"crossed{most}")
+        fresh = scratch.save(crossed.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), f"fresh{most}")
         if fresh.take(1):
             links = scratch.save(links.unionByName(verify(fresh, texts, p, parts)), f"links{most}")
             comp = scratch.save(components(spark, links, scratch, f"cc{most}"), f"comp{most}")
-        more = bool(crossed.where("more").take(1))
+        if not crossed.where("more").take(1):
+            break
+        spans = crossed.where("more").select("sig").distinct()  # the pairs of other groups are all told
         tried, most = tried.unionByName(fresh), most * 8
     out = labelled(info, "doc", "component_id").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
     nameless = map_arrow(everything.where("doc_id is null"), _set_column(p.width), "doc_id long, members binary")
@@ -360,9 +360,13 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_first(spark: SparkSession, docs: DataFrame, p: Similar) -> DataFrame:
     """docs without those that are similar to another of a smaller id, along links; its columns as they are. Of rows with
-    one id, one stays."""
+    one id, the one with the least text stays, null first, and of those any."""
     scratch = Scratch(spark)
-    found = near_duplicates(spark, docs, p)
-    later = scratch.save(found.where("doc_id <> component_id").select("doc_id").distinct(), "later")
-    nameless = docs.where("doc_id is null")
-    return docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(later, "doc_id", "left_anti").select(*docs.columns).unionByName(nameless)
+    found = near_duplicates(spark, docs.select("doc_id", "text"), p)
+    later = scratch.save(found.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "later")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), whole_row(docs).alias("row"))
+    rows = rows.join(later, "id", "left_anti")
+    named = rows.where("id is not null")
+    twice = named.groupBy("id").count().where("count > 1").select("id")  # texts move only where an id is repeated
+    first = named.join(twice, "id", "left_semi").groupBy("id").agg(F.min_by("row", F.struct("row.text")).alias("row"))
+    return named.join(twice, "id", "left_anti").unionByName(first).unionByName(rows.where("id is null")).select("row.*")
