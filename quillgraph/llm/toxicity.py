@@ -7,9 +7,11 @@ tokens. Segment scores of clean documents follow an extreme-value law with param
 and K (by maximum likelihood); each segment's score is normalised by it, so long texts aren't favoured, and the significant
 ones are summed. The sum is then calibrated to 0..1, with the best-separating quantile at 0.3.
 
-Null and empty texts have no segment and the lowest evidence. Without labels, or with one class only, all scores are that
-class's share (0.5 without any). Repeated rows are scored each; other columns are ignored. No shuffle of texts: the sample is
-a broadcast join of at most train_docs ids, and the token table (of that sample) is the model.
+Null and empty texts have no segment and the lowest evidence. Very long texts are scanned whole, in time linear in their tokens. Of
+segments with equal scores the shortest and then the first is meant; equal documents get equal scores. Without labels, or with one
+class only, all scores are that class's share (0.5 without any). Repeated rows are scored each; an empty table gives no rows; other
+columns, whatever their names, are ignored. No shuffle of texts: the sample is a broadcast join of at most train_docs ids, written
+once, and the token table (of that sample) is the model.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import map_arrow, table
+from quillgraph.llm.common import Scratch, map_arrow, table
 from quillgraph.llm.fitting import CUT, Calibrated, in_fold, labelled_sample
 
 #: ASCII punctuation ends a token; other bytes stay.
@@ -58,27 +60,27 @@ def with_stems(word: str, stems: tuple[int, ...]) -> list[str]:
 
 def maximal_segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, score) of a text in which position i scores s for (i, s) in hits, and
-    any other position drift (below 0). Linear: each segment joins at most once to those before it."""
-    found: list[list[float]] = []  # first, last, sum before it, sum through it
+    any other position drift (below 0). Linear: each segment keeps a link to the nearest earlier one with a lower sum before
+    it, so a search skips what it can't join to, and what one search has skipped no later one meets."""
+    found: list[tuple[int, int, float, float, int]] = []  # first, last, sum before it, sum through it, link
     total, at = 0.0, -1
     for i, s in hits:
         total += drift * (i - at - 1)
         at = i
+        before, total = total, total + s
         if s <= 0:
-            total += s
             continue
-        new = [i, i, total, total + s]
-        total += s
-        j = len(found) - 1
-        while j >= 0:
-            if found[j][2] < new[2]:
-                if found[j][3] >= new[3]:
-                    break
-                new = [found[j][0], new[1], found[j][2], new[3]]
-                del found[j:]
-            j -= 1
-        found.append(new)
-    return [(int(a), int(b), hi - lo) for a, b, lo, hi in found]
+        first, j = i, len(found) - 1
+        while True:
+            while j >= 0 and found[j][2] >= before:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= total:
+                break
+            first, _, before, _, link = found[j]
+            del found[j:]
+            j = link
+        found.append((first, i, before, total, j))
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in found]
 
 
 class SegmentModel:
@@ -157,11 +159,13 @@ def _count(stems: tuple[int, ...]):
 
 def fit(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> SegmentModel:  # noqa: B008
     sample = labelled_sample(labels, "toxic", p.folds, p.held_out, p.train_docs)
-    known = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text")
-    counts = (
+    scratch = Scratch(docs.sparkSession)
+    known = scratch.save(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("y", "text"), "sample")  # train_docs ids at most
+    counts = scratch.save(
         map_arrow(known, _count(p.stems), "token string, clean long, toxic long")
         .groupBy("token")
-        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")),
+        "counts",
     )
     sums = counts.agg(F.coalesce(F.sum("clean"), F.lit(0)).alias("clean"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     n0, n1, a0 = float(sums.clean), float(sums.toxic), p.prior
@@ -179,18 +183,23 @@ def fit(docs: DataFrame, labels: DataFrame, p: Toxicity = Toxicity()) -> Segment
         clean = {r.token: (r.clean + 0.5) / (n0 + 1) for r in rows}
     model = SegmentModel(scores, clean, p)
 
-    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [model.segments(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([[s for *_, s in x] for _, x in found], pa.list_(pa.float64()))], names=["y", "n", "s"]
-            )
+            top = [max((s for *_, s in x), default=0.0) for _, x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array(top, pa.float64())], names=["y", "n", "s"])
 
-    rows = sorted(map_arrow(known, seen, "y int, n long, s array<double>").collect())
-    if quiet := [(r.n, max(r.s, default=0.0)) for r in rows if not r.y and r.n]:
+    def evident(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ev = [model.evidence(*model.segments(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ev, pa.float64())], names=["y", "ev"])
+
+    # a row for each document of the bounded sample; K comes first, for the evidence depends on it
+    if quiet := sorted((r.n, r.s) for r in map_arrow(known.where("y = 0"), best, "y int, n long, s double").collect() if r.n):
         model.k = len(quiet) / sum(n * exp(-min(model.lam * s, 700)) for n, s in quiet)
-    ev = np.array([model.evidence(r.n, [(0, 0, s) for s in r.s]) for r in rows])
-    model.calibrated = Calibrated(ev, np.array([int(r.y > 0) for r in rows], dtype=int))
+    rows = sorted(map_arrow(known, evident, "y int, ev double").collect())
+    model.calibrated = Calibrated(np.array([r.ev for r in rows], dtype=float), np.array([int(r.y > 0) for r in rows], dtype=int))
+    scratch.drop("sample")
     return model
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -40,24 +41,57 @@ def test_models_without_labels_or_rows(spark):
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), none)).count() == 0
 
 
+def segments_by_definition(s) -> list:
+    """The best segment of all, then those to its left and right, again and again."""
+
+    def split(lo, hi):
+        best = max(((s[i:j].sum(), -(j - i), -i) for i in range(lo, hi) for j in range(i + 1, hi + 1)), default=(0,))
+        if best[0] <= 0:
+            return []
+        i, n = -best[2], -best[1]
+        return [*split(lo, i), (i, i + n - 1, best[0]), *split(i + n, hi)]
+
+    return split(0, len(s))
+
+
 def test_maximal_segments():
-    """Against the definition: every segment from a least prefix sum to a greatest one, without a better split."""
     rng = np.random.default_rng(0)
-    for _ in range(60):
-        s = rng.choice([-2.0, -0.5, 1.0, 2.0], 12)
-
-        def split(lo, hi, s=s):
-            if lo >= hi:
-                return []
-            best = max(((s[i:j].sum(), -(j - i), -i) for i in range(lo, hi) for j in range(i + 1, hi + 1)), default=(0,))
-            if best[0] <= 0:
-                return []
-            i, n = -best[2], -best[1]
-            return [*split(lo, i), (i, i + n - 1, best[0]), *split(i + n, hi)]
-
-        got = toxicity.maximal_segments([(i, x) for i, x in enumerate(s)], -1.0)
-        assert sum(x[2] for x in got) == pytest.approx(sum(x[2] for x in split(0, 12)))
-        assert max((x[2] for x in got), default=0) == pytest.approx(max((x[2] for x in split(0, 12)), default=0))
+    for k in range(120):
+        s = rng.normal(0, 1, 14) if k % 2 else rng.choice([-2.0, -0.5, 1.0, 2.0], 12)
+        got, want = toxicity.maximal_segments([(i, x) for i, x in enumerate(s)], -1.0), segments_by_definition(s)
+        assert sum(x[2] for x in got) == pytest.approx(sum(x[2] for x in want))
+        assert max((x[2] for x in got), default=0) == pytest.approx(max((x[2] for x in want), default=0))
+        if k % 2:  # no ties: the places too
+            assert [x[:2] for x in got] == [x[:2] for x in want]
+    # positions without a hit drift
+    s = np.full(30, -0.3)
+    hits = [(i, float(x)) for i, x in zip(sorted(rng.choice(30, 9, replace=False).tolist()), rng.normal(1, 1, 9), strict=True)]
+    for i, x in hits:
+        s[i] = x
+    assert [x[:2] for x in toxicity.maximal_segments(hits, -0.3)] == [x[:2] for x in segments_by_definition(s)]
+
+
+def test_the_scan_is_linear():
+    """Lines that are run, not seconds: on alternating hits a scan that walks back over all segments takes their square."""
+
+    def lines(n: int) -> int:
+        count = 0
+
+        def trace(frame, event, _):
+            nonlocal count
+            count += event == "line"
+            return trace
+
+        hits = [(i, 1.0 if i % 2 == 0 else -2.0) for i in range(n)]
+        sys.settrace(trace)
+        try:
+            toxicity.maximal_segments(hits, -0.02)
+        finally:
+            sys.settrace(None)
+        return count
+
+    assert lines(40_000) < 2.2 * lines(20_000)
+    assert lines(40_000) < 40 * 40_000
 
 
 def test_suffix_tree_counts_and_probabilities(spark):
