@@ -1,19 +1,23 @@
 """Licence scans by canonical digests of entire texts.
 
-A text's canonical form has small letters, no lines that name a copyright's holder, one spelling of words that count as equal, and single spaces for all that
-is neither an ASCII letter nor a digit. Its SHA-256 is hash-joined to the digests of known licences (a small fixed table). Built-in
+A text's canonical form has small letters, no lines that name a copyright's holder, one spelling of words that count as equal, and
+single spaces for all that is neither a letter, a mark nor a digit of any script. Its SHA-256 is hash-joined to the digests of known licences (a small fixed table). Built-in
 functions only; no shuffle. A holder's line has a copyright word and then (c), a sign or a year, maybe after comment marks or a
 licence's title, and ends with the line or where a known licence begins; if neither comes soon, only the words and years go.
 
 A null text has no digest and no licence; an empty one, or one of copyright lines alone, has the empty form's digest and no
-licence. Repeated rows are looked up each. An empty table gives no rows; other columns are ignored.
+licence. Very long texts are digested whole, so a licence with anything else beside it isn't one. Repeated rows are looked up each;
+there are no ties, for known digests differ. An empty table gives no rows; other columns, whatever their names, are ignored.
+
+Built in are short licences, and the notices that stand for Apache-2.0, MPL-2.0 and GPL-3.0-or-later; scan() takes any others as
+texts by name.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 
+import regex as re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +31,10 @@ _OPENINGS = (
     "this software is provided 'as-is'",
     "this is free and unencumbered",
     "(?:mit|isc|zlib|bsd [23]-clause) license",
+    "boost software license",
+    "licensed under the apache license",
+    "this source code form is subject",
+    "this program is free software",
 )
 _END = r"(?=\r?\n|$|" + "|".join(x.replace(" ", r"\s+") for x in _OPENINGS) + ")"
 _HOLDER = r"(?:copyright[ \t:]*(?:\(c\)|©|&copy;|(?=[12]\d\d\d))|\(c\)[ \t]*(?:copyright|(?=[12]\d\d\d))|©)"
@@ -36,7 +44,7 @@ COPYRIGHT = (
 )
 #: The SQL keeps the pattern it was written with: every line that begins with one of these words.
 SQL_COPYRIGHT = r"(^|\n)[ \t]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
-OTHER = r"[^a-z0-9]+"
+OTHER = r"[^\p{L}\p{M}\p{N}]+"
 SPELLINGS = (
     ("licence", "license"),
     ("acknowledgement", "acknowledgment"),
@@ -122,6 +130,47 @@ MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVE
 OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE
 USE OR OTHER DEALINGS IN THE SOFTWARE.
 """
+_MIT_0 = _MIT.replace(
+    ", subject\nto the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "."
+)
+_BSL = """
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying
+documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and
+to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the
+following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following
+disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such
+copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE
+DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR
+IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+_APACHE_2 = """
+Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may
+obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions
+and limitations under the License.
+"""
+_MPL_2 = """
+This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at {}mozilla.org/MPL/2.0/.
+"""
+_GPL_3 = """
+This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published
+by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with this program. If not, see <{}www.gnu.org/licenses/>.
+"""
 KNOWN = {
     "MIT": _MIT,
     "MIT with its title": "MIT License\n" + _MIT,
@@ -135,6 +184,15 @@ KNOWN = {
     "Zlib": _ZLIB,
     "Zlib with its title": "zlib License\n" + _ZLIB,
     "Unlicense": _UNLICENSE,
+    "MIT-0": _MIT_0,
+    "BSL-1.0": _BSL,
+    "BSL-1.0 with its heading": "Boost Software License - Version 1.0 - August 17th, 2003\n" + _BSL,
+    "Apache-2.0": _APACHE_2,
+    "Apache-2.0 by https": _APACHE_2.replace("http:", "https:"),
+    "MPL-2.0": _MPL_2.format("https://"),
+    "MPL-2.0 by http": _MPL_2.format("http://"),
+    "GPL-3.0-or-later": _GPL_3.format("https://"),
+    "GPL-3.0-or-later by http": _GPL_3.format("http://"),
 }
 
 
@@ -153,8 +211,13 @@ def canonical_column(text: Column) -> Column:
     return t
 
 
+def named(variant: str) -> str:
+    """The licence of a variant that KNOWN lists."""
+    return re.sub(" (with|by) .*", "", variant)
+
+
 def known_digests(known: dict[str, str], lines: str = COPYRIGHT) -> list[tuple[str, str]]:
-    return [(hashlib.sha256(canonical(t, lines).encode()).hexdigest(), k.removesuffix(" with its title")) for k, t in known.items()]
+    return [(hashlib.sha256(canonical(t, lines).encode()).hexdigest(), named(k)) for k, t in known.items()]
 
 
 def scan(spark: SparkSession, docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
