@@ -12,26 +12,31 @@ Ranks and running words come from two levels (hash buckets, then rows in a bucke
 is spread over many tasks.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order. Documents without words are taken 0
-times. Repeated rows are documents of their own. An empty table gives no rows.
+times; very long ones are many blocks. Repeated rows are documents of their own. Ties of the permutation's hash go to the smaller
+id, then to the first row. An empty table gives no rows. Other columns, whatever their names, are ignored by mix_documents and passed
+on by mixed_texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, lgamma, log
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import WORD, Scratch, n_parts, ship, table
+from quillgraph.llm.common import WORD, Scratch, n_parts, ship, table, whole_row
 
 
 @dataclass(frozen=True)
 class Mix:
     """weights: of the sources in code-point order, repeating. share: of all words, that the mix takes. most: epochs.
-    block_words: of a block. shards: output shards, a power of two. most_sources: sources whose sizes the driver may hold."""
+    block_words: of a block. shards: output shards, a power of two. buckets, bucket_blocks: into so many buckets a source's blocks
+    are dealt to be ranked, or into more of so many blocks. few_sources: sources whose table is broadcast. most_sources: sources
+    whose sizes the driver may hold."""
 
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)
     share: float = 1.5
@@ -39,6 +44,8 @@ class Mix:
     block_words: int = 2048
     shards: int = 64
     buckets: int = 256
+    bucket_blocks: int = 1_000_000
+    few_sources: int = 10_000
     most_sources: int = 1_000_000
     seed: int = 7
 
@@ -58,7 +65,8 @@ def targets(sizes: list[int], mix: Mix) -> list[float]:
         for i in over:
             out[i] = mix.most * sizes[i]
             left -= out[i]
-        open_ = [i for i in open_ if i not in set(over)]
+        closed = set(over)
+        open_ = [i for i in open_ if i not in closed]
     return out
 
 
@@ -109,9 +117,24 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draw: int) ->
         return draw
     if good + bad < 1_000_000_000:
         return int(rng.hypergeometric(good, bad, draw))
-    n, p = good + bad, good / (good + bad)  # numpy draws below 1e9; beyond, the normal limit, kept to the support
-    x = round(rng.normal(draw * p, (draw * p * (1 - p) * (n - draw) / (n - 1)) ** 0.5))
-    return min(max(x, draw - bad, 0), good, draw)
+    return _log_concave(rng, good, bad, draw)  # numpy draws below 1e9
+
+
+def _log_concave(rng: np.random.Generator, good: int, bad: int, draw: int) -> int:
+    """An exact hypergeometric draw by rejection: a log-concave distribution with p at its mode m is at most
+    p * min(1, exp(1 - p * |x - m|)) everywhere."""
+    choose = lambda n, k: lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+    lo, hi = max(0, draw - bad), min(good, draw)
+    mode = min(max((draw + 1) * (good + 1) // (good + bad + 2), lo), hi)
+    term = lambda x: choose(good, x) + choose(bad, draw - x)
+    top = term(mode)
+    p = exp(min(0.0, top - choose(good + bad, draw)))
+    w = 1 + p / 2
+    while True:
+        y = rng.random() * w / p if rng.random() <= w / (1 + w) else (w + rng.exponential()) / p
+        x = mode + int(rng.choice((-1, 1))) * round(y)
+        if lo <= x <= hi and log(max(rng.random(), 1e-300)) + min(0.0, w - p * y) <= term(x) - top:
+            return x
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -126,9 +149,10 @@ def source_table(spark: SparkSession, sizes: DataFrame, mix: Mix) -> DataFrame:
         raise ValueError(f"more than {mix.most_sources} sources")
     rows.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
     goal = targets([r.n for r in rows], mix)
-    return spark.createDataFrame(
+    out = spark.createDataFrame(
         [(r.source, i, r.n, t) for i, (r, t) in enumerate(zip(rows, goal, strict=True))], "source string, s int, source_size long, target double"
     )
+    return F.broadcast(out) if len(rows) <= mix.few_sources else out
 
 
 def draw(spark: SparkSession, docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFrame, DataFrame, DataFrame]:  # noqa: B008
@@ -139,8 +163,10 @@ def draw(spark: SparkSession, docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFr
     sizes = scratch.save(sized(docs).withColumn("row_key", F.monotonically_increasing_id()), "sizes")
     sources = source_table(spark, sizes, mix)
     same = sizes["source"].eqNullSafe(sources["source"])
+    longest = sizes.groupBy("source").agg(F.sum(F.ceil(F.col("size") / mix.block_words)).alias("n")).agg(F.max("n")).first()[0] or 0
+    buckets = max(mix.buckets, -(-longest // mix.bucket_blocks))
     blocks = (
-        sizes.join(F.broadcast(sources), same)  # at most most_sources rows
+        sizes.join(sources, same)
         .where("size > 0")
         .select("doc_id", "row_key", "s", "size", "source_size", "target", F.explode(F.array(F.lit(1), F.lit(2))).alias("epoch"))
         .withColumn("quota", F.greatest(F.lit(0), F.least(F.col("source_size"), F.round("target").cast("long") - (F.col("epoch") - 1) * F.col("source_size"))))
@@ -148,7 +174,7 @@ def draw(spark: SparkSession, docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFr
         .withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(mix.block_words).cast("long"))))
         .withColumn("words", F.least(F.lit(mix.block_words).cast("long"), F.col("size") - F.col("start")))
         .withColumn("h", _hash(mix.seed, F.col("epoch"), F.col("doc_id"), F.col("start")))
-        .withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 40), F.lit(mix.buckets)).cast("int"))
+        .withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 40), F.lit(buckets)).cast("int"))
     )
     key = ["s", "epoch", "bucket"]
     heads = blocks.groupBy(*key).agg(F.sum("words").alias("w"), F.count("*").alias("n"))
@@ -157,7 +183,7 @@ def draw(spark: SparkSession, docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFr
     inside = Window.partitionBy(*key).orderBy("h", "doc_id", "row_key", "start").rowsBetween(Window.unboundedPreceding, -1)
     taken = (
         blocks.withColumn("w1", F.coalesce(F.sum("words").over(inside), F.lit(0)))
-        .join(F.broadcast(heads), key)  # buckets x sources x 2 rows at most
+        .join(heads, key)
         .withColumn("words", F.least(F.col("words"), F.col("quota") - F.col("w0") - F.col("w1")))
         .where("words > 0")
         .select("doc_id", "row_key", "s", "epoch", "bucket", "h", "start", "words")
@@ -167,7 +193,7 @@ def draw(spark: SparkSession, docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFr
     order = Window.partitionBy("s").orderBy("epoch", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*key, F.coalesce(F.sum("n").over(order), F.lit(0)).alias("n0"))
     inside = Window.partitionBy(*key).orderBy("h", "doc_id", "row_key", "start")
-    ranked = taken.withColumn("r", F.row_number().over(inside) - 1).join(F.broadcast(offsets), key).withColumn("rank", F.col("n0") + F.col("r"))
+    ranked = taken.withColumn("r", F.row_number().over(inside) - 1).join(offsets, key).withColumn("rank", F.col("n0") + F.col("r"))
     per_source = {r["s"]: r["n"] for r in counts.groupBy("s").agg(F.sum("n").alias("n")).collect()}  # bounded by most_sources
     quotas = [per_source.get(i, 0) for i in range(max(per_source, default=-1) + 1)]
     shards, seed = mix.shards, mix.seed
@@ -198,7 +224,7 @@ def mix_documents(spark: SparkSession, docs: DataFrame, mix: Mix = Mix()) -> Dat
     sizes, sources, drawn = draw(spark, docs, mix)
     taken = drawn.groupBy("row_key").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_set("shard")).alias("shards"))
     return (
-        sizes.join(F.broadcast(sources), sizes["source"].eqNullSafe(sources["source"]))
+        sizes.join(sources, sizes["source"].eqNullSafe(sources["source"]))
         .join(taken, "row_key", "left")
         .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "shards")
     )
@@ -211,11 +237,10 @@ def mixed_texts(spark: SparkSession, docs: DataFrame, mix: Mix = Mix()) -> DataF
     A document whose blocks are taken in part is kept whole in that epoch, in the place of its first block taken, so texts
     aren't cut."""
     scratch = Scratch(spark)
-    keyed = docs.withColumn("__key", F.monotonically_increasing_id())
-    keyed = scratch.save(keyed, "keyed")
-    _, _, drawn = draw(spark, keyed.select(F.col("__key").alias("doc_id"), "text", "source"), mix)
+    keyed = scratch.save(docs.select(F.monotonically_increasing_id().alias("key"), whole_row(docs).alias("row")), "keyed")
+    _, _, drawn = draw(spark, keyed.select(F.col("key").alias("doc_id"), "row.text", "row.source"), mix)
     whole = drawn.groupBy("doc_id", "epoch").agg(F.min(F.struct("start", "shard", "position", "row_key")).alias("first")).select("doc_id", "epoch", "first.*")
-    rows = keyed.select(F.col("__key").alias("doc_id"), F.struct(*docs.columns).alias("row"))
+    rows = keyed.select(F.col("key").alias("doc_id"), "row")
     return local_shuffle(rows.join(whole, "doc_id"), n_parts(spark)).select("row.*")
 
 
