@@ -4,7 +4,12 @@ Vectors are normalised, so that a cosine of at least c is a Euclidean distance o
 a hash from each label's vectors; a vector's home is the cell of its nearest pivot. If y is within r of x, whose home is i, then
 d(y, pivot i) <= d(x, pivot i) + r <= d(x, home of y) + r <= d(y, home of y) + 2r, by the triangle inequality; so y is copied to
 every cell i with d(y, pivot i) <= d(y, its home's pivot) + 2r, and each cell joins its home vectors with all of its vectors,
-apart from other cells. A little slack covers rounding; the link itself is the cosine in double precision.
+apart from other cells. A little slack covers rounding; the link itself is the cosine in double precision, of vectors scaled by powers
+of two, so that squares of very large or small components neither overflow nor vanish.
+
+How many pivots a label gets grows with its vectors, to their square root at most, and is what costs least by a sample of them: where
+vectors lie in clusters, many cells; where all lie about as far from each other, so that a pivot separates nothing, few. Labels with
+fewer vectors than a chunk need none, and so do those beyond the largest `groups`: they join by chunks alone, with the same links.
 
 Equal vectors are one class with a count, so copies are compared once. Cells above `cell` vectors are dealt into units of chunk
 pairs, so a task holds two chunks whatever the cell's size. Links are counted and never listed: each unit gives a count for each
@@ -30,14 +35,15 @@ from quillgraph.llm.common import Scratch, components, map_arrow, n_parts, table
 
 @dataclass(frozen=True)
 class Near:
-    """cosine: of a link at least. pivots: of each label and length, at most. per_pivot: vectors for each pivot, at which a
-    label gets fewer. cell: vectors of a chunk. groups: labels (with lengths) whose pivots the tasks may hold."""
+    """cosine: of a link at least. cell: vectors of a chunk. groups: labels (with lengths) that get pivots, the largest first.
+    sample_mb: of vectors that the driver draws pivots from, for all labels. row_cost: of a vector sent to a chunk, in
+    comparisons of two vectors."""
 
     cosine: float = 0.98
-    pivots: int = 64
-    per_pivot: int = 500
     cell: int = 2000
-    groups: int = 10_000
+    groups: int = 1000
+    sample_mb: float = 32.0
+    row_cost: float = 200.0
 
 
 def usable(column: str) -> Column:
@@ -54,25 +60,56 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, exactly, so that the largest component of each is between 0.5 and 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def spread(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home of each row of x, and whether it goes to each cell."""
+    d = np.sqrt(np.maximum(0, 2 - 2 * x @ pivots.T))
+    home = d.argmin(axis=1)
+    return home, d <= d[np.arange(len(x)), home][:, None] + 2 * radius + 1e-6
+
+
+def chosen(sample: np.ndarray, n: int, p: Near, radius: float) -> np.ndarray:
+    """The pivots of a label of n vectors: of the sample's first 1, 2, 4 and so on, those by which its joins cost least."""
+    best, cost = sample[:1], np.inf
+    k = 1
+    while k <= min(len(sample) // 2 or 1, int(np.sqrt(n))):
+        rest = sample[k:] if len(sample) > k else sample
+        home, goes = spread(rest, sample[:k], radius)
+        here, there = np.bincount(home, minlength=k) * (n / len(rest)), goes.sum(axis=0) * (n / len(rest))
+        rows = here @ np.ceil(np.maximum(there, 1) / p.cell) + there @ np.ceil(np.maximum(here, 1) / p.cell)
+        if (now := float(here @ there + p.row_cost * rows)) < cost:
+            best, cost = sample[:k], now
+        k *= 2
+    return best
+
+
 def _homes(pivots: dict[tuple[int, int], np.ndarray], radius: float):
-    """Rows (label, v, id) go to their own cell and to those that they might link into."""
+    """Rows (label, v, id, size, m) go to their own cell and to those that they might link into."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label, size = batch.column(0).to_numpy(), batch.column(3).to_numpy()
-            for key in sorted(set(zip(label.tolist(), size.tolist(), strict=True))):
-                part = batch.filter(pa.array((label == key[0]) & (size == key[1])))
-                for i in range(0, part.num_rows, 4096):
-                    some = part.slice(i, 4096)
-                    x, p = unit(matrix(some.column(1))), pivots[key]
-                    d = np.sqrt(np.maximum(0, 2 - 2 * x @ p.T))
-                    home = d.argmin(axis=1)
-                    row, cell = np.nonzero(d <= d[np.arange(len(x)), home][:, None] + 2 * radius + 1e-6)
+            order = np.lexsort((size, label))
+            new = np.flatnonzero((np.diff(label[order]) != 0) | (np.diff(size[order]) != 0)) + 1
+            for mine in np.split(order, new) if len(order) else []:
+                key = int(label[mine[0]]), int(size[mine[0]])
+                for i in range(0, len(mine), 4096):
+                    some = batch.take(pa.array(mine[i : i + 4096]))
+                    if key in pivots:
+                        home, goes = spread(unit(matrix(some.column(1))), pivots[key], radius)
+                        row, cell = np.nonzero(goes)
+                    else:  # one cell
+                        home = np.zeros(some.num_rows, dtype=np.int64)
+                        row, cell = np.arange(some.num_rows), home
                     at = pa.array(row)
                     yield pa.RecordBatch.from_arrays(
                         [some.column(0).take(at), some.column(3).take(at), pa.array(cell.astype(np.int32)), pa.array(home[row] == cell), some.column(2).take(at), some.column(4).take(at), some.column(1).take(at)],
@@ -87,6 +124,7 @@ CELL = "label long, size int, cell int, home boolean, id long, m long, v array<d
 
 def linked(cosine: float, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether the cosines of the rows of x and y, in double precision, are large enough."""
+    x, y = scaled(x), scaled(y)
     nx, ny = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
     return (x @ y.T) / (nx[:, None] * ny[None, :]) >= cosine
 
@@ -148,6 +186,23 @@ def _join(cosine: float, step: int = 2048):
     return run
 
 
+def drawn(classes: DataFrame, p: Near) -> dict[tuple[int, int], tuple[int, np.ndarray]]:
+    """Of the largest (label, size) that need more than a chunk, the number of vectors and a sample in the order of a hash. The
+    samples have p.sample_mb together, or 32 vectors each where that is more."""
+    many = classes.groupBy("label", "size").agg(F.count("*").alias("n")).where(F.col("n") > p.cell)
+    found = many.orderBy(F.desc("n"), "label", "size").limit(p.groups).collect()
+    if not found:
+        return {}
+    share = p.sample_mb * 1e6 / (8 * len(found))  # bytes of vectors of one label
+    want = classes.sparkSession.createDataFrame([(r.label, r.size, max(32.0, share // r.size) / r.n) for r in found], "label long, size int, share double")
+    u = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30)) / float(1 << 30)
+    rows = classes.join(F.broadcast(want), ["label", "size"]).withColumn("u", u).where(F.col("u") < F.col("share"))  # p.groups rows at most
+    samples: dict[tuple[int, int], list] = {}
+    for r in sorted(rows.select("label", "size", "u", "id", "v").collect(), key=lambda r: (r.u, r.id)):
+        samples.setdefault((r.label, r.size), []).append(r.v)
+    return {(r.label, r.size): (r.n, unit(np.array(samples[r.label, r.size], dtype=float))) for r in found if (r.label, r.size) in samples}
+
+
 def range_join(spark: SparkSession, vectors: DataFrame, p: Near = Near()) -> DataFrame:  # noqa: B008
     """(vec_id, n_links, component_id, kept), a row for each row of vectors (vec_id, embedding, label)."""
     scratch, parts = Scratch(spark), n_parts(spark)
@@ -158,23 +213,8 @@ def range_join(spark: SparkSession, vectors: DataFrame, p: Near = Near()) -> Dat
     classes = scratch.save(members.groupBy("hash").agg(F.min("vec_id").alias("id"), F.count("*").alias("m"), F.min("label").alias("label"), F.any_value("v").alias("v")), "classes")
     classes = classes.select("label", "v", "id", F.size("v").alias("size"), "m")
 
-    sizes = classes.groupBy("label", "size").agg(F.count("*").alias("n")).limit(p.groups + 1).collect()
-    if len(sizes) > p.groups:
-        raise ValueError(f"more than {p.groups} labels; raise Near.groups if the tasks can hold their pivots")
-    # at most p.pivots vectors of each label, by the order of a hash
-    want = spark.createDataFrame([(r.label, r.size, int(min(p.pivots, max(1, r.n // p.per_pivot))), r.n) for r in sizes] or [(0, 0, 0, 1)], "label long, size int, k int, n long")
-    share = F.least(F.lit(1.0), (4 * F.col("k") + 32) / F.col("n"))
-    drawn = classes.join(F.broadcast(want), ["label", "size"]).withColumn("u", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30)) / float(1 << 30)).where(F.col("u") < share)
-    pivots: dict[tuple[int, int], list] = {}
-    goal = {(r.label, r.size): int(min(p.pivots, max(1, r.n // p.per_pivot))) for r in sizes}
-    for r in sorted(drawn.select("label", "size", "u", "id", "v").collect(), key=lambda r: (r.u, r.id)):  # about 4 * pivots + 32 of each
-        if len(mine := pivots.setdefault((r.label, r.size), [])) < goal[r.label, r.size]:
-            mine.append(r.v)
-    for key in goal.keys() - pivots.keys():  # none drawn by chance: any fixed point serves as a pivot
-        pivots[key] = [[1.0] + [0.0] * (key[1] - 1)]
-    ready = {k: unit(np.array(v, dtype=float)) for k, v in pivots.items()}
-
     radius = float(np.sqrt(2 - 2 * p.cosine))
+    ready = {k: chosen(v, n, p, radius) for k, (n, v) in drawn(classes, p).items()}
     cells = scratch.save(map_arrow(classes, _homes(ready, radius), CELL), "cells")
     chunks = cells.groupBy("label", "size", "cell").agg(F.ceil(F.count("*") / p.cell).cast("int").alias("k"))
     dealt = (
