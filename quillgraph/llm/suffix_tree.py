@@ -379,5 +379,6 @@ def score_documents(spark: SparkSession, docs: DataFrame, p: Tree = Tree()) -> D
 
 def op8_suffix_tree(spark: SparkSession, sf_dir: str, p: Tree = Tree()) -> DataFrame:  # noqa: B008
     docs = table(spark, sf_dir, "documents")
-    block = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / p.rows))
+    place = docs.metadataColumn("_metadata")  # whatever the names of its columns
+    block = F.xxhash64(place["file_path"], F.floor(place["row_index"] / p.rows))
     return score_documents(spark, docs.select("doc_id", "text", block.alias("block")), p)
