@@ -1,22 +1,24 @@
 """Removal of long repeated byte strings with a logarithmic family of suffix indexes.
 
-A suffix array of every byte is out of reach at corpus scale, so the arrays hold chosen suffixes only: the anchors of all
-windows of `length` bytes (see suffixes.py), sorted by a hash of their first k bytes. Any order of the first k bytes finds
-equal ones, and equal windows have equal anchors, so no repeated window is missed.
+A suffix array of every byte is out of reach at corpus scale (figures in the README), so hashed anchors stand for suffixes: of
+each window of `length` bytes one k-gram, chosen by its content (see suffixes.py), is the anchor, and the index holds the anchors'
+hashes in order. Any order of the first k bytes finds equal ones, and equal windows have equal anchors, so no repeated window is
+missed.
 
-New batches get suffix arrays (SuffixIndex.add). Each is merge-scanned, by a sort-merge join of bucketed tables, against
+New batches get an index of their anchors (SuffixIndex.add). Each is merge-scanned, by a sort-merge join of bucketed tables, against
 itself and against the existing levels for suffixes that agree in k bytes; two levels of equal rank merge into one of the
-next rank, so a suffix is rewritten a logarithmic number of times.
+next rank, so an anchor is rewritten a logarithmic number of times.
 
 The suffixes that agree are then settled exactly. Runs of windows whose whole byte strings are equal are repeated in every
 window. Of the other runs, and one run for each whole string that shares their anchor, each window's hash is compared
 within the anchor's group; large groups are split by the windows' hashes, so no task gathers a group. At last each text
 meets its own repeated ranges and loses their bytes.
 
-Null and empty texts have no bytes and lose none. Texts shorter than `length` stay whole. Repeated rows (of other ids) are
-repeats of each other and lose all windows; rows of one id share that id's ranges, so ids are to be unique. Rows without an id
-aren't compared and lose nothing. An empty table gives no rows. Other columns are ignored, or passed on by without_repeats. Hashes of windows have 128 bits, or 64 within one anchor's
-group, whose anchors have 64 bits more.
+Null and empty texts have no bytes and lose none. Texts shorter than `length` stay whole. Very long texts are hashed piece by piece.
+Repeated rows (of other ids) are repeats of each other and lose all windows; rows of one id share that id's ranges, so ids are to be
+unique. Rows without an id aren't compared and lose nothing. Ties don't arise: equal windows are all removed. An empty table gives no
+rows. Other columns, whatever their names, are ignored, or passed on by without_repeats. Hashes of windows have 128 bits, or 64 within
+one anchor's group, whose anchors have 64 bits more.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import Scratch, map_arrow, n_parts, table
+from quillgraph.llm.common import Scratch, map_arrow, n_parts, table, whole_row
 from quillgraph.llm.suffixes import runs, window_hashes
 from quillgraph.llm.words import pieces, utf8
 
@@ -96,8 +98,12 @@ class SuffixIndex:
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Indexes a batch (doc_id, text); returns (h) of suffixes that begin alike in it, or in it and a level."""
+        return self.add_suffixes(map_arrow(docs.select("doc_id", "text"), _runs(self.p), RUN))
+
+    def add_suffixes(self, suffixes: DataFrame) -> DataFrame:
+        """Indexes a batch of suffixes (h, doc, pos)."""
         self._merge()
-        suffixes = map_arrow(docs.select("doc_id", "text"), _runs(self.p), RUN).select("h", F.struct("doc", "pos").alias("at"))
+        suffixes = suffixes.select("h", F.struct("doc", "pos").alias("at"))
         name = self._write(suffixes.groupBy("h").agg(F.count("*").alias("n"), F.min("at").alias("at")))
         batch = self.spark.table(name)
         repeated = batch.where("n > 1").select("h")
@@ -199,16 +205,19 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, p: Repeats = Repeats()
     """(doc, spans): of each document with repeated windows, its ranges [lo, hi) of bytes, not merged."""
     scratch, parts = scratch or Scratch(spark), n_parts(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    places = scratch.save(map_arrow(texts, _runs(p), RUN), "places")  # every text is hashed once
     index = SuffixIndex(spark, p)
     for b in range(p.batches):
-        index.add(texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(p.batches)) == b))
-    repeated = index.repeated()
-    found = scratch.save(map_arrow(texts, _runs(p), RUN).join(repeated, "h", "left_semi").select("h", "doc", "lo", "hi", "f1", "f2"), "runs")
+        index.add_suffixes(places.where(F.pmod(F.xxhash64("doc"), F.lit(p.batches)) == b))
+    # written before it is joined: a join between plain shuffles splits an anchor that very many places share
+    repeated = scratch.save(index.repeated(), "repeated")
     index.close()
+    found = scratch.save(places.join(repeated, "h", "left_semi").select("h", "doc", "lo", "hi", "f1", "f2"), "runs")
+    scratch.drop("places")
     whole = scratch.save(
         found.groupBy("h", "f1", "f2").agg(F.count("*").alias("m"), F.min(F.struct("doc", "lo", "hi")).alias("at")), "strings"
     )
-    groups = whole.groupBy("h").agg(F.count("*").alias("n"), F.min("m").alias("least")).where("least = 1 and n > 1")
+    groups = scratch.save(whole.groupBy("h").agg(F.count("*").alias("n"), F.min("m").alias("least")).where("least = 1 and n > 1"), "groups")
     wanted = (
         whole.join(groups, "h")
         .select("at.doc", F.struct("h", "at.lo", "at.hi", F.ceil(F.col("n") / p.shard).cast("int").alias("shards"), (F.col("m") == 1).alias("open")).alias("r"))
@@ -240,43 +249,54 @@ def kept_bytes(data: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
+def kept_text(text: str | None, gone: list[tuple[int, int]]) -> str | None:
+    """What stays of a text; of a character cut in part nothing does."""
+    return kept_bytes(text.encode(), gone).decode(errors="ignore") if text and gone else text
+
+
+DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string, removed array<struct<start: long, stop: long>>"
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), spans_type]
     for batch in batches:
         rows = []
         for doc, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             data, gone = (text or "").encode(), merged(spans)
             kept = kept_bytes(data, gone)
-            rows.append((doc, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        )
+            rows.append((doc, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept_text(text, gone), [{"start": a, "stop": b} for a, b in gone]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "removed"])
 
 
-def op5_suffix_dedup(spark: SparkSession, sf_dir: str, p: Repeats = Repeats()) -> DataFrame:  # noqa: B008
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def digests(spark: SparkSession, docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:  # noqa: B008
+    """A row for each row of docs (doc_id, text): its bytes, what is removed of them and where, and the text that stays."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = repeated_ranges(spark, docs, p)
     rows = docs.join(spans, docs.doc_id == spans.doc, "left").select("doc_id", "text", "spans")
-    return map_arrow(rows, _digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(rows, _digest, DIGEST)
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str, p: Repeats = Repeats()) -> DataFrame:  # noqa: B008
+    return digests(spark, table(spark, sf_dir, "documents"), p)
 
 
 def _cut(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(names.index("text")).to_pylist()
-            for i, spans in enumerate(batch.column(len(names)).to_pylist()):
-                if spans:
-                    text[i] = kept_bytes(text[i].encode(), merged(spans)).decode(errors="ignore")  # of a cut character nothing stays
-            cols = {n: batch.column(i) for i, n in enumerate(names)} | {"text": pa.array(text, batch.schema.field(names.index("text")).type)}
+            cols = dict(zip(names, batch.column(0).flatten(), strict=True))
+            spans, text = batch.column(1).to_pylist(), cols["text"].to_pylist()
+            text = [kept_text(t, merged(s)) if s else t for t, s in zip(text, spans, strict=True)]
+            cols["text"] = pa.array(text, cols["text"].type)
             if "n_chars" in cols:
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in text], cols["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=names)
 
     return run
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:  # noqa: B008
     """docs with every repeated range of bytes cut from its text, and n_chars to match; its other columns as they are."""
-    spans = repeated_ranges(spark, docs, p).select(F.col("doc").alias("__doc"), F.col("spans").alias("__spans"))
-    rows = docs.join(spans, docs["doc_id"] == spans["__doc"], "left").select(*docs.columns, "__spans")
-    return map_arrow(rows, _cut(docs.columns), docs.schema)
+    spans = repeated_ranges(spark, docs.select("doc_id", "text"), p)
+    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id")).join(spans, F.col("id") == F.col("doc"), "left")
+    return map_arrow(rows.select("row", "spans"), _cut(docs.columns), docs.schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from quillgraph.llm import hamming, jaccard, pivots, suffix_dedup
 from quillgraph.llm.suffix_dedup import Repeats
@@ -66,8 +67,7 @@ def test_repeats_are_brute_force(spark, shard):
     docs = docs_frame(spark, rows)
     want = brute.repeats(dict(enumerate(rows)), 40)
     kept = {r.doc_id: r.text for r in suffix_dedup.without_repeats(spark, docs, p).collect()}
-    spans = suffix_dedup.repeated_ranges(spark, docs, p)
-    digest = suffix_dedup.map_arrow(docs.join(spans, docs.doc_id == spans.doc, "left").select("doc_id", "text", spans.spans), suffix_dedup._digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    digest = suffix_dedup.digests(spark, docs, p).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert {r[0]: tuple(r[1:]) for r in digest.collect()} == want
     assert kept[rows.index(None)] is None
     assert all(len(kept[i].encode()) <= n - gone for i, (n, gone, *_) in want.items() if rows[i] is not None)
@@ -103,15 +103,35 @@ def vectors(seed: int, n: int, dim: int = 6) -> list:
     return out + [(n + k, v, 0) for k, v in enumerate(odd)]
 
 
-@pytest.mark.parametrize("cell", [2000, 25])
-def test_range_join_is_brute_force(spark, cell):
+@pytest.mark.parametrize(("cell", "groups"), [(2000, 9), (25, 9), (25, 1)])
+def test_range_join_is_brute_force(spark, cell, groups):
     rows = vectors(3, 250)
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "vec_id long, embedding array<double>, label int, id int, m string")
-    got = pivots.range_join(spark, df, pivots.Near(cell=cell, per_pivot=20)).collect()
+    got = pivots.range_join(spark, df, pivots.Near(cell=cell, groups=groups, row_cost=0.0)).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute.cosine_links(rows, 0.98)
     assert len(got) == len(rows)
 
 
+def test_pivots_follow_the_data():
+    """Clusters get many cells, vectors that all lie far apart few; a pivot's cell holds all that may link into it."""
+    rng, p = np.random.default_rng(4), pivots.Near()
+    radius = float(np.sqrt(2 - 2 * p.cosine))
+    clusters = pivots.unit(np.repeat(rng.standard_normal((40, 64)), 25, axis=0) + 0.01 * rng.standard_normal((1000, 64)))[rng.permutation(1000)]
+    alike = pivots.unit(rng.standard_normal((1000, 64)))
+    assert len(pivots.chosen(clusters, 1_000_000, p, radius)) >= 16
+    assert len(pivots.chosen(alike, 20_000, p, radius)) <= 2
+    home, goes = pivots.spread(clusters, clusters[:16], radius)
+    near = pivots.linked(p.cosine, clusters, clusters)
+    assert all(goes[j, home[i]] for i, j in zip(*np.nonzero(near), strict=True))
+
+
+def test_links_at_extreme_magnitudes(spark):
+    v = [3.0, -1.0, 2.0, 0.5]
+    rows = [(k, [x * m for x in v], 0) for k, m in enumerate((1.0, 1e170, 1e-170, 1e300, 1e-300))] + [(9, [-x for x in v], 0), (10, [1e170, 1e-170, 0.0, 0.0], 0), (11, [1e-150, 0.0, 0.0, 0.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pivots.range_join(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {k: (4, 0) for k in range(5)} | {9: (0, 9), 10: (1, 10), 11: (1, 10)}
+
+
 def test_range_join_on_the_table_and_on_nothing(spark):
     df = spark.read.parquet(f"{brute.DATA}/embeddings.parquet")
     rows = [(r.vec_id, r.embedding, r.label) for r in df.collect()]
@@ -125,19 +145,43 @@ def recall(got: dict, want: dict) -> float:
     return hits / max(1, sum(len(x) for x in want.values()))
 
 
-@pytest.mark.parametrize("shard", [8192, 100])
-def test_hamming_recall(spark, shard):
-    df = spark.read.parquet(f"{brute.DATA}/embeddings.parquet")
+@pytest.mark.parametrize(("least", "folder"), [(4096, "sf0.1"), (100, "sf0.001")])
+def test_hamming_recall(spark, least, folder):
+    df = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    n, many = df.count(), {}
     want = brute.nearest([(r.vec_id, r.embedding) for r in df.collect()], 20, 20)
     got: dict = {}
-    for r in hamming.nearest(spark, df, hamming.Search(shard=shard)).orderBy("query_id", "rank").collect():
+    for r in hamming.nearest(spark, df, hamming.Search(least=least)).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        many[r.query_id] = r.n_candidates
         assert r["rank"] == len(got[r.query_id])
     assert got.keys() == want.keys()
     assert all(len(got[q]) == len(want[q]) and q not in dict(got[q]) for q in want)
     assert recall(got, want) >= 0.9
     exact = {q: dict(x) for q, x in want.items()}
     assert all(abs(s - exact[q][i]) < 1e-9 for q, x in got.items() for i, s in x if i in exact[q])
+    if folder == "sf0.1":
+        assert sum(many.values()) / len(many) < 0.2 * n  # the rest are left out by their codes
+
+
+def test_hamming_probes_what_a_scan_finds():
+    """In clusters the pigeonhole leaves out most codes, and the result is that of comparing all."""
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((100, 32))
+    x = np.repeat(centres, 40, axis=0) + 0.01 * rng.standard_normal((4000, 32))
+    ids = np.arange(len(x))
+    codes = hamming.Codes(x, float(np.linalg.norm(x, axis=1).max()), hamming.Search())
+    shard = hamming.Shard(ids, x, codes.encode(x, False))
+    for q in range(0, 4000, 97):
+        code = codes.encode(x[q : q + 1], True)[0]
+        rows = shard.within(q, code, codes.margin, 20)
+        far = hamming.distances(code[None, :], shard.codes)[0]
+        far[q] = hamming.BITS + 1
+        edge = np.sort(far)[19] + codes.margin
+        assert sorted(rows) == np.flatnonzero(far <= edge).tolist()
+        near = shard.probed(code, 1)
+        assert len(near) < 1500
+        assert set(np.flatnonzero(far < 32)) <= set(near)  # all codes within the radius are probed
 
 
 def test_hamming_with_odd_rows(spark):
@@ -152,3 +196,9 @@ def test_hamming_with_odd_rows(spark):
     assert recall(got, want) >= 0.9
     assert got[61][:1] == want[61][:1] or got[61][0][1] == want[61][0][1]
     assert hamming.nearest(spark, df.limit(0)).count() == 0
+    # lengths without codes are compared as they are
+    few = spark.createDataFrame([(i, [float(i + j) for j in range(1 + i % 5)]) for i in range(40)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in hamming.nearest(spark, few, hamming.Search(every=1, k=2, lengths=1)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert all([i for i, _ in got[q]] == [i for i in sorted(range(q % 5, 40, 5), reverse=True) if i != q][:2] for q in range(1, 40) if q % 5)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import textwrap
 import zlib
 from collections import defaultdict
 
 import corpus_pipeline
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -151,12 +153,12 @@ def test_licences_in_other_wrappings(spark):
         one = " ".join(text.split())
         title, body = ("", one) if "title" not in name else one.partition("icense ")[0::2]
         title = title and title + "icense"
-        forms = [text, one, *(textwrap.fill(one, w) for w in (30, 41, 55, 60, 72, 80, 120)), *(textwrap.fill(one, w, initial_indent="# ", subsequent_indent="# ") for w in (64, 77))]
+        forms = [text, one, *(textwrap.fill(one, w, break_long_words=False) for w in (30, 41, 55, 60, 72, 80, 120)), *(textwrap.fill(one, w, initial_indent="# ", subsequent_indent="# ", break_long_words=False) for w in (64, 77))]
         forms += [re.sub(rf"\s({w})", r"\n\1", one) for w in ("copyright", "COPYRIGHT")]
         for holder in ("Copyright (c) 2019-2021, A. Person <a@b.example>", "(C) Copyright 2020 Some Firm, Inc. All rights reserved.", "Copyright © 2020 Ä. Ö.", "Copyright 2020 Nobody", "(c) 2020 Nobody"):
             forms += [f"{title}\n{mark}{holder}\n{body}" for mark in ("", "# ", " * ", "// ")] + [f"{title} {holder} {body}".strip(), f"{title}\n{holder}\r\nAll rights reserved.\r\n\r\n{body}"]
         for form in forms:
-            want[len(rows)] = name.removesuffix(" with its title")
+            want[len(rows)] = licences.named(name)
             rows.append((len(rows), form))
     plain = ["copyright holders may not\nbe named", "may not\ncopyright holders", "Copyright (c) 2020 " + "unknown words " * 30]
     rows += [(-1 - i, t) for i, t in enumerate(plain)]
@@ -167,6 +169,29 @@ def test_licences_in_other_wrappings(spark):
     assert all(got[i].digest == hashlib.sha256(licences.canonical(t).encode()).hexdigest() for i, t in rows)
 
 
+def test_licences_keep_other_scripts(spark):
+    """A licence with other text beside it, in whatever script, isn't the licence."""
+    mit = licences.KNOWN["MIT"]
+    assert "subject" not in licences.KNOWN["MIT-0"] and "included in all copies" not in licences.KNOWN["MIT-0"]
+    other = ["\u672c\u8f6f\u4ef6\u6309\u539f\u6837\u63d0\u4f9b\u3002" * 500, "\u043b\u0438\u0446\u0435\u043d\u0437\u0438\u044f", "\u0932\u093e\u0907\u0938\u0947\u0902\u0938", "\u00e9"]
+    rows = [(i, mit + t) for i, t in enumerate(other)] + [(10 + i, t) for i, t in enumerate(other)] + [(20, mit + " \u2014\u3002\u201c\u201d")]
+    got = {r.doc_id: r for r in licences.scan(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.licence for i, r in got.items()} == {i: "MIT" if i == 20 else None for i, _ in rows}
+    assert len({r.digest for r in got.values()}) == len(rows)
+
+
+def test_licences_by_sql(spark):
+    """Texts that are licences, through the registered SQL."""
+    rows = [(i, f"Copyright (c) 2020 A. Person\n{t}" if i % 2 else t.upper()) for i, t in enumerate(licences.KNOWN.values())] + [(900, "plain"), (901, None), (902, "")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {i: n for i, _, n in con.sql(licences.ORACLE).fetchall()}  # the SQL's digests leave out more lines
+    got = {r.doc_id: r.licence for r in licences.scan(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+    assert sum(n is not None for n in got.values()) == len(licences.KNOWN)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{brute.DATA}/documents.parquet")
     before = docs
@@ -189,3 +214,48 @@ def test_pipeline(spark):
             assert after.columns == docs.columns
         before = after
     assert before.count() > 0
+
+
+EXTRA = {"__score": 0.5, "__key": 1, "a.b": "x", "spans": "s", "row": 2, "key": 3, "epoch": 4, "shard": "t", "score": 0.1, "id": 5, "doc": 6, "_metadata": "m", "size": 7}
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, and other columns with names like ours."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    base = spark.read.parquet(f"{brute.DATA}/documents.parquet").orderBy("doc_id").limit(25)
+    rows = [tuple(r) for r in base.collect()]
+    rows += [rows[0], rows[1], (rows[2][0], "another text of the same id", None, None, None)]
+    rows += [(None, None, None, None, None), (None, rows[3][1], "en", "s", 1), (9001, None, None, None, None), (9002, "", "", "", 0), (9003, " \n", None, "s", 2), (9004, long, "en", None, len(long)), (9005, long + " w", "en", None, len(long) + 2)]
+    docs = spark.createDataFrame(rows, brute.DOCS)
+    for name, value in EXTRA.items():
+        docs = docs.withColumn(name, F.lit(value))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = before = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, before, brute.DATA)
+        if name == "packing":
+            pieces_hold(after.collect(), [(r.doc_id, r.text) for r in before.collect()])
+            continue
+        assert after.columns == docs.columns
+        after.write.parquet(f"{tmp_path}/{name}")
+        after = spark.read.parquet(f"{tmp_path}/{name}")
+        got = after.collect()
+        assert all(r["a.b"] == "x" and r["__score"] == 0.5 and r["shard"] == "t" for r in got)
+        if name == "near_duplicates":
+            assert len({r.doc_id for r in got if r.doc_id is not None}) == sum(r.doc_id is not None for r in got)
+        if name == "repeats":
+            assert [r.doc_id for r in got] and all(r.n_chars == len(r.text) for r in got if r.text is not None)
+        before = after
+    for name, stage in corpus_pipeline.STAGES:  # an empty table
+        assert stage(spark, docs.limit(0), brute.DATA).count() == 0
+
+
+def test_hypergeometric_draws_of_any_size():
+    """The rejection sampler against exact probabilities, and within its support where numpy can't draw."""
+    rng = np.random.default_rng(5)
+    for good, bad, draw in ((7, 9, 8), (40, 3, 20), (5, 200, 30)):
+        n = np.bincount([mixing._log_concave(rng, good, bad, draw) for _ in range(6000)], minlength=draw + 1)
+        want = np.array([math.comb(good, x) * math.comb(bad, draw - x) / math.comb(good + bad, draw) if draw - x >= 0 else 0.0 for x in range(draw + 1)])
+        assert np.abs(n / 6000 - want).max() < 0.03
+    x = [mixing._hypergeometric(rng, 4_000_000_000, 6_000_000_000, 5_000_000_000) for _ in range(50)]
+    assert abs(np.mean(x) - 2e9) < 2e5 and len(set(x)) > 40
