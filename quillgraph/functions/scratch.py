@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -30,8 +31,20 @@ class Scratch:
     def _fs(self):
         return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def path(self) -> str:
+        """A place for one more table."""
         self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return f"{self.root}/{self.n}"
+
+    def save(self, df: DataFrame) -> DataFrame:
+        return self.read(self.save_counted(df)[0], schema=df.schema)
+
+    def save_counted(self, df: DataFrame) -> tuple[str, int]:
+        """The place of the written table and its number of rows, counted by the write itself."""
+        path, seen = self.path(), Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        return path, seen.get["n"]
+
+    def read(self, *paths: str, schema) -> DataFrame:
+        """Written tables of one schema as one table."""
+        return self.spark.read.schema(schema).parquet(*paths)

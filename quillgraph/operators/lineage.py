@@ -5,32 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.functions.scratch import Scratch
-from quillgraph.operators.traverse import ancestors, backwards, bfs, descendants, longest_paths
+from quillgraph.operators.traverse import Graph, ancestors, backwards, bfs, descendants, longest_paths
 
 
-def lineage(edges: DataFrame, focus: DataFrame, up: int | None, down: int | None, cap: int | None = None) -> DataFrame:
+def lineage(edges: DataFrame | Graph, focus: DataFrame, up: int | None, down: int | None, cap: int | None = None) -> DataFrame:
     """(id, distance): up the parents, then down the children of focus (id); distances upward are below 0. A node that is reached
     upward isn't met again downward. With a cap, the nearest nodes stay, upward ones first, by id within a level."""
-    above = bfs(backwards(edges), focus, up).select("id", (-F.col("depth")).alias("distance"))
-    above = Scratch(edges.sparkSession).save(above)
-    below = bfs(edges, focus, down).where("depth > 0").select("id", F.col("depth").alias("distance")).join(above.select("id"), "id", "left_anti")
+    graph = Graph.of(edges)
+    above = bfs(graph.flipped(), focus, up).select("id", (-F.col("depth")).alias("distance"))
+    below = bfs(graph, focus, down).where("depth > 0").select("id", F.col("depth").alias("distance")).join(above.select("id"), "id", "left_anti")
     both = above.unionByName(below)
     if cap is None:
         return both
     return both.orderBy(F.col("distance") > 0, F.abs("distance"), "id").limit(cap)
 
 
-def drawn_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def drawn_edges(edges: DataFrame | Graph, nodes: DataFrame) -> DataFrame:
     """(src, dst) of edges both of whose ends are in nodes (id), each once."""
     ids = nodes.select("id").distinct()
-    inner = edges.select("src", "dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+    inner = _rows(edges).join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
     return inner.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst").distinct()
 
 
-def hidden(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def _rows(edges: DataFrame | Graph) -> DataFrame:
+    return (edges.edges if isinstance(edges, Graph) else edges).select("src", "dst")
+
+
+def hidden(edges: DataFrame | Graph, nodes: DataFrame) -> DataFrame:
     """(id, hidden_up, hidden_down): parents and children of nodes (id) that aren't among them."""
-    e, ids = edges.select("src", "dst").distinct(), nodes.select("id").distinct()
+    e, ids = _rows(edges).distinct(), nodes.select("id").distinct()
     away_up = e.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("hidden_up"))
     away_down = e.join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("hidden_down"))
     return ids.join(away_up, "id", "left").join(away_down, "id", "left").na.fill(0)
@@ -42,8 +45,10 @@ def levels(nodes: DataFrame, walk: DataFrame) -> DataFrame:
     return tally.groupBy("depth", "label").agg(F.count("*").alias("n"), F.when(F.count("*") == 1, F.min("name")).alias("name"))
 
 
-def reach_counts(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(seed, n): how many nodes each of seeds (seed, id) reaches, all walked at once; a seed counts only along a cycle."""
+def reach_counts(edges: DataFrame | Graph, seeds: DataFrame) -> DataFrame:
+    """(seed, n): how many nodes each of seeds (seed, id) reaches, all walked at once; a seed counts only along a cycle.
+
+    What is held is a row for each seed and node that it reaches, so seeds are to be some: a project's page, not all its nodes."""
     n = descendants(edges, seeds).groupBy("seed").agg(F.count("*").alias("n"))
     return seeds.select("seed").distinct().join(n, "seed", "left").na.fill(0, ["n"])
 

@@ -80,3 +80,8 @@ def compare_rules(a: DataFrame, b: DataFrame) -> DataFrame:
     both = keyed(a).withColumn("in_a", F.lit(True)).join(keyed(b).withColumn("in_b", F.lit(True)), ["clause", "sources"], "full_outer")
     side = F.when(F.col("in_a") & F.col("in_b"), "both").when(F.col("in_a"), "a").otherwise("b")
     return both.select("clause", "sources", side.alias("side"))
+
+
+def setting_paths(paths: DataFrame) -> DataFrame:
+    """(path, key) of each setting that a path's own mapping (path, settings) has."""
+    return paths.select("path", F.explode(F.map_keys("settings")).alias("key")).distinct()

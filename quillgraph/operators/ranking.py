@@ -6,17 +6,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# The steps of a score, by where the query stands in a name or path, and without a query.
+EXACT, PREFIX, INSIDE, IN_PATH, ANY = 0, 10, 20, 30, 50
+
+
 def _score(query: str, name: Column, path: Column) -> Column:
+    query = query.strip()
     q, n = F.lit(query.lower()), F.lower(name)
     if not query:
-        return F.lit(50)
-    return F.when(n == q, 0).when(n.startswith(q), 10).when(F.contains(n, q), 20).when(F.contains(F.lower(path), q), 30)
+        return F.lit(ANY)
+    return F.when(n == q, EXACT).when(n.startswith(q), PREFIX).when(F.contains(n, q), INSIDE).when(F.contains(F.lower(path), q), IN_PATH)
 
 
-def search(nodes: DataFrame, query: str, limit: int = 200) -> DataFrame:
-    """(id, name, score) of nodes (id, name, path) by how their names hold the query, then by shortness, name and id."""
+def search(nodes: DataFrame, query: str, limit: int = 200, kinds: list[str] | None = None) -> DataFrame:
+    """(id, name, score) of nodes (id, name, path, kind if kinds are given) by how their names hold the query, then by shortness, name and id."""
     score = (_score(query, F.col("name"), F.col("path")) * 1_000_000 + F.least(F.octet_length("name"), F.lit(999)) * 1000).cast("long")
-    found = nodes.select("id", "name", score.alias("score")).where("score is not null")
+    rows = nodes if kinds is None else nodes.where(F.col("kind").isin(*kinds))
+    found = rows.select("id", "name", score.alias("score")).where("score is not null")
     return found.orderBy("score", "name", "id").limit(limit)
 
 

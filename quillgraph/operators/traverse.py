@@ -1,12 +1,14 @@
 """Graph traversals over edges (src, dst): level by level joins, each level written once and read by the next.
 
 A level's frontier is joined to the edges, made distinct and stripped of what was seen before, so an edge is followed once from each
-seed and cycles end. Depth is the shortest distance. The edges are shuffled by Spark's own joins; nothing is collected but a level's
-emptiness. Null ends never join.
+seed and cycles end. Depth is the shortest distance. A Graph's edges are made distinct and written once, whatever walks over it and in
+which direction. Frontiers and what was seen are tables of known size, so Spark broadcasts the small ones, and then the edges aren't
+shuffled. Nothing is collected but a level's number of rows, which its own write counts. Null ends never join.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,44 +17,60 @@ from pyspark.sql import functions as F
 from quillgraph.functions.scratch import Scratch
 
 
-def backwards(edges: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Graph:
+    """Distinct edges (src, dst) without null ends, written once."""
+
+    edges: DataFrame
+
+    @staticmethod
+    def of(edges: DataFrame | Graph) -> Graph:
+        if isinstance(edges, Graph):
+            return edges
+        rows = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+        return Graph(Scratch(edges.sparkSession).save(rows))
+
+    def flipped(self) -> Graph:
+        return Graph(backwards(self.edges))
+
+
+def backwards(edges: DataFrame | Graph) -> DataFrame | Graph:
     """edges with their ends exchanged; other columns as they are."""
+    if isinstance(edges, Graph):
+        return edges.flipped()
     return edges.withColumnRenamed("src", "__s").withColumnRenamed("dst", "src").withColumnRenamed("__s", "dst").select(*edges.columns)
 
 
-def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None, with_seeds: bool = True) -> DataFrame:
+def bfs(edges: DataFrame | Graph, seeds: DataFrame, max_depth: int | None = None, with_seeds: bool = True) -> DataFrame:
     """(…keys, id, depth) of all that is reached from seeds (…keys, id), keys naming the seed where many are walked at once.
 
     With seeds, they stand at depth 0 and aren't reached again. Without, a seed is reached only along a cycle, as any other node.
     """
-    spark = edges.sparkSession
-    scratch = Scratch(spark)
+    hops = Graph.of(edges).edges
+    scratch = Scratch(seeds.sparkSession)
     keys = [c for c in seeds.columns if c != "id"]
-    hops = scratch.save(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    frontier = scratch.save(seeds.select(*keys, "id").where("id is not null").distinct())
-    levels = [frontier.withColumn("depth", F.lit(0))] if with_seeds else []
-    depth = 0
-    while max_depth is None or depth < max_depth:
+    first = seeds.select(*keys, "id").where("id is not null").distinct().withColumn("depth", F.lit(0))
+    path, n = scratch.save_counted(first)
+    frontier = scratch.read(path, schema=first.schema)
+    levels, depth = [path] if with_seeds else [], 0
+    while n and (max_depth is None or depth < max_depth):
         depth += 1
         reached = frontier.join(hops, frontier["id"] == hops["src"]).select(*keys, F.col("dst").alias("id")).distinct()
-        for seen in levels:
-            reached = reached.join(seen.select(*keys, "id"), [*keys, "id"], "left_anti")
-        frontier = scratch.save(reached)
-        if frontier.isEmpty():
-            break
-        levels.append(frontier.withColumn("depth", F.lit(depth)))
-        if len(levels) > 6:  # so that a long chain's plan stays small
-            levels = [scratch.save(reduce(DataFrame.unionByName, levels))]
-    if not levels:
-        return frontier.withColumn("depth", F.lit(0)).limit(0)
-    return reduce(DataFrame.unionByName, levels)
+        if levels:
+            reached = reached.join(scratch.read(*levels, schema=first.schema).select(*keys, "id"), [*keys, "id"], "left_anti")
+        reached = reached.select(*keys, "id", F.lit(depth).alias("depth"))
+        path, n = scratch.save_counted(reached)
+        frontier = scratch.read(path, schema=first.schema)
+        if n:
+            levels.append(path)
+    return scratch.read(*levels, schema=first.schema) if levels else first.limit(0)
 
 
-def descendants(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+def descendants(edges: DataFrame | Graph, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     return bfs(edges, seeds, depth, with_seeds=False).select(*[c for c in seeds.columns if c != "id"], "id").distinct()
 
 
-def ancestors(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+def ancestors(edges: DataFrame | Graph, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     return descendants(backwards(edges), seeds, depth)
 
 
@@ -98,20 +116,27 @@ def walk_with_cuts(edges: DataFrame, seeds: DataFrame, cut: Column, max_depth: i
     return open_.withColumn("stop", F.lit(False)).unionByName(stops.withColumn("stop", F.lit(True)))
 
 
-def longest_paths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, depth): the longest path to a node from one without parents. Nodes on a cycle or behind one stay at 0."""
-    scratch = Scratch(edges.sparkSession)
-    hops = scratch.save(edges.select("src", "dst").where("src <> dst").distinct())
-    left = scratch.save(nodes.select("id").distinct())
-    done, depth = [], 0
-    while True:
-        live = hops.join(left.select(F.col("id").alias("src")), "src", "left_semi")
-        ready = scratch.save(left.join(live.select(F.col("dst").alias("id")), "id", "left_anti"))
-        if ready.isEmpty():
+def longest_paths(nodes: DataFrame, edges: DataFrame | Graph) -> DataFrame:
+    """(id, depth): the longest path to a node from one without parents. Nodes on a cycle or behind one stay at 0. Edges whose
+    source is placed are left out of the next round."""
+    scratch = Scratch(nodes.sparkSession)
+    hops = Graph.of(edges).edges.where("src <> dst")
+    first = nodes.select("id").distinct()
+    place, n = scratch.save_counted(first)
+    left = scratch.read(place, schema=first.schema)
+    done, depth, shape = [], 0, first.withColumn("depth", F.lit(0)).schema
+    hops = scratch.save(hops.join(left.select(F.col("id").alias("src")), "src", "left_semi"))
+    while n:
+        ready = left.join(hops.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("depth", F.lit(depth))
+        path, now = scratch.save_counted(ready)
+        if not now:
             break
-        done.append(ready.withColumn("depth", F.lit(depth)))
-        left, depth = scratch.save(left.join(ready, "id", "left_anti")), depth + 1
-    return reduce(DataFrame.unionByName, [*done, left.withColumn("depth", F.lit(0))])
+        done.append(path)
+        placed = scratch.read(path, schema=shape)
+        left, depth, n = scratch.save(left.join(placed, "id", "left_anti")), depth + 1, n - now
+        hops = scratch.save(hops.join(placed.select(F.col("id").alias("src")), "src", "left_anti"))
+    rest = left.withColumn("depth", F.lit(0))
+    return scratch.read(*done, schema=shape).unionByName(rest) if done else rest
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:

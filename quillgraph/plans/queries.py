@@ -2,41 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text
-from quillgraph.operators import aggregates, checks, lineage, merging, ranking, selection, traverse
+from quillgraph.operators import aggregates, checks, jobs, lineage, merging, ranking, selection, traverse
 from quillgraph.plans import project
+from quillgraph.plans.registry import ORACLES, QUERIES, longs, one, query
 from quillgraph.plans.project import ROLES_SQL, TESTS_SQL, edges_sql, node_id, nodes_sql, table
 from quillgraph.streaming.refresh import daily_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 N, E = nodes_sql(), edges_sql()
 
 
-def query(sql: str | None):
-    def add(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = sql
-        return fn
-
-    return add
-
-
-def one(spark: SparkSession, *ids: str) -> DataFrame:
-    return spark.createDataFrame([(i,) for i in ids], "id string")
-
-
-def longs(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("long") for c in columns})
-
-
 # --- traversals --------------------------------------------------------------------------------
 
 WALK = """up(id, d) AS (SELECT 'nation.3', 0 UNION SELECT e.src, d + 1 FROM up JOIN e ON e.dst = up.id WHERE d < 2),
@@ -56,7 +34,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {E}, {WALK} SELECT src, dst FROM e WHERE src IN (SELECT id FROM walk) AND dst IN (SELECT id FROM walk)")
 def graph_drawn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = project.edges(spark, sf_dir)
+    e = traverse.Graph.of(project.edges(spark, sf_dir))
     return lineage.drawn_edges(e, lineage.lineage(e, one(spark, "nation.3"), 2, 2))
 
 
@@ -64,7 +42,7 @@ def graph_drawn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT w.id, (SELECT count(*) FROM e WHERE e.dst = w.id AND e.src NOT IN (SELECT id FROM w)) AS hidden_up,
 (SELECT count(*) FROM e WHERE e.src = w.id AND e.dst NOT IN (SELECT id FROM w)) AS hidden_down FROM w""")
 def graph_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = project.edges(spark, sf_dir)
+    e = traverse.Graph.of(project.edges(spark, sf_dir))
     return lineage.hidden(e, lineage.lineage(e, one(spark, "nation.3"), 2, 2))
 
 
@@ -160,12 +138,12 @@ def graph_column_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- selections --------------------------------------------------------------------------------
 
 PARTS_E = edges_sql("order").replace("e AS", "pe AS")
-TREE = f"""{N}, {PARTS_E}, {TESTS_SQL}, u AS (SELECT * FROM n WHERE kind <> 'order' AND kind <> 'customer'),
+TREE = f"""{N}, {PARTS_E}, {TESTS_SQL}, u AS (SELECT * FROM n WHERE kind <> 'order'),
 ue AS (SELECT src, dst FROM pe WHERE src IN (SELECT id FROM u) AND dst IN (SELECT id FROM u))"""
 
 
 def universe(spark: SparkSession, sf_dir: str) -> selection.Universe:
-    nodes = project.nodes(spark, sf_dir).where("kind not in ('order', 'customer')")
+    nodes = project.nodes(spark, sf_dir).where("kind <> 'order'")
     part = table(spark, sf_dir, "part").select(node_id("part", "p_partkey").alias("id"), F.array("p_brand", "p_type").alias("tags"))
     nodes = nodes.join(part, "id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
     return selection.Universe(nodes, project.edges(spark, sf_dir, "order"), project.tests(spark, sf_dir), nodes.where("kind = 'region'").select("id"))
@@ -239,13 +217,6 @@ def sink_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.listing(nodes, nodes.where("kind in ('part', 'nation')"))
 
 
-@query(f"""WITH {N}, {E}, p AS (SELECT dst, list_sort(list(src)) AS parents FROM e GROUP BY dst)
-SELECT n.id, n.kind || chr(9) || n.name || chr(9) || coalesce(array_to_string(parents, ','), '') AS line FROM n LEFT JOIN p ON p.dst = n.id""")
-def sink_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parents = project.edges(spark, sf_dir).groupBy(F.col("dst").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("src")), ",").alias("parents"))  # a node's own edges
-    return project.nodes(spark, sf_dir).join(parents, "id", "left").select("id", F.concat_ws("\t", "kind", F.regexp_replace("name", r"[\t\r\n]", " "), F.coalesce("parents", F.lit(""))).alias("line"))
-
-
 # --- aggregations ------------------------------------------------------------------------------
 
 
@@ -320,13 +291,6 @@ def job_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.coverage(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), steps)
 
 
-@query("SELECT l_suppkey AS job, count(DISTINCT l_partkey) AS models, count(DISTINCT p_brand) AS packages FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
-def models_by_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("job"), F.col("l_partkey").alias("p_partkey")).distinct()
-    rows = rows.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), "p_partkey")
-    return rows.groupBy("job").agg(F.count("*").alias("models"), F.count_distinct("p_brand").alias("packages"))
-
-
 DECLARED = "d AS (SELECT l_orderkey AS owner, p_brand AS col FROM lineitem JOIN part ON p_partkey = l_partkey)"
 
 
@@ -378,13 +342,13 @@ def project_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- merges ------------------------------------------------------------------------------------
 
 
-@query("""WITH d AS (SELECT p_brand AS node, p_name AS name, lower(p_name) AS lc, CASE WHEN p_size < 25 THEN p_type ELSE '' END AS type, row_number() OVER (PARTITION BY p_brand, lower(p_name) ORDER BY p_partkey) AS k FROM part WHERE p_partkey % 3 > 0),
+@query("""WITH d AS (SELECT p_brand AS node, p_name AS name, lower(p_name) AS lc, CASE WHEN p_size < 25 THEN p_type ELSE '' END AS type, row_number() OVER (PARTITION BY p_brand, lower(p_name) ORDER BY p_partkey) AS k FROM part WHERE p_retailprice < 1500),
 c AS (SELECT p_brand AS node, upper(p_name) AS name, lower(p_name) AS lc, p_type AS type, row_number() OVER (PARTITION BY p_brand, lower(p_name) ORDER BY p_partkey) AS k FROM part WHERE p_size >= 10)
 SELECT coalesce(a.node, b.node) AS node, coalesce(a.name, b.name) AS name, coalesce(nullif(a.type, ''), b.type, '') AS type, a.name IS NULL AS undeclared
 FROM (SELECT * FROM d WHERE k = 1) a FULL JOIN (SELECT * FROM c WHERE k = 1) b ON a.node = b.node AND a.lc = b.lc""")
 def merge_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").withColumns({"node": F.col("p_brand"), "ord": F.col("p_partkey")})
-    d = part.where("p_partkey % 3 > 0").select("node", F.col("p_name").alias("name"), F.when(F.col("p_size") < 25, F.col("p_type")).otherwise("").alias("type"), "ord")
+    d = part.where("p_retailprice < 1500").select("node", F.col("p_name").alias("name"), F.when(F.col("p_size") < 25, F.col("p_type")).otherwise("").alias("type"), "ord")
     return merging.merge_catalog(d, part.where("p_size >= 10").select("node", F.upper("p_name").alias("name"), F.col("p_type").alias("type"), "ord"))
 
 
@@ -426,15 +390,19 @@ def used_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.used_prefixes(names.select(F.array(F.get("fqn", F.lit(0)), F.lit("en")).alias("parts")).distinct(), names)
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+STEP = "SELECT l_partkey FROM lineitem WHERE l_quantity >= 50"
+
+
+@query(f"SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN ({STEP})")
 def never_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.col("c_custkey").alias("id"))
+    steps = table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.col("l_partkey").alias("id"))
+    return jobs.never_executed(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), steps)
 
 
-@query("SELECT p_partkey AS id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)")
+@query(f"SELECT p_partkey AS id FROM part WHERE p_partkey IN ({STEP})")
 def run_by_a_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select("l_partkey")
-    return table(spark, sf_dir, "part").join(steps, F.col("p_partkey") == F.col("l_partkey"), "left_semi").select(F.col("p_partkey").alias("id"))
+    steps = table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.col("l_partkey").alias("id"))
+    return jobs.executed(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")), steps)
 
 
 @query("""WITH s AS (SELECT DISTINCT 'supplier.' || l_suppkey AS owner, l_partkey AS item FROM lineitem), m AS (SELECT item FROM s WHERE owner = 'supplier.1'), z AS (SELECT owner, count(*) AS size FROM s GROUP BY 1)
@@ -472,9 +440,9 @@ def search_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), x AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS line, unnest(lines) AS text FROM l),
-k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k FROM x WHERE contains(lower(text), 'copyright')) SELECT doc_id, line, text FROM k WHERE k <= 3 ORDER BY doc_id, line LIMIT 500""")
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k FROM x WHERE contains(lower(text), 'hant')) SELECT doc_id, line, text FROM k WHERE k <= 3 ORDER BY doc_id, line LIMIT 500""")
 def grep_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.grep(table(spark, sf_dir, "documents"), "Copyright", 3, 500)
+    return ranking.grep(table(spark, sf_dir, "documents"), "Hant", 3, 500)
 
 
 @query("""WITH w AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k, max(CASE WHEN value >= 10 THEN ts END) OVER (PARTITION BY user_id, event_type) AS last_success FROM events)
@@ -525,3 +493,8 @@ def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_counts(spark, f"{sf_dir}/events.parquet")
+
+
+from quillgraph.plans import artifact_queries, graph_queries, model_queries  # noqa: E402, F401  they register too
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
