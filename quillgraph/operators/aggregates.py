@@ -89,10 +89,29 @@ def nullable_keys(keys: DataFrame, covered: DataFrame) -> DataFrame:
     return bare.groupBy("owner").agg(F.count("*").alias("open"))
 
 
-def bucketed_runs(items: DataFrame, group: str, order: str, most: int) -> DataFrame:
-    """(group, run, n, first, last): contiguous runs of at most so many items in each group."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1
-    return items.withColumn("run", F.floor(place / most)).groupBy(group, "run").agg(F.count("*").alias("n"), F.min(order).alias("first"), F.max(order).alias("last"))
+def bucketed_runs(items: DataFrame, group: str, order: str, most: int, size: Column | None = None, bytes_most: int = 1 << 62) -> DataFrame:
+    """(group, run, n, first, last): runs of at most so many items in order, in each group; with sizes, an item whose bytes would begin
+    beyond a multiple of bytes_most begins a run too, so no run holds much more than that.
+
+    Places are counted in two steps, over coarse ranges of the order first, so a large group is spread over many tasks."""
+    size = F.lit(0) if size is None else size
+    cuts = items.stat.approxQuantile(order, [k / 32 for k in range(1, 32)], 0.01) if items.schema[order].dataType.typeName() in ("long", "integer", "double", "float") else []
+    part = F.lit(0)
+    for c in sorted(set(cuts)):
+        part = part + (F.col(order) >= F.lit(c)).cast("int")
+    rows = items.select(group, order, size.cast("long").alias("size"), part.alias("part"))
+    heads = rows.groupBy(group, "part").agg(F.count("*").alias("k"), F.sum("size").alias("s"))
+    before = Window.partitionBy(group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # 32 rows of a group
+    heads = heads.select(group, "part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("k0"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"))
+    own = Window.partitionBy(group, "part").orderBy(order)
+    so_far = own.rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("k", F.row_number().over(own) - 1).withColumn("s", F.coalesce(F.sum("size").over(so_far), F.lit(0))).join(heads, [group, "part"])
+    by_items, by_bytes = F.floor((F.col("k") + F.col("k0")) / most), F.floor((F.col("s") + F.col("s0")) / bytes_most)
+    per = placed.groupBy(group, by_items.alias("run"), by_bytes.alias("piece")).agg(F.count("*").alias("n"), F.min(order).alias("first"), F.max(order).alias("last"))
+    if bytes_most >= 1 << 62:
+        return per.drop("piece")
+    turn = F.row_number().over(Window.partitionBy(group).orderBy("run", "piece")) - 1  # a row for each run
+    return per.withColumn("run", turn.cast("long")).drop("piece")
 
 
 def deltas(a: DataFrame, b: DataFrame) -> DataFrame:

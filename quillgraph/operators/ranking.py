@@ -44,9 +44,9 @@ def grep(docs: DataFrame, query: str, per_file: int, most: int) -> DataFrame:
 
 def last_rows(rows: DataFrame, group: list[str], at: str, tie: str, success: Column) -> DataFrame:
     """The last row of each group, with the last time of a success in it (last_success); a null in a group is a value."""
-    own = Window.partitionBy(*group)
-    ranked = rows.withColumn("last_success", F.max(F.when(success, F.col(at))).over(own)).withColumn("__n", F.row_number().over(own.orderBy(F.desc(at), F.desc(tie))))
-    return ranked.where("__n = 1").drop("__n")
+    whole = F.struct(*(F.col(c) for c in rows.columns))
+    per = rows.groupBy(*group).agg(F.max_by(whole, F.struct(at, tie)).alias("row"), F.max(F.when(success, F.col(at))).alias("last_success"))
+    return per.select("row.*", "last_success")
 
 
 def page(rows: DataFrame, at: str, tie: str, before: tuple | None, size: int) -> DataFrame:

@@ -206,3 +206,21 @@ def test_searches_trim_the_query(spark):
     df = spark.createDataFrame([(1, "Ring", "a", "model"), (2, "ring two", "b", "source"), (3, "other", "ring/x", "model")], "id int, name string, path string, kind string")
     assert [r.id for r in ranking.search(df, " ring ").collect()] == [1, 2, 3]
     assert [r.id for r in ranking.search(df, "ring", kinds=["source"]).collect()] == [2]
+
+
+def test_runs_by_items_and_bytes(spark):
+    from quillgraph.operators import aggregates
+
+    rows = spark.createDataFrame([("g", i, 10 if i % 7 else 95) for i in range(100)] + [("h", 5, 1)], "g string, i long, b int")
+    got = [(r.g, r["run"], r.n, r["first"], r["last"]) for r in aggregates.bucketed_runs(rows, "g", "i", 30).orderBy("g", "run").collect()]
+    assert got == [("g", 0, 30, 0, 29), ("g", 1, 30, 30, 59), ("g", 2, 30, 60, 89), ("g", 3, 10, 90, 99), ("h", 0, 1, 5, 5)]
+    runs = aggregates.bucketed_runs(rows, "g", "i", 30, F.col("b"), 200).where("g = 'g'").orderBy("run").collect()
+    assert [r["run"] for r in runs] == list(range(len(runs))) and sum(r.n for r in runs) == 100
+    size = lambda r: sum(10 if i % 7 else 95 for i in range(r["first"], r["last"] + 1))
+    assert all(size(r) <= 200 + 95 and r.n <= 30 for r in runs)
+
+
+def test_last_rows_with_nulls(spark):
+    rows = spark.createDataFrame([("a", None, 1, True), ("a", 3, 2, False), ("a", 3, 3, False), ("a", 2, 9, True), (None, None, 1, True), ("b", 1, 1, False)], "g string, at int, k int, ok boolean")
+    got = {(r.g, r["at"], r.k, r.last_success) for r in ranking.last_rows(rows, ["g"], "at", "k", F.col("ok")).collect()}
+    assert got == {("a", 3, 3, 2), (None, None, 1, None), ("b", 1, 1, None)}
