@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -14,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.functions import scratch
+
 #: The words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -68,28 +69,8 @@ def map_arrow(df: DataFrame, fn: Callable, schema, keeps: bool = False) -> DataF
     return df.mapInArrow(run, schema)
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (as in tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="quillgraph-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-class Scratch:
-    """Tables written to the shared folder to cut lineage; what is still there goes when the driver's JVM ends."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.root = f"{work_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
-        self._fs().deleteOnExit(self._path(self.root))
-
-    def _path(self, p: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(p)
-
-    def _fs(self):
-        return self._path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+class Scratch(scratch.Scratch):
+    """Tables with names, written to the shared folder to cut lineage; what is still there goes when the driver's JVM ends."""
 
     def write(self, run: Callable[[], None]) -> None:
         """Runs a write whose shuffle files go when it ends, for what it wrote is read instead."""
