@@ -34,7 +34,7 @@ from quillgraph.llm.common import WORD, Scratch, n_parts, ship, table, whole_row
 @dataclass(frozen=True)
 class Mix:
     """weights: of the sources in code-point order, repeating. share: of all words, that the mix takes. most: epochs.
-    block_words: of a block. shards: output shards, a power of two. buckets, bucket_blocks: into so many buckets a source's blocks
+    block_words: of a block. shards, shard_words: output shards, a power of two, or more of so many words. buckets, bucket_blocks: into so many buckets a source's blocks
     are dealt to be ranked, or into more of so many blocks. few_sources: sources whose table is broadcast. most_sources: sources
     whose sizes the driver may hold."""
 
@@ -43,6 +43,7 @@ class Mix:
     most: float = 2.0
     block_words: int = 2048
     shards: int = 64
+    shard_words: int = 10_000_000
     buckets: int = 256
     bucket_blocks: int = 1_000_000
     few_sources: int = 10_000
@@ -196,7 +197,8 @@ def draw(spark: SparkSession, docs: DataFrame, mix: Mix = Mix()) -> tuple[DataFr
     ranked = taken.withColumn("r", F.row_number().over(inside) - 1).join(offsets, key).withColumn("rank", F.col("n0") + F.col("r"))
     per_source = {r["s"]: r["n"] for r in counts.groupBy("s").agg(F.sum("n").alias("n")).collect()}  # bounded by most_sources
     quotas = [per_source.get(i, 0) for i in range(max(per_source, default=-1) + 1)]
-    shards, seed = mix.shards, mix.seed
+    words = sizes.agg(F.sum("size")).first()[0] or 0
+    shards, seed = max(mix.shards, 1 << max(0, int(mix.share * words / mix.shard_words)).bit_length()), mix.seed
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = SplittingTree(quotas, shards, seed)
