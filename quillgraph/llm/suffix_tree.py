@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import Scratch, map_arrow, n_parts, powers, prefix_hash, span_hash, splitmix, table
@@ -326,12 +326,13 @@ def score_documents(spark: SparkSession, docs: DataFrame, p: Tree = Tree()) -> D
     """Scores of docs (doc_id, text, block), a row each. block groups some thousands of rows, neighbours at best."""
     scratch, parts = Scratch(spark), n_parts(spark)
     rows = docs.select("block", in_fold(p.folds, p.held_out).alias("held_out"), "text", F.col("doc_id").cast("long").alias("doc_id"))
-    asked = map_arrow(rows.select("block", "held_out", "text"), _ask, "block long, token binary, n long, name long").repartition(parts, "token")
-    own = Window.partitionBy("token")
-    counted = asked.groupBy("token", "block", "name").agg(F.sum("n").alias("n"))
-    counted = counted.withColumn("c", F.sum("n").over(own)).withColumn("first", F.row_number().over(own.orderBy("block")) == 1)
-    counted = scratch.save(counted, "tokens")
-    types = counted.where("first and c > 0").select("token", "c")
+    asked = map_arrow(rows.select("block", "held_out", "text"), _ask, "block long, token binary, n long, name long")
+    asked = scratch.save(asked.groupBy("token", "block", "name").agg(F.sum("n").alias("n")), "asked")
+    # summed on the map side and joined back between plain shuffles, which split a token that very many blocks have
+    every = scratch.save(asked.groupBy("token", "name").agg(F.sum("n").alias("c")), "types")
+    counted = scratch.save(asked.join(every.select("token", "c"), "token").select("token", "block", "name", "c"), "tokens")
+    scratch.drop("asked")
+    types = every.where("c > 0")
     seen = [F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]
     total = types.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), *seen).first()
     model = Model(total.n, total.v, (total.n1, total.n2, total.n3, total.n4))
@@ -340,7 +341,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, p: Tree = Tree()) -> D
     null = lambda kind: F.lit(None).cast(kind)
     texts = rows.select("block", F.lit(2).alias("kind"), null("long").alias("name"), "held_out", "text")
     told = counted.where(F.col("c") >= at_least).select("block", F.lit(1).alias("kind"), "name", null("boolean").alias("held_out"), null("string").alias("text"))
-    shorter = counted.where("first").select(F.col("name").alias("shorter"), _root_column(model).alias("p"))
+    shorter = every.select(F.col("name").alias("shorter"), _root_column(model).alias("p"))
     answers, depth = [], 0
     while True:
         depth += 1
