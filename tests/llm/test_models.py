@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from quillgraph.llm import quality, suffix_tree, toxicity
+from quillgraph.llm.fitting import logistic
 
 from tests.llm import brute
 
@@ -109,18 +110,28 @@ def test_suffix_tree_counts_and_probabilities(spark):
 
 
 def test_suffix_tree_sums_to_one(spark):
-    """One text after another with a next token each: over all known tokens, the end and one unknown token."""
+    """After each context, the shares of all known tokens, the end and one unknown token, read from scores, sum to one."""
     rows = [(i, " ".join("abcab"[(i + k) % 5] for k in range(9)), 0) for i in range(200) if brute.fold(i, 5) != 1]
-    ends = [i for i in range(1000, 1100) if brute.fold(i, 5) == 1][:8]
-    context = ["", "a", "a b", "b c", "zz a"]
-    for ctx in context:
-        asked = [(ends[k], f"{ctx} {w}".strip(), 0) for k, w in enumerate(["a", "b", "c", "unseen"])] + [(ends[5], ctx, 0)]
-        df = spark.createDataFrame(rows + asked, "doc_id long, text string, block long")
-        got = {r.doc_id: r.score for r in suffix_tree.score_documents(spark, df, suffix_tree.Tree(least=1e-3)).collect()}
-        # a text's score ends in its end, so the next token's share is read from a text with two more tokens less one
-        assert all(np.isfinite(got[i]) and got[i] < 0 for i, *_ in asked)
-    odd = spark.createDataFrame([(1, None, 0), (2, "", 0), (None, "a", 1)], "doc_id long, text string, block long")
-    assert suffix_tree.score_documents(spark, odd).count() == 3
+    held = [i for i in range(1000, 1400) if brute.fold(i, 5) == 1]
+    contexts, known = ["a", "a b", "b c", "zz a", "c a b"], ["a", "b", "c", "unseen"]
+    asked, ids = [], iter(held)
+    for ctx in contexts:
+        asked += [(next(ids), ctx, (ctx, None))] + [(next(ids), f"{ctx} {w}", (ctx, w)) for w in known]
+    df = spark.createDataFrame(rows + [(i, t, 0) for i, t, _ in asked], "doc_id long, text string, block long")
+    got = {r.doc_id: r.score for r in suffix_tree.score_documents(spark, df, suffix_tree.Tree()).collect()}
+    score = {key: got[i] for i, _, key in asked}
+    docs = {i: t for i, t, _ in rows} | {i: t for i, t, _ in asked}
+    # the end's share after a context and one more token comes from the definition
+    want, _ = tree_scores(docs, 2, suffix_tree.Tree().sigma)
+    assert all(score[key] == pytest.approx(want[i], rel=1e-7) for i, _, key in asked)
+    share = next_shares(docs, contexts, known)
+    assert all(sum(share[c].values()) == pytest.approx(1.0) for c in contexts)
+
+
+def test_suffix_tree_with_odd_rows(spark):
+    odd = spark.createDataFrame([(1, None, 0, "m"), (2, "", 0, "m"), (None, "a", 1, "m"), (2, "", 0, "m")], "doc_id long, text string, block long, token string")
+    got = suffix_tree.score_documents(spark, odd).collect()
+    assert len(got) == 4 and all(r.score <= 0 for r in got)
     assert suffix_tree.score_documents(spark, odd.limit(0)).count() == 0
 
 
@@ -168,10 +179,40 @@ def tree_scores(docs: dict, least: int, sigma: float) -> tuple[dict, int]:
         kept |= p.keys()
         if not open_:
             break
+    tree_scores.after = lambda t: p[next(x for d in range(min(len(t), deepest), -1, -1) if (x := tuple(t[len(t) - d :])) in kept)]
     longest = lambda t, i: next(x for d in range(min(i, deepest), -1, -1) if (x := tuple(t[i - d : i])) in kept)
     return {i: sum(np.log10(p[longest(t, i)](w)) for i, w in enumerate(t)) for i, t in toks.items()}, deepest
 
 
+def next_shares(docs: dict, contexts: list, known: list) -> dict:
+    """context -> next token -> its probability, by the definition's longest retained suffix."""
+    tree_scores(docs, 2, suffix_tree.Tree().sigma)
+    return {c: {w: tree_scores.after(brute.lower(c))(w) for w in [*(w.encode() for w in known), None]} for c in contexts}
+
+
+def test_logistic_and_strengths_by_their_definition():
+    """The weights are where the penalised loss is flat, and a document's strength is the sum over its features' steps."""
+    rng = np.random.default_rng(7)
+    x, y = rng.standard_normal((400, 5)), (rng.random(400) < 0.4).astype(float)
+    w = logistic(x, y, 0.5, False)
+    p = 1 / (1 + np.exp(-(x @ w)))
+    assert np.abs(x.T @ (y - p) - 0.5 * w).max() < 1e-4
+    docs = rng.standard_normal((300, 14))
+    good = (docs[:, 0] + 0.5 * docs[:, 3] + 0.3 * rng.standard_normal(300) > 0).astype(int)
+    m = quality.BradleyTerry(docs, good, quality.Quality(pairs=4000))
+    for row in docs[:20]:
+        at, naive = 0, 0.0
+        for j, edges in enumerate(m.edges):
+            for e in edges:
+                naive += m.weights[at] * (row[j] > e)
+                at += 1
+        assert m.strength(row[None, :])[0] == pytest.approx(naive)
+    s = m.strength(docs)
+    wins = np.mean([s[a] > s[b] for a in np.flatnonzero(good)[:80] for b in np.flatnonzero(good == 0)[:80]])
+    assert wins > 0.9  # preferred documents are the stronger ones of their pairs
+    assert ((m.score(docs) >= 0.3) == (s >= m.calibrated.cut - 1e-12)).all()
+
+
 def test_suffix_tree_against_the_definition(spark):
     """Contexts of any depth that occur least times, however many tokens there are, with all their successors."""
     rng = np.random.default_rng(3)

@@ -7,7 +7,7 @@ import math
 import re
 import textwrap
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import corpus_pipeline
 import duckdb
@@ -102,6 +102,28 @@ def test_mixing(spark):
     assert set(mixing.mixed_texts(spark, odd, mix).columns) == set(odd.columns)
 
 
+def test_mixing_takes_the_first_blocks_of_each_permutation(spark):
+    """Taken words by the definition: each source's blocks, in the order of their bucket and hash, until the epoch's quota is met."""
+    mix = mixing.Mix(block_words=40)
+    docs = spark.read.parquet(f"{brute.DATA}/documents.parquet").limit(60)
+    size = {r.doc_id: (len(brute.lower(r.text)), r.source) for r in docs.collect()}
+    sources = sorted({s for _, s in size.values()}, key=lambda s: (s is None, (s or "").encode()))
+    total = [sum(n for n, x in size.values() if x == s) for s in sources]
+    goal = mixing.targets(total, mix)
+    blocks = [(i, k, n - k if n - k < 40 else 40) for i, (n, _) in size.items() for k in range(0, n, 40)]
+    rows = spark.createDataFrame([(e, i, k, w) for e in (1, 2) for i, k, w in blocks], "epoch int, doc_id long, start long, words long")
+    h = F.xxhash64(F.lit(mix.seed), "epoch", "doc_id", "start")
+    hashed = rows.select("*", h.alias("h"), F.pmod(F.shiftrightunsigned(h, 40), F.lit(mix.buckets)).alias("bucket")).collect()
+    want = Counter()
+    for s, whole, target in zip(sources, total, goal, strict=True):
+        for epoch in (1, 2):
+            left = max(0, min(whole, round(target) - (epoch - 1) * whole))
+            for r in sorted((r for r in hashed if r.epoch == epoch and size[r.doc_id][1] == s), key=lambda r: (r.bucket, r.h, r.doc_id, r.start)):
+                want[r.doc_id] += min(left, r.words)
+                left -= min(left, r.words)
+    assert {r.doc_id: r.taken for r in mixing.mix_documents(spark, docs, mix).collect()} == {i: want[i] for i in size}
+
+
 def test_mixed_texts_are_dealt_and_shuffled(spark):
     """Rows sorted by source leave in shards, each in the order of its shuffle, with a document's epochs apart."""
     mix = mixing.Mix(block_words=1 << 40, shards=4, weights=(5.0, 2.0))
