@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.scratch import Scratch
@@ -69,3 +69,13 @@ def same_classes(a: DataFrame, b: DataFrame) -> DataFrame:
     x = a.select(F.col("seed").alias("seed_a"), "id", F.col("class").alias("ca"))
     y = b.select(F.col("seed").alias("seed_b"), "id", F.col("class").alias("cb"))
     return x.join(y, "id").groupBy("seed_a", "seed_b").agg(F.count("*").alias("shares"), F.count(F.when(F.col("ca") == F.col("cb"), 1)).alias("agree"))
+
+
+def ranked(overlaps: DataFrame, most: int = 20) -> DataFrame:
+    """(owner, shares, total, turn) of overlaps (owner, shares, total), the largest share first, then by owner. Shares are compared as exact
+    fractions: in lowest terms, by whole part of a large multiple, then by what is left."""
+    scale = F.lit(1 << 30)
+    whole, rest = F.floor(F.col("shares") * scale / F.col("total")), (F.col("shares") * scale) % F.col("total")
+    rows = overlaps.where("total > 0").withColumns({"q": whole, "r": rest / F.col("total")}).orderBy(F.desc("q"), F.desc("r"), "owner").limit(most)
+    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("q"), F.desc("r"), "owner")  # most rows
+    return rows.withColumn("turn", F.row_number().over(order)).select("owner", "shares", "total", "turn")

@@ -89,4 +89,30 @@ def round_robin(tests: DataFrame, cap: int) -> DataFrame:
     return tests.withColumn("turn", turn).orderBy("turn", "node", "test").limit(cap).select("node", "test", "turn")
 
 
-__all__ = ["ancestors", "clone_plan", "degree", "drawn_edges", "hidden", "layering", "levels", "lineage", "reach_counts", "round_robin", "unbuilt_upstream"]
+def nearest_first(nodes: DataFrame, edges: DataFrame | Graph, starts: DataFrame) -> DataFrame:
+    """(id, turn, depth): the order in which a page takes nodes (id): those that are near a start along edges of either direction first, by
+    distance and id; the rest after them, from their own roots, by distance and id; what hangs on cycles alone comes last."""
+    links = drawn_edges(edges, nodes)
+    both = Graph.of(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    near = bfs(both, starts.join(nodes.select("id"), "id", "left_semi")).select("id", "depth", F.lit(0).alias("turn"))
+    rest = nodes.select("id").distinct().join(near, "id", "left_anti")
+    roots = rest.join(links.where("src <> dst").select(F.col("dst").alias("id")), "id", "left_anti")
+    far = bfs(both, roots).select("id", "depth", F.lit(1).alias("turn"))
+    left = rest.join(far, "id", "left_anti").select("id", F.lit(0).alias("depth"), F.lit(2).alias("turn"))
+    return near.unionByName(far).unionByName(left)
+
+
+def upstream_relations(edges: DataFrame, nodes: DataFrame, focus: DataFrame) -> DataFrame:
+    """(id, relation) of what a compiled text reads: the parents of focus (id), those that pass (nodes: id, passes, relation) replaced by
+    theirs; blank relations are left out."""
+    above = clone_plan(edges, nodes, focus)
+    return above.join(nodes.select("id", "relation"), "id").where("trim(coalesce(relation, '')) <> ''").distinct()
+
+
+def clone_answer(edges: DataFrame, nodes: DataFrame, focus: DataFrame) -> DataFrame:
+    """(id, name, kind, how) of a clone plan over nodes (id, name, kind, passes): what is cloned, and sources, which are only read."""
+    rows = clone_plan(edges, nodes, focus).join(nodes.select("id", "name", "kind"), "id")
+    return rows.select("id", "name", "kind", F.when(F.col("kind") == "source", "read").otherwise("clone").alias("how"))
+
+
+__all__ = ["ancestors", "clone_answer", "clone_plan", "degree", "drawn_edges", "hidden", "layering", "levels", "lineage", "nearest_first", "reach_counts", "round_robin", "unbuilt_upstream", "upstream_relations"]

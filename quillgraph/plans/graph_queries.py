@@ -500,3 +500,98 @@ def config_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folders whose settings name a key: a map of settings by path, exploded."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("path"), F.create_map(F.lit("x"), F.lit(1), F.when(F.col("o_totalprice") > 400000, F.col("o_orderstatus")).otherwise("y"), F.lit(2)).alias("settings"))
     return merging.setting_paths(rows).where("key not in ('x', 'y')").select(F.col("path").alias("project"), "key").distinct()
+
+
+# --- more answers ------------------------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'n' || s_nationkey AS src, 's' || s_suppkey AS dst FROM supplier WHERE s_nationkey < 10 UNION SELECT 'x' || s_suppkey, 'y' || s_suppkey FROM supplier WHERE s_suppkey < 9 UNION SELECT 'c1', 'c2' UNION SELECT 'c2', 'c1'),
+b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w(id, d) AS (SELECT 'n3', 0 UNION SELECT b.dst, d + 1 FROM w JOIN b ON b.src = w.id WHERE d < 4), near AS (SELECT id, min(d) AS depth FROM w GROUP BY 1), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
+r AS (SELECT id FROM n WHERE id NOT IN (SELECT id FROM near) AND id NOT IN (SELECT dst FROM e)), f AS (SELECT id, 0 AS depth FROM r UNION SELECT dst, 1 FROM e WHERE src IN (SELECT id FROM r))
+SELECT id, CAST(depth AS BIGINT) AS depth, 0::BIGINT AS turn FROM near UNION ALL SELECT id, depth, 1 FROM f UNION ALL SELECT id, 0, 2 FROM n WHERE id LIKE 'c%'""")
+def nearest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    key = lambda c, col: F.concat(F.lit(c), F.col(col).cast("string"))
+    e = s.where("s_nationkey < 10").select(key("n", "s_nationkey").alias("src"), key("s", "s_suppkey").alias("dst"))
+    e = e.union(s.where("s_suppkey < 9").select(key("x", "s_suppkey"), key("y", "s_suppkey"))).union(spark.createDataFrame([("c1", "c2"), ("c2", "c1")], "src string, dst string"))
+    nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
+    return longs(lineage.nearest_first(nodes, e, one(spark, "n3")), "depth", "turn")
+
+
+PASSING = "kind IN ('order', 'nation')"
+ABOVE = f"""{project.nodes_sql()}, {project.edges_sql()}, w(id) AS (SELECT src FROM e WHERE dst = 'part.7' UNION SELECT e.src FROM w JOIN e ON e.dst = w.id JOIN n ON n.id = w.id WHERE {PASSING})"""
+
+
+def _passing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = project.nodes(spark, sf_dir)
+    return n.withColumns({"passes": F.col("kind").isin("order", "nation"), "relation": F.when(F.col("kind") == "supplier", F.col("name"))})
+
+
+@query(f"WITH RECURSIVE {ABOVE} SELECT w.id, name AS relation FROM w JOIN n ON n.id = w.id WHERE kind = 'supplier'")
+def upstream_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.upstream_relations(project.edges(spark, sf_dir), _passing(spark, sf_dir), one(spark, "part.7"))
+
+
+@query(f"WITH RECURSIVE {ABOVE} SELECT w.id, name, kind, 'clone' AS how FROM w JOIN n ON n.id = w.id WHERE NOT {PASSING}")
+def clone_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.clone_answer(project.edges(spark, sf_dir), _passing(spark, sf_dir), one(spark, "part.7"))
+
+
+@query("SELECT doc_id AS id, substr(text, 1, 100) AS sql, coalesce(length(text) > 100, false) AS cut FROM documents")
+def attached_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cards.attach_sql(docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("path")), docs.select(F.col("doc_id").alias("path"), "text"), 100)
+
+
+@query("""WITH p AS (SELECT l_suppkey AS node, 'c' || l_linenumber AS col, CASE WHEN l_returnflag = 'A' THEN 'star' ELSE 'name lost_' || lower(l_returnflag) END AS note FROM lineitem WHERE l_quantity = 50 UNION SELECT s_suppkey, 'c1', 'begins here' FROM supplier WHERE s_acctbal < 0),
+x AS (SELECT DISTINCT node, col, note FROM p) SELECT node, upper(col) AS "column", string_agg(note, '; ' ORDER BY note) AS notes FROM x GROUP BY 1, 2""")
+def column_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines, flag = table(spark, sf_dir, "lineitem"), F.col("l_returnflag")
+    col = F.concat(F.lit("c"), F.col("l_linenumber").cast("string"))
+    partial = lines.where("l_quantity = 50").select(F.col("l_suppkey").alias("node"), col.alias("column"), F.when(flag == "A", "star").otherwise("name").alias("reason"), F.when(flag != "A", F.concat(F.lit("lost_"), F.lower(flag))).alias("name"))
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), F.explode(F.array(*[F.lit(f"C{k}") for k in range(1, 8)])).alias("column"))
+    return cards.column_notes(own, partial, table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("node"), F.lit("C1").alias("column")))
+
+
+@query("SELECT l_suppkey AS id, 'o' || l_orderkey || '.' || l_linenumber AS \"column\", row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, 'o' || l_orderkey || '.' || l_linenumber) AS turn FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3)")
+def column_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string")).alias("column"), F.col("l_orderkey").alias("ord"))
+    return longs(cards.selected_columns(table(spark, sf_dir, "supplier").where("s_nationkey = 3").select(F.col("s_suppkey").alias("id")), own), "turn")
+
+
+@query("""WITH a AS (SELECT DISTINCT p_brand AS package, p_type AS name FROM part), v AS (SELECT 'line' AS scope, NULL AS package, 'LARGE' AS name, 'l' AS value UNION ALL SELECT DISTINCT 'package', p_brand, 'SMALL', 'of ' || p_brand FROM part WHERE p_brand < 'Brand#2' UNION ALL SELECT 'project', NULL, unnest(['SMALL', 'LARGE', 'PROMO']), 'p')
+SELECT a.package, a.name, x.value, x.scope FROM a LEFT JOIN (SELECT a.package, a.name, v.value, v.scope, row_number() OVER (PARTITION BY a.package, a.name ORDER BY CASE scope WHEN 'line' THEN 0 WHEN 'package' THEN 1 ELSE 2 END) AS k FROM a JOIN v ON v.name = a.name AND (scope <> 'package' OR v.package = a.package)) x ON x.package = a.package AND x.name = a.name AND k = 1""")
+def resolved_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    values = spark.createDataFrame([("line", None, "LARGE", "l"), *(("project", None, n, "p") for n in ("SMALL", "LARGE", "PROMO"))], "scope string, package string, name string, value string")
+    own = part.where("p_brand < 'Brand#2'").select(F.lit("package").alias("scope"), F.col("p_brand").alias("package"), F.lit("SMALL").alias("name"), F.concat(F.lit("of "), "p_brand").alias("value")).distinct()
+    return cards.resolved_variables(part.select(F.col("p_brand").alias("package"), F.col("p_type").alias("name")), values.union(own))
+
+
+@query(f"""WITH {META} SELECT id, CASE WHEN package = 'Brand#3' AND folder = 'large' THEN 'Brand#3/large' ELSE package END AS path, CASE WHEN package = 'Brand#3' AND folder = 'large' THEN 'deep' ELSE 'top' END AS value FROM meta WHERE package IN ('Brand#3', 'Brand#4')""")
+def setting_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    settings = spark.createDataFrame([(["Brand#3"], "top"), (["Brand#4"], "top"), (["Brand#3", "large"], "deep"), (["Brand#3", "lar"], "no")], "parts array<string>, value string")
+    return cards.setting_folders(meta(spark, sf_dir), settings)
+
+
+@query("SELECT p_partkey AS id, CASE p_type WHEN 'LARGE' THEN 'append' WHEN 'SMALL' THEN 'merge' WHEN 'PROMO' THEN 'odd' ELSE 'merge' END AS strategy, p_type <> 'PROMO' AS known FROM part")
+def incremental_strategies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    macros_of = spark.createDataFrame([("get_incremental_default_sql", "{{ return(get_incremental_merge_sql(x)) }}"), ("get_incremental_merge_sql", "merge"), ("get_incremental_append_sql", "insert")], "name string, body string")
+    strategy = F.when(F.col("p_type") == "LARGE", " Append ").when(F.col("p_type") == "SMALL", "merge").when(F.col("p_type") == "PROMO", "odd").when(F.col("p_type") == "MEDIUM", "")
+    return cards.strategies(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), strategy.alias("strategy")), macros_of)
+
+
+@query("""WITH f AS (SELECT o_orderpriority AS project, o_orderkey AS path, o_orderdate AS changed, o_orderstatus = 'P' AS held FROM orders WHERE o_totalprice > 50000), n AS (SELECT o_orderpriority AS project, count(*) FILTER (o_totalprice <= 50000) AS gone FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1),
+c AS (SELECT project, count(*) FILTER (held) AS edited, count(*) FILTER (NOT held) AS committed FROM f WHERE changed > TIMESTAMP '1999-06-01' GROUP BY 1)
+SELECT n.project, coalesce(edited, 0) AS edited, coalesce(committed, 0) AS committed, gone, CASE WHEN coalesce(committed, 0) + gone > 0 THEN 'stale' WHEN coalesce(edited, 0) > 0 THEN 'edited' ELSE 'fresh' END AS state FROM n LEFT JOIN c ON c.project = n.project""")
+def folder_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("project"), F.col("o_orderkey").alias("path"), F.col("o_orderdate").alias("changed"), "o_orderstatus", "o_totalprice")
+    files = o.where("o_totalprice > 50000").select("project", "path", "changed")
+    return cards.folder_freshness(o.where("o_orderstatus <> 'F'"), files, F.lit("1999-06-01 00:00:00").cast("timestamp_ntz"), o.where("o_orderstatus = 'P'").select("project", "path"))
+
+
+@query("""WITH s AS (SELECT DISTINCT l_suppkey AS owner, l_partkey AS item FROM lineitem), m AS (SELECT item FROM s WHERE owner = 1), z AS (SELECT owner, count(*) AS size FROM s GROUP BY 1), h AS (SELECT owner, count(*) AS shares FROM s WHERE item IN (SELECT item FROM m) AND owner <> 1 GROUP BY 1),
+o AS (SELECT h.owner, h.shares, z.size + (SELECT count(*) FROM m) - h.shares AS total FROM h JOIN z ON z.owner = h.owner), k AS (SELECT *, row_number() OVER (ORDER BY shares::DOUBLE / total DESC, owner) AS turn FROM o) SELECT owner, shares, total, turn FROM k WHERE turn <= 20""")
+def against_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("owner"), F.col("l_partkey").alias("item"))
+    return longs(against.ranked(merging.overlaps(sets, 1)), "turn")
