@@ -32,7 +32,7 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 V = "version IS NOT NULL"
 
 
-@query(f"""WITH {META} SELECT id, name = 'small_ring' AS by_leaf, name = 'small_ring' AND version = '30' AS by_version, package = 'Brand#2' AND folder = 'economy' AS by_folder, package = 'Brand#2' AS by_star,
+@query(f"""WITH {META} SELECT id, name = 'small_ring' AS by_leaf, name = 'small_ring' AND coalesce(version = '30', false) AS by_version, package = 'Brand#2' AND folder = 'economy' AS by_folder, package = 'Brand#2' AS by_star,
 folder = 'economy' AND name LIKE 'small%' AS without_package, false AS too_long FROM meta""")
 def methods_fqn(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, v = meta(spark, sf_dir), F.col("version")
