@@ -61,9 +61,9 @@ def degree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("id").join(sums, "id", "left").na.fill(0)
 
 
-def layering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def layering(nodes: DataFrame, edges: DataFrame | Graph) -> DataFrame:
     """(id, depth) of nodes in the graph that edges induce on them, by longest path."""
-    return longest_paths(nodes, drawn_edges(edges, nodes))
+    return longest_paths(nodes, edges)
 
 
 def clone_plan(edges: DataFrame, nodes: DataFrame, focus: DataFrame) -> DataFrame:

@@ -117,26 +117,23 @@ def walk_with_cuts(edges: DataFrame, seeds: DataFrame, cut: Column, max_depth: i
 
 
 def longest_paths(nodes: DataFrame, edges: DataFrame | Graph) -> DataFrame:
-    """(id, depth): the longest path to a node from one without parents. Nodes on a cycle or behind one stay at 0. Edges whose
-    source is placed are left out of the next round."""
+    """(id, depth): the longest path to a node from one without parents, along edges both of whose ends are in nodes (id). Nodes on a cycle
+    or behind one stay at 0. Edges whose source is placed are left out of the next round."""
     scratch = Scratch(nodes.sparkSession)
-    hops = Graph.of(edges).edges.where("src <> dst")
-    first = nodes.select("id").distinct()
-    place, n = scratch.save_counted(first)
-    left = scratch.read(place, schema=first.schema)
-    done, depth, shape = [], 0, first.withColumn("depth", F.lit(0)).schema
-    hops = scratch.save(hops.join(left.select(F.col("id").alias("src")), "src", "left_semi"))
-    while n:
-        ready = left.join(hops.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("depth", F.lit(depth))
+    ids = scratch.save(nodes.select("id").where("id is not null").distinct())
+    rows = edges.edges if isinstance(edges, Graph) else edges.select("src", "dst").distinct()
+    hops = rows.where("src <> dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    hops, shape = scratch.save(hops.select("src", "dst")), ids.withColumn("depth", F.lit(0)).schema
+    done: list[str] = []
+    while True:
+        left = ids.join(scratch.read(*done, schema=shape).select("id"), "id", "left_anti") if done else ids
+        ready = left.join(hops.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("depth", F.lit(len(done)))
         path, now = scratch.save_counted(ready)
         if not now:
-            break
+            rest = left.withColumn("depth", F.lit(0))
+            return scratch.read(*done, schema=shape).unionByName(rest) if done else rest
         done.append(path)
-        placed = scratch.read(path, schema=shape)
-        left, depth, n = scratch.save(left.join(placed, "id", "left_anti")), depth + 1, n - now
-        hops = scratch.save(hops.join(placed.select(F.col("id").alias("src")), "src", "left_anti"))
-    rest = left.withColumn("depth", F.lit(0))
-    return scratch.read(*done, schema=shape).unionByName(rest) if done else rest
+        hops = scratch.save(hops.join(scratch.read(path, schema=shape).select(F.col("id").alias("src")), "src", "left_anti"))
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:

@@ -7,13 +7,11 @@ others. Parts of size 40 and more have a test each.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.scratch import Scratch
-from quillgraph.plans.project import table
+from quillgraph.plans.project import once, table
 
 
 def model_id() -> Column:
@@ -92,14 +90,10 @@ def _results(spark: SparkSession, sf_dir: str) -> str:
     return write(per, "user", F.struct(F.struct(F.col("user").alias("invocation_id")).alias("metadata"), "results", F.struct(F.lit("build").alias("which")).alias("args")))
 
 
-@lru_cache(maxsize=32)
-def _made(app: str, spark: SparkSession, sf_dir: str, kind: str) -> str:
+@once
+def artifact(spark: SparkSession, sf_dir: str, kind: str) -> str:
+    """The folder of a kind of artifacts."""
     if kind.startswith("cache"):
         _, version, status = kind.split(":")
         return _cache(spark, sf_dir, int(version), status)
     return {"manifest": _manifest, "catalog": _catalog, "results": _results}[kind](spark, sf_dir)
-
-
-def artifact(spark: SparkSession, sf_dir: str, kind: str) -> str:
-    """The folder of a kind of artifacts; written once in a Spark application."""
-    return _made(spark.sparkContext.applicationId, spark, sf_dir, kind)

@@ -82,6 +82,7 @@ TREE = f"{project.nodes_sql()}, {PARTS_E}, {project.TESTS_SQL}, u AS (SELECT * F
 BIG = "SELECT 'part.' || p_partkey AS id FROM part WHERE p_size >= 40"
 
 
+@project.once
 def universe(spark: SparkSession, sf_dir: str) -> selection.Universe:
     nodes = project.nodes(spark, sf_dir).where("kind <> 'order'")
     size = table(spark, sf_dir, "part").select(node_id("part", "p_partkey").alias("id"), F.col("p_size").alias("size"))

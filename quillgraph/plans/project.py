@@ -2,11 +2,32 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.operators.traverse import Graph
+
+_MADE: dict[tuple, object] = {}
+
+
+def once(fn: Callable) -> Callable:
+    """fn(spark, sf_dir, …), made once in a Spark application for as long as the folder's files stay as they are."""
+
+    @wraps(fn)
+    def made(spark: SparkSession, sf_dir: str, *args):
+        path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+        stamp = tuple(sorted((f.getPath().getName(), f.getModificationTime(), f.getLen()) for f in found))
+        key = (fn.__module__, fn.__name__, spark.sparkContext.applicationId, sf_dir, stamp, *args)
+        if key not in _MADE:
+            _MADE[key] = fn(spark, sf_dir, *args)
+        return _MADE[key]
+
+    return made
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,6 +62,12 @@ def edges(spark: SparkSession, sf_dir: str, but: str = "") -> DataFrame:
     return reduce(DataFrame.unionByName, each).distinct()
 
 
+@once
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """The project's edges, prepared for all walks over it."""
+    return Graph.of(edges(spark, sf_dir))
+
+
 def nodes_sql() -> str:
     each = [f"SELECT '{k}.' || {key} AS id, {name or f"'{k}.' || {key}"} AS name, '{k}' AS kind FROM {t}" for k, t, key, name in KINDS]
     return f"n AS ({' UNION ALL '.join(each)})"

@@ -25,7 +25,7 @@ SELECT id, CAST(min(d) AS BIGINT) FROM down WHERE id NOT IN (SELECT id FROM up)
 
 @query(f"WITH RECURSIVE {E}, {WALK} SELECT id, distance FROM walk")
 def graph_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(lineage.lineage(project.edges(spark, sf_dir), one(spark, "nation.3"), 2, 2), "distance")
+    return longs(lineage.lineage(project.graph(spark, sf_dir), one(spark, "nation.3"), 2, 2), "distance")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {E}, {WALK} SELECT src, dst FROM e WHERE src IN (SELECT id FROM walk) AND dst IN (SELECT id FROM walk)")
 def graph_drawn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = traverse.Graph.of(project.edges(spark, sf_dir))
+    e = project.graph(spark, sf_dir)
     return lineage.drawn_edges(e, lineage.lineage(e, one(spark, "nation.3"), 2, 2))
 
 
@@ -42,7 +42,7 @@ def graph_drawn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT w.id, (SELECT count(*) FROM e WHERE e.dst = w.id AND e.src NOT IN (SELECT id FROM w)) AS hidden_up,
 (SELECT count(*) FROM e WHERE e.src = w.id AND e.dst NOT IN (SELECT id FROM w)) AS hidden_down FROM w""")
 def graph_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = traverse.Graph.of(project.edges(spark, sf_dir))
+    e = project.graph(spark, sf_dir)
     return lineage.hidden(e, lineage.lineage(e, one(spark, "nation.3"), 2, 2))
 
 
@@ -50,7 +50,7 @@ def graph_hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
 w AS (SELECT id, min(d) AS d FROM down GROUP BY id)
 SELECT CAST(d AS BIGINT) AS depth, kind AS label, count(*) AS n, CASE WHEN count(*) = 1 THEN min(name) END AS name FROM w JOIN n USING (id) WHERE d > 0 GROUP BY 1, 2""")
 def graph_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    walk = traverse.bfs(project.edges(spark, sf_dir), one(spark, "region.1"), 20)
+    walk = traverse.bfs(project.graph(spark, sf_dir), one(spark, "region.1"), 20)
     nodes = project.nodes(spark, sf_dir).withColumnRenamed("kind", "label")
     return longs(lineage.levels(nodes, walk), "depth")
 
@@ -59,19 +59,19 @@ def graph_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION SELECT seed, e.dst FROM r JOIN e ON e.src = r.id) SELECT 'nation.' || n_nationkey AS seed, count(r.id) AS n FROM nation LEFT JOIN r ON seed = 'nation.' || n_nationkey GROUP BY 1""")
 def graph_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = table(spark, sf_dir, "nation").select(node_id("nation", "n_nationkey").alias("seed"), node_id("nation", "n_nationkey").alias("id"))
-    return lineage.reach_counts(project.edges(spark, sf_dir), seeds)
+    return lineage.reach_counts(project.graph(spark, sf_dir), seeds)
 
 
 @query(f"""WITH {N}, {E} SELECT n.id, coalesce(i.k, 0) AS n_in, coalesce(o.k, 0) AS n_out FROM n
 LEFT JOIN (SELECT dst, count(*) AS k FROM e GROUP BY dst) i ON i.dst = n.id LEFT JOIN (SELECT src, count(*) AS k FROM e GROUP BY src) o ON o.src = n.id""")
 def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.degree(project.edges(spark, sf_dir), project.nodes(spark, sf_dir))
+    return lineage.degree(project.graph(spark, sf_dir).edges, project.nodes(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {N}, {E}, p(id, d) AS (SELECT id, 0 FROM n UNION SELECT e.dst, d + 1 FROM p JOIN e ON e.src = p.id)
 SELECT id, CAST(max(d) AS BIGINT) AS depth FROM p GROUP BY id""")
 def graph_layering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(lineage.layering(project.nodes(spark, sf_dir), project.edges(spark, sf_dir)), "depth")
+    return longs(lineage.layering(project.nodes(spark, sf_dir), project.graph(spark, sf_dir)), "depth")
 
 
 STEPS_SQL = """s AS (SELECT user_id || '.' || event_type AS src, user_id || '.' || lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
@@ -96,14 +96,14 @@ def _passing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {N}, {E}, w(id) AS (SELECT src FROM e WHERE dst = 'part.7' UNION SELECT e.src FROM w JOIN e ON e.dst = w.id JOIN n ON n.id = w.id WHERE kind IN ('order', 'nation'))
 SELECT w.id FROM w JOIN n ON n.id = w.id WHERE kind NOT IN ('order', 'nation')""")
 def graph_clone_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.clone_plan(project.edges(spark, sf_dir), _passing(spark, sf_dir), one(spark, "part.7"))
+    return lineage.clone_plan(project.graph(spark, sf_dir).edges, _passing(spark, sf_dir), one(spark, "part.7"))
 
 
 @query(f"""WITH RECURSIVE {N}, {E}, w(id, top) AS (SELECT e.dst, e.src FROM e JOIN n ON n.id = e.dst WHERE kind NOT IN ('order', 'nation')
 UNION SELECT w.id, e.src FROM w JOIN e ON e.dst = w.top JOIN n ON n.id = w.top WHERE kind IN ('order', 'nation'))
 SELECT DISTINCT w.id, w.top AS parent FROM w JOIN n ON n.id = w.top WHERE kind NOT IN ('order', 'nation')""")
 def graph_unbuilt_upstream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.unbuilt_upstream(project.edges(spark, sf_dir), _passing(spark, sf_dir))
+    return lineage.unbuilt_upstream(project.graph(spark, sf_dir).edges, _passing(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {E}, w(id, class) AS (SELECT 'region.' || r_regionkey, 0 FROM region UNION
@@ -111,7 +111,7 @@ SELECT e.dst, greatest(class, CASE WHEN e.dst LIKE 'supplier.%' THEN 1 WHEN e.ds
 SELECT id, CAST(min(class) AS BIGINT) AS class FROM w GROUP BY id""")
 def graph_best_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least class of any path from a root, the largest of a path's edges being its class: a fixpoint of max and min."""
-    edges = project.edges(spark, sf_dir)
+    edges = project.graph(spark, sf_dir).edges
     edges = edges.withColumn("class", F.when(F.col("dst").startswith("supplier."), 1).when(F.col("dst").startswith("order."), 2).otherwise(0))
     start = table(spark, sf_dir, "region").select(node_id("region", "r_regionkey").alias("id"), F.lit(0).alias("class"))
 
@@ -142,6 +142,7 @@ TREE = f"""{N}, {PARTS_E}, {TESTS_SQL}, u AS (SELECT * FROM n WHERE kind <> 'ord
 ue AS (SELECT src, dst FROM pe WHERE src IN (SELECT id FROM u) AND dst IN (SELECT id FROM u))"""
 
 
+@project.once
 def universe(spark: SparkSession, sf_dir: str) -> selection.Universe:
     nodes = project.nodes(spark, sf_dir).where("kind <> 'order'")
     part = table(spark, sf_dir, "part").select(node_id("part", "p_partkey").alias("id"), F.array("p_brand", "p_type").alias("tags"))
