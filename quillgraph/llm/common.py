@@ -172,10 +172,12 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch, name: st
     )
     seen, i = None, 0
     while True:
+        # what is joined is written first: a join between plain shuffles splits an id that very many edges meet
         both = cur.unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = scratch.save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}low")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = scratch.save(large, f"{name}large")
+        low = scratch.save(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}least")
         small = (
             large.join(low, "a")
             .where("b <> m")

@@ -302,7 +302,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: Similar = Similar()
     info = found.where(F.col("kind") == INFO).select("doc", "n", "sketch")
     wide = found.where(F.col("kind") == MEMBER).select("sig", "doc", "n", "rep")
     equal = found.where(F.col("kind") == EQUAL).select(F.col("rep").alias("a"), F.col("doc").alias("b"))
-    one = info.dropDuplicates(["doc"])
+    one = scratch.save(info.dropDuplicates(["doc"]), "sets")  # a row for each id, joined many times
 
     paired = found.where(F.col("kind").isin(MEMBER, PAIR) & (F.col("doc") != F.col("rep")))
     paired = scratch.save(paired.groupBy("rep", "doc").agg(F.count("*").alias("c")), "paired")
