@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import folders_above, status
+from quillgraph.sources.reports import Report
 
 # How statuses are told apart in a report, and kinds that a graph holds.
 LISTS = {"problem": ("error", "fail"), "warned": ("warn", "partial"), "skipped": ("skipped",)}
@@ -121,3 +122,45 @@ def index(reports: dict[str, DataFrame]) -> DataFrame:
     """(report, n, filled) of each report."""
     each = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("report"), "n", (F.col("n") > 0).alias("filled")) for k, df in reports.items()]
     return reduce(DataFrame.unionByName, each)
+
+
+def to_investigate(report: Report) -> DataFrame:
+    """(document, n): how many models and relations the findings name, each once: those of the findings that the program worded itself, where
+    there are any."""
+    own = report.written.select("document", "id").distinct().groupBy("document").agg(F.count("*").alias("own"))
+    filed = report.findings.select("document", "id").distinct().groupBy("document").agg(F.count("*").alias("filed"))
+    rows = report.head.select("document").distinct().join(own, "document", "left").join(filed, "document", "left")
+    return rows.select("document", F.coalesce("own", "filed", F.lit(0)).alias("n"))
+
+
+def report_summary(report: Report, top: int = 3) -> DataFrame:
+    """(document, models, parsed, from_files, set_aside, reasons, to_investigate): a report's counters, and the reasons why models weren't
+    parsed, the most frequent first, then by name."""
+    names = {"models": "models", "parsed": "parsed", "from_files": "sql_from_files", "set_aside": "sql_from_files_set_aside"}
+    totals = report.totals.groupBy("document").agg(*(F.coalesce(F.max(F.when((F.col("counter") == v) & (F.col("value") >= 0), F.col("value"))), F.lit(0)).cast("long").alias(k) for k, v in names.items()))
+    per = report.models.where("parse_error <> ''").groupBy("document", "parse_error").agg(F.count("*").alias("n"))
+    turn = F.row_number().over(Window.partitionBy("document").orderBy(F.desc("n"), "parse_error"))
+    first = per.withColumn("turn", turn).where(F.col("turn") <= top).groupBy("document").agg(F.array_sort(F.collect_list(F.struct("turn", "parse_error", "n"))).alias("x"))  # top rows
+    reasons = F.array_join(F.transform("x", lambda x: F.concat(x["parse_error"], F.lit(" x"), x["n"].cast("string"))), "; ")
+    rows = report.head.select("document").distinct().join(totals, "document", "left").join(first.select("document", reasons.alias("reasons")), "document", "left")
+    return rows.join(to_investigate(report).withColumnRenamed("n", "to_investigate"), "document").na.fill(0, list(names)).na.fill("", ["reasons"])
+
+
+def compare_reports(a: Report, b: Report) -> DataFrame:
+    """(document, part, key, a, b, change): counters (totals) and numbers of findings by kind (findings) of two versions, where either has one."""
+    total = lambda r: r.totals.where("value >= 0 and value = floor(value)").select("document", F.lit("totals").alias("part"), F.col("counter").alias("key"), F.col("value").cast("long").alias("n"))
+    found = lambda r: r.findings.groupBy("document", F.lit("findings").alias("part"), F.col("kind").alias("key")).agg(F.count("*").alias("n"))
+    side = lambda r, name: total(r).unionByName(found(r)).withColumnRenamed("n", name)
+    both = side(a, "a").join(side(b, "b"), ["document", "part", "key"], "full_outer").na.fill(0, ["a", "b"])
+    return both.withColumn("change", F.col("b") - F.col("a"))
+
+
+def moved_models(a: Report, b: Report, edges: DataFrame) -> DataFrame:
+    """(document, id, gained, lost, changed, read_a, read_b): models whose edges in (document, dst, change) differ between two versions, or that
+    the two read in unlike ways; a model that a report doesn't list was parsed."""
+    n = lambda c: F.count(F.when(F.col("change") == c, 1)).alias(c)
+    per = edges.groupBy("document", F.col("dst").alias("id")).agg(n("gained"), n("lost"), n("changed"))
+    last = lambda r, name: r.models.where("id <> ''").groupBy("document", "id").agg(F.max_by("provenance", "place").alias(name))
+    ways = last(a, "read_a").join(last(b, "read_b"), ["document", "id"], "full_outer").na.fill("parsed", ["read_a", "read_b"])
+    rows = per.join(ways, ["document", "id"], "full_outer").na.fill(0, ["gained", "lost", "changed"]).na.fill("parsed", ["read_a", "read_b"])
+    return rows.where("gained + lost + changed > 0 or read_a <> read_b")

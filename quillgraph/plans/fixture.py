@@ -96,4 +96,50 @@ def artifact(spark: SparkSession, sf_dir: str, kind: str) -> str:
     if kind.startswith("cache"):
         _, version, status = kind.split(":")
         return _cache(spark, sf_dir, int(version), status)
+    if kind.startswith("report"):
+        return _report(spark, sf_dir, int(kind[-1]))
     return {"manifest": _manifest, "catalog": _catalog, "results": _results}[kind](spark, sf_dir)
+
+
+def _report(spark: SparkSession, sf_dir: str, version: int) -> str:
+    """A report a line, for each 200 parts; what is said of a part goes by its size, and in the second version by the next size."""
+    part = table(spark, sf_dir, "part").withColumn("s", F.col("p_size") if version == 1 else F.col("p_size") % 50 + 1)
+    s = F.col("s")
+    given = lambda c, v: F.when(c, v)
+    told = lambda t: F.lit(t)
+    key = F.col("p_partkey").cast("string")
+    end = lambda reason, via: F.struct(F.lit(reason).alias("reason"), F.lit(via).cast("string").alias("via"))
+    loose = given(s % 19 == 0, F.concat(told('["x", 5, "'), "p_type", told('"]'))).otherwise(given(s % 17 == 0, told('"just text"')))
+    model = F.struct(
+        F.concat(told("model.m"), key).alias("unique_id"), F.when(s % 12 == 0, "inferred").when(s % 10 == 2, "unresolved").otherwise("parsed").alias("provenance"),
+        given(s % 10 == 1, F.concat(told("no compiled_code for "), "p_name")).otherwise(given(s % 10 == 2, F.concat(told("syntax error in "), "p_type"))).alias("parse_error"),
+        F.concat(told("target/"), key, told(".sql")).alias("sql_file"), given(s % 7 == 0, F.lit(True)).alias("sql_file_set_aside"),
+        given(s % 3 == 0, F.array("p_brand", "p_type", "p_brand")).alias("missing_columns"), given(s % 25 == 12, F.transform(F.sequence(F.lit(1), F.lit(25)), lambda i: F.concat(told("c"), i.cast("string")))).alias("unexpected_columns"),
+        given(s % 11 == 0, F.lit(True)).alias("yaml_stale"), given(s % 13 == 0, F.struct(s.alias("computed"), (2 * s).alias("declared"))).alias("thin"),
+        given(s % 5 == 0, F.array("p_name", "p_type")).alias("undeclared_relations"), F.parse_json(loose).alias("unknown_relations"),
+        given(s % 4 == 0, F.array(*(F.struct(c.alias("column"), told(t).alias("cte"), F.transform(F.sequence(F.lit(1), s), lambda i: F.concat(told("o"), i.cast("string"))).alias("owners")) for c, t in ((F.upper("p_type"), "a"), (F.upper("p_type"), "b"), (told("x"), ""))))).alias("unbacked"),
+        given(s % 6 == 0, F.array(F.struct(F.col("p_name").alias("name")), F.struct(F.col("p_name").alias("name")))).alias("merged_scopes"),
+        given(s % 14 == 0, F.array(F.struct(F.col("p_brand").alias("column"), told("cat").alias("against")))).alias("read_downstream_but_absent"),
+        given(s % 8 == 0, F.array(F.struct(F.col("p_type").alias("column"), told("every").alias("by")), F.struct(told("z").alias("column"), told("compile").alias("by")))).alias("ambiguous_inferred"),
+        given(s % 9 == 0, F.array(
+            F.struct(told("k").alias("column"), F.array(end("phantom", "cte1"), end("names_unreached", None), end("other", None)).alias("ends")), F.struct(told("n").alias("column"), F.array().cast("array<struct<reason:string,via:string>>").alias("ends")),
+            F.struct(told("k2").alias("column"), F.array(end("phantom", "cte1"), end("phantom", "cte0")).alias("ends")),
+        )).alias("lost_columns"),
+        given(s % 2 == 1, F.array(F.struct(F.concat(told("E"), s.cast("string")).alias("code"), F.lit(False).alias("self_reference")), F.struct(told("S").alias("code"), F.lit(True).alias("self_reference")))).alias("issues"),
+    )
+    elsewhere = given(s == 20, F.struct(F.concat(told("model.m"), key).alias("unique_id"), F.col("p_name").alias("catalog_relation")))
+    collided = given(s == 30, F.struct(F.concat(told("db."), key).alias("relation"), F.array(F.concat(told("model.m"), key), told("model.other")).alias("nodes")))
+    worded = given(s == 40, F.struct(told("catalog").alias("category"), told("inputs").alias("owner"), F.concat(told("read "), "p_name").alias("title"), s.alias("columns"), F.array(F.struct(F.concat(told("model.m"), key).alias("unique_id"))).alias("models")))
+    # objects as texts, for variants can't be ordered
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c.isNotNull(), F.struct("p_partkey", F.to_json(c).alias("x"))))), lambda r: r["x"])
+    listed = lambda c, name: F.concat(F.lit(f'"{name}":['), F.array_join(ordered(c), ","), F.lit("]")).alias(name)
+    project = F.concat(told("p"), F.expr("p_partkey div 200").cast("string")).alias("project")
+    per = part.groupBy(project).agg(  # 200 parts
+        listed(model, "models"), listed(elsewhere, "catalog_elsewhere"), listed(collided, "relation_collisions"), listed(worded, "findings"), F.count("*").alias("n"), F.count(F.when(~(s % 10).isin(1, 2), 1)).alias("read"), F.sum("p_size").alias("sizes"),
+    )
+    totals = F.struct(F.col("n").alias("models"), F.col("read").alias("parsed"), F.col("sizes").alias("sql_from_files"), told("many").alias("odd"), F.lit(0.5).alias("share"))
+    head = F.to_json(F.struct("project", told("now").alias("generated_at"), totals.alias("totals")))
+    body = F.concat(F.regexp_replace(head, "}$", ","), F.concat_ws(",", "models", "catalog_elsewhere", "relation_collisions", "findings"), told("}"))
+    out = Scratch(spark).path()
+    per.select(body.alias("value")).write.text(out)
+    return out
