@@ -56,16 +56,17 @@ class Kind:
     weak: bool = True
 
 
-#: In the order in which parts of one start are listed.
+#: In the order in which parts of one start are listed. Of a run of one class of characters the whole is matched or nothing, so a pattern
+#: can ask for its length; after a value that is too short the search goes on behind it, so there the length is looked at afterwards.
 KINDS = (
     Kind("assign", SECRET, assigned("password|passwd|secret|token|api_?key"), 6, 2, weak=False),
-    Kind("access", IDENTIFIER, "AKIA[A-Z0-9]+", 20, has="AKIA", weak=False),
-    Kind("hex", SECRET, "[0-9a-f]+", 24, weak=False),
+    Kind("access", IDENTIFIER, "AKIA[A-Z0-9]{16,}", 20, has="AKIA", weak=False),
+    Kind("hex", SECRET, "[0-9a-f]{24,}", 24, weak=False),
     Kind("login", IDENTIFIER, assigned("user|user_?name|login|client_?id|account_?id|key_?id"), 3, 2),
     Kind("mail", IDENTIFIER, r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9.-]+", 6, has="@"),
-    Kind("key_id", IDENTIFIER, "(ASIA|AROA|AIDA|AGPA|ANPA|ANVA|AIPA)[A-Z0-9]+", 16),
+    Kind("key_id", IDENTIFIER, "(ASIA|AROA|AIDA|AGPA|ANPA|ANVA|AIPA)[A-Z0-9]{12,}", 16),
     Kind("pass", SECRET, assigned("pass|pwd|passphrase|auth|credential|private_?key|access_?key"), 4, 2),
-    Kind("mixed", SECRET, "[A-Za-z0-9+/_-]+", 32, also=("[A-Z]", "[a-z]", "[0-9]")),
+    Kind("mixed", SECRET, "[A-Za-z0-9+/_-]{32,}", 32, also=("[A-Z]", "[a-z]", "[0-9]")),
     Kind("url", ENDPOINT, r"""[a-z]{2,12}://[^\x20\x09-\x0D"'<>]+""", 10, has="://"),
     Kind("host", ENDPOINT, r"[0-9]{1,3}(\.[0-9]{1,3}){3}(:[0-9]{1,5})?", 7),
     Kind("break", BREAK, r"\n[\x20\x09\x0D]*\n", 2),
