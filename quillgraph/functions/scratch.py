@@ -40,6 +40,9 @@ class Scratch:
         self.n += 1
         return f"{self.root}/{self.n}"
 
+    def exists(self, path: str) -> bool:
+        return self._fs().exists(self._path(path))
+
     def save(self, df: DataFrame) -> DataFrame:
         return self.read(self.save_counted(df)[0], schema=df.schema)
 

@@ -77,20 +77,29 @@ def ancestors(edges: DataFrame | Graph, seeds: DataFrame, depth: int | None = No
 def fixpoint(start: DataFrame, step, key: list[str], best: dict[str, Column], most: int = 10_000) -> DataFrame:
     """The least fixpoint of state = best(state, step(changed rows)): rows (…key, …values), best naming the aggregate of each value.
 
-    Only rows that a round improved are stepped in the next (semi-naive), so a monotone step over a finite order ends."""
+    Only rows that a round improved are stepped in the next (semi-naive), so a monotone step over a finite order ends. A round is one job and
+    writes what it improved; the state is the best of all that was written, put together again every few rounds."""
     scratch = Scratch(start.sparkSession)
     values = list(best)
-    state = scratch.save(start.groupBy(*key).agg(*[best[v].alias(v) for v in values]))
-    changed = state
+    put = lambda df: df.groupBy(*key).agg(*[best[v].alias(v) for v in values])
+    first = put(start)
+    path, n = scratch.save_counted(first)
+    written, schema = [path], first.schema
     for _ in range(most):
-        proposed = step(changed).select(*key, *values)
-        merged = state.unionByName(proposed).groupBy(*key).agg(*[best[v].alias(v) for v in values])
-        merged = scratch.save(merged)
-        same = [merged[k].eqNullSafe(state[k]) for k in key] + [merged[v].eqNullSafe(state[v]) for v in values]
-        changed = scratch.save(merged.join(state, same, "left_anti"))
-        state = merged
-        if changed.isEmpty():
-            return state
+        if not n:
+            return put(scratch.read(*written, schema=schema))
+        changed = scratch.read(path, schema=schema)
+        if len(written) > 8:
+            written = [scratch.save_counted(put(scratch.read(*written, schema=schema)))[0]]
+        proposed = put(step(changed).select(*key, *values))
+        asked = [F.col(k).alias(f"__{k}") for k in key]
+        held = scratch.read(*written, schema=schema)
+        same = reduce(Column.__and__, (held[k].eqNullSafe(F.col(f"__{k}")) for k in key))
+        touched = put(held.join(proposed.select(*asked), same, "left_semi"))
+        merged = put(touched.unionByName(proposed))
+        alike = [merged[k].eqNullSafe(touched[k]) for k in key] + [merged[v].eqNullSafe(touched[v]) for v in values]
+        path, n = scratch.save_counted(merged.join(touched, alike, "left_anti"))
+        written.append(path)
     raise RuntimeError("no fixpoint: the step isn't monotone")
 
 
@@ -134,18 +143,3 @@ def longest_paths(nodes: DataFrame, edges: DataFrame | Graph) -> DataFrame:
             return scratch.read(*done, schema=shape).unionByName(rest) if done else rest
         done.append(path)
         hops = scratch.save(hops.join(scratch.read(path, schema=shape).select(F.col("id").alias("src")), "src", "left_anti"))
-
-
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """(id) of nodes on a cycle or on a path between two: leaves of either direction are taken off until none is left."""
-    scratch = Scratch(edges.sparkSession)
-    live = scratch.save(edges.select("src", "dst").distinct())
-    n = live.count()
-    while n:
-        keep = live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        keep = scratch.save(keep.join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        m = keep.count()
-        if m == n:
-            break
-        live, n = keep, m
-    return live.select(F.col("src").alias("id")).union(live.select("dst")).distinct()

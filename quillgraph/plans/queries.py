@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text
-from quillgraph.operators import aggregates, checks, jobs, lineage, merging, ranking, selection, traverse
+from quillgraph.operators import aggregates, checks, components, jobs, lineage, merging, ranking, selection, traverse
 from quillgraph.plans import project
 from quillgraph.plans.registry import ORACLES, QUERIES, longs, one, query
 from quillgraph.plans.project import ROLES_SQL, TESTS_SQL, edges_sql, node_id, nodes_sql, table
@@ -78,15 +78,37 @@ STEPS_SQL = """s AS (SELECT user_id || '.' || event_type AS src, user_id || '.'
 x AS (SELECT DISTINCT src, dst FROM s WHERE dst IS NOT NULL)"""
 
 
-@query(f"""WITH RECURSIVE {STEPS_SQL}, r(a, b) AS (SELECT src, dst FROM x UNION SELECT r.a, x.dst FROM r JOIN x ON x.src = r.b),
-c AS (SELECT DISTINCT a AS id FROM r WHERE a = b)
-SELECT id FROM c UNION SELECT r1.b FROM r r1 JOIN c c1 ON c1.id = r1.a JOIN r r2 ON r2.a = r1.b JOIN c c2 ON c2.id = r2.b""")
-def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+CLOSED = f"{STEPS_SQL}, r(a, b) AS (SELECT src, dst FROM x UNION SELECT r.a, x.dst FROM r JOIN x ON x.src = r.b)"
+
 
+def next_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): from what a user did to what the same user did next."""
     after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     rows = table(spark, sf_dir, "events").select("user_id", "event_type", after.alias("next")).where("next is not null")
-    return traverse.on_cycles(rows.select(F.concat_ws(".", "user_id", "event_type").alias("src"), F.concat_ws(".", "user_id", "next").alias("dst")))
+    return rows.select(F.concat_ws(".", "user_id", "event_type").alias("src"), F.concat_ws(".", "user_id", "next").alias("dst"))
+
+
+@query(f"WITH RECURSIVE {CLOSED} SELECT p.a AS id, min(p.b) AS component FROM r p JOIN r q ON q.a = p.b AND q.b = p.a GROUP BY 1")
+def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.cycles(next_steps(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {CLOSED}, i AS (SELECT src AS id FROM x UNION SELECT dst FROM x), k AS (SELECT a AS id, b FROM r UNION SELECT id, id FROM i)
+SELECT p.id, min(p.b) AS component FROM k p JOIN k q ON q.id = p.b AND q.b = p.id GROUP BY 1""")
+def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.strong_components(next_steps(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {CLOSED}, i AS (SELECT src AS id FROM x UNION SELECT dst FROM x) SELECT i.id, count(r.b) FILTER (r.b <> i.id) AS n FROM i LEFT JOIN r ON r.a = i.id GROUP BY 1")
+def reach_all_cyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.reach_all(next_steps(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {E}, i AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b)
+SELECT i.id, count(r.b) AS n FROM i LEFT JOIN r ON r.a = i.id GROUP BY 1""")
+def reach_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes every node of the project reaches."""
+    return components.reach_all(project.graph(spark, sf_dir))
 
 
 def _passing(spark: SparkSession, sf_dir: str) -> DataFrame:
