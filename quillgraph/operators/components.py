@@ -16,6 +16,8 @@ longest path, so both are for graphs that are wide rather than deep.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,9 +98,18 @@ def _starts(levels: DataFrame, hops: DataFrame) -> DataFrame:
     return dealt.withColumn("place", place).select("part", "level", F.xxhash64("level", "deal").alias("mix"), word.alias("word"), F.pmod("place", F.lit(BITS)).cast("int").alias("bit"))
 
 
-def reach_all(edges: DataFrame | Graph, block: int = 1 << 22) -> DataFrame:
-    """(id, n) of all ends of edges: how many others each reaches. block: starts that are carried at a time."""
-    graph = Graph.of(edges)
+@dataclass(frozen=True)
+class _Carried:
+    """Starts (part, word, bit), and of each component that they reach the words that reach it (part, word, bits)."""
+
+    parts: DataFrame
+    starts: DataFrame
+    words: DataFrame
+    sizes: DataFrame
+
+
+def _carry(graph: Graph, block: int, asked: DataFrame | None = None) -> _Carried:
+    """Carries starts along the levels, all of them or those of the nodes asked (id)."""
     spark = graph.edges.sparkSession
     scratch = Scratch(spark)
     parts = strong_components(graph)
@@ -106,36 +117,54 @@ def reach_all(edges: DataFrame | Graph, block: int = 1 << 22) -> DataFrame:
     sizes = scratch.save(parts.groupBy(F.col("component").alias("part")).agg(F.count("*").alias("size")))
     depth = longest_paths(sizes.select(F.col("part").alias("id")), Graph(hops))
     levels = scratch.save(depth.select(F.col("id").alias("part"), F.col("depth").alias("level")))
-    path, n = scratch.save_counted(_starts(levels, hops))
-    starts = spark.read.parquet(path)
+    some = levels if asked is None else levels.join(parts.join(asked, "id", "left_semi").select(F.col("component").alias("part")).distinct(), "part", "left_semi")
+    dealt = _starts(some, hops)
+    path, n = scratch.save_counted(dealt)
+    starts = scratch.read(path, schema=dealt.schema)
     last = levels.agg(F.max("level")).first()[0]
     blocks = -(-n // block)
     onward = scratch.save(hops.join(levels.withColumnRenamed("part", "dst"), "dst").join(levels.select(F.col("part").alias("src"), F.col("level").alias("from_level")), "src"))
-
-    done, schema = [], None
+    own = starts.select("part", "level", "mix", "word", F.expr("shiftleft(1L, bit)").alias("bits"))
+    done, schema = [], own.select("part", "word", "bits").schema
     for b in range(blocks):
-        own = starts.where(F.pmod("mix", F.lit(blocks)) == b)
-        own = own.select("part", "level", "word", F.expr("shiftleft(1L, bit)").alias("bits"))
-        waiting = scratch.path()
+        mine, waiting = own.where(F.pmod("mix", F.lit(blocks)) == b), scratch.path()
         for level in range(last + 1):
-            here = own.where(F.col("level") == level).select("part", "word", "bits")
+            here = mine.where(F.col("level") == level).select("part", "word", "bits")
             if scratch.exists(f"{waiting}/level={level}"):
-                come = spark.read.schema(here.schema).parquet(f"{waiting}/level={level}")
+                come = spark.read.schema(schema).parquet(f"{waiting}/level={level}")
                 here = here.unionByName(come).groupBy("part", "word").agg(F.bit_or("bits").alias("bits"))
             path, held = scratch.save_counted(here)
             if not held:
                 continue
             done.append(path)
-            schema, here = here.schema, scratch.read(path, schema=here.schema)
             if level < last:
+                here = scratch.read(path, schema=schema)
                 sent = here.join(onward.where(F.col("from_level") == level), here["part"] == onward["src"]).select(F.col("dst").alias("part"), "word", "bits", "level")
                 sent.groupBy("part", "word", "level").agg(F.bit_or("bits").alias("bits")).write.mode("append").partitionBy("level").parquet(waiting)
-    if not done:
-        per = starts.select("part", F.lit(0).cast("long").alias("met"))
-    else:
-        met = scratch.read(*done, schema=schema).join(sizes, "part")
-        sums = [F.sum(F.when(F.getbit("bits", F.lit(i)) == 1, F.col("size"))).alias(f"b{i}") for i in range(BITS)]
-        counts = met.groupBy("word").agg(*sums).select("word", F.array(*(F.col(f"b{i}") for i in range(BITS))).alias("counts"))
-        per = starts.join(counts, "word").select("part", F.get("counts", F.col("bit")).alias("met"))
-    rows = parts.select("id", F.col("component").alias("part")).join(sizes, "part").join(per, "part", "left")
+    return _Carried(parts, starts, scratch.read(*done, schema=schema) if done else spark.createDataFrame([], schema), sizes)
+
+
+def reach_all(edges: DataFrame | Graph, block: int = 1 << 22) -> DataFrame:
+    """(id, n) of all ends of edges: how many others each reaches. block: starts that are carried at a time."""
+    c = _carry(Graph.of(edges), block)
+    sums = [F.sum(F.when(F.getbit("bits", F.lit(i)) == 1, F.col("size"))).alias(f"b{i}") for i in range(BITS)]
+    counts = c.words.join(c.sizes, "part").groupBy("word").agg(*sums).select("word", F.array(*(F.col(f"b{i}") for i in range(BITS))).alias("counts"))
+    per = c.starts.join(counts, "word").select("part", F.get("counts", F.col("bit")).alias("met"))
+    rows = c.parts.select("id", F.col("component").alias("part")).join(c.sizes, "part").join(per, "part", "left")
     return rows.select("id", (F.coalesce("met", "size") - 1).alias("n"))
+
+
+def reached(edges: DataFrame | Graph, pairs: DataFrame, block: int = 1 << 22) -> DataFrame:
+    """(src, dst) of pairs whose first node reaches the second, over one edge at least; only the first nodes are carried."""
+    graph = Graph.of(edges)
+    asked = pairs.select("src", "dst").where("src is not null and dst is not null").distinct()
+    c = _carry(graph, block, asked.select(F.col("src").alias("id")).distinct())
+    named = lambda end: c.parts.select(F.col("id").alias(end), F.col("component").alias(f"{end}_part"))
+    rows = asked.join(named("src"), "src").join(named("dst"), "dst")
+    apart = rows.where("src_part <> dst_part").join(c.starts.select(F.col("part").alias("src_part"), "word", "bit"), "src_part")
+    apart = apart.join(c.words.select(F.col("part").alias("dst_part"), "word", "bits"), ["dst_part", "word"]).where(F.getbit("bits", "bit") == 1)
+    # of one component, any node reaches any other; itself, if it has others or an edge to itself
+    alone = c.sizes.where("size = 1").select(F.col("part").alias("src_part"))
+    own = graph.edges.where("src = dst").select("src", F.lit(True).alias("own")).distinct()
+    together = rows.where("src_part = dst_part").join(alone.withColumn("alone", F.lit(True)), "src_part", "left").join(own, "src", "left").where("alone is null or own")
+    return apart.select("src", "dst").unionByName(together.select("src", "dst"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.scratch import Scratch
 from quillgraph.functions.text import version_state
 from quillgraph.operators.traverse import Graph, ancestors, descendants
+from quillgraph.operators.walks import CHILDREN_AND_TESTS, OPEN, labelled, walk
 
 MODES = ("eager", "cautious", "buildable", "empty")
 
@@ -149,9 +150,13 @@ class Universe:
         inner = self.edges.select("src", "dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
         self.inner = Graph.of(inner.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))  # written once for all terms
 
-    def pick(self, match: Column, up: int | None = 0, down: int | None = 0, at: bool = False, mode: str | None = None) -> Selection:
-        """The nodes that match, grown by `up` and `down` levels (None: all); at: with all descendants and all their ancestors."""
+    def pick(self, match: Column, up: int | None = 0, down: int | None = 0, at: bool = False, mode: str | None = None, walk_tests: bool = False) -> Selection:
+        """The nodes that match, grown by `up` and `down` levels (None: all); at: with all descendants and all their ancestors. walk_tests:
+        tests are children of what they test, so growth reaches them, and from them, upward, what else they test."""
         direct = self.nodes.where(match).select("id").distinct()
+        if walk_tests:
+            out = Scratch(self.nodes.sparkSession).save(self._grown_with_tests(direct, up, down, at))
+            return Selection(self, self.with_tests(out, mode or self.mode), out, direct)
         out = direct
         if at:
             below = descendants(self.inner, direct)
@@ -163,6 +168,24 @@ class Universe:
         out = Scratch(self.nodes.sparkSession).save(out.distinct())
         return Selection(self, self.with_tests(out, mode or self.mode), out, direct)
 
+    def _grown_with_tests(self, direct: DataFrame, up: int | None, down: int | None, at: bool) -> DataFrame:
+        """(id) of direct and what is grown around it, tests being ends of a walk downward."""
+        hops = labelled(self.inner.edges, "child")
+        if self.test_edges is not None:
+            known = self.test_edges.join(self.nodes.select("id").distinct(), "id", "left_semi")
+            hops = hops.unionByName(labelled(known.select(F.col("id").alias("src"), F.col("test").alias("dst")), "test"))
+        back = hops.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("up").alias("label"))
+        below = lambda seeds, depth: walk(hops, seeds, CHILDREN_AND_TESTS, depth).select("id")
+        above = lambda seeds, depth: walk(back, seeds, {(OPEN, "up"): OPEN}, depth).select("id")
+        out = direct
+        if at:
+            out = out.union(above(below(direct, None).distinct(), None))
+        if up != 0:
+            out = out.union(above(direct, up))
+        if down != 0:
+            out = out.union(below(direct, down))
+        return out.distinct()
+
     def with_tests(self, ids: DataFrame, mode: str) -> DataFrame:
         """ids with the tests that the mode lets join: one parent selected, all of them, or all of them buildable."""
         if mode not in MODES:

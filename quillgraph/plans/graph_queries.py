@@ -243,11 +243,11 @@ def job_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.job_answer(steps(spark, sf_dir), waits, 2)
 
 
-@query("""WITH RECURSIVE o AS (SELECT s_suppkey // 2 AS a, s_suppkey AS b FROM supplier WHERE s_suppkey > 0), c(a, b) AS (SELECT a, b FROM o UNION SELECT c.a, o.b FROM c JOIN o ON o.a = c.b), s AS (SELECT DISTINCT l_suppkey AS step, l_partkey AS id FROM lineitem WHERE l_quantity >= 49),
+@query("""WITH RECURSIVE o AS (SELECT s_suppkey // 2 AS a, s_suppkey AS b FROM supplier WHERE s_suppkey > 0), c(a, b) AS (SELECT a, b FROM o UNION SELECT c.a, o.b FROM c JOIN o ON o.a = c.b), s AS (SELECT DISTINCT l_suppkey AS step, l_partkey AS id FROM lineitem),
 n AS (SELECT p_partkey AS id, p_partkey // 2 AS need FROM part WHERE p_partkey > 1), x AS (SELECT n.id, need, m.step AS mine, t.step AS theirs FROM n JOIN s m ON m.id = n.id JOIN s t ON t.id = need WHERE m.step <> t.step)
 SELECT id, need, CASE WHEN bool_or(EXISTS (SELECT 1 FROM c WHERE c.a = theirs AND c.b = mine)) THEN 'ordered' WHEN bool_or(EXISTS (SELECT 1 FROM c WHERE c.a = mine AND c.b = theirs)) THEN 'reversed' ELSE 'unordered' END AS verdict FROM x GROUP BY 1, 2""")
 def job_order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_suppkey").alias("step"), F.col("l_partkey").alias("id")).distinct()
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("step"), F.col("l_partkey").alias("id")).distinct()
     half = lambda c: F.floor(F.col(c) / 2)
     needs = table(spark, sf_dir, "part").where("p_partkey > 1").select(F.col("p_partkey").alias("id"), half("p_partkey").alias("need"))
     order = table(spark, sf_dir, "supplier").where("s_suppkey > 0").select(half("s_suppkey").alias("before"), F.col("s_suppkey").alias("after"))

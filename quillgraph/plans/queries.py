@@ -518,6 +518,6 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_counts(spark, f"{sf_dir}/events.parquet")
 
 
-from quillgraph.plans import artifact_queries, graph_queries, model_queries, report_queries  # noqa: E402, F401  they register too
+from quillgraph.plans import artifact_queries, graph_queries, model_queries, report_queries, walk_queries  # noqa: E402, F401  they register too
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
