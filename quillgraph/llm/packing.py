@@ -16,6 +16,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import filterfalse
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +46,10 @@ class WordTokenizer:
 
     Words are kept with their ids, up to a number of words; then the memory starts anew. A word that ends in full stops
     or commas is its stem's ids and theirs, for punctuation is a piece of its own. Words of letters alone are one piece
-    each, whose last id is of a kind that ends pieces; they are encoded many at a time and divided there. Of ASCII letters in small
-    ones, nothing is normalised, so such words go by a tokenizer with the same merges alone."""
+    each, whose last id is of a kind that ends pieces; they are encoded many at a time and divided there. A word is learnt so only if its
+    ids spell as many bytes as it has, from where it begins. Of ASCII letters in small ones, nothing is normalised, so such
+    words go by a tokenizer with the same merges alone. ASCII capitals are made small before words are told apart, but not in words with
+    other characters: the tokenizer composes letters and marks first, and there are marks that only a capital or only a small letter takes."""
 
     MOST = 2_000_000
 
@@ -58,6 +61,8 @@ class WordTokenizer:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.sizes = np.zeros(len(self.ends), dtype=np.int64)  # bytes that a token spells, a character for each
+        self.sizes[list(vocab.values())] = [len(t.removesuffix("</w>")) for t in vocab]
         self.known: dict[bytes, bytes] = {}
 
     def _letters(self, tokenizer, words: list[bytes]) -> list[bytes]:
@@ -66,19 +71,30 @@ class WordTokenizer:
         for i in range(0, len(words), 8192):
             part = words[i : i + 8192]
             ids = np.array(tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
-            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) != len(part):
                 others += part
                 continue
-            flat, cut = ids.tobytes(), cut.tolist()
-            known.update(zip(part, map(flat.__getitem__, map(slice, [0, *cut[:-1]], cut)), strict=True))
+            # where words should end, and do
+            want = np.cumsum([len(w) if w.isascii() else len(normalize("NFC", w.decode()).lower().encode()) for w in part])
+            here = np.cumsum(self.sizes[ids])[cut - 1] == want
+            fine = here & np.append(True, here[:-1])
+            flat, cut = ids.tobytes(), (cut * 4).tolist()
+            if fine.all():
+                known.update(zip(part, map(flat.__getitem__, map(slice, [0, *cut[:-1]], cut)), strict=True))
+                continue
+            for w, x, y, ok in zip(part, [0, *cut[:-1]], cut, fine.tolist(), strict=True):
+                if ok:
+                    known[w] = flat[x:y]
+                else:
+                    others.append(w)
         return others
 
     def _learn(self, words: set[bytes]) -> None:
         known, stems, fresh = self.known, [], set()
         for w in words:
             stem = w.rstrip(b".,")
-            if stem and stem != w and (stem[-1:].isalnum() or stem[-1] >= 128 and stem.decode()[-1].isalpha()):
+            if stem and stem != w and (stem[-1:].isalnum() or stem[-1] >= 128 and stem.decode()[-1].lower()[-1].isalpha()):
                 tail = w[len(stem) :]
                 stems.append((w, stem, tail))
                 fresh.add(stem)
@@ -97,10 +113,20 @@ class WordTokenizer:
         for w, stem, tail in stems:
             known[w] = known[stem] + known[tail]
 
+    @staticmethod
+    def _words(text: bytes) -> list[bytes]:
+        """The words of a text. Names of special tokens keep their case, and so do words with marks: U+0300 to U+037F are the characters that
+        begin with these two bytes, and no others go together with an ASCII letter."""
+        if b"<|" in text:
+            return text.split()
+        if b"\xcc" in text or b"\xcd" in text:
+            return [w.lower() if w.isascii() else w for w in text.split()]
+        return text.lower().split()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         raw = [(t or "").encode() for t in texts]
-        split = [(b if b"<|" in b else b.lower()).split() for b in raw]  # names of special tokens keep their case
+        split = [self._words(b) for b in raw]
         known = self.known
         if len(known) > self.MOST:
             known.clear()

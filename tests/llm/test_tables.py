@@ -62,6 +62,25 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(odd.limit(0), packing.tokenizer_file()).count() == 0
 
 
+def test_words_have_the_tokenizers_ids():
+    """Capitals with every combining mark, scripts without spaces, kelvin signs and the like, alone and mixed."""
+    import random
+    import string
+
+    tok, mine = Tokenizer.from_file(packing.tokenizer_file()), packing.WordTokenizer(packing.tokenizer_file())
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    texts = [f"{a}{m} x{a}{m}y abc" for a in string.ascii_letters for m in marks]
+    texts += ["漢字 テスト カ\u3099 한글 ᄒ\u1161", "K Å İstanbul ǅ ſ ß ﬁ", "Y\u030a abc Y\u030a", "a\u0323\u0307 A\u0307\u0323 e\u0301E\u0301", "don\u0301't STOP\u0301. <|Y\u030a|>", "हिन्दी ไทย مرحبا 𝒳𝓎 😀X\u0301"]
+    rnd = random.Random(6)
+    some = [*string.ascii_letters, *marks[:40], *"éßİǅ漢字カ \u3099한\u00a0　.,'1😀", " ", " ", "\n"]
+    texts += ["".join(rnd.choice(some) for _ in range(rnd.randint(1, 60))) for _ in range(3000)]
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert mine.encode(texts) == want
+    assert mine.encode(texts[::-1]) == want[::-1]  # now all words are known
+    words = ["漢字", "ab", "cd", "x"]  # two pieces in one word: as many ends as words with one that has none would have
+    assert b"".join(mine.encode([" ".join(words)])) == np.array(tok.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
 def test_packing_keeps_every_limit():
     lim = packing.Limits(tokens=64, segments=3, loss_tokens=20, pool_tokens=500)
     p, rng = packing.Packer(lim, 0), np.random.default_rng(1)
