@@ -11,14 +11,17 @@ next rank, so an anchor is rewritten a logarithmic number of times.
 
 The suffixes that agree are then settled exactly. Runs of windows whose whole byte strings are equal are repeated in every
 window. Of the other runs, and one run for each whole string that shares their anchor, each window's hash is compared
-within the anchor's group; large groups are split by the windows' hashes, so no task gathers a group. At last each text
-meets its own repeated ranges and loses their bytes.
+within the anchor's group: in one task where the group is small, else by counting each hash with partial aggregates and joining the
+counts to the windows, so no task gathers a group, not even of one passage in many surroundings. At last each text meets its own
+repeated ranges and loses their bytes.
+
+A row is known by its id and a hash of its text (two hashes, if it has no id), so rows of one id are compared like any others. Rows that
+agree in both are copies of each other and share their ranges, which is the same for either.
 
 Null and empty texts have no bytes and lose none. Texts shorter than `length` stay whole. Very long texts are hashed piece by piece.
-Repeated rows (of other ids) are repeats of each other and lose all windows; rows of one id share that id's ranges, so ids are to be
-unique. Rows without an id aren't compared and lose nothing. Ties don't arise: equal windows are all removed. An empty table gives no
-rows. Other columns, whatever their names, are ignored, or passed on by without_repeats. Hashes of windows have 128 bits, or 64 within
-one anchor's group, whose anchors have 64 bits more.
+Repeated rows, with other ids, the same one or none, are repeats of each other and lose all windows. Ties don't arise: equal windows are
+all removed. An empty table gives no rows. Other columns, whatever their names, are ignored, or passed on by without_repeats. Hashes of
+windows have 128 bits, or 64 within one anchor's group, whose anchors have 64 bits more.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import Scratch, map_arrow, n_parts, table, whole_row
@@ -40,8 +43,8 @@ from quillgraph.llm.words import pieces, utf8
 
 @dataclass(frozen=True)
 class Repeats:
-    """length: bytes of a repeated string. k: bytes of an anchor. batches: of the index. shard: runs of an anchor's group
-    for each part that the group is split into."""
+    """length: bytes of a repeated string. k: bytes of an anchor. batches: of the index. shard: runs of an anchor's group that
+    are compared in one task."""
 
     length: int = 400
     k: int = 240
@@ -49,7 +52,18 @@ class Repeats:
     shard: int = 2000
 
 
-RUN = "h long, doc long, lo long, hi long, pos long, f1 long, f2 long"
+def _own(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """(own, own_sub): what a row is known by."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.coalesce(doc_id.cast("long"), F.xxhash64(F.lit("no id"), text)).alias("own"), F.xxhash64(text).alias("own_sub")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc, text, sub) of docs (doc_id, text)."""
+    return docs.select(*_own(F.col("doc_id"), F.col("text")), "text").select(F.col("own").alias("doc"), "text", F.col("own_sub").alias("sub"))
+
+
+RUN = "h long, doc long, sub long, lo long, hi long, pos long, f1 long, f2 long"
 
 
 def _runs(p: Repeats):
@@ -57,9 +71,10 @@ def _runs(p: Repeats):
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             ids = batch.column(0).to_numpy()
+            subs = batch.column(2).to_numpy() if batch.num_columns > 2 else np.zeros(len(ids), dtype=np.int64)
             for i, j in pieces(offsets, 1 << 21):
                 for doc, lo, hi, pos, h, f1, f2 in runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], p.length, p.k):
-                    cols = [h.view(np.int64), ids[doc + i], lo, hi, pos, f1.view(np.int64), f2.view(np.int64)]
+                    cols = [h.view(np.int64), ids[doc + i], subs[doc + i], lo, hi, pos, f1.view(np.int64), f2.view(np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[f.split()[0] for f in RUN.split(", ")])
 
     return run
@@ -98,12 +113,12 @@ class SuffixIndex:
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Indexes a batch (doc_id, text); returns (h) of suffixes that begin alike in it, or in it and a level."""
-        return self.add_suffixes(map_arrow(docs.select("doc_id", "text"), _runs(self.p), RUN))
+        return self.add_suffixes(map_arrow(keyed(docs), _runs(self.p), RUN))
 
     def add_suffixes(self, suffixes: DataFrame) -> DataFrame:
-        """Indexes a batch of suffixes (h, doc, pos)."""
+        """Indexes a batch of suffixes (h, doc, sub, pos)."""
         self._merge()
-        suffixes = suffixes.select("h", F.struct("doc", "pos").alias("at"))
+        suffixes = suffixes.select("h", F.struct("doc", "sub", "pos").alias("at"))
         name = self._write(suffixes.groupBy("h").agg(F.count("*").alias("n"), F.min("at").alias("at")))
         batch = self.spark.table(name)
         repeated = batch.where("n > 1").select("h")
@@ -126,26 +141,25 @@ class SuffixIndex:
         self.levels = []
 
 
+WINDOWS = "h long, large boolean, doc long, sub long, open boolean, lo long, hash array<long>"
+
+
 def _windows(p: Repeats):
-    """Of texts with runs (h, lo, hi, shards, open): their windows' hashes, dealt by (h, hash mod shards)."""
+    """Of texts with runs (h, lo, hi, large, open): the hashes of each run's windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
+            keys = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             out: list[tuple] = []
-            for d, (doc, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            for d, (doc, sub, wanted) in enumerate(keys):
                 starts = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in wanted])
-                g = window_hashes(data[offsets[d] : offsets[d + 1]], starts, p.length)
+                g = window_hashes(data[offsets[d] : offsets[d + 1]], starts, p.length).view(np.int64)
                 at = 0
                 for r in wanted:
                     n = r["hi"] - r["lo"] + 1
-                    mine, place = g[at : at + n], starts[at : at + n]
+                    out.append((r["h"], r["large"], doc, sub, r["open"], r["lo"], g[at : at + n]))
                     at += n
-                    part = (mine >> np.uint64(7)) % np.uint64(r["shards"])
-                    for s in range(r["shards"]):
-                        pick = part == s
-                        if pick.any():
-                            out.append((r["h"], s, doc, r["open"], place[pick].astype("<i8").tobytes(), mine[pick].tobytes()))
                 if len(out) > 5000:
                     yield _batch(out)
                     out = []
@@ -155,41 +169,41 @@ def _windows(p: Repeats):
     return run
 
 
-SHARD = "h long, s int, doc long, open boolean, place binary, hash binary"
-
-
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[f.split()[0] for f in SHARD.split(", ")])
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+    *cols, hashes = zip(*rows, strict=True)
+    ends = np.append(0, np.cumsum([len(g) for g in hashes])).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hashes)))
+    return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), lists], names=[f.split()[0] for f in WINDOWS.split(", ")])
 
 
 def _settle(length: int):
-    """Of rows sorted by (h, s): the ranges of open runs' windows that another run of the group has too."""
+    """Of windows sorted by h: the ranges of open runs' windows that another run of the group has too."""
 
-    def ranges(group: list[tuple]) -> list[tuple[int, int, int]]:
-        hashes = np.concatenate([g for *_, g in group])
-        _, inverse, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    def ranges(group: list[tuple]) -> list[tuple[int, int, int, int]]:
+        _, inverse, count = np.unique(np.concatenate([g for *_, g in group]), return_inverse=True, return_counts=True)
         many, out, at = count[inverse] > 1, [], 0
-        for doc, is_open, place, g in group:
+        for doc, sub, is_open, lo, g in group:
             mine = many[at : at + len(g)]
             at += len(g)
             if is_open and mine.any():
-                x = place[mine]
+                x = lo + np.flatnonzero(mine)
                 apart = np.flatnonzero(np.diff(x) > length) + 1  # else windows overlap or touch
-                out += [(doc, int(r[0]), int(r[-1]) + length) for r in np.split(x, apart)]
+                out += [(doc, sub, int(r[0]), int(r[-1]) + length) for r in np.split(x, apart)]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            h, s, doc, is_open, place, g = (batch.column(c) for c in range(6))
-            for i, now in enumerate(zip(h.to_pylist(), s.to_pylist(), strict=True)):
+            out: list[tuple[int, int, int, int]] = []
+            h, doc, sub, is_open, lo = (batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5))
+            flat, at = batch.column(6).flatten().to_numpy(), np.append(0, np.cumsum(batch.column(6).value_lengths().to_numpy()))
+            for i, now in enumerate(h):
                 if now != key:
                     if len(group) > 1:
                         out += ranges(group)
                     key, group = now, []
-                group.append((doc[i].as_py(), is_open[i].as_py(), np.frombuffer(place[i].as_py(), dtype="<i8"), np.frombuffer(g[i].as_py(), dtype=np.uint64)))
+                group.append((doc[i], sub[i], is_open[i], lo[i], flat[at[i] : at[i + 1]]))
             yield _ranges(out)
         if len(group) > 1:
             yield _ranges(ranges(group))
@@ -197,14 +211,24 @@ def _settle(length: int):
     return run
 
 
-def _ranges(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["doc", "lo", "hi"])
+RANGE = "doc long, sub long, lo long, hi long"
+
+
+def _ranges(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=[f.split()[0] for f in RANGE.split(", ")])
+
+
+def _counted(windows: DataFrame, length: int) -> DataFrame:
+    """The same of large groups, by counting: a range for each window of an open run that stands elsewhere too."""
+    each = windows.select("h", "doc", "sub", "open", "lo", F.posexplode("hash").alias("i", "g"))
+    many = each.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
+    return each.where("open").join(many, ["h", "g"]).select("doc", "sub", (F.col("lo") + F.col("i")).alias("lo"), (F.col("lo") + F.col("i") + length).alias("hi"))
 
 
 def repeated_ranges(spark: SparkSession, docs: DataFrame, p: Repeats = Repeats(), scratch: Scratch | None = None) -> DataFrame:  # noqa: B008
-    """(doc, spans): of each document with repeated windows, its ranges [lo, hi) of bytes, not merged."""
+    """(doc, sub, spans): of each of keyed(docs) with repeated windows, its ranges [lo, hi) of bytes, not merged."""
     scratch, parts = scratch or Scratch(spark), n_parts(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    texts = keyed(docs)
     places = scratch.save(map_arrow(texts, _runs(p), RUN), "places")  # every text is hashed once
     index = SuffixIndex(spark, p)
     for b in range(p.batches):
@@ -212,24 +236,25 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, p: Repeats = Repeats()
     # written before it is joined: a join between plain shuffles splits an anchor that very many places share
     repeated = scratch.save(index.repeated(), "repeated")
     index.close()
-    found = scratch.save(places.join(repeated, "h", "left_semi").select("h", "doc", "lo", "hi", "f1", "f2"), "runs")
+    found = scratch.save(places.join(repeated, "h", "left_semi").select("h", "doc", "sub", "lo", "hi", "f1", "f2"), "runs")
     scratch.drop("places")
     whole = scratch.save(
-        found.groupBy("h", "f1", "f2").agg(F.count("*").alias("m"), F.min(F.struct("doc", "lo", "hi")).alias("at")), "strings"
+        found.groupBy("h", "f1", "f2").agg(F.count("*").alias("m"), F.min(F.struct("doc", "sub", "lo", "hi")).alias("at")), "strings"
     )
     groups = scratch.save(whole.groupBy("h").agg(F.count("*").alias("n"), F.min("m").alias("least")).where("least = 1 and n > 1"), "groups")
     wanted = (
         whole.join(groups, "h")
-        .select("at.doc", F.struct("h", "at.lo", "at.hi", F.ceil(F.col("n") / p.shard).cast("int").alias("shards"), (F.col("m") == 1).alias("open")).alias("r"))
-        .groupBy("doc")
+        .select(F.col("at.doc").alias("of"), F.col("at.sub").alias("of_sub"), F.struct("h", "at.lo", "at.hi", (F.col("n") > p.shard).alias("large"), (F.col("m") == 1).alias("open")).alias("r"))
+        .groupBy("of", "of_sub")
         .agg(F.collect_list("r").alias("wanted"))  # within one text
     )
-    rows = map_arrow(texts.join(wanted, texts.doc_id == wanted.doc).select("doc_id", "text", "wanted"), _windows(p), SHARD)
-    rows = rows.repartition(parts, "h", "s").sortWithinPartitions("h", "s")
-    settled = map_arrow(rows, _settle(p.length), "doc long, lo long, hi long")
+    asked = texts.join(wanted, (F.col("doc") == F.col("of")) & (F.col("sub") == F.col("of_sub"))).select("doc", "text", "sub", "wanted")
+    windows = scratch.save(map_arrow(asked, _windows(p), WINDOWS), "windows")
+    small = windows.where("not large").repartition(parts, "h").sortWithinPartitions("h")
+    settled = map_arrow(small, _settle(p.length), RANGE)
     many = whole.where("m > 1").select("h", "f1", "f2")
-    equal = found.join(many, ["h", "f1", "f2"], "left_semi").select("doc", "lo", (F.col("hi") + p.length).alias("hi"))
-    both = settled.unionByName(equal).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # within one text
+    equal = found.join(many, ["h", "f1", "f2"], "left_semi").select("doc", "sub", "lo", (F.col("hi") + p.length).alias("hi"))
+    both = settled.unionByName(_counted(windows.where("large"), p.length)).unionByName(equal).groupBy("doc", "sub").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))  # within one text
     return scratch.save(both, "spans")
 
 
@@ -271,9 +296,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(spark: SparkSession, docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:  # noqa: B008
     """A row for each row of docs (doc_id, text): its bytes, what is removed of them and where, and the text that stays."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = repeated_ranges(spark, docs, p)
-    rows = docs.join(spans, docs.doc_id == spans.doc, "left").select("doc_id", "text", "spans")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *_own(F.col("doc_id"), F.col("text")))
+    rows = own.join(spans, (F.col("own") == F.col("doc")) & (F.col("own_sub") == F.col("sub")), "left").select("doc_id", "text", "spans")
     return map_arrow(rows, _digest, DIGEST)
 
 
@@ -298,5 +323,6 @@ def _cut(names: list[str]):
 def without_repeats(spark: SparkSession, docs: DataFrame, p: Repeats = Repeats()) -> DataFrame:  # noqa: B008
     """docs with every repeated range of bytes cut from its text, and n_chars to match; its other columns as they are."""
     spans = repeated_ranges(spark, docs.select("doc_id", "text"), p)
-    rows = docs.select(whole_row(docs).alias("row"), F.col("doc_id").cast("long").alias("id")).join(spans, F.col("id") == F.col("doc"), "left")
+    rows = docs.select(whole_row(docs).alias("row"), *_own(F.col("doc_id"), F.col("text")))
+    rows = rows.join(spans, (F.col("own") == F.col("doc")) & (F.col("own_sub") == F.col("sub")), "left")
     return map_arrow(rows.select("row", "spans"), _cut(docs.columns), docs.schema)

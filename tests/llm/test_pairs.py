@@ -73,6 +73,33 @@ def test_repeats_are_brute_force(spark, shard):
     assert all(len(kept[i].encode()) <= n - gone for i, (n, gone, *_) in want.items() if rows[i] is not None)
 
 
+def test_rows_of_one_id_and_without_one_are_compared(spark):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage, alone, twice = word(120), word(300), word(90)
+    rows = [(1, word(30) + passage), (2, passage + word(30)), (2, alone), (None, word(10) + passage), (None, alone[:50] + word(60)), (3, twice), (3, twice), (None, twice), (4, None), (4, "")]
+    want = brute.repeats(dict(enumerate(t for _, t in rows)), 40)
+    df = spark.createDataFrame([(i, t, "en", "s", None, 1, "x", [1]) for i, t in rows], docs_frame(spark, []).schema)
+    got = suffix_dedup.digests(spark, df, Repeats(length=40, k=24)).collect()
+    assert sorted(((r[0], *r[1:5]) for r in got), key=repr) == sorted(((i, *want[k]) for k, (i, _) in enumerate(rows)), key=repr)
+    assert want[2][1] == 50 and want[5][1] == 90
+    kept = suffix_dedup.without_repeats(spark, df, Repeats(length=40, k=24))
+    assert kept.count() == len(rows) and kept.columns == df.columns
+
+
+def test_one_passage_in_many_surroundings_is_counted(spark):
+    """More texts than a task compares share one passage; counts find it, with the lists of a group's tasks never used."""
+    rnd = random.Random(9)
+    passage = "".join(rnd.choice("abcdefgh") for _ in range(40))
+    rows = {i: "".join(rnd.choice("abcdefgh") for _ in range(20)) + passage + "".join(rnd.choice("abcdefgh") for _ in range(20)) for i in range(3000)}
+    df = docs_frame(spark, list(rows.values()))
+    got = suffix_dedup.digests(spark, df, Repeats(length=40, k=24, shard=50)).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()
+    want = brute.repeats(rows, 40)
+    assert {r[0]: tuple(r[1:]) for r in got} == {i: w[:3] for i, w in want.items()}
+    plan = suffix_dedup._counted(spark.createDataFrame([], suffix_dedup.WINDOWS), 40)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("partial_count") >= 1 and "Python" not in plan
+
+
 def test_repeats_on_the_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{brute.DATA}/documents.parquet").collect()}
     got = {r[0]: tuple(r[1:5]) for r in suffix_dedup.op5_suffix_dedup(spark, brute.DATA).collect()}
