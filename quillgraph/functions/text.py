@@ -166,15 +166,6 @@ def substituted(text: Column, known: dict[str, str]) -> Column:
     return F.regexp_replace(text, r"\{\{\s*env_var\(\s*['\"][A-Za-z_0-9]+['\"]\s*,\s*['\"]([^'\"]*)['\"]\s*\)\s*\}\}", "$1")
 
 
-def environment_reads(code: Column) -> Column:
-    """What code reads of its surroundings, each once, in order: target.x, env_var(X), is_incremental."""
-    bare = F.regexp_replace(code, r"(?s)\{#.*?#\}", "")
-    targets = F.regexp_extract_all(bare, F.lit(r"\b(target\.[A-Za-z_]+)"), F.lit(1))
-    names = F.transform(F.regexp_extract_all(bare, F.lit(r"env_var\(\s*['\"]([A-Za-z_0-9]+)['\"]"), F.lit(1)), lambda x: F.concat(F.lit("env_var "), x))
-    loads = F.regexp_extract_all(bare, F.lit(r"\b(is_incremental)\s*\("), F.lit(1))
-    return F.array_sort(F.array_distinct(F.concat(targets, names, loads)))
-
-
 def macro_arguments(code: Column, name: Column) -> Column:
     """The names of a macro's arguments, in order, from the text of its file; null if the file doesn't define it."""
     found = F.regexp_extract_all(code, F.lit(r"\{%-?\s*macro\s+([A-Za-z_0-9]+\s*\([^)]*)\)"), F.lit(1))
@@ -187,10 +178,3 @@ def unset_variables(sql: Column, known: list[str]) -> Column:
     """Variables read without a default that aren't known, in order of name; comments don't count."""
     names = F.regexp_extract_all(F.regexp_replace(sql, r"(?s)\{#.*?#\}", ""), F.lit(r"env_var\(\s*['\"]([A-Za-z_0-9]+)['\"]\s*\)"), F.lit(1))
     return F.array_sort(F.array_except(F.array_distinct(names), F.array(*map(F.lit, known)).cast("array<string>")))
-
-
-def jinja_calls(code: Column) -> Column:
-    """Names called inside {{ }} and {% %}, each once, in order of name; comments don't count."""
-    bare = F.regexp_replace(code, r"(?s)\{#.*?#\}", "")
-    blocks = F.array_join(F.regexp_extract_all(bare, F.lit(r"(?s)\{[{%](.*?)[%}]\}"), F.lit(1)), " ; ")
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(blocks, F.lit(r"([A-Za-z_][A-Za-z_0-9.]*)\s*\("), F.lit(1))))

@@ -22,8 +22,10 @@ def value_class(role: Column) -> Column:
 
 def fingerprints(edges: DataFrame, columns: DataFrame, sources: DataFrame) -> DataFrame:
     """(seed, id, class, row) of the source columns (id) that each of some columns (id) is built from: by the strongest class of any path
-    of value edges (null if none), and whether a row edge lies on some path. A walk up all levels that carries each column's best
-    and walks on only from what has become better; cycles end. Sources are those that no value edge enters."""
+    of value edges (null if none), and whether it only decides rows. A walk up all levels that carries each column's best and walks on
+    only from what has become better; cycles end. Values start in sources that no value edge enters, or that are set where they are
+    (roots) or outside of the project (sources: id, and own, true for those two); rows in sources that no edge enters at all and that carry
+    no value of that column."""
     scratch = Scratch(edges.sparkSession)
     rows = edges.where("src <> dst").select(F.col("src"), F.col("dst"), value_class(F.col("role")).alias("c"))
     hops = scratch.save(rows.groupBy("src", "dst").agg(F.max("c").alias("c"), F.max(F.col("c").isNull()).alias("row")))
@@ -36,9 +38,14 @@ def fingerprints(edges: DataFrame, columns: DataFrame, sources: DataFrame) -> Da
         return met.select("seed", F.col("src").alias("id"), through.alias("class"), (F.col("row") | (F.col("was") & F.col("c").isNotNull())).alias("row"))
 
     reach = fixpoint(start, step, ["seed", "id"], {"class": F.max("class"), "row": F.max("row")})
-    entered = hops.where("c is not null").select(F.col("dst").alias("id")).distinct()
-    ends = reach.join(entered, "id", "left_anti").join(sources.select("id").distinct(), "id", "left_semi")
-    return ends.where("class is not null or row").select("seed", "id", F.get(F.array(*map(F.lit, CLASSES)), F.col("class")).alias("class"), "row")
+    entered = hops.groupBy(F.col("dst").alias("id")).agg(F.max(F.col("c").isNotNull()).alias("valued"), F.lit(True).alias("entered"))
+    own = F.coalesce(F.col("own"), F.lit(False)) if "own" in sources.columns else F.lit(False)
+    known = sources.withColumn("own", own).groupBy("id").agg(F.max("own").alias("own"))
+    ends = reach.join(known, "id").join(entered, "id", "left").na.fill(False, ["valued", "entered"])
+    value = F.col("class").isNotNull() & (~F.col("valued") | F.col("own"))
+    rows_only = F.col("row") & ~F.col("entered") & ~value
+    named = F.get(F.array(*map(F.lit, CLASSES)), F.col("class"))
+    return ends.where(value | rows_only).select("seed", "id", F.when(value, named).alias("class"), rows_only.alias("row"))
 
 
 def value_sources(edges: DataFrame, columns: DataFrame, sources: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.operators.traverse import Graph, ancestors, backwards, bfs, descendants, longest_paths
+from quillgraph.functions.scratch import Scratch
+from quillgraph.operators.traverse import Graph, ancestors, backwards, bfs, descendants, fixpoint, longest_paths, numbered
 
 
 def lineage(edges: DataFrame | Graph, focus: DataFrame, up: int | None, down: int | None, cap: int | None = None) -> DataFrame:
@@ -89,17 +92,58 @@ def round_robin(tests: DataFrame, cap: int) -> DataFrame:
     return tests.withColumn("turn", turn).orderBy("turn", "node", "test").limit(cap).select("node", "test", "turn")
 
 
-def nearest_first(nodes: DataFrame, edges: DataFrame | Graph, starts: DataFrame) -> DataFrame:
-    """(id, turn, depth): the order in which a page takes nodes (id): those that are near a start along edges of either direction first, by
-    distance and id; the rest after them, from their own roots, by distance and id; what hangs on cycles alone comes last."""
-    links = drawn_edges(edges, nodes)
-    both = Graph.of(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    near = bfs(both, starts.join(nodes.select("id"), "id", "left_semi")).select("id", "depth", F.lit(0).alias("turn"))
-    rest = nodes.select("id").distinct().join(near, "id", "left_anti")
-    roots = rest.join(links.where("src <> dst").select(F.col("dst").alias("id")), "id", "left_anti")
-    far = bfs(both, roots).select("id", "depth", F.lit(1).alias("turn"))
-    left = rest.join(far, "id", "left_anti").select("id", F.lit(0).alias("depth"), F.lit(2).alias("turn"))
-    return near.unionByName(far).unionByName(left)
+def _queued(both: DataFrame, names: DataFrame, ranked: list[DataFrame], seeds: DataFrame, first: int, turn: int) -> int:
+    """Adds to ranked (id, rank, turn, depth) the seeds, by name and id, and level by level what is near them: by the rank of the first that
+    met it, then by name and id. Returns the next rank."""
+    scratch, depth = Scratch(both.sparkSession), 0
+    level = seeds.select("id").distinct().join(names, "id").withColumn("by", F.lit(0).cast("long"))
+    while True:
+        rows = numbered(level, ["by", "name", "id"], first).select("id", "rank", F.lit(turn).alias("turn"), F.lit(depth).alias("depth"))
+        path, n = scratch.save_counted(rows)
+        if not n:
+            return first
+        here = scratch.read(path, schema=rows.schema)
+        ranked.append(here)
+        first, depth = first + n, depth + 1
+        met = both.join(here.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("rank").alias("by"))
+        level = met.join(reduce(DataFrame.unionByName, ranked).select("id"), "id", "left_anti").join(names, "id")
+
+
+def nearest_first(nodes: DataFrame, edges: DataFrame | Graph, starts: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """(id, rank, turn, depth): the order in which a page takes nodes (id, name): breadth first along edges of either direction from the starts
+    (turn 0), each node's neighbours by name and id; then the parts that no start reaches, from all their roots together (turn 1); then what
+    hangs on cycles alone, part by part, each from its first node (turn 2).
+
+    A start that is no node, such as a test, stands for its hosts (test, id). If all nodes are starts, none is. A level's ranks come from a sort by
+    ranges, so no task holds a level."""
+    names = nodes.select("id", "name").distinct()
+    scratch = Scratch(nodes.sparkSession)
+    names = scratch.save(names)
+    links = drawn_edges(edges, names).where("src <> dst")
+    both = scratch.save(links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    asked = starts.select("id").distinct()
+    seeds = asked.join(names, "id", "left_semi")
+    if hosts is not None:
+        outside = asked.join(names, "id", "left_anti").withColumnRenamed("id", "test")
+        seeds = seeds.unionByName(hosts.select("test", "id").join(outside, "test", "left_semi").select("id").join(names, "id", "left_semi")).distinct()
+    path, n = scratch.save_counted(seeds)
+    seeds = scratch.read(path, schema=seeds.schema)
+    ranked: list[DataFrame] = []
+    at = _queued(both, names, ranked, seeds, 0, 0) if n != names.count() else 0
+    left = lambda: names.join(reduce(DataFrame.unionByName, ranked).select("id"), "id", "left_anti") if ranked else names
+    roots = left().join(links.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+    at = _queued(both, names, ranked, roots, at, 1)
+    rest = scratch.save(left())
+    if not rest.isEmpty():
+        # parts without a root: each is known by its first node, from which it is walked, and keeps its ranks together
+        inner = both.join(rest.select(F.col("id").alias("src")), "src", "left_semi")
+        step = lambda changed: inner.join(changed.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "head")
+        heads = fixpoint(rest.select("id", F.struct("name", "id").alias("head")), step, ["id"], {"head": F.min("head")})
+        own: list[DataFrame] = []
+        _queued(inner, names, own, heads.where("head.id = id").select("id"), 0, 2)
+        rows = reduce(DataFrame.unionByName, own).join(heads, "id").select("id", F.col("rank").alias("within"), "turn", "depth", F.col("head.name").alias("h1"), F.col("head.id").alias("h2"))
+        ranked.append(numbered(rows, ["h1", "h2", "within"], at).select("id", "rank", "turn", "depth"))
+    return reduce(DataFrame.unionByName, ranked) if ranked else names.select("id", F.lit(0).cast("long").alias("rank"), F.lit(0).alias("turn"), F.lit(0).alias("depth")).limit(0)
 
 
 def upstream_relations(edges: DataFrame, nodes: DataFrame, focus: DataFrame) -> DataFrame:

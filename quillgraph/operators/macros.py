@@ -53,17 +53,20 @@ def tally(usage: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.groupBy("macro", "kind").agg(F.count("*").alias("n"), F.count(F.when(F.col("how") == "through", 1)).alias("through"), F.count(F.when(F.col("how") == "written", 1)).alias("written"))
 
 
-def why(macros: DataFrame, graph: MacroGraph, run_by_tool: Column) -> DataFrame:
-    """(id, why) of macros (id, name) that no node reaches: run by the tool itself or by what it runs (tool), a materialization's or a
-    variant's (dispatch), called by macros (macros), a test's (test), or none."""
+def why(macros: DataFrame, graph: MacroGraph, run_by_tool: Column, winning: DataFrame | None = None) -> DataFrame:
+    """(id, why) of macros (id, name) that no node reaches: run by the tool itself or by what it runs (tool), run as the macro by which a
+    materialization is built (run; winning: materialization, id), another materialization's or a variant's (dispatch), called by macros
+    (macros), a test's (test), or none."""
     roots = macros.where(run_by_tool).select("id")
     by_tool = bfs(graph.calls, roots).select("id").distinct().withColumn("tool", F.lit(True))
     called = graph.calls.edges.select(F.col("dst").alias("id")).distinct().withColumn("called", F.lit(True))
     bases = macros.select(F.col("name").alias("base")).distinct().withColumn("variant", F.lit(True))
     rows = macros.join(graph.reached.withColumnRenamed("macro", "id"), "id", "left_anti").join(by_tool, "id", "left").join(called, "id", "left")
     rows = rows.withColumn("base", F.regexp_extract("name", "__(.+)$", 1)).join(bases, "base", "left")
+    first = macros.select("id").limit(0) if winning is None else winning.select("id").distinct()
+    rows = rows.join(first.withColumn("wins", F.lit(True)), "id", "left")
     reason = (
-        F.when(F.col("tool"), "tool").when(F.col("name").startswith("materialization_"), "dispatch").when(F.col("called"), "macros").when(F.col("name").startswith("test_"), "test").when(F.col("variant"), "dispatch").otherwise("none")
+        F.when(F.col("tool"), "tool").when(F.col("wins"), "run").when(F.col("name").startswith("materialization_"), "dispatch").when(F.col("called"), "macros").when(F.col("name").startswith("test_"), "test").when(F.col("variant"), "dispatch").otherwise("none")
     )
     return rows.select("id", reason.alias("why"))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.scratch import Scratch
@@ -103,6 +103,19 @@ def fixpoint(start: DataFrame, step, key: list[str], best: dict[str, Column], mo
     raise RuntimeError("no fixpoint: the step isn't monotone")
 
 
+def numbered(rows: DataFrame, order: list[str], first: int = 0) -> DataFrame:
+    """rows with their place (rank) in an order of columns, from first on, without a task that sorts them all: they are dealt into ranges and
+    sorted there, written once, and each range begins where those before it end."""
+    scratch = Scratch(rows.sparkSession)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = scratch.save(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    place = placed.withColumn("__range", F.shiftright("__at", 33))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = place.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    rank = F.lit(first) + F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return place.join(F.broadcast(starts), "__range").withColumn("rank", rank).drop("__at", "__range", "__start")
+
+
 def walk_with_cuts(edges: DataFrame, seeds: DataFrame, cut: Column, max_depth: int) -> DataFrame:
     """(id, depth, stop) of a walk along edges (src, dst, …): behind an edge for which cut holds, a node is drawn as a stop and isn't
     walked past. If an edge without cut reaches it within max_depth later on, it is walked past and keeps its smaller depth."""

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.scratch import Scratch
 from quillgraph.operators import building, merging
+from quillgraph.plans import project
 from quillgraph.plans.fixture import artifact
 from quillgraph.plans.project import table
 from quillgraph.plans.registry import query
 from quillgraph.sources import artifacts
+from quillgraph.sources.published import Published
 
 SRC = "src AS (SELECT DISTINCT p_brand, p_partkey, p_size, 'source.' || p_brand || '.s.t' || l_suppkey AS source FROM lineitem JOIN part ON l_partkey = p_partkey)"
 MODEL = "'model.' || p_brand || '.m' || p_partkey"
@@ -109,3 +111,25 @@ def declared_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def universe_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = building.universe(building.nodes(manifest(spark, sf_dir)), False)
     return known.groupBy("project", "kind").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {project.ROLES_SQL}, a AS (SELECT src, dst, arg_min(role, ord) AS role FROM r WHERE status = 'F' GROUP BY 1, 2), b AS (SELECT src, dst, arg_min(role, ord) AS role FROM r WHERE status = 'O' GROUP BY 1, 2)
+SELECT src, dst, role FROM a UNION ALL SELECT src, dst, role FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.src = b.src AND a.dst = b.dst)""")
+def published_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of both statuses, published by one merge after the other and read back."""
+    r = project.roles(spark, sf_dir)
+    table_of = Published(spark, Scratch(spark).path(), ("src", "dst"), 16)
+    for status in ("F", "O"):
+        table_of.merge(r.where(F.col("status") == status).groupBy("src", "dst").agg(F.min_by("role", "ord").alias("role")))
+    return table_of.read()
+
+
+@query(f"""WITH {project.ROLES_SQL}, a AS (SELECT src, dst, arg_min(role, ord) AS role FROM r WHERE status = 'F' GROUP BY 1, 2), b AS (SELECT src, dst, arg_min(role, ord) AS role FROM r WHERE status = 'O' GROUP BY 1, 2)
+SELECT coalesce(a.src, b.src) AS src, coalesce(a.dst, b.dst) AS dst, coalesce(b.role, a.role) AS role FROM a FULL JOIN b ON a.src = b.src AND a.dst = b.dst""")
+def published_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, the second merge's rows taking the place of those with their key."""
+    r = project.roles(spark, sf_dir)
+    table_of = Published(spark, Scratch(spark).path(), ("src", "dst"), 16)
+    for status, replace in (("F", False), ("O", True)):
+        table_of.merge(r.where(F.col("status") == status).groupBy("src", "dst").agg(F.min_by("role", "ord").alias("role")), replace)
+    return table_of.read()

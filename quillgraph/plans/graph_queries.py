@@ -143,11 +143,16 @@ def rules_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- what columns are built from -----------------------------------------------------------------
 
 
-@query(f"""WITH {CE}, p AS (SELECT 'part.' || p_partkey AS seed FROM part WHERE p_size = 7), h AS (SELECT DISTINCT dst AS seed, src AS mid, role <> 'passthrough' AS row FROM r JOIN p ON p.seed = dst),
-w AS (SELECT seed, e.src AS id, row FROM h JOIN ({TOP}) e ON e.dst = mid) SELECT seed, id, CASE WHEN bool_or(NOT row) THEN 'copy' END AS class, bool_or(row) AS row FROM w GROUP BY 1, 2""")
+@query(f"""WITH {CE}, h AS (SELECT DISTINCT dst AS seed, src AS mid, role <> 'passthrough' AS row FROM r), w AS (SELECT seed, e.src AS id, row FROM h JOIN ({TOP}) e ON e.dst = mid),
+f AS (SELECT seed, id, bool_and(row) AS row FROM w GROUP BY 1, 2) SELECT seed, id, CASE WHEN NOT row THEN 'copy' END AS class, row FROM f WHERE NOT row OR id NOT IN (SELECT 'nation.' || n_nationkey FROM nation WHERE n_nationkey % 5 = 0)
+UNION ALL SELECT DISTINCT seed, 'region.' || n_regionkey, NULL, true FROM w JOIN nation ON id = 'nation.' || n_nationkey WHERE n_nationkey % 5 = 0""")
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = table(spark, sf_dir, "part").where("p_size = 7").select(node_id("part", "p_partkey").alias("id"))
-    return against.fingerprints(column_edges(spark, sf_dir), seeds, table(spark, sf_dir, "nation").select(node_id("nation", "n_nationkey").alias("id")))
+    """Of all parts' columns; regions decide the rows of every fifth nation, which then is no source of rows itself."""
+    nation = table(spark, sf_dir, "nation")
+    kept = nation.where("n_nationkey % 5 = 0").select(node_id("region", "n_regionkey").alias("src"), node_id("nation", "n_nationkey").alias("dst"), F.lit("filter").alias("role"))
+    edges = column_edges(spark, sf_dir).select("src", "dst", "role").unionByName(kept)
+    sources = nation.select(node_id("nation", "n_nationkey").alias("id")).union(table(spark, sf_dir, "region").select(node_id("region", "r_regionkey")))
+    return against.fingerprints(edges, table(spark, sf_dir, "part").select(node_id("part", "p_partkey").alias("id")), sources)
 
 
 SOURCES = f"""{CE}, p AS (SELECT 'part.' || p_partkey AS id FROM part WHERE p_size = 7), w AS (SELECT DISTINCT p.id, e.src FROM p JOIN r ON r.dst = p.id JOIN ({TOP}) e ON e.dst = r.src WHERE r.role = 'passthrough')"""
@@ -305,18 +310,18 @@ def macro_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FEW = """calls AS (SELECT s_suppkey AS caller, s_suppkey // 2 AS callee FROM supplier WHERE s_suppkey // 2 <> s_suppkey), reached(id) AS (SELECT s_suppkey FROM supplier WHERE s_acctbal > 9500 UNION SELECT callee FROM reached JOIN calls ON caller = id),
-mn AS (SELECT s_suppkey AS id, 'p' || s_nationkey % 3 AS package, CASE s_nationkey WHEN 1 THEN 'materialization_x_default' WHEN 2 THEN 'test_y' WHEN 3 THEN 'other__m4' ELSE 'm' || s_nationkey END AS name FROM supplier),
+mn AS (SELECT s_suppkey AS id, 'p' || s_nationkey % 3 AS package, CASE s_nationkey WHEN 1 THEN 'materialization_x_default' WHEN 2 THEN 'test_y' WHEN 3 THEN 'other__m4' WHEN 5 THEN 'materialization_x_mysql' ELSE 'm' || s_nationkey END AS name FROM supplier),
 tool(id) AS (SELECT id FROM mn WHERE name = 'm7' UNION SELECT callee FROM tool JOIN calls ON caller = id),
-why AS (SELECT id, CASE WHEN id IN (SELECT id FROM tool) THEN 'tool' WHEN name LIKE 'materialization_%' THEN 'dispatch' WHEN id IN (SELECT callee FROM calls) THEN 'macros' WHEN name LIKE 'test_%' THEN 'test' WHEN name = 'other__m4' THEN 'dispatch' ELSE 'none' END AS why FROM mn WHERE id NOT IN (SELECT id FROM reached))"""
+why AS (SELECT id, CASE WHEN id IN (SELECT id FROM tool) THEN 'tool' WHEN name = 'materialization_x_default' THEN 'run' WHEN name LIKE 'materialization_%' THEN 'dispatch' WHEN id IN (SELECT callee FROM calls) THEN 'macros' WHEN name LIKE 'test_%' THEN 'test' WHEN name = 'other__m4' THEN 'dispatch' ELSE 'none' END AS why FROM mn WHERE id NOT IN (SELECT id FROM reached))"""
 
 
 def few_macros(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, macros.MacroGraph, DataFrame]:
     s, k = table(spark, sf_dir, "supplier"), F.col("s_nationkey")
-    name = F.when(k == 1, "materialization_x_default").when(k == 2, "test_y").when(k == 3, "other__m4").otherwise(F.concat(F.lit("m"), k.cast("string")))
+    name = F.when(k == 1, "materialization_x_default").when(k == 2, "test_y").when(k == 3, "other__m4").when(k == 5, "materialization_x_mysql").otherwise(F.concat(F.lit("m"), k.cast("string")))
     all_of = s.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("p"), (k % 3).cast("string")).alias("package"), name.alias("name"))
     listed = s.where("s_acctbal > 9500").select(F.lit("n").alias("node"), F.col("s_suppkey").alias("macro"))
     graph = macros.build(all_of, listed, listed.limit(0), s.select(F.col("s_suppkey").alias("caller"), F.floor(F.col("s_suppkey") / 2).alias("callee")))
-    return all_of, graph, macros.why(all_of, graph, F.col("name") == "m7")
+    return all_of, graph, macros.why(all_of, graph, F.col("name") == "m7", macros.winners(all_of, "snowflake", {}, "p1", []))
 
 
 @query(f"WITH RECURSIVE {FEW} SELECT id, why FROM why")
@@ -505,17 +510,28 @@ def config_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- more answers ------------------------------------------------------------------------------
 
 
-@query("""WITH RECURSIVE e AS (SELECT 'n' || s_nationkey AS src, 's' || s_suppkey AS dst FROM supplier WHERE s_nationkey < 10 UNION SELECT 'x' || s_suppkey, 'y' || s_suppkey FROM supplier WHERE s_suppkey < 9 UNION SELECT 'c1', 'c2' UNION SELECT 'c2', 'c1'),
-b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), w(id, d) AS (SELECT 'n3', 0 UNION SELECT b.dst, d + 1 FROM w JOIN b ON b.src = w.id WHERE d < 4), near AS (SELECT id, min(d) AS depth FROM w GROUP BY 1), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e),
-r AS (SELECT id FROM n WHERE id NOT IN (SELECT id FROM near) AND id NOT IN (SELECT dst FROM e)), f AS (SELECT id, 0 AS depth FROM r UNION SELECT dst, 1 FROM e WHERE src IN (SELECT id FROM r))
-SELECT id, CAST(depth AS BIGINT) AS depth, 0::BIGINT AS turn FROM near UNION ALL SELECT id, depth, 1 FROM f UNION ALL SELECT id, 0, 2 FROM n WHERE id LIKE 'c%'""")
+@query("""WITH e AS (SELECT 'n' || s_nationkey AS src, 's' || s_suppkey AS dst FROM supplier UNION SELECT 'x' || s_suppkey, 'y' || (s_suppkey // 2) FROM supplier UNION SELECT 'c' || n_nationkey, 'c' || (n_nationkey + 1) % 25 FROM nation UNION SELECT 'd' || n_nationkey, 'd' || (24 - n_nationkey) FROM nation),
+b AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), a0 AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS rank FROM (SELECT DISTINCT 'n' || s_nationkey AS id FROM supplier WHERE s_suppkey IN (3, 5))),
+a1 AS (SELECT id, row_number() OVER (ORDER BY via, id) - 1 + (SELECT count(*) FROM a0) AS rank FROM (SELECT dst AS id, min(rank) AS via FROM b JOIN a0 ON a0.id = src WHERE dst NOT IN (SELECT id FROM a0) GROUP BY 1)), a AS (SELECT *, 0 AS depth FROM a0 UNION ALL SELECT *, 1 FROM a1),
+r0 AS (SELECT id, row_number() OVER (ORDER BY id) - 1 + (SELECT count(*) FROM a) AS rank FROM n WHERE id NOT IN (SELECT id FROM a) AND id NOT IN (SELECT dst FROM e WHERE src <> dst)),
+r1 AS (SELECT id, row_number() OVER (ORDER BY via, id) - 1 + (SELECT count(*) FROM a) + (SELECT count(*) FROM r0) AS rank FROM (SELECT dst AS id, min(rank) AS via FROM b JOIN r0 ON r0.id = src WHERE dst NOT IN (SELECT id FROM r0) GROUP BY 1)),
+f AS (SELECT id, rank, 0 AS turn, depth FROM a UNION ALL SELECT *, 1, 0 FROM r0 UNION ALL SELECT *, 1, 1 FROM r1), k AS (SELECT 'd' || n_nationkey AS id, 'd' || (24 - n_nationkey) AS q FROM nation WHERE n_nationkey <> 12),
+c AS (SELECT 'c' || n_nationkey AS id, least(n_nationkey, 25 - n_nationkey) AS depth FROM nation), z AS (SELECT id, depth, row_number() OVER (ORDER BY depth, k) - 1 AS rank FROM (SELECT *, CASE WHEN depth = 1 THEN id WHEN CAST(substr(id, 2) AS BIGINT) < 13 THEN '1' ELSE '2' END AS k FROM c))
+SELECT id, rank, CAST(turn AS BIGINT) AS turn, CAST(depth AS BIGINT) AS depth FROM f
+UNION ALL SELECT id, rank + (SELECT count(*) FROM f), 2, depth FROM z
+UNION ALL SELECT id, (SELECT count(*) FROM f) + 25 + row_number() OVER (ORDER BY least(id, q), id) - 1, 2, CASE WHEN id < q THEN 0 ELSE 1 END FROM k""")
 def nearest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier")
-    key = lambda c, col: F.concat(F.lit(c), F.col(col).cast("string"))
-    e = s.where("s_nationkey < 10").select(key("n", "s_nationkey").alias("src"), key("s", "s_suppkey").alias("dst"))
-    e = e.union(s.where("s_suppkey < 9").select(key("x", "s_suppkey"), key("y", "s_suppkey"))).union(spark.createDataFrame([("c1", "c2"), ("c2", "c1")], "src string, dst string"))
-    nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
-    return longs(lineage.nearest_first(nodes, e, one(spark, "n3")), "depth", "turn")
+    """Nations and suppliers from two starts, one of which is named by a supplier's test; pairs of other things from their roots; a ring and pairs
+    that only feed each other."""
+    s, nation = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    key = lambda c, x: F.concat(F.lit(c), (F.col(x) if isinstance(x, str) else x).cast("string"))
+    n = F.col("n_nationkey")
+    e = s.select(key("n", "s_nationkey").alias("src"), key("s", "s_suppkey").alias("dst")).union(s.select(key("x", "s_suppkey"), key("y", F.expr("s_suppkey div 2"))))
+    e = e.union(nation.select(key("c", n), key("c", (n + 1) % 25))).union(nation.select(key("d", n), key("d", 24 - n)))
+    nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct().withColumn("name", F.col("id"))
+    starts = s.where("s_suppkey = 3").select(key("n", "s_nationkey").alias("id")).union(s.where("s_suppkey = 5").select(key("t", "s_suppkey")))
+    hosts = s.select(key("t", "s_suppkey").alias("test"), key("n", "s_nationkey").alias("id"))
+    return longs(lineage.nearest_first(nodes, e, starts, hosts), "rank", "depth", "turn")
 
 
 PASSING = "kind IN ('order', 'nation')"

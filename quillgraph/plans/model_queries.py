@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.functions import text
+from quillgraph.functions import jinja, text
 from quillgraph.operators import selection
 from quillgraph.plans import project
 from quillgraph.plans.project import node_id, table
@@ -159,6 +159,23 @@ def scalars_jinja(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = F.concat(F.lit("{# hidden() #} select f(x) from {{ "), b, F.lit("_m(1) }}"))
     body = F.concat(F.lit("{% macro other(z) %}{% endmacro %}{%- macro mine(a, "), a, F.lit("='x') -%}{% endmacro %}"))
     return part.select(
-        F.col("p_partkey").alias("id"), text.substituted(given, {"DB": "db"}).alias("filled"), F.array_join(text.unset_variables(sql, ["DB"]), ",").alias("unset"), F.array_join(text.environment_reads(sql), ",").alias("reads"),
-        F.array_join(text.jinja_calls(calls), ",").alias("calls"), F.array_join(text.macro_arguments(body, F.lit("mine")), ",").alias("args"),
+        F.col("p_partkey").alias("id"), text.substituted(given, {"DB": "db"}).alias("filled"), F.array_join(text.unset_variables(sql, ["DB"]), ",").alias("unset"), F.array_join(jinja.environment_reads(sql), ",").alias("reads"),
+        F.array_join(jinja.jinja_calls(calls), ",").alias("calls"), F.array_join(text.macro_arguments(body, F.lit("mine")), ",").alias("args"),
     )
+
+
+FIRST, SECOND = "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2)"
+
+
+@query(f"""WITH k AS (SELECT unnest(['call', 'env_var', 'call', 'target', 'target', 'warehouse', 'call', 'incremental', 'call', 'call']) AS kind, unnest([1, 1, 3, 4, 4, 5, 5, 6, 6, 4]) AS line, unnest(range(10)) AS i)
+SELECT p_partkey AS id, CAST(line + CASE WHEN i > 1 THEN p_size % 3 ELSE 0 END AS BIGINT) AS line, kind, CASE i WHEN 0 THEN 'env_var' WHEN 1 THEN CASE WHEN p_type = 'LARGE' THEN '' ELSE 'P_' || {FIRST} END WHEN 2 THEN {SECOND} || '_m' WHEN 3 THEN 'schema' WHEN 4 THEN {FIRST} WHEN 5 THEN 'run_query' WHEN 6 THEN 'run_query' WHEN 7 THEN '' WHEN 8 THEN 'is_incremental' ELSE 'target.get' END AS name FROM part, k""")
+def template_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and reads of invented templates, with strings, comments, raw blocks, tests, filters and plain text that hold none."""
+    a, b = (F.get(F.split("p_name", " "), F.lit(k)) for k in (0, 1))
+    variable = F.when(F.col("p_type") == "LARGE", "DB_PASSWORD").otherwise(F.concat(F.lit("P_"), a))
+    code = F.concat(
+        F.lit("select target.schema from t -- env_var('A') {{ env_var('"), variable, F.lit("') }}"), F.repeat(F.lit("\n"), F.col("p_size") % 3),
+        F.lit("{# hidden(1) \n #}{% raw %} {{ f(x) }} {% endraw %}\n{{ "), b, F.lit('_m("say g(x)") | h(2) }} {{ x.y.z(1) }}{% if 3 is odd(1) and 4 is not even(2) %}\n{%- set x = target.schema ~ target.type ~ target.get("'), a,
+        F.lit('") ~ target["threads"] %}\n{{ run_query(  "select k(1)") }}\n{% if is_incremental () and y.target.name %} z() { p() } {{ unclosed(1)'),
+    )
+    return jinja.table(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), code.alias("code"))).withColumn("line", F.col("line").cast("long"))

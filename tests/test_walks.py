@@ -68,3 +68,59 @@ def test_selections_walk_to_tests(spark):
     ids = lambda **k: sorted(r.id for r in u.pick(F.col("id") == "a", walk_tests=True, **k).ids.collect())
     assert ids(down=1) == ["a", "c", "t1"] and ids(down=None) == ["a", "c", "t1", "t2"] and ids(up=1) == ["a", "r"]
     assert ids(at=True) == ["a", "b", "c", "r", "t1", "t2"]
+
+
+def test_closure_by_deltas_is_the_definition(spark):
+    """Links with a ring, groups that wait on each other, and points that are updaters of several assets."""
+    import random
+
+    from quillgraph.operators import jobs
+
+    rnd = random.Random(3)
+    name = lambda: f"p{rnd.randrange(14)}"
+    links = {(name(), name()) for _ in range(9)} | {("r1", "r2"), ("r2", "r1"), ("r1", "p0")}
+    groups = {(name(), rnd.choice("xyz"), name()) for _ in range(14)} | {("g", "x", "r1"), ("g", "x", "r2"), ("h", "y", "g")}
+    before = {(d, s) for s, d in links}
+    while True:
+        more = {(d, z) for s, d in links for y, z in before if y == s}
+        for d, a in {(d, a) for d, a, _ in groups}:
+            members = [s for e, b, s in groups if (e, b) == (d, a)]
+            more |= {(d, z) for z in {z for _, z in before} | set(members) if all(z == s or (s, z) in before for s in members)}
+        if more <= before:
+            break
+        before |= more
+    got = jobs.ancestors_all(spark.createDataFrame([*links, (None, "p1")], "src string, dst string"), spark.createDataFrame([*groups, *groups], "dst string, asset string, src string")).collect()
+    assert sorted((r.point, r.before) for r in got) == sorted(before)
+
+
+def test_ranks_follow_the_queue(spark):
+    """Against a queue, with a test as a start, parts that no start reaches, and rings."""
+    import random
+
+    from quillgraph.operators import lineage
+
+    rnd = random.Random(2)
+    edges = {(f"n{rnd.randrange(26)}", f"n{rnd.randrange(26)}") for _ in range(14)} | {("a1", "a2"), ("a2", "a1"), ("b1", "b2"), ("b2", "b3"), ("b3", "b1")}
+    ids = sorted({x for e in edges for x in e})
+    label = {i: f"{chr(99 - ord(i[0]) % 3)}{i[1:]}" for i in ids}  # names in another order than ids, some alike
+    order = lambda xs: sorted(set(xs), key=lambda i: (label[i], i))
+    near = {i: {b for a, b in edges if a == i} | {a for a, b in edges if b == i} for i in ids}
+    fed = {b for a, b in edges if a != b}
+    rank: list = order([ids[-1], ids[-2]])
+    head, roots = 0, False
+    while len(rank) < len(ids):
+        if head == len(rank):
+            fresh = [] if roots else order(i for i in ids if i not in rank and i not in fed)
+            roots = True
+            rank += fresh or order(i for i in ids if i not in rank)[:1]
+            continue
+        rank += order(i for i in near[rank[head]] if i not in rank)
+        head += 1
+    nodes = spark.createDataFrame(list(label.items()), "id string, name string")
+    e = spark.createDataFrame(list(edges), "src string, dst string")
+    starts = spark.createDataFrame([(ids[-1],), ("t",), ("unknown",)], "id string")
+    hosts = spark.createDataFrame([("t", ids[-2]), ("other", ids[0])], "test string, id string")
+    got = {r.id: r.rank for r in lineage.nearest_first(nodes, e, starts, hosts).collect()}
+    assert sorted(got, key=got.get) == rank and sorted(got.values()) == list(range(len(ids)))
+    every = {r.turn for r in lineage.nearest_first(nodes, e, nodes).collect()}
+    assert every == {1, 2}  # all are starts, so none is
