@@ -82,8 +82,10 @@ class Scratch(scratch.Scratch):
         finally:
             conf.set(key, before)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        self.write(lambda: df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}"))
+    def save(self, df: DataFrame, name: str, block_mb: int = 128) -> DataFrame:
+        """block_mb: what a writer holds of a file before it is written."""
+        writer = df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", block_mb << 20)
+        self.write(lambda: writer.parquet(f"{self.root}/{name}"))
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:

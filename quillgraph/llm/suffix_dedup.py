@@ -144,39 +144,34 @@ class SuffixIndex:
 WINDOWS = "h long, large boolean, doc long, sub long, open boolean, lo long, hash array<long>"
 
 
-def _windows(p: Repeats):
-    """Of texts with runs (h, lo, hi, large, open): the hashes of each run's windows."""
+def _windows(p: Repeats, most: int = 200_000):
+    """Of texts with runs (h, lo, hi, large, open): the hashes of each run's windows, about so many at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
-            keys = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-            out: list[tuple] = []
-            for d, (doc, sub, wanted) in enumerate(keys):
-                starts = np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in wanted])
-                g = window_hashes(data[offsets[d] : offsets[d + 1]], starts, p.length).view(np.int64)
-                at = 0
-                for r in wanted:
-                    n = r["hi"] - r["lo"] + 1
-                    out.append((r["h"], r["large"], doc, sub, r["open"], r["lo"], g[at : at + n]))
-                    at += n
-                if len(out) > 5000:
-                    yield _batch(out)
-                    out = []
-            if out:
-                yield _batch(out)
+            wanted = batch.column(3)
+            runs_of = np.append(0, np.cumsum(wanted.value_lengths().to_numpy()))
+            h, lo, hi, large, is_open = wanted.flatten().flatten()
+            lo, n = lo.to_numpy(), hi.to_numpy() - lo.to_numpy() + 1
+            first, held, hashes = 0, 0, []
+            for d in range(batch.num_rows):
+                i, j = runs_of[d], runs_of[d + 1]
+                before = np.cumsum(n[i:j]) - n[i:j]
+                starts = np.repeat(lo[i:j] - before, n[i:j]) + np.arange(n[i:j].sum())
+                hashes.append(window_hashes(data[offsets[d] : offsets[d + 1]], starts, p.length).view(np.int64))
+                held += len(starts)
+                if held >= most or d + 1 == batch.num_rows:
+                    x, y = runs_of[first], j
+                    some = np.repeat(np.arange(first, d + 1), np.diff(runs_of[first : d + 2]))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n[x:y])).astype(np.int32)), pa.array(np.concatenate(hashes)))
+                    own = [batch.column(c).take(pa.array(some)) for c in (0, 2)]
+                    yield pa.RecordBatch.from_arrays([h[x:y], large[x:y], *own, is_open[x:y], pa.array(lo[x:y]), lists], names=[f.split()[0] for f in WINDOWS.split(", ")])
+                    first, held, hashes = d + 1, 0, []
 
     return run
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
-    *cols, hashes = zip(*rows, strict=True)
-    ends = np.append(0, np.cumsum([len(g) for g in hashes])).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hashes)))
-    return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), lists], names=[f.split()[0] for f in WINDOWS.split(", ")])
-
-
 def _settle(length: int):
     """Of windows sorted by h: the ranges of open runs' windows that another run of the group has too."""
 
@@ -219,10 +214,12 @@ def _ranges(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
 
 
 def _counted(windows: DataFrame, length: int) -> DataFrame:
-    """The same of large groups, by counting: a range for each window of an open run that stands elsewhere too."""
+    """The same of large groups, by counting: a range for each open run with windows that stand elsewhere too. A run's windows all overlap, so
+    the first and the last of those tell what they cover."""
     each = windows.select("h", "doc", "sub", "open", "lo", F.posexplode("hash").alias("i", "g"))
     many = each.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
-    return each.where("open").join(many, ["h", "g"]).select("doc", "sub", (F.col("lo") + F.col("i")).alias("lo"), (F.col("lo") + F.col("i") + length).alias("hi"))
+    per = each.where("open").join(many, ["h", "g"]).groupBy("h", "doc", "sub", "lo").agg(F.min("i").alias("a"), F.max("i").alias("b"))
+    return per.select("doc", "sub", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b") + length).alias("hi"))
 
 
 def repeated_ranges(spark: SparkSession, docs: DataFrame, p: Repeats = Repeats(), scratch: Scratch | None = None) -> DataFrame:  # noqa: B008
@@ -249,7 +246,7 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, p: Repeats = Repeats()
         .agg(F.collect_list("r").alias("wanted"))  # within one text
     )
     asked = texts.join(wanted, (F.col("doc") == F.col("of")) & (F.col("sub") == F.col("of_sub"))).select("doc", "text", "sub", "wanted")
-    windows = scratch.save(map_arrow(asked, _windows(p), WINDOWS), "windows")
+    windows = scratch.save(map_arrow(asked, _windows(p), WINDOWS), "windows", block_mb=16)
     small = windows.where("not large").repartition(parts, "h").sortWithinPartitions("h")
     settled = map_arrow(small, _settle(p.length), RANGE)
     many = whole.where("m > 1").select("h", "f1", "f2")
