@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.operators import reports
+from quillgraph.operators import reports, settings
 from quillgraph.plans.fixture import artifact
 from quillgraph.plans.project import once
 from quillgraph.plans.registry import query
@@ -104,3 +104,73 @@ def report_moved_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = lambda s: lines.where(F.col("l_linestatus") == s).groupBy("src", "dst").agg(F.max("role").alias("role"))
     changes = merging.compare_edges(side("F"), side("O")).join(lines.select("dst", "document").distinct(), "dst")
     return reports.moved_models(scanned(spark, sf_dir, 1), scanned(spark, sf_dir, 2), changes)
+
+
+BODY = "CASE WHEN m > 45 THEN '{\"+tags\":[\"a\"]}' WHEN m > 40 THEN '{\"deep\":{\"materialized\":\"view\",\"meta\":{\"owner\":\"me\"}}}' ELSE '{}' END"
+FOLDERS = "f AS (SELECT p_brand AS project, p_type, split_part(p_name, ' ', 1) AS first, max(p_size) AS m FROM part GROUP BY ALL)"
+PATHS = f"""{FOLDERS}, t AS (SELECT project, 'models' AS block, project AS path FROM f UNION SELECT project, 'models', project || '.' || p_type FROM f WHERE p_type = 'LARGE' UNION SELECT project, 'models', project || '.' || p_type || '.' || first FROM f WHERE m > 45
+UNION SELECT project, 'models', project || '.' || p_type || '.' || first || unnest(['.deep', '.deep.meta']) FROM f WHERE m BETWEEN 41 AND 45 UNION SELECT project, 'data_tests', '' FROM f UNION SELECT project, 'data_tests', 'none' FROM f)"""
+
+
+def settings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, v) of invented projects, a brand each: settings of folders by type and the first word of a name, three levels and more."""
+    from quillgraph.plans.project import table
+
+    part = table(spark, sf_dir, "part").withColumn("first", F.get(F.split("p_name", " "), F.lit(0)))
+    per = part.groupBy("p_brand", "p_type", "first").agg(F.max("p_size").alias("m"))
+    entry = lambda key, value: F.concat(F.lit('"'), key, F.lit('":'), value)
+    joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
+    types = per.groupBy("p_brand", "p_type").agg(joined(entry(F.col("first"), F.expr(BODY))).alias("b"))
+    more = F.when(F.col("p_type") == "LARGE", ',"+enabled":true').otherwise("")
+    brands = types.groupBy("p_brand").agg(joined(entry(F.col("p_type"), F.concat(F.lit("{"), "b", more, F.lit("}")))).alias("b"))
+    doc = F.concat(F.lit('{"seeds":5,"tests":{"+severity":"warn","none":{"x":1}},"models":{"'), "p_brand", F.lit('":{"+schema":"x",'), "b", F.lit("}}}"))
+    return brands.select(F.col("p_brand").alias("project"), F.parse_json(doc).alias("v"))
+
+
+def tree_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settings.tree(settings.blocks(settings_of(spark, sf_dir), ["models", "seeds", "data_tests"], {"tests": "data_tests"}))
+
+
+@query(f"WITH {PATHS} SELECT * FROM t")
+def config_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_of(spark, sf_dir).select("project", "block", F.array_join("parts", ".").alias("path"))
+
+
+@query(f"WITH {PATHS} SELECT * FROM t WHERE path LIKE '%.deep%' OR path = 'none'")
+def config_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that begin no part's full name: what is deeper than the folders, and a folder that no test has."""
+    from quillgraph.plans.project import table
+
+    part = table(spark, sf_dir, "part")
+    fqn = F.array("p_brand", "p_type", F.get(F.split("p_name", " "), F.lit(0)), "p_name")
+    own = part.select(F.col("p_brand").alias("project"), F.explode(F.array(F.lit("models"), F.lit("data_tests"))).alias("block"), fqn.alias("fqn"))
+    return settings.unused(tree_of(spark, sf_dir), own)
+
+
+@query("""WITH p AS (SELECT p_partkey // 200 AS k, count(*) AS n FROM part GROUP BY 1) SELECT 'project=' || k AS name, CASE k % 4 WHEN 2 THEN 'failing' WHEN 3 THEN 'gave up' ELSE 'good' END AS state, CASE k % 4 WHEN 2 THEN 1 WHEN 3 THEN 3 ELSE 1 END AS tries,
+CASE WHEN k % 4 <> 3 THEN n END AS models, k % 4 IN (1, 3) AS dead FROM p""")
+def stream_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of projects that arrive whole, or broken and then whole, or whole and then broken, or broken for good, polled six times."""
+    from quillgraph.functions.scratch import Scratch
+    from quillgraph.plans.project import table
+    from quillgraph.streaming.artifacts import Artifacts
+
+    scratch = Scratch(spark)
+    folder = scratch.path()
+    k = F.expr("p_partkey div 200")
+    per = table(spark, sf_dir, "part").groupBy(k.alias("project")).agg(F.to_json(F.struct(F.count("*").alias("models"))).alias("text"))
+    left = F.col("project") % 4
+    broken = F.when(left.isin(1, 3), F.lit('{"models": ')).otherwise(F.col("text"))
+    later = F.when(left == 1, F.col("text")).otherwise(F.lit('{"mod'))
+    put = lambda rows, text: rows.select("project", text.alias("value")).repartition("project").write.mode("append").partitionBy("project").text(folder)
+    name = lambda path: F.element_at(F.split(path, "/"), -2)
+    made = Artifacts(spark, folder, scratch.path(), name, pattern="*.txt")
+    put(per, broken)
+    for _ in range(4):  # the last of them has nothing to do
+        made.poll()
+    put(per.where(left.isin(1, 2)), later)
+    made.poll()
+    good = made.good().select("name", F.get_json_object("text", "$.models").cast("long").alias("models"))
+    dead = made.letters().select("name", F.lit(True).alias("dead")).distinct()
+    rows = made.state().join(good, "name", "left").join(dead, "name", "left")
+    return rows.select("name", "state", "tries", "models", F.coalesce("dead", F.lit(False)).alias("dead"))
