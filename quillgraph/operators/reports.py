@@ -30,9 +30,11 @@ def folder_tally(nodes: DataFrame, folder: Column, kinds: list[str], looks: list
 
 def selection_tally(nodes: DataFrame, ids: DataFrame, most: int = 5000) -> DataFrame:
     """(kind, n, names) of a selection: how many of each kind, with the first names."""
-    rows = nodes.join(ids.select("id").distinct(), "id", "left_semi")
+    rows = nodes.join(ids.select("id").distinct(), "id", "left_semi").select("kind", "name", "id")
     k = F.row_number().over(Window.partitionBy("kind").orderBy("name", "id"))
-    return rows.withColumn("k", k).groupBy("kind").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= most, F.col("name")))), ",").alias("names"))  # most at most
+    # a limit by rank is taken in every task before the kinds meet
+    first = rows.withColumn("k", k).where(F.col("k") <= most).groupBy("kind").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))  # most at most
+    return rows.groupBy("kind").agg(F.count("*").alias("n")).join(first, "kind")
 
 
 def run_kinds(results: DataFrame, nodes: DataFrame) -> DataFrame:

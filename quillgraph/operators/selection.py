@@ -39,6 +39,11 @@ def default_method(value: str) -> str:
     return "file" if value.lower().endswith((".sql", ".py", ".csv")) else "fqn"
 
 
+def default_method_of(value: Column) -> Column:
+    """The same of each value of a column."""
+    return F.when(value.contains("/") | value.contains("\\"), "path").when(F.lower(value).rlike(r"\.(sql|py|csv)$"), "file").otherwise("fqn")
+
+
 def fqn_matches(fqn: Column, pattern: str, version: Column | None = None) -> Column:
     """Its last part, or a dotted prefix in which the first part with a wildcard globs all the rest; with the package or without.
     A name has as many parts as the pattern at least. With a version, a last part name.vN also goes by name_vN and by name."""

@@ -155,18 +155,18 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return against.fingerprints(edges, table(spark, sf_dir, "part").select(node_id("part", "p_partkey").alias("id")), sources)
 
 
-SOURCES = f"""{CE}, p AS (SELECT 'part.' || p_partkey AS id FROM part WHERE p_size = 7), w AS (SELECT DISTINCT p.id, e.src FROM p JOIN r ON r.dst = p.id JOIN ({TOP}) e ON e.dst = r.src WHERE r.role = 'passthrough')"""
+SOURCES = f"""{CE}, p AS (SELECT 'part.' || p_partkey AS id FROM part), w AS (SELECT DISTINCT p.id, e.src FROM p JOIN r ON r.dst = p.id JOIN ({TOP}) e ON e.dst = r.src WHERE r.role = 'passthrough')"""
 
 
 @query(f"WITH {SOURCES} SELECT id, count(*) AS n, string_agg(src, ',' ORDER BY src) AS sources FROM w GROUP BY id")
 def value_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = table(spark, sf_dir, "part").where("p_size = 7").select(node_id("part", "p_partkey").alias("id"))
+    seeds = table(spark, sf_dir, "part").select(node_id("part", "p_partkey").alias("id"))
     return against.value_sources(column_edges(spark, sf_dir), seeds, table(spark, sf_dir, "nation").select(node_id("nation", "n_nationkey").alias("id")))
 
 
 @query(f"WITH {SOURCES} SELECT p.id, CASE WHEN EXISTS (SELECT 1 FROM w WHERE w.id = p.id AND src IN ('nation.3', 'nation.4')) THEN 2 ELSE 0 END AS depth FROM p")
 def fingerprint_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = table(spark, sf_dir, "part").where("p_size = 7").select(node_id("part", "p_partkey").alias("id"))
+    seeds = table(spark, sf_dir, "part").select(node_id("part", "p_partkey").alias("id"))
     return against.depth_to(column_edges(spark, sf_dir), seeds, one(spark, "nation.3", "nation.4"))
 
 
@@ -281,17 +281,17 @@ def builds_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- macros ------------------------------------------------------------------------------------
 
-MAC = """calls AS (SELECT s_suppkey AS caller, s_suppkey // 2 AS callee FROM supplier WHERE s_suppkey // 2 <> s_suppkey AND s_nationkey > 4), users AS (SELECT DISTINCT l_suppkey AS macro, l_partkey AS node FROM lineitem WHERE l_quantity = 50 AND l_tax > 0.04),
-written AS (SELECT DISTINCT l_suppkey AS macro, l_partkey AS node FROM lineitem WHERE l_quantity = 49 AND l_tax > 0.04 EXCEPT SELECT macro, node FROM users)"""
+MAC = """calls AS (SELECT s_suppkey AS caller, s_suppkey // 2 AS callee FROM supplier WHERE s_suppkey // 2 <> s_suppkey AND s_nationkey > 4), users AS (SELECT DISTINCT l_suppkey AS macro, l_partkey AS node FROM lineitem WHERE l_quantity > 25),
+written AS (SELECT DISTINCT l_suppkey AS macro, l_partkey AS node FROM lineitem WHERE l_quantity <= 25 EXCEPT SELECT macro, node FROM users)"""
 MWALK = f"""{MAC}, up(macro, caller, d) AS (SELECT s_suppkey, s_suppkey, 0 FROM supplier WHERE s_nationkey < 6 UNION SELECT macro, calls.caller, d + 1 FROM up JOIN calls ON callee = up.caller), nearest AS (SELECT macro, caller, min(d) AS d FROM up GROUP BY 1, 2),
 rows AS (SELECT n.macro, node, CASE WHEN d = 0 THEN 0 ELSE 1 END AS how, d FROM nearest n JOIN users u ON u.macro = caller UNION ALL SELECT n.macro, node, 2, d FROM nearest n JOIN written w ON w.macro = caller),
 usage AS (SELECT macro, node, min(row(how, d)) AS x FROM rows GROUP BY 1, 2)"""
 
 
 def macro_graph(spark: SparkSession, sf_dir: str) -> macros.MacroGraph:
-    s, lines = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "lineitem").where("l_tax > 0.04").select(F.col("l_suppkey").alias("macro"), F.col("l_partkey").alias("node"), "l_quantity")
+    s, lines = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("macro"), F.col("l_partkey").alias("node"), "l_quantity")
     calls = s.where("s_nationkey > 4").select(F.col("s_suppkey").alias("caller"), F.floor(F.col("s_suppkey") / 2).alias("callee"))
-    return macros.build(s.select(F.col("s_suppkey").alias("id")), lines.where("l_quantity = 50").drop("l_quantity"), lines.where("l_quantity = 49").drop("l_quantity"), calls)
+    return macros.build(s.select(F.col("s_suppkey").alias("id")), lines.where("l_quantity > 25").drop("l_quantity"), lines.where("l_quantity <= 25").drop("l_quantity"), calls)
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -459,14 +459,14 @@ def reports_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- cards -------------------------------------------------------------------------------------
 
-LINKS = "l AS (SELECT DISTINCT l_suppkey AS src, 100000000 + l_partkey AS dst FROM lineitem WHERE l_quantity >= 49)"
+LINKS = "l AS (SELECT DISTINCT l_suppkey AS src, 100000000 + l_partkey AS dst FROM lineitem)"
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
 
 
-CARD = "l AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_quantity >= 49)"
+CARD = "l AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem)"
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -482,9 +482,9 @@ def node_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.node_card(b, _links(spark, sf_dir), own, b.where("p_size > 20").select("id", F.lit("b").alias("column")))
 
 
-@query(f"""WITH {META}, {CARD}, b AS (SELECT 'p' || id AS id, name, kind, disabled FROM meta WHERE p_size = 7) SELECT b.id, name AS label, kind, disabled AS faded, (SELECT count(*) FROM l WHERE dst = b.id) AS n_in, 0::BIGINT AS n_out, (SELECT count(*) FROM l WHERE dst = b.id) AS hidden_up, 0::BIGINT AS hidden_down FROM b""")
+@query(f"""WITH {META}, {CARD}, b AS (SELECT 'p' || id AS id, name, kind, disabled FROM meta) SELECT b.id, name AS label, kind, disabled AS faded, (SELECT count(*) FROM l WHERE dst = b.id) AS n_in, 0::BIGINT AS n_out, (SELECT count(*) FROM l WHERE dst = b.id) AS hidden_up, 0::BIGINT AS hidden_down FROM b""")
 def box_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, links = _boxes(spark, sf_dir).where("p_size = 7"), Graph.of(_links(spark, sf_dir))
+    b, links = _boxes(spark, sf_dir), Graph.of(_links(spark, sf_dir))
     return cards.box_facts(b, lineage.degree(links.edges, b), lineage.hidden(links, b))
 
 

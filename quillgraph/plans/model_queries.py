@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,19 +62,28 @@ def methods_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meta(spark, sf_dir).select("id", text.version_state(c("version"), c("latest")).alias("state"), selection.version_matches(c("kind"), c("version"), c("latest"), "none").alias("unversioned"))
 
 
-@query("SELECT unnest(['models/staging', 'orders.SQL', 'seed.csv', 'a.b.c', 'x.py', 'a\\b']) AS value, unnest(['path', 'file', 'file', 'fqn', 'file', 'path']) AS method")
+@query(f"""WITH {META}, v AS (SELECT id, unnest([path, replace(path, '/', chr(92)), name, name || '.SQL', name || '.csv', package || '.' || name, name || '.py.txt', '']) AS value, unnest(['path', 'path', 'fqn', 'file', 'file', 'fqn', 'fqn', 'fqn']) AS method FROM meta) SELECT * FROM v""")
 def methods_default(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = ["models/staging", "orders.SQL", "seed.csv", "a.b.c", "x.py", "a\\b"]
-    return spark.createDataFrame([(v, selection.default_method(v)) for v in values], "value string, method string")
+    """The method of each model's path, name and files, as a criterion that names none."""
+    c = F.col
+    values = F.array(c("path"), F.replace("path", F.lit("/"), F.lit("\\")), c("name"), F.concat("name", F.lit(".SQL")), F.concat("name", F.lit(".csv")), F.concat_ws(".", "package", "name"), F.concat("name", F.lit(".py.txt")), F.lit(""))
+    rows = meta(spark, sf_dir).select("id", F.explode(values).alias("value"))
+    return rows.withColumn("method", selection.default_method_of(c("value")))
+
+
+#: What criteria match, and what they match as full names.
+EMPTY = (("p_size > 45", "false"), ("kind = 'test' AND NOT disabled", "false"), ("false", "p_size < 20"), ("name = 'no_such'", "name = 'no_such'"), ("p_size > 47 OR kind = 'test'", "true"))
+WHY = " UNION ALL ".join(
+    f"SELECT {i} AS asked, CASE WHEN bool_or(({m}) AND disabled) THEN 'disabled' WHEN bool_or(({m}) AND NOT disabled AND kind = 'test') THEN 'tests' WHEN bool_or(({f}) AND NOT disabled AND kind = 'source') THEN 'sources' ELSE 'nothing' END AS why FROM meta"
+    for i, (m, f) in enumerate(EMPTY)
+)
 
 
-@query(f"""WITH {META} SELECT 'disabled' AS why, count(*) > 0 AS any FROM meta WHERE disabled UNION ALL SELECT 'tests', true UNION ALL SELECT 'sources', true UNION ALL SELECT 'nothing', true""")
+@query(f"WITH {META} {WHY}")
 def methods_why_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, none = meta(spark, sf_dir), F.lit(False)
-    live = ~F.col("disabled")
-    asked = ((F.col("p_size") > 45, none), ((F.col("kind") == "test") & live, none), (none, F.lit(True)), (F.col("name") == "no_such", F.col("name") == "no_such"))
-    out = [selection.why_empty(m, a, b, False) for a, b in asked]
-    return out[0].union(out[1]).union(out[2]).union(out[3]).withColumn("any", F.lit(True))
+    m = meta(spark, sf_dir)
+    out = [selection.why_empty(m, F.expr(a), F.expr(b), False).select(F.lit(i).alias("asked"), "why") for i, (a, b) in enumerate(EMPTY)]
+    return reduce(DataFrame.unionByName, out)
 
 
 # --- what is kept of selections ------------------------------------------------------------------
