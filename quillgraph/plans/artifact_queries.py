@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,16 @@ from quillgraph.plans.registry import query
 from quillgraph.sources import artifacts
 from quillgraph.sources.published import Published
 
+#: A brand's parts in runs of 4,000 numbers are a project, as the fixtures have it.
+PARTS = "parts AS (SELECT * REPLACE (p_brand || '_' || (p_partkey // 4000) AS p_brand) FROM part)"
+
+
+def of_projects(sql: str) -> str:
+    """sql, with projects in place of brands."""
+    sql = re.sub(r"\b(FROM|JOIN) part\b", r"\1 parts", sql)
+    return f"WITH {PARTS}, {sql.removeprefix('WITH ')}" if sql.startswith("WITH ") else f"WITH {PARTS} {sql}"
+
+
 SRC = "src AS (SELECT DISTINCT p_brand, p_partkey, p_size, 'source.' || p_brand || '.s.t' || l_suppkey AS source FROM lineitem JOIN part ON l_partkey = p_partkey)"
 MODEL = "'model.' || p_brand || '.m' || p_partkey"
 TEST = "'test.' || p_brand || '.t' || p_partkey"
@@ -26,12 +38,12 @@ def manifest(spark: SparkSession, sf_dir: str) -> artifacts.Manifest:
     return artifacts.manifest(spark, artifact(spark, sf_dir, "manifest"))
 
 
-@query(f"WITH {SRC}, {KNOWN} SELECT project, id, kind, disabled, description FROM known")
+@query(of_projects(f"WITH {SRC}, {KNOWN} SELECT project, id, kind, disabled, description FROM known"))
 def source_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(spark, sf_dir).nodes.select("project", "id", "kind", "disabled", "description")
 
 
-@query(f"""SELECT p_brand AS project, {MODEL} AS node, CAST(unnest([0, 1]) AS BIGINT) AS ord, unnest(['KEY', p_name]) AS name, unnest(['number', CASE WHEN p_size < 25 THEN p_type ELSE '' END]) AS type, unnest([NULL, 'c']) AS comment FROM part""")
+@query(of_projects(f"""SELECT p_brand AS project, {MODEL} AS node, CAST(unnest([0, 1]) AS BIGINT) AS ord, unnest(['KEY', p_name]) AS name, unnest(['number', CASE WHEN p_size < 25 THEN p_type ELSE '' END]) AS type, unnest([NULL, 'c']) AS comment FROM part"""))
 def source_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.catalog(spark, artifact(spark, sf_dir, "catalog")).withColumn("ord", F.col("ord").cast("long"))
 
@@ -40,7 +52,7 @@ EDGE = """edge AS (SELECT p_brand, 's' || l_suppkey AS a, 'p' || l_partkey AS b,
 row(l_orderkey, l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice) AS ord FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
-@query(f"WITH {EDGE} SELECT a AS src, 'id' AS src_col, b AS dst, col AS dst_col, kind, count(*) AS n FROM edge WHERE status = 'F' GROUP BY ALL")
+@query(of_projects(f"WITH {EDGE} SELECT a AS src, 'id' AS src_col, b AS dst, col AS dst_col, kind, count(*) AS n FROM edge WHERE status = 'F' GROUP BY ALL"))
 def source_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = artifacts.column_cache(spark, artifact(spark, sf_dir, "cache:1:F")).edges
     return edges.groupBy(F.col("from").alias("src"), F.col("from_col").alias("src_col"), F.col("to").alias("dst"), F.col("to_col").alias("dst_col"), "kind").agg(F.count("*").alias("n"))
@@ -51,9 +63,9 @@ def source_run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.run_results(spark, artifact(spark, sf_dir, "results")).select("invocation", "command", "id", "status", "seconds", "message")
 
 
-@query(f"""WITH {EDGE}, x AS (SELECT a, b, col, status, arg_min(kind, ord) AS kind FROM edge GROUP BY 1, 2, 3, 4), f AS (SELECT * FROM x WHERE status = 'F'), o AS (SELECT * FROM x WHERE status = 'O')
+@query(of_projects(f"""WITH {EDGE}, x AS (SELECT a, b, col, status, arg_min(kind, ord) AS kind FROM edge GROUP BY 1, 2, 3, 4), f AS (SELECT * FROM x WHERE status = 'F'), o AS (SELECT * FROM x WHERE status = 'O')
 SELECT coalesce(f.a, o.a) || '.id' AS src, coalesce(f.b, o.b) || '.' || coalesce(f.col, o.col) AS dst, CASE WHEN f.a IS NULL THEN 'gained' WHEN o.a IS NULL THEN 'lost' ELSE 'changed' END AS change, f.kind AS role_a, o.kind AS role_b
-FROM f FULL JOIN o ON f.a = o.a AND f.b = o.b AND f.col = o.col WHERE f.kind IS DISTINCT FROM o.kind""")
+FROM f FULL JOIN o ON f.a = o.a AND f.b = o.b AND f.col = o.col WHERE f.kind IS DISTINCT FROM o.kind"""))
 def source_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = artifacts.compare_versions(spark, artifact(spark, sf_dir, "cache:1:F"), artifact(spark, sf_dir, "cache:1:O"))
     column = lambda n, c: F.lower(F.concat_ws(".", n, c))
@@ -61,7 +73,7 @@ def source_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.compare_edges(first(a.edges), first(b.edges))
 
 
-@query("SELECT DISTINCT 'project=' || p_brand AS folder, 1::BIGINT AS files, true AS filled FROM part")
+@query(of_projects("SELECT DISTINCT 'project=' || p_brand AS folder, 1::BIGINT AS files, true AS filled FROM part"))
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = artifacts.file_index(spark, artifact(spark, sf_dir, "catalog").removesuffix("/*"), "*.txt")
     folder = F.url_decode(F.substring_index("path", "/", 1))
@@ -77,15 +89,13 @@ def compiled_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").withColumns({"project": F.lower("p_type"), "file": F.concat(F.lit("f"), F.col("p_size").cast("string"), F.lit(".sql"))})
     texts = part.where("p_size <= 30").select("project", "file", "p_type").distinct()
     texts = texts.select(F.explode(F.when(F.col("p_type").isin("LARGE", "SMALL"), F.array(F.lit("run"))).otherwise(F.array(F.lit("run"), F.lit("compiled")))).alias("d"), "project", "file")
-    for r in texts.collect():  # a few hundred files of the example
-        out = scratch._fs().create(scratch._path(f"{root}/{r.d}/{r.project}/{r.file}"))
-        out.writeBytes("select 1")  # empty files aren't listed
-        out.close()
-    files = artifacts.file_index(spark, root, "*.sql")
+    texts.withColumn("value", F.lit("select 1")).repartition("d", "project", "file").write.partitionBy("d", "project", "file").text(root)
+    # a folder stands for each file, with one part in it
+    files = artifacts.file_index(spark, root, "*.txt").withColumn("path", F.regexp_replace(F.regexp_replace("path", "/[^/]*$", ""), "(^|/)[a-z]+=", "$1"))
     return artifacts.compiled_files(part.select(F.col("p_partkey").alias("id"), "project", "file"), files, F.current_timestamp() + F.expr("interval 1 hour"))
 
 
-@query(f"WITH {SRC}, {KNOWN} SELECT project, id, kind, shown, disabled FROM known")
+@query(of_projects(f"WITH {SRC}, {KNOWN} SELECT project, id, kind, shown, disabled FROM known"))
 def build_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return building.nodes(manifest(spark, sf_dir)).select("project", "id", "kind", "shown", "disabled")
 
@@ -94,20 +104,20 @@ LINKED = f"""linked AS (SELECT p_brand AS project, source AS src, {MODEL} AS dst
 SELECT DISTINCT p_brand, source, {MODEL}, false FROM src WHERE p_size < 3 AND p_brand < 'Brand#2' UNION ALL SELECT p_brand, {MODEL}, {TEST}, true FROM part WHERE p_size BETWEEN 40 AND 45)"""
 
 
-@query(f"WITH {SRC}, {LINKED} SELECT * FROM linked")
+@query(of_projects(f"WITH {SRC}, {LINKED} SELECT * FROM linked"))
 def build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = manifest(spark, sf_dir)
     return building.edges(m, building.nodes(m))
 
 
-@query(f"SELECT p_brand AS project, {TEST} AS test, {MODEL} AS node FROM part WHERE p_size BETWEEN 40 AND 45")
+@query(of_projects(f"SELECT p_brand AS project, {TEST} AS test, {MODEL} AS node FROM part WHERE p_size BETWEEN 40 AND 45"))
 def declared_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = manifest(spark, sf_dir)
     known = building.nodes(m)
     return building.declaring(known, building.edges(m, known))
 
 
-@query(f"WITH {SRC}, {KNOWN} SELECT project, kind, count(*) AS n FROM known WHERE NOT disabled AND kind <> 'test' GROUP BY 1, 2")
+@query(of_projects(f"WITH {SRC}, {KNOWN} SELECT project, kind, count(*) AS n FROM known WHERE NOT disabled AND kind <> 'test' GROUP BY 1, 2"))
 def universe_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = building.universe(building.nodes(manifest(spark, sf_dir)), False)
     return known.groupBy("project", "kind").agg(F.count("*").alias("n"))

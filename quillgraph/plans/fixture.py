@@ -1,4 +1,5 @@
-"""Artifacts of invented projects, written as JSON from the star schema: a project for each brand.
+"""Artifacts of invented projects, written as JSON from the star schema: a project for a brand's parts in each run of 4,000 numbers, so that there
+are more projects, not larger ones, where there are more parts.
 
 A part is a model; parts of size 1 and 2 are disabled ones, of size 3 a disabled test, above 45 switched off where they stand. Its
 suppliers (by order lines) are its sources, listed in a parent map for brands from "Brand#2" on and as what it depends on for the
@@ -14,6 +15,12 @@ from quillgraph.functions.scratch import Scratch
 from quillgraph.plans.project import once, table
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with their project as the brand."""
+    run = F.expr("p_partkey div 4000").cast("string")
+    return table(spark, sf_dir, "part").withColumn("p_brand", F.concat("p_brand", F.lit("_"), run))
+
+
 def model_id() -> Column:
     return F.concat_ws(".", F.lit("model"), "p_brand", F.concat(F.lit("m"), F.col("p_partkey").cast("string")))
 
@@ -32,7 +39,7 @@ def _map(key: Column, value: Column, given: Column) -> Column:
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(p_partkey, p_brand, source): a model's sources, each once."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    part = parts(spark, sf_dir).select("p_partkey", "p_brand")
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_suppkey").distinct().join(part, "p_partkey")
     return rows.select("p_partkey", "p_brand", F.concat_ws(".", F.lit("source"), "p_brand", F.lit("s"), F.concat(F.lit("t"), F.col("l_suppkey").cast("string"))).alias("source"))
 
@@ -40,7 +47,7 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _manifest(spark: SparkSession, sf_dir: str) -> str:
     links = pairs(spark, sf_dir)
     own = links.groupBy("p_partkey").agg(F.array_sort(F.collect_list("source")).alias("sources"))  # of one model
-    part = table(spark, sf_dir, "part").join(own, "p_partkey", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
+    part = parts(spark, sf_dir).join(own, "p_partkey", "left").withColumn("sources", F.coalesce("sources", F.array().cast("array<string>")))
     size, name = F.col("p_size"), F.replace("p_name", F.lit(" "), F.lit("_"))
     node = F.struct(
         name.alias("name"), F.when(size == 3, "test").otherwise("model").alias("resource_type"), F.col("p_brand").alias("package_name"),
@@ -67,7 +74,7 @@ def _manifest(spark: SparkSession, sf_dir: str) -> str:
 def _catalog(spark: SparkSession, sf_dir: str) -> str:
     kind = F.when(F.col("p_size") < 25, F.col("p_type")).otherwise("")
     columns = F.create_map(F.lit("KEY"), F.struct(F.lit("KEY").alias("name"), F.lit("number").alias("type"), F.lit(None).cast("string").alias("comment")), F.lower("p_type"), F.struct(F.col("p_name").alias("name"), kind.alias("type"), F.lit("c").alias("comment")))
-    per = table(spark, sf_dir, "part").groupBy("p_brand").agg(_map(model_id(), F.struct(columns.alias("columns")), F.lit(True)).alias("nodes"))
+    per = parts(spark, sf_dir).groupBy("p_brand").agg(_map(model_id(), F.struct(columns.alias("columns")), F.lit(True)).alias("nodes"))
     return write(per, "p_brand", F.struct(F.struct(F.col("p_brand").alias("project_name")).alias("metadata"), "nodes"))
 
 
@@ -75,7 +82,7 @@ def _cache(spark: SparkSession, sf_dir: str, version: int, status: str) -> str:
     """Column edges of the suppliers' columns to the parts', by order lines of one status."""
     flag = F.col("l_returnflag")
     role = F.when(flag == "A", "filter").when(flag == "R", "join_key").otherwise("passthrough").alias("kind")
-    lines = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == status).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    lines = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == status).join(parts(spark, sf_dir).select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
     edge = F.struct(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("from"), F.lit("id").alias("from_col"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("to"), F.lower("l_returnflag").alias("to_col"), role)
     rows = lines.select("p_brand", F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice").alias("at"), edge.alias("edge"))
     per = rows.groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "edge"))), lambda x: x["edge"]).alias("edges"))
