@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import identifier
 
+# Kinds of nodes that a person writes.
+WRITTEN = ("model", "source", "seed", "snapshot", "exposure", "analysis")
+
 
 def node_by_name(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     """(asked, id, n) of asked (asked) among nodes (id, name, base, package, version, enabled): by id, else by name, else by name in either
@@ -34,12 +37,19 @@ def references(nodes: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def suggestions(nodes: DataFrame, asked: list[str], most: int = 5) -> DataFrame:
-    """(asked, id, name, turn): the first nodes whose names hold what was asked for, by likeness, shortness, name and id."""
-    hits = nodes.select("id", "name", F.explode(F.array(*map(F.lit, asked))).alias("asked")).where(F.contains(F.lower("name"), F.lower("asked")))
-    low = F.lower("name")
-    score = F.when(low == F.lower("asked"), 0).when(low.startswith(F.lower("asked")), 1).otherwise(2)
-    own = Window.partitionBy("asked").orderBy(score, F.octet_length("name"), "name", "id")
-    return hits.withColumn("turn", F.row_number().over(own)).where(F.col("turn") <= most)
+    """(asked, id, name, turn): the first nodes (id, name, kind, path) whose names, or else paths, hold what was asked for, by likeness,
+    shortness, name and id. Kinds that a person writes stand alone if any of them is among the hits; of one name the first is shown."""
+    low, want = F.lower("name"), F.lower("asked")
+    hits = nodes.select("id", "name", "path", F.col("kind").isin(*WRITTEN).alias("written"), F.explode(F.array(*map(F.lit, asked))).alias("asked"))
+    score = F.when(low == want, 0).when(low.startswith(want), 1).when(F.contains(low, want), 2).when(F.contains(F.lower("path"), want), 3)
+    hits = hits.withColumn("score", score).where("score is not null")
+    # a limit by rank is taken in every task before the words meet
+    turn = F.row_number().over(Window.partitionBy("asked", "written").orderBy("score", F.octet_length("name"), "name", "id"))
+    first = hits.withColumn("turn", turn).where(F.col("turn") <= most)
+    any_written = F.max("written").over(Window.partitionBy("asked"))  # two lists of most
+    first = first.withColumn("best", any_written).where("written = best")
+    again = F.row_number().over(Window.partitionBy("asked", "name").orderBy("turn"))
+    return first.withColumn("again", again).where("again = 1").select("asked", "id", "name", "turn")
 
 
 def same_places(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -44,10 +44,11 @@ def resolve_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.references(m, m.select(F.col("name").alias("asked")).union(spark.createDataFrame([("nothing",)], "asked string")))
 
 
-@query(f"""WITH {META}, a AS (SELECT unnest(['Ring', 'small', 'zz']) AS asked), h AS (SELECT asked, id, name, row_number() OVER (PARTITION BY asked ORDER BY CASE WHEN lower(name) = lower(asked) THEN 0 WHEN starts_with(lower(name), lower(asked)) THEN 1 ELSE 2 END, strlen(name), name, id) AS turn
-FROM a JOIN meta ON contains(lower(name), lower(asked))) SELECT * FROM h WHERE turn <= 5""")
+@query(f"""WITH {META}, a AS (SELECT unnest(['Ring', 'small', 'zz', 'economy', 'd_box']) AS asked), h AS (SELECT asked, id, name, kind <> 'test' AS written, CASE WHEN lower(name) = lower(asked) THEN 0 WHEN starts_with(lower(name), lower(asked)) THEN 1 WHEN contains(lower(name), lower(asked)) THEN 2 ELSE 3 END AS score
+FROM a JOIN meta ON contains(lower(name), lower(asked)) OR contains(lower(path), lower(asked))), k AS (SELECT *, row_number() OVER (PARTITION BY asked, written ORDER BY score, strlen(name), name, id) AS turn FROM h),
+w AS (SELECT *, max(written) OVER (PARTITION BY asked) AS best FROM k WHERE turn <= 5) SELECT asked, id, name, turn FROM w WHERE written = best QUALIFY row_number() OVER (PARTITION BY asked, name ORDER BY turn) = 1""")
 def did_you_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(resolve.suggestions(meta(spark, sf_dir).select("id", "name"), ["Ring", "small", "zz"]), "turn")
+    return longs(resolve.suggestions(meta(spark, sf_dir).select("id", "name", "kind", "path"), ["Ring", "small", "zz", "economy", "d_box"]), "turn")
 
 
 @query("SELECT a.p_partkey AS id_a, b.p_partkey AS id_b FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_name = b.p_name WHERE a.p_size < 3 AND b.p_size > 45")
@@ -230,6 +231,15 @@ def job_coverage_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.coverage(job_nodes(spark, sf_dir), steps(spark, sf_dir), job_starts(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE {JOBS}, {STEPS}, {NODES}, b AS (SELECT id, max(start) AS start FROM steps JOIN starts USING (job) WHERE id IS NOT NULL GROUP BY id), o AS (SELECT step, count(id) AS n, bool_or(wants) AS wants FROM steps GROUP BY 1),
+d AS (SELECT 'p' || p_partkey AS id FROM part WHERE p_size > 40) SELECT nodes.id, CASE WHEN kind = 'model' AND ephemeral THEN 'ephemeral' WHEN start IS NULL THEN 'never' WHEN start = 0 THEN 'unscheduled' ELSE 'unread' END AS list FROM nodes LEFT JOIN b ON b.id = nodes.id WHERE kind <> 'test' AND ((kind = 'model' AND ephemeral) OR coalesce(start, 0) < 2)
+AND package = 'Brand#2' AND nodes.id NOT IN (SELECT id FROM d) UNION ALL SELECT step, CASE WHEN wants THEN 'unresolved' ELSE 'empty' END FROM o WHERE wants OR n = 0""")
+def job_coverage_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one package's nodes, without those of large parts, which are disabled."""
+    off = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), (F.col("p_size") > 40).alias("disabled"))
+    return jobs.coverage(job_nodes(spark, sf_dir).join(off, "id"), steps(spark, sf_dir), job_starts(spark, sf_dir), "Brand#2")
+
+
 @query(f"""WITH {STEPS}, {NODES}, x AS (SELECT DISTINCT job, id FROM steps WHERE id IS NOT NULL) SELECT job, count(*) FILTER (kind = 'model') AS models, count(*) FILTER (kind = 'seed') AS seeds, count(*) FILTER (kind = 'snapshot') AS snapshots, count(DISTINCT package) AS packages FROM x JOIN nodes USING (id) GROUP BY job""")
 def models_by_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.models_by_job(steps(spark, sf_dir), job_nodes(spark, sf_dir))
