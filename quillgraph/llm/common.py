@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -55,6 +56,20 @@ def release_held() -> None:
         memory.clear()
 
 
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library keeps its memory
+        return None
+
+
+def trim() -> None:
+    """Hands back what the C library keeps of freed memory, where it can: workers live on between tasks and would hold it."""
+    if (libc := _libc()) is not None and hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable, schema, keeps: bool = False) -> DataFrame:
     """df.mapInArrow, whose workers hand back what memory Arrow keeps when a task ends, and, unless it keeps, what tasks of
     other operators have left in them."""
@@ -65,6 +80,7 @@ def map_arrow(df: DataFrame, fn: Callable, schema, keeps: bool = False) -> DataF
             release_held()
         yield from fn(batches)
         pa.default_memory_pool().release_unused()
+        trim()
 
     return df.mapInArrow(run, schema)
 

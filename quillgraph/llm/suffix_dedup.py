@@ -255,15 +255,20 @@ def repeated_ranges(spark: SparkSession, docs: DataFrame, p: Repeats = Repeats()
     return scratch.save(both, "spans")
 
 
-def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
+def union(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
     """The union of ranges, as maximal ranges in order."""
-    out: list[list[int]] = []
-    for lo, hi in sorted((r["lo"], r["hi"]) for r in spans or []):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [(a, b) for a, b in out]
+    order = np.argsort(lo)
+    lo, hi = lo[order], np.maximum.accumulate(hi[order])
+    apart = lo[1:] > hi[:-1]
+    return list(zip(lo[np.append(True, apart)].tolist(), hi[np.append(apart, True)].tolist(), strict=True))
+
+
+def merged(spans: pa.Array) -> Iterator[list[tuple[int, int]]]:
+    """Of each list of ranges their union; few objects, for a text may have thousands."""
+    n = np.append(0, np.cumsum(spans.value_lengths().fill_null(0).to_numpy()))
+    lo, hi = (c.to_numpy() for c in spans.flatten().flatten())
+    for a, b in zip(n[:-1].tolist(), n[1:].tolist(), strict=True):
+        yield union(lo[a:b], hi[a:b]) if b > a else []
 
 
 def kept_bytes(data: bytes, gone: list[tuple[int, int]]) -> bytes:
@@ -284,8 +289,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), spans_type]
     for batch in batches:
         rows = []
-        for doc, text, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            data, gone = (text or "").encode(), merged(spans)
+        for doc, text, gone in zip(batch.column(0).to_pylist(), batch.column(1), merged(batch.column(2)), strict=True):
+            text = text.as_py()
+            data = (text or "").encode()
             kept = kept_bytes(data, gone)
             rows.append((doc, len(data), len(data) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept_text(text, gone), [{"start": a, "stop": b} for a, b in gone]))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "removed"])
@@ -307,8 +313,7 @@ def _cut(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = dict(zip(names, batch.column(0).flatten(), strict=True))
-            spans, text = batch.column(1).to_pylist(), cols["text"].to_pylist()
-            text = [kept_text(t, merged(s)) if s else t for t, s in zip(text, spans, strict=True)]
+            text = [kept_text(t.as_py(), gone) for t, gone in zip(cols["text"], merged(batch.column(1)), strict=True)]
             cols["text"] = pa.array(text, cols["text"].type)
             if "n_chars" in cols:
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in text], cols["n_chars"].type)
