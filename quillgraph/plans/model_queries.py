@@ -163,7 +163,7 @@ def scalars_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 split_part(p_name, ' ', 2) || '_m' AS calls, 'a,' || split_part(p_name, ' ', 1) AS args FROM part""")
 def scalars_jinja(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (F.get(F.split("p_name", " "), F.lit(k)) for k in (0, 1))
-    part = table(spark, sf_dir, "part")
+    part = jinja.dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "p_partkey")
     kind = F.lower("p_type")
     given = F.concat(F.lit("{{ env_var('DB', 'd') }}_"), kind, F.lit(" x {{ env_var('HOST','local') }}"))
     sql = F.concat(F.lit("{# env_var('NOT') #}{{ target.schema }} {{ env_var('P_"), F.upper(a), F.lit("') }} {{ env_var('DB') }} {% if is_incremental() %}"))

@@ -92,3 +92,12 @@ def test_lines_and_secrets(spark):
     assert rows == {(1, "call", "f"): 2, (1, "call", "g"): 3, (1, "call", "env_var"): 3, (1, "env_var", ""): 3, (1, "target", "schema"): 7, (2, "call", "h"): 1}
     plan = df.select(F.explode(jinja.facts(F.col("code"))))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_texts_are_cut_once_and_dealt(spark):
+    """A text's blocks and tokens are computed once, however many conditions look at them, and a small file's texts go to many tasks."""
+    rows = spark.createDataFrame([(k, "{{ f(1) }}{{ target.schema }}") for k in range(40)], "id long, code string").coalesce(1)
+    plan = rows.select(jinja.facts(F.col("code")).alias("f"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all(") == 2 and plan.count("split(code") == 1
+    assert jinja.dealt(rows, "id").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert jinja.table(rows).count() == 80
