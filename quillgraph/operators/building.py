@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.functions.scratch import Scratch
 from quillgraph.sources.artifacts import Manifest
 
 
@@ -13,7 +14,7 @@ def nodes(manifest: Manifest) -> DataFrame:
     its version."""
     rows = manifest.nodes.withColumn("k", F.row_number().over(Window.partitionBy("project", "id").orderBy("place", "ord"))).where("k = 1")
     shown = F.when(F.col("kind") == "source", F.concat_ws(".", "source_name", "name")).when((F.col("kind") == "model") & F.col("version").isNotNull(), F.concat(F.col("name"), F.lit(".v"), F.col("version"))).otherwise(F.col("name"))
-    return rows.withColumn("shown", shown).drop("k", "place", "ord")
+    return Scratch(rows.sparkSession).save(rows.withColumn("shown", shown).drop("k", "place", "ord"))  # edges and tests ask for them again and again
 
 
 def edges(manifest: Manifest, known: DataFrame) -> DataFrame:

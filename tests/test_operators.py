@@ -179,6 +179,21 @@ def test_manifest_rules(spark, tmp_path):
     assert found(building.declaring(known, links)) == [("p", "test.p.t", "model.p.a")]
 
 
+def test_manifest_files_are_read_once(spark, tmp_path):
+    """Once a manifest is read, its nodes, edges and tests ask for no file again; files with and without a parent map stand side by side."""
+    node = lambda **x: {"name": "n", "resource_type": "model", "package_name": "p"} | x
+    for p, more in (("p", {"parent_map": {"model.p.b": ["model.p.a"]}}), ("q", {})):
+        raw = {"metadata": {"project_name": p}, "nodes": {f"model.{p}.a": node(), f"model.{p}.b": node(depends_on={"nodes": [f"model.{p}.a"]}), f"test.{p}.t": node(resource_type="test", attached_node=f"model.{p}.b")}, **more}
+        (tmp_path / f"{p}.json").write_text(json.dumps(raw))
+    m = artifacts.manifest(spark, str(tmp_path / "*.json"))
+    for p in "pq":
+        (tmp_path / f"{p}.json").unlink()
+    known = building.nodes(m)
+    links = building.edges(m, known)
+    assert found(links) == [(p, f"model.{p}.a", f"model.{p}.b", False) for p in "pq"]
+    assert found(building.declaring(known, links)) == [(p, f"test.{p}.t", f"model.{p}.b") for p in "pq"]
+
+
 def test_refresh_hands_each_file_over_once(spark, tmp_path):
     folder, state, seen = tmp_path / "in", str(tmp_path / "state"), []
     folder.mkdir()
