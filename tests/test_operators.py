@@ -239,3 +239,13 @@ def test_last_rows_with_nulls(spark):
     rows = spark.createDataFrame([("a", None, 1, True), ("a", 3, 2, False), ("a", 3, 3, False), ("a", 2, 9, True), (None, None, 1, True), ("b", 1, 1, False)], "g string, at int, k int, ok boolean")
     got = {(r.g, r["at"], r.k, r.last_success) for r in ranking.last_rows(rows, ["g"], "at", "k", F.col("ok")).collect()}
     assert got == {("a", 3, 3, 2), (None, None, 1, None), ("b", 1, 1, None)}
+
+
+def test_steps_given_once_need_no_distinct(spark):
+    """Pairs of steps that are given once go out without being gathered; of a step that is given twice each node still comes once."""
+    nodes = spark.createDataFrame([("a", "m"), ("b", "m"), ("c", "x")], "id string, kind string")
+    u = selection.Universe(nodes, spark.createDataFrame([("a", "b")], "src string, dst string"))
+    steps = spark.createDataFrame([(1, "all", ["m"]), (2, "all", ["m"]), (2, "first", ["m", "x"]), (3, "gone", ["m"])], "step int, selection string, kinds array<string>")
+    got = jobs.step_nodes(u, {"all": lambda u: u.pick(F.lit(True)), "first": lambda u: u.pick(F.col("id") != "b")}, steps)
+    assert sorted(map(tuple, got.collect())) == [(1, "a"), (1, "b"), (2, "a"), (2, "b"), (2, "c")]
+    assert not got._jdf.queryExecution().analyzed().toString().startswith("Deduplicate")
