@@ -168,3 +168,15 @@ def reached(edges: DataFrame | Graph, pairs: DataFrame, block: int = 1 << 22) ->
     own = graph.edges.where("src = dst").select("src", F.lit(True).alias("own")).distinct()
     together = rows.where("src_part = dst_part").join(alone.withColumn("alone", F.lit(True)), "src_part", "left").join(own, "src", "left").where("alone is null or own")
     return apart.select("src", "dst").unionByName(together.select("src", "dst"))
+
+
+def reached_by_words(edges: DataFrame | Graph, rows: DataFrame, block: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
+    """(id, word, bits) twice, of rows (id, node) whose nodes are on no cycle: the starts that id's nodes are, and those that reach any of them from
+    another node. Two ids with a common bit have a node that reaches one of the other's; no pairs of nodes are made."""
+    graph = Graph.of(edges)
+    c = _carry(graph, block, rows.select(F.col("node").alias("id")).distinct())
+    placed = rows.join(c.parts.select(F.col("id").alias("node"), F.col("component").alias("part")), "node").select("id", "part")
+    put = lambda df: df.groupBy("id", "word").agg(F.bit_or("bits").alias("bits"))
+    mine = c.starts.select("part", "word", F.expr("shiftleft(1L, bit)").alias("bits"))
+    others = c.words.join(mine.withColumnRenamed("bits", "mine"), ["part", "word"], "left").select("part", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("mine", F.lit(0).cast("long")))).alias("bits")).where("bits <> 0")
+    return put(placed.join(mine, "part")), put(placed.join(others, "part"))

@@ -249,3 +249,16 @@ def test_steps_given_once_need_no_distinct(spark):
     got = jobs.step_nodes(u, {"all": lambda u: u.pick(F.lit(True)), "first": lambda u: u.pick(F.col("id") != "b")}, steps)
     assert sorted(map(tuple, got.collect())) == [(1, "a"), (1, "b"), (2, "a"), (2, "b"), (2, "c")]
     assert not got._jdf.queryExecution().analyzed().toString().startswith("Deduplicate")
+
+
+def test_order_pairs_pair_no_steps(spark, monkeypatch):
+    """Nodes of very many steps are compared by words, so what is written between grows with the steps, not with their pairs."""
+    n, written = 300, []
+    steps = spark.range(2 * n).selectExpr("id AS step", "id div 300 AS id")
+    order = spark.range(n).selectExpr("id AS before", "id + 300 AS after")
+    needs = spark.createDataFrame([(1, 0), (0, 1)], "id long, need long")
+    kept = jobs.Scratch.save
+    monkeypatch.setattr(jobs.Scratch, "save", lambda self, df: written.append(kept(self, df)) or written[-1])
+    got = jobs.order_pairs(steps, needs, order)
+    assert sorted(map(tuple, got.collect())) == [(0, 1, "reversed"), (1, 0, "ordered")]
+    assert max(df.count() for df in written) <= 2 * n
