@@ -1,9 +1,9 @@
 """Graph traversals over edges (src, dst): level by level joins, each level written once and read by the next.
 
 A level's frontier is joined to the edges, made distinct and stripped of what was seen before, so an edge is followed once from each
-seed and cycles end. Depth is the shortest distance. A Graph's edges are made distinct and written once, whatever walks over it and in
-which direction. Frontiers and what was seen are tables of known size, so Spark broadcasts the small ones, and then the edges aren't
-shuffled. Nothing is collected but a level's number of rows, which its own write counts. Null ends never join.
+seed and cycles end. Depth is the shortest distance. A Graph's edges are made distinct and written once, dealt into buckets by their source, so
+no level shuffles them: small frontiers are broadcast, large ones are shuffled to the buckets. Buckets grow in number with the edges, so a
+task's part of them doesn't. Nothing is collected but a level's number of rows, which its own write counts. Null ends never join.
 """
 
 from __future__ import annotations
@@ -17,23 +17,36 @@ from pyspark.sql import functions as F
 from quillgraph.functions.scratch import Scratch
 
 
+#: Edges of a bucket, about.
+BUCKET = 1 << 19
+
+
 @dataclass(frozen=True)
 class Graph:
-    """Distinct edges (src, dst) without null ends, written once."""
+    """Distinct edges (src, dst) without null ends, written once in buckets of their src."""
 
     edges: DataFrame
 
     @staticmethod
-    def of(edges: DataFrame | Graph) -> Graph:
+    def of(edges: DataFrame | Graph, most: int | None = None) -> Graph:
         if isinstance(edges, Graph):
             return edges
-        rows = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-        return Graph(Scratch(edges.sparkSession).save(rows))
+        return Graph(prepared(edges.select("src", "dst"), most))
 
     def flipped(self) -> Graph:
+        """The edges with their ends exchanged, read where they are: for walks whose frontiers are small."""
         return Graph(backwards(self.edges))
 
 
+def prepared(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """edges (src, dst, …) without null ends, each once, written in buckets of their src; most: rows that they are at most, where that is known."""
+    spark = edges.sparkSession
+    rows = edges.where("src is not null and dst is not null")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(rows.count() if most is None else most) // BUCKET))
+    # dealt before they are made distinct, so that neither step holds more than a bucket
+    return Scratch(spark).save_dealt(rows.repartition(parts, "src").distinct(), parts, "src")
+
+
 def backwards(edges: DataFrame | Graph) -> DataFrame | Graph:
     """edges with their ends exchanged; other columns as they are."""
     if isinstance(edges, Graph):
@@ -41,10 +54,11 @@ def backwards(edges: DataFrame | Graph) -> DataFrame | Graph:
     return edges.withColumnRenamed("src", "__s").withColumnRenamed("dst", "src").withColumnRenamed("__s", "dst").select(*edges.columns)
 
 
-def bfs(edges: DataFrame | Graph, seeds: DataFrame, max_depth: int | None = None, with_seeds: bool = True) -> DataFrame:
+def bfs(edges: DataFrame | Graph, seeds: DataFrame, max_depth: int | None = None, with_seeds: bool = True, through: DataFrame | None = None) -> DataFrame:
     """(…keys, id, depth) of all that is reached from seeds (…keys, id), keys naming the seed where many are walked at once.
 
-    With seeds, they stand at depth 0 and aren't reached again. Without, a seed is reached only along a cycle, as any other node.
+    With seeds, they stand at depth 0 and aren't reached again. Without, a seed is reached only along a cycle, as any other node. Only nodes in
+    through (id) are walked past, if it is given.
     """
     hops = Graph.of(edges).edges
     scratch = Scratch(seeds.sparkSession)
@@ -55,6 +69,8 @@ def bfs(edges: DataFrame | Graph, seeds: DataFrame, max_depth: int | None = None
     levels, depth = [path] if with_seeds else [], 0
     while n and (max_depth is None or depth < max_depth):
         depth += 1
+        if through is not None:
+            frontier = scratch.save(frontier.join(through.select("id"), "id"))  # the smaller side is broadcast, whichever it is; written, so that its size is known
         reached = frontier.join(hops, frontier["id"] == hops["src"]).select(*keys, F.col("dst").alias("id")).distinct()
         if levels:
             reached = reached.join(scratch.read(*levels, schema=first.schema).select(*keys, "id"), [*keys, "id"], "left_anti")
@@ -74,6 +90,24 @@ def ancestors(edges: DataFrame | Graph, seeds: DataFrame, depth: int | None = No
     return descendants(backwards(edges), seeds, depth)
 
 
+def seen_through(edges: DataFrame | Graph, nodes: DataFrame) -> DataFrame:
+    """(id, end, steps) of built nodes: the nearest built nodes above, seen through those that pass, and over how many edges; the same two may come
+    over several. nodes: (id, built, passes); what does neither hides what is above it. A node that passes is walked from once, whatever is
+    built below it."""
+    scratch = Scratch(nodes.sparkSession)
+    kinds = nodes.select("id", F.when(F.col("built"), "built").when(F.col("passes"), "passes").alias("kind")).where("kind is not null")
+    end = lambda name: kinds.select(F.col("id").alias(name), F.col("kind").alias(f"{name}_kind"))
+    hops = scratch.save(Graph.of(edges).edges.join(end("src"), "src").join(end("dst"), "dst").select("src", "dst", "src_kind", "dst_kind"))
+    between = lambda above, below: hops.where((F.col("src_kind") == above) & (F.col("dst_kind") == below))
+    direct = between("built", "built").select(F.col("dst").alias("id"), F.col("src").alias("end"), F.lit(1).alias("steps"))
+    near = between("built", "passes").select(F.col("dst").alias("id"), F.col("src").alias("end"))
+    chain = between("passes", "passes").select("src", "dst")
+    chained = bfs(Graph(backwards(chain)), chain.select(F.col("dst").alias("seed"), F.col("dst").alias("id")), with_seeds=False)
+    above = near.select(F.col("id").alias("seed"), "end", F.lit(1).alias("steps")).unionByName(chained.join(near, "id").select("seed", "end", (F.col("depth") + 1).alias("steps")))
+    below = between("passes", "built").join(above, F.col("src") == F.col("seed"))
+    return direct.unionByName(below.select(F.col("dst").alias("id"), "end", (F.col("steps") + 1).alias("steps")))
+
+
 def fixpoint(start: DataFrame, step, key: list[str], best: dict[str, Column], most: int = 10_000) -> DataFrame:
     """The least fixpoint of state = best(state, step(changed rows)): rows (…key, …values), best naming the aggregate of each value.
 
