@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.scratch import Scratch
-from quillgraph.operators.traverse import Graph, ancestors, backwards, bfs, descendants, fixpoint, longest_paths, numbered
+from quillgraph.operators.traverse import Graph, ancestors, backwards, bfs, descendants, fixpoint, longest_paths, numbered, seen_through
 
 
 def lineage(edges: DataFrame | Graph, focus: DataFrame, up: int | None, down: int | None, cap: int | None = None) -> DataFrame:
@@ -36,9 +36,12 @@ def _rows(edges: DataFrame | Graph) -> DataFrame:
 
 def hidden(edges: DataFrame | Graph, nodes: DataFrame) -> DataFrame:
     """(id, hidden_up, hidden_down): parents and children of nodes (id) that aren't among them."""
-    e, ids = _rows(edges).distinct(), nodes.select("id").distinct()
-    away_up = e.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("hidden_up"))
-    away_down = e.join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("hidden_down"))
+    e, ids = _rows(edges), Scratch(nodes.sparkSession).save(nodes.select("id").distinct())
+    e = e if isinstance(edges, Graph) else e.distinct()
+    src, dst = ids.withColumnRenamed("id", "src"), ids.withColumnRenamed("id", "dst")
+    # only edges of the nodes are kept before anything is counted
+    away_up = e.join(dst, "dst", "left_semi").join(src, "src", "left_anti").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("hidden_up"))
+    away_down = e.join(src, "src", "left_semi").join(dst, "dst", "left_anti").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("hidden_down"))
     return ids.join(away_up, "id", "left").join(away_down, "id", "left").na.fill(0)
 
 
@@ -69,21 +72,18 @@ def layering(nodes: DataFrame, edges: DataFrame | Graph) -> DataFrame:
     return longest_paths(nodes, edges)
 
 
-def clone_plan(edges: DataFrame, nodes: DataFrame, focus: DataFrame) -> DataFrame:
+def clone_plan(edges: DataFrame | Graph, nodes: DataFrame, focus: DataFrame) -> DataFrame:
     """(id): what has to exist before focus (id) can be built alone: its parents, those that aren't built replaced by theirs.
     nodes: (id, passes) where passes marks those that are expanded in place."""
-    up = backwards(edges).join(nodes.select(F.col("id").alias("src"), "passes"), "src")
-    first = focus.select("id").join(backwards(edges), focus["id"] == F.col("src")).select(F.col("dst").alias("id")).distinct()
-    through = bfs(up.where("passes").select("src", "dst"), first).select("id").distinct()
-    return through.join(nodes.where("not passes").select("id"), "id", "left_semi")
+    up = Graph.of(edges).flipped()
+    met = bfs(up, descendants(up, focus.select("id"), 1), through=nodes.where("passes"))
+    return nodes.where("not passes").select("id").join(met.select("id"), "id", "left_semi").distinct()
 
 
-def unbuilt_upstream(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def unbuilt_upstream(edges: DataFrame | Graph, nodes: DataFrame) -> DataFrame:
     """(id, parent) for every node that is built: the nearest built nodes above it, seen through those that aren't."""
-    built = nodes.where("not passes").select("id")
-    first = edges.select(F.col("dst").alias("seed"), F.col("src").alias("id")).join(built.withColumnRenamed("id", "seed"), "seed", "left_semi")
-    up = backwards(edges).join(nodes.where("passes").select(F.col("id").alias("src")), "src", "left_semi")
-    return bfs(up, first.select("seed", "id")).join(built, "id", "left_semi").select(F.col("seed").alias("id"), F.col("id").alias("parent")).distinct()
+    rows = seen_through(edges, nodes.select("id", (~F.col("passes")).alias("built"), "passes"))
+    return rows.select("id", F.col("end").alias("parent")).distinct()
 
 
 def round_robin(tests: DataFrame, cap: int) -> DataFrame:

@@ -555,12 +555,12 @@ def _passing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {ABOVE} SELECT w.id, name AS relation FROM w JOIN n ON n.id = w.id WHERE kind = 'supplier'")
 def upstream_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.upstream_relations(project.graph(spark, sf_dir).edges, _passing(spark, sf_dir), one(spark, "part.7"))
+    return lineage.upstream_relations(project.graph(spark, sf_dir), _passing(spark, sf_dir), one(spark, "part.7"))
 
 
 @query(f"WITH RECURSIVE {ABOVE} SELECT w.id, name, kind, 'clone' AS how FROM w JOIN n ON n.id = w.id WHERE NOT {PASSING}")
 def clone_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lineage.clone_answer(project.graph(spark, sf_dir).edges, _passing(spark, sf_dir), one(spark, "part.7"))
+    return lineage.clone_answer(project.graph(spark, sf_dir), _passing(spark, sf_dir), one(spark, "part.7"))
 
 
 @query("SELECT doc_id AS id, substr(text, 1, 100) AS sql, coalesce(length(text) > 100, false) AS cut FROM documents")
