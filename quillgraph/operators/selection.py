@@ -9,14 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.scratch import Scratch
 from quillgraph.functions.text import version_state
-from quillgraph.operators.traverse import Graph, ancestors, descendants
+from quillgraph.operators.traverse import Graph, ancestors, descendants, prepared
 from quillgraph.operators.walks import CHILDREN_AND_TESTS, OPEN, labelled, walk
 
 MODES = ("eager", "cautious", "buildable", "empty")
@@ -153,7 +153,18 @@ class Universe:
     def __post_init__(self) -> None:
         ids = self.nodes.select("id").distinct()
         inner = self.edges.select("src", "dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-        self.inner = Graph.of(inner.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))  # written once for all terms
+        inner = inner.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        self.inner = Graph.of(inner, self.edges.count())  # written once for all terms
+
+    @cached_property
+    def with_test_hops(self) -> Graph:
+        """Edges (src, dst, label) to children and to the tests of nodes, written once for all terms that walk to tests."""
+        hops, most = labelled(self.inner.edges, "child"), self.inner.edges.count()
+        if self.test_edges is not None:
+            known = self.test_edges.join(self.nodes.select("id").distinct(), "id", "left_semi")
+            hops = hops.unionByName(labelled(known.select(F.col("id").alias("src"), F.col("test").alias("dst")), "test"))
+            most += self.test_edges.count()
+        return Graph(prepared(hops, most))
 
     def pick(self, match: Column, up: int | None = 0, down: int | None = 0, at: bool = False, mode: str | None = None, walk_tests: bool = False) -> Selection:
         """The nodes that match, grown by `up` and `down` levels (None: all); at: with all descendants and all their ancestors. walk_tests:
@@ -175,11 +186,8 @@ class Universe:
 
     def _grown_with_tests(self, direct: DataFrame, up: int | None, down: int | None, at: bool) -> DataFrame:
         """(id) of direct and what is grown around it, tests being ends of a walk downward."""
-        hops = labelled(self.inner.edges, "child")
-        if self.test_edges is not None:
-            known = self.test_edges.join(self.nodes.select("id").distinct(), "id", "left_semi")
-            hops = hops.unionByName(labelled(known.select(F.col("id").alias("src"), F.col("test").alias("dst")), "test"))
-        back = hops.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("up").alias("label"))
+        hops = self.with_test_hops
+        back = Graph(hops.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("up").alias("label")))
         below = lambda seeds, depth: walk(hops, seeds, CHILDREN_AND_TESTS, depth).select("id")
         above = lambda seeds, depth: walk(back, seeds, {(OPEN, "up"): OPEN}, depth).select("id")
         out = direct
@@ -197,6 +205,8 @@ class Universe:
             raise ValueError(f"mode is one of {MODES}")
         if self.test_edges is None or mode == "empty":
             return ids
+        if mode == "eager":
+            return ids.union(self.test_edges.join(ids, "id", "left_semi").select(F.col("test").alias("id"))).distinct()
         good = ids
         if mode == "buildable":
             good = ids.union(ancestors(self.inner, ids))
@@ -204,7 +214,7 @@ class Universe:
         hit = ids.withColumn("hit", F.lit(True))
         rows = self.test_edges.join(hit, "id", "left").join(good.withColumn("good", F.lit(True)), "id", "left")
         per = rows.groupBy("test").agg(F.count("hit").alias("hits"), F.count("good").alias("goods"), F.count("*").alias("n"))
-        ok = {"eager": F.col("hits") > 0, "cautious": F.col("hits") == F.col("n"), "buildable": (F.col("hits") > 0) & (F.col("goods") == F.col("n"))}[mode]
+        ok = {"cautious": F.col("hits") == F.col("n"), "buildable": (F.col("hits") > 0) & (F.col("goods") == F.col("n"))}[mode]
         return ids.union(per.where(ok).select(F.col("test").alias("id"))).distinct()
 
 
