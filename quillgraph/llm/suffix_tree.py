@@ -10,11 +10,14 @@ has (Witten and Bell). All contexts of one and two tokens are tested; longer one
 this goes on until a depth retains none. A context with a single successor isn't extended, for its extensions can't diverge
 from it. A token is scored in the longest retained suffix of what stands before it.
 
-All counts are exact and unbounded, so none is held whole: the corpus is dealt into blocks of neighbouring rows, each block asks
-for the counts of its own distinct tokens (a shuffle by token), and gets them back sorted ahead of its texts (a shuffle by
-block). So do contexts, depth by depth: a block tells which pairs of a context and a next token it has, in training texts or
-not; the pairs are counted, tested and given probabilities as tables; and the block gets back the probabilities of its own
-pairs in retained contexts. Contexts and pairs are named by 64-bit hashes. A task holds one block's tokens and pairs.
+All counts are exact and unbounded, so none is held whole: the scan cuts the corpus into blocks of neighbouring texts, which are
+written once, dealt by block; only counts travel. A block sends each bucket of tokens its own ones with their counts, and gets their
+numbers and counts in the order it named them. So do contexts, depth by depth: a block sends each bucket of contexts the pairs of
+a context and a next token it has, in training texts or not, with the context's share of the divergence from the parent's probabilities,
+which the block knows; the bucket adds up and tests; and back come the pairs' counts in the same order, and what the test says of the
+contexts. A block goes through all depths so far again, so nothing but these answers is kept. The pairs of a context that occurs very
+often are dealt to many buckets, and their sums added. Contexts of two tokens and more are named by 64-bit hashes. A task holds one
+block's tokens and pairs, or one bucket's pairs; numbers travel as compressed bytes.
 
 Null and empty texts are the end alone. Repeated rows are counted and scored each. Null ids are training rows (their fold is
 not the held-out one). Without training tokens, N and V are 0 and every token is unknown for certain. An empty table gives no
@@ -23,16 +26,16 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import Scratch, map_arrow, n_parts, powers, prefix_hash, span_hash, splitmix, table
+from quillgraph.llm.common import Scratch, map_arrow, n_parts, powers, prefix_hash, span_hash, splitmix, table, trim
 from quillgraph.llm.fitting import in_fold
 
 END = b""
@@ -40,11 +43,12 @@ END = b""
 
 @dataclass(frozen=True)
 class Tree:
-    """least: occurrences that a context needs, 2 at least. sigma: standard deviations above chance of the divergence. rows: of a block. folds, held_out: rows whose crc32(doc_id) mod folds is held_out aren't learnt from."""
+    """least: occurrences that a context needs, 2 at least. sigma: standard deviations above chance of the divergence. tokens: of a block, about; a text stays whole. slice: occurrences of a context for each bucket that its pairs are dealt to. folds, held_out: rows whose crc32(doc_id) mod folds is held_out aren't learnt from."""
 
     least: float = 2
     sigma: float = 6.0
-    rows: int = 4096
+    tokens: int = 1 << 20
+    slice: int = 1 << 20
     folds: int = 5
     held_out: int = 1
 
@@ -67,33 +71,109 @@ def _spans(tok: np.ndarray):
         h = np.append(np.uint64(0), np.cumsum(tok * powers(0, len(tok))[0][: len(tok)], dtype=np.uint64))
 
     def name(at: np.ndarray, depth: int) -> np.ndarray:
-        return splitmix(span_hash(h, at - depth, at) + np.uint64(depth)).view(np.int64)
+        return splitmix(span_hash(h, at - depth, at) + np.uint64(depth))
 
     return name
 
 
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, token, n, name) of rows (block, held_out, text): each block's tokens with their count in its training rows."""
-    now, train, other = None, Counter(), set()
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers as compressed bytes; whole ones, none below zero, in as few bytes each as the largest needs."""
+    if x.dtype.kind != "f":
+        x = x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    return x.dtype.char.encode() + x.nbytes.to_bytes(8, "little") + (pa.compress(x.tobytes(), codec="zstd", asbytes=True) if len(x) else b"")
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    kind, size = np.dtype(b[:1].decode()), int.from_bytes(b[1:9], "little")
+    return np.frombuffer(pa.decompress(b[9:], size, codec="zstd", asbytes=True), dtype=kind) if size else np.zeros(0, dtype=kind)
+
+
+def _joined(packed: list[bytes], kind) -> np.ndarray:
+    return np.concatenate([_unpacked(b).astype(kind) for b in packed]) if packed else np.zeros(0, dtype=kind)
+
+
+def _cuts(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin, and the end."""
+    n = len(sorted_keys)
+    return np.concatenate([np.zeros(1, np.int64), np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1, [n]]) if n else np.zeros(1, np.int64)
+
+
+def _rows(columns: list[list], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.Table.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[f for f, _ in fields])
+
+
+#: A block's own row (bucket -1; a: each text's number of tokens, b: which are held out, c: tokens by number, docs: ids) or
+#: its tokens of one bucket (a: tokens, b: their number of bytes, c: counts in training texts).
+BLOCKS = "block long, bucket int, a binary, b binary, c binary, docs array<long>"
+TOKEN_BUCKETS = 256
 
-    def flush() -> pa.RecordBatch:
-        words = list(train) + list(other.difference(train))
-        n = [train.get(w, 0) for w in words]
-        name = splitmix(_named(words) + np.uint64(1)).view(np.int64)
-        out = pa.RecordBatch.from_arrays([pa.array(np.full(len(words), now), pa.int64()), pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array(name)], names=["block", "token", "n", "name"])
-        train.clear()
-        other.clear()
-        return out
 
-    for batch in batches:
-        for block, held, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if block != now or len(train) + len(other) > 1_500_000:
-                if train or other:
-                    yield flush()
-                now = block
-            (other if held else train).update(tokens(text))
-    if train or other:
-        yield flush()
+def _blocks(most: int):
+    """BLOCKS of rows (doc_id, held_out, text). A block numbers its distinct tokens in the order of their buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made, number = TaskContext.get().partitionId(), 0, {}
+        docs, held, flat, n = [], [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal made, n
+            words, block = list(number), (task << 32) + made
+            bucket = (_named(words) % np.uint64(TOKEN_BUCKETS)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            size, at = np.array([len(f) for f in flat]), np.concatenate(flat)
+            train = np.repeat(~np.array(held), size)
+            count = np.bincount(at[train], minlength=len(words))[order]
+            out = [[block], [-1], [_packed(size)], [_packed(np.array(held).astype(np.uint8))], [_packed(rank[at])], [docs[:]]]
+            cut = _cuts(bucket[order])
+            for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                mine = [words[i] for i in order[x:y].tolist()]
+                row = (block, int(bucket[order[x]]), b"".join(mine), _packed(np.array([len(w) for w in mine])), _packed(count[x:y]), None)
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+            made, n = made + 1, 0
+            for had in (docs, held, flat, number):
+                had.clear()
+            yield from _rows(out, BLOCKS).to_batches()
+
+        for batch in batches:
+            for doc, out, text in zip(*(batch.column(i) for i in range(3)), strict=True):
+                found = tokens(text.as_py())
+                flat.append(np.array([number.setdefault(w, len(number)) for w in found], dtype=np.int32))
+                docs.append(doc.as_py())
+                held.append(out.as_py())
+                n += len(found)
+                if n >= most:
+                    yield from flush()
+        if docs:
+            yield from flush()
+
+    return run
+
+
+#: The numbers of a block's tokens of a bucket and their counts; one row of a bucket has its numbers of training tokens,
+#: distinct ones and those seen once to four times, the others have zeros.
+NAMES = "block long, bucket int, number binary, count binary, n long, v long, n1 long, n2 long, n3 long, n4 long"
+
+
+def _number(part: pa.Table) -> pa.Table:
+    """NAMES of the tokens of one bucket of all blocks."""
+    rows = sorted(part.select(["block", "bucket", "a", "b", "c"]).to_pylist(), key=lambda r: r["block"])
+    sizes = [_unpacked(r["b"]).astype(np.int64) for r in rows]
+    offsets = np.append(0, np.cumsum(np.concatenate(sizes)))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(r["a"] for r in rows))])
+    code = words.dictionary_encode().indices.to_numpy().astype(np.int64)
+    own = _joined([r["c"] for r in rows], np.int64)
+    c = np.bincount(code, weights=own).astype(np.int64)
+    number = code * TOKEN_BUCKETS + rows[0]["bucket"]
+    stop = np.cumsum([len(s) for s in sizes])
+    cut = [(e - len(s), e) for e, s in zip(stop.tolist(), sizes, strict=True)]
+    told = [int(c.sum()), int((c > 0).sum()), *(int((c == k).sum()) for k in (1, 2, 3, 4))]
+    first = lambda x: [x] + [0] * (len(rows) - 1)
+    return _rows([[r["block"] for r in rows], [r["bucket"] for r in rows], [_packed(number[a:b]) for a, b in cut], [_packed(c[code[a:b]]) for a, b in cut], *map(first, told)], NAMES)
 
 
 @dataclass
@@ -130,77 +210,6 @@ class Model:
         return max(1, len(self.frequent))
 
 
-PAIRS = "block long, context long, pair long, shorter long, n long"
-
-
-def _has(some: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Which x are among some, sorted."""
-    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x if len(some) else np.zeros(len(x), dtype=bool)
-
-
-def _tell(depth: int):
-    """PAIRS of rows (block, kind, name, held_out, text): the names of a block's contexts that may be extended (kind 0) and
-    of those that are frequent (kind 1), then its texts (kind 2). Depth 1 extends all; only depths 1 and 2 know what is frequent."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, told, have = None, None, ([], [])
-        held: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            x = np.concatenate(held)
-            held.clear()
-            _, at, back = np.unique(x[:, 1], return_index=True, return_inverse=True)
-            n = np.bincount(back, weights=x[:, 3]).astype(np.int64)
-            cols = [np.full(len(at), now), x[at, 0], x[at, 1], x[at, 2], n]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[f.split()[0] for f in PAIRS.split(", ")])
-
-        for batch in batches:
-            place = np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)])
-            cut = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1).tolist(), len(place)]
-            for a, b in zip(cut, cut[1:], strict=False):
-                block, kind = place[a].tolist()
-                part = batch.slice(a, b - a)
-                if block != now:
-                    if held:
-                        yield flush()
-                    now, told, have = block, None, ([], [])
-                if kind < 2:
-                    have[kind].append(part.column(2).to_numpy())
-                    continue
-                if told is None:
-                    told = [np.sort(np.concatenate(h)) if h else np.zeros(0, dtype=np.int64) for h in have]
-                for i in range(0, part.num_rows, 512):
-                    some = part.slice(i, 512)
-                    tok, start, size = _placed(some.column(4).to_pylist())
-                    name = _spans(tok)
-                    at = np.flatnonzero(np.arange(len(tok)) - np.repeat(start, size) >= depth)
-                    if depth > 1:
-                        at = at[_has(told[0], name(at, depth - 1))]
-                    context = name(at, depth)
-                    if depth < 3:
-                        ok = _has(told[1], context)
-                        at, context = at[ok], context[ok]
-                    if not len(at):
-                        continue
-                    train = np.repeat(~some.column(3).to_numpy(zero_copy_only=False).astype(bool), size)
-                    held.append(np.column_stack([context, name(at + 1, depth + 1), name(at + 1, depth), train[at]]))
-                    if sum(map(len, held)) > 2_000_000:
-                        yield flush()
-        if held:
-            yield flush()
-
-    return run
-
-
-def _placed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the tokens of some texts, the place where each text begins, and its number of tokens."""
-    found = [tokens(t) for t in texts]
-    number: dict[bytes, int] = {}
-    flat = np.array([number.setdefault(w, len(number)) for ws in found for w in ws], dtype=np.int64)
-    size = np.array([len(f) for f in found])
-    return _named(list(number))[flat], np.cumsum(size) - size, size
-
-
 def _retain(model: Model, context: np.ndarray, token: np.ndarray, n: np.ndarray, unigram: np.ndarray, depth: int, p: Tree) -> tuple:
     """The retained contexts of a depth, of sorted successor counts of all candidates: as tested() does, of a small model in
     memory whose tokens are numbered (-1 for others)."""
@@ -246,140 +255,196 @@ def _parent(model: Model, context: int, w: np.ndarray, unigram: np.ndarray, dept
 SCORE = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(model: Model, depths: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (block, kind, token, c, name, p, doc, held, text): a block's tokens with their counts (kind 0), its pairs in
-        retained contexts of each depth with their log10 probabilities (kind is the depth), then its texts."""
-        now, ready = None, False
-        words: list[bytes] = []
-        counts: list[np.ndarray] = []
-        pairs: dict[int, list] = {}
-        for batch in batches:
-            place = np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)])
-            cut = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1).tolist(), len(place)]
-            for x, y in zip(cut, cut[1:], strict=False):
-                block, kind = place[x].tolist()
-                part = batch.slice(x, y - x)
-                if block != now:
-                    now, ready, words, counts, pairs = block, False, [], [], {}
-                if kind == 0:
-                    words += part.column(2).to_pylist()
-                    counts.append(part.column(3).to_numpy())
-                    continue
-                if kind <= depths:
-                    pairs.setdefault(kind, []).append((part.column(4).to_numpy(), part.column(5).to_numpy()))
-                    continue
-                if not ready:
-                    ready = True
-                    c = np.concatenate(counts).astype(float)
-                    number = {w: i for i, w in enumerate(words)}
-                    names, root, known = _named(words), model.root(c), c > 0
-                    base = np.log10((c + 0.5) / (model.n + 0.5 * (model.v + 1)))
-                    levels = []
-                    for d in sorted(pairs):
-                        keys, p = (np.concatenate([h[k] for h in pairs[d]]) for k in (0, 1))
-                        order = np.argsort(keys)
-                        levels.append((d, keys[order], p[order]))
-                    pairs = {}
-                for i in range(0, part.num_rows, 512):
-                    some = part.slice(i, 512)
-                    found = [[number[w] for w in tokens(t)] for t in some.column(8).to_pylist()]
-                    size = np.array([len(f) for f in found])
-                    start = np.cumsum(size) - size
-                    at = np.array([j for f in found for j in f], dtype=np.int64)
-                    score, name = root[at], _spans(names[at])
-                    before = np.arange(len(at)) - np.repeat(start, size)
-                    for d, keys, p in levels:
-                        here = np.flatnonzero(before >= d)
-                        pair = name(here + 1, d + 1)
-                        j = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-                        hit = keys[j] == pair
-                        score[here[hit]] = p[j[hit]]
-                    add = lambda v: np.add.reduceat(v, start)
-                    yield pa.RecordBatch.from_arrays(
-                        [some.column(6), some.column(7), pa.array(size), pa.array(add(known[at].astype(np.int64))), pa.array(np.full(len(size), model.n)), pa.array(add(base[at])), pa.array(add(score))],
-                        names=[f.split()[0] for f in SCORE.split(", ")],
-                    )
+#: A block's pairs of one bucket: its contexts (sorted, by their differences), whether they are dealt to many buckets, their numbers of pairs
+#: and sums of n * ln(the parent's probability), and the pairs' next tokens and counts n in training texts.
+ASKED = "block long, bucket int, context binary, spread binary, pairs binary, parent binary, token binary, n binary"
+#: The pairs' counts in all training texts, and of the contexts whether they are retained (1) and may be extended (2), and total
+#: and number of successors where they are retained. One row of a bucket has the sums of its spread contexts.
+TOLD = "block long, depth int, bucket int, n binary, says binary, total binary, k binary, spread array<long>, sums array<long>, kinds array<long>, parts binary"
+
+
+def _judged(total: np.ndarray, k: np.ndarray, x: np.ndarray, depth: int, p: Tree) -> np.ndarray:
+    """1 for retained contexts, plus 2 for those that may be extended; x: the sum of n * ln(n / the parent's probability)."""
+    some = np.maximum(total, 1)
+    g, df = 2 * (x - some * np.log(some)), k - 1
+    chance = ((df < 1) & (g < 20)) | (g <= df + p.sigma * np.sqrt(2 * np.maximum(df, 1)))
+    frequent = total >= max(2, p.least)
+    retained = frequent & ~chance
+    return retained + 2 * (frequent & (k > 1) & (retained | (depth == 1)))
+
+
+class _Block:
+    """A block's texts with what it was told so far. p: each token's probability in its longest retained context; extends: whether
+    the context of the last depth before a place may be extended; seen: count of the tokens before a place that are the
+    next depth's context, -1 if it isn't known."""
+
+    def __init__(self, model: Model, p: Tree, row: dict, names: list[dict]):
+        self.model, self.tree = model, p
+        self.size, self.held, self.at = _unpacked(row["a"]).astype(np.int64), _unpacked(row["b"]).astype(bool), _unpacked(row["c"]).astype(np.int64)
+        names = sorted(names, key=lambda r: r["bucket"])
+        self.number = _joined([r["number"] for r in names], np.uint64)
+        self.count = _joined([r["count"] for r in names], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.before = np.arange(len(self.at)) - np.repeat(self.start, self.size)
+        self.train = np.repeat(~self.held, self.size)
+        self.name = _spans(splitmix(self.number)[self.at])
+        self.p = 10 ** model.root(self.count.astype(float))[self.at]
+        self.depth, self.extends = 0, np.ones(len(self.at), dtype=bool)
+        self.seen = np.append(0, self.count[self.at])
+
+    def ask(self, buckets: int) -> None:
+        """The distinct pairs of the next depth, in order of bucket, context and token."""
+        self.depth += 1
+        least = max(2, self.tree.least)
+        self.rare = (self.seen >= 0) & (self.seen < least)
+        self.places = np.flatnonzero((self.before >= self.depth) & self.extends & ~self.rare[:-1])
+        context = self.number[self.at[self.places - 1]] if self.depth == 1 else self.name(self.places, self.depth)
+        contexts, mine = np.unique(context, return_inverse=True)
+        width = max(1, len(self.number))
+        pairs, first, self.pair = np.unique(mine * width + self.at[self.places], return_index=True, return_inverse=True)
+        which, token = pairs // width, self.number[pairs % width]
+        slices = 1 + np.maximum(self.seen[self.places[first]], 0) // self.tree.slice
+        part = np.where(slices > 1, splitmix(token) % slices.astype(np.uint64), 0).astype(np.uint64)
+        bucket = (splitmix(contexts[which] + splitmix(part)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        self.pair = rank[self.pair]
+        self.bucket, self.context, self.token, self.spread = bucket[order], contexts[which[order]], token[order], slices[order] > 1
+        self.first = self.places[first[order]]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (self.context[1:] != self.context[:-1]) | (self.bucket[1:] != self.bucket[:-1])
+        self.run = np.append(np.flatnonzero(new), len(order))
+
+    def asked(self, block: int) -> pa.Table:
+        n = np.bincount(self.pair, weights=self.train[self.places], minlength=len(self.first)).astype(np.int64)
+        head = self.run[:-1]
+        parent = np.add.reduceat(n * np.log(self.p[self.first]), head) if len(head) else np.zeros(0)
+        cut, out = _cuts(self.bucket), [[] for _ in range(8)]
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            i, j = np.searchsorted(head, [a, b])
+            runs = head[i:j]
+            context = np.diff(self.context[runs], prepend=np.uint64(0))
+            row = (block, int(self.bucket[a]), _packed(context), _packed(self.spread[runs].astype(np.uint8)), _packed(np.diff(self.run[i : j + 1])), _packed(parent[i:j]), _packed(self.token[a:b]), _packed(n[a:b]))
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+        return _rows(out, ASKED)
+
+    def hear(self, told: list[dict], spread: tuple) -> None:
+        """Takes in the answers to ask(), and the tests of the contexts that were dealt to many buckets (sorted names, says, total, k)."""
+        told = sorted(told, key=lambda r: r["bucket"])
+        n, says, total, k = (_joined([r[c] for r in told], np.int64) for c in ("n", "says", "total", "k"))
+        head = self.run[:-1]
+        far = np.flatnonzero(self.spread[head])
+        j = np.searchsorted(spread[0], self.context[head[far]])
+        says[far], total[far], k[far] = (s[j] for s in spread[1:])
+        size = np.diff(self.run)
+        says, total, k = (np.repeat(x, size)[self.pair] for x in (says, total, k))
+        kept = (says & 1) > 0
+        at = self.places[kept]
+        total, k = total[kept], k[kept]
+        self.p[at] = (total * (n[self.pair[kept]] / total) + k * self.p[at]) / (total + k)
+        self.extends = np.zeros(len(self.at), dtype=bool)
+        self.extends[self.places] = (says & 2) > 0
+        self.seen = np.full(len(self.at) + 1, -1)
+        self.seen[1:][self.rare[:-1]] = 0
+        self.seen[self.places + 1] = n[self.pair]
+
+
+def _told(model: Model, p: Tree, buckets: int, spread: list[tuple], last: bool):
+    """What a block, having gone through the depths so far, asks of the next, or at last its scores."""
+
+    def run(blocks: pa.Table, told: pa.Table) -> pa.Table:
+        row, told = blocks.to_pylist()[0], told.to_pylist()
+        block = _Block(model, p, row, [r for r in told if r["depth"] == 0])
+        for depth, far in enumerate(spread, 1):
+            block.ask(buckets)
+            block.hear([r for r in told if r["depth"] == depth], far)
+        if last:
+            out = _scores(block, row["docs"])
+        else:
+            block.ask(buckets)
+            out = block.asked(row["block"])
+        del block
+        trim()
+        return out
+
+    return run
+
+
+def _tested(depth: int, p: Tree):
+    """TOLD of ASKED of one bucket."""
+
+    def run(part: pa.Table) -> pa.Table:
+        rows = sorted(part.to_pylist(), key=lambda r: r["block"])
+        each = [np.cumsum(_unpacked(r["context"]).astype(np.uint64), dtype=np.uint64) for r in rows]
+        runs = [_unpacked(r["pairs"]).astype(np.int64) for r in rows]
+        contexts, mine = np.unique(np.concatenate(each), return_inverse=True)
+        words, token = np.unique(_joined([r["token"] for r in rows], np.uint64), return_inverse=True)
+        pairs, back = np.unique(np.repeat(mine, np.concatenate(runs)) * len(words) + token, return_inverse=True)
+        n = np.bincount(back, weights=_joined([r["n"] for r in rows], np.float64))
+        which = pairs // len(words)
+        summed = lambda at, x: np.bincount(at, weights=x, minlength=len(contexts))
+        total, k = summed(which, n).astype(np.int64), summed(which, n > 0).astype(np.int64)
+        x = summed(which, n * np.log(np.maximum(n, 1))) - summed(mine, _joined([r["parent"] for r in rows], np.float64))
+        far = summed(mine, _joined([r["spread"] for r in rows], np.int64)) > 0
+        says = np.where(far, 0, _judged(total, k, x, depth, p))
+        kept = (says & 1) > 0
+        answers = n.astype(np.int64)[back], says[mine], np.where(kept, total, 0)[mine], np.where(kept, k, 0)[mine]
+        pair_stop, run_stop = np.cumsum([r.sum() for r in runs]).tolist(), np.cumsum([len(r) for r in runs]).tolist()
+        cut = lambda x, stop: [_packed(x[a:b]) for a, b in zip([0, *stop], stop, strict=False)]
+        first = lambda x: [x] + [None] * (len(rows) - 1)
+        spread = [contexts[far].view(np.int64).tolist(), total[far].tolist(), k[far].tolist()]
+        names = [[r["block"] for r in rows], [depth] * len(rows), [r["bucket"] for r in rows]]
+        return _rows([*names, cut(answers[0], pair_stop), *(cut(x, run_stop) for x in answers[1:]), *map(first, spread), first(x[far].tobytes())], TOLD)
 
     return run
 
 
-def _root_column(model: Model):
-    """model.root() of a column c, not as a logarithm."""
-    if not model.n:
-        return F.lit(1.0)
-    p = [float(x) for x in 10 ** model.root(np.arange(4.0))]
-    off = float(model.discounts()[2])
-    return F.when(F.col("c") >= 3, (F.col("c") - off) / model.n).when(F.col("c") == 2, p[2]).when(F.col("c") == 1, p[1]).otherwise(p[0])
+def _spread(told: DataFrame, depth: int, p: Tree) -> tuple:
+    """The tests of contexts that were dealt to many buckets: one for each Tree.slice training tokens at most, so all tasks may have them."""
+    found: dict[int, list] = {}
+    for r in told.where("size(spread) > 0").select("spread", "sums", "kinds", "parts").toLocalIterator():
+        for context, total, k, x in zip(r.spread, r.sums, r.kinds, np.frombuffer(r.parts).tolist(), strict=True):
+            had = found.setdefault(context, [0, 0, 0.0])
+            found[context] = [had[0] + total, had[1] + k, had[2] + x]
+    context = np.array(list(found), dtype=np.int64).view(np.uint64)
+    total, k, x = (np.array([v[i] for v in found.values()], dtype=kind) for i, kind in enumerate((np.int64, np.int64, float)))
+    order = np.argsort(context)
+    return tuple(v[order] for v in (context, _judged(total, k, x, depth, p), total, k))
 
 
-def tested(pairs: DataFrame, p: Tree) -> DataFrame:
-    """(context, retained, total, lam, k) of the frequent contexts of pairs (context, n, p), p the parent's probability."""
-    at_least = max(2, p.least)
-    own = pairs.where("n > 0").groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("k"), F.sum(F.col("n") * F.log(F.col("n") / F.col("p"))).alias("x"))
-    g, df = 2 * (F.col("x") - F.col("total") * F.log("total")), F.col("k") - 1
-    chance = ((df < 1) & (g < 20)) | (g <= df + p.sigma * F.sqrt(2 * F.greatest(df, F.lit(1))))
-    return own.where(F.col("total") >= at_least).select("context", (~chance).alias("retained"), "total", (F.col("k") / (F.col("total") + F.col("k"))).alias("lam"), "k")
+def _scores(block: _Block, docs: list) -> pa.Table:
+    m, c = block.model, block.count.astype(float)
+    base = np.log10((c + 0.5) / (m.n + 0.5 * (m.v + 1)))
+    add = lambda v: np.add.reduceat(v, block.start)
+    known = add((c > 0).astype(np.int64)[block.at])
+    return _rows([docs, block.held, block.size, known, np.full(len(docs), m.n), add(base[block.at]), add(np.log10(block.p))], SCORE)
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, p: Tree = Tree()) -> DataFrame:  # noqa: B008
-    """Scores of docs (doc_id, text, block), a row each. block groups some thousands of rows, neighbours at best."""
+    """Scores of docs (doc_id, text), a row each."""
     scratch, parts = Scratch(spark), n_parts(spark)
-    rows = docs.select("block", in_fold(p.folds, p.held_out).alias("held_out"), "text", F.col("doc_id").cast("long").alias("doc_id"))
-    asked = map_arrow(rows.select("block", "held_out", "text"), _ask, "block long, token binary, n long, name long")
-    asked = scratch.save(asked.groupBy("token", "block", "name").agg(F.sum("n").alias("n")), "asked")
-    # summed on the map side and joined back between plain shuffles, which split a token that very many blocks have
-    every = scratch.save(asked.groupBy("token", "name").agg(F.sum("n").alias("c")), "types")
-    counted = scratch.save(asked.join(every.select("token", "c"), "token").select("token", "block", "name", "c"), "tokens")
-    scratch.drop("asked")
-    types = every.where("c > 0")
-    seen = [F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    total = types.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), *seen).first()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), in_fold(p.folds, p.held_out).alias("held_out"), "text")
+    first = scratch.save(map_arrow(rows, _blocks(p.tokens), BLOCKS), "first", block_mb=16)
+    blocks = scratch.save_dealt(first.where("bucket < 0").drop("bucket"), parts, "block")
+    names = scratch.save(first.where("bucket >= 0").groupBy("bucket").applyInArrow(_number, NAMES), "names", block_mb=16)
+    scratch.drop("first")
+    total = names.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2", "n3", "n4"))).first()
     model = Model(total.n, total.v, (total.n1, total.n2, total.n3, total.n4))
 
-    at_least = max(2, p.least)
-    null = lambda kind: F.lit(None).cast(kind)
-    texts = rows.select("block", F.lit(2).alias("kind"), null("long").alias("name"), "held_out", "text")
-    told = counted.where(F.col("c") >= at_least).select("block", F.lit(1).alias("kind"), "name", null("boolean").alias("held_out"), null("string").alias("text"))
-    shorter = every.select(F.col("name").alias("shorter"), _root_column(model).alias("p"))
-    answers, depth = [], 0
+    buckets = max(parts, -(-total.n // 400_000))
+    told = names.select("block", F.lit(0).alias("depth"), "bucket", "number", "count", *(F.lit(None).cast("binary").alias(c) for c in ("n", "says", "total", "k")))
+    spread: list[tuple] = []
+    meet = lambda last, schema: blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_told(model, p, buckets, list(spread), last), schema)
     while True:
-        depth += 1
-        dealt = told.unionByName(texts).repartition(parts, "block").sortWithinPartitions("block", "kind")
-        has = scratch.save(map_arrow(dealt, _tell(depth), PAIRS), f"has{depth}")
-        pairs = has.groupBy("pair", "context", "shorter").agg(F.sum("n").alias("n")).join(shorter, "shorter").select("pair", "context", "n", "p")
-        pairs = scratch.save(pairs, f"pairs{depth}")
-        # a retained context gives its own probabilities, another one its parent's
-        mixed = F.when(F.col("retained"), (1 - F.col("lam")) * F.col("n") / F.col("total") + F.col("lam") * F.col("p")).otherwise(F.col("p"))
-        extends = (F.col("k") > 1) & (F.lit(True) if depth == 1 else F.col("retained"))
-        given = pairs.join(scratch.save(tested(pairs, p), f"tested{depth}"), "context")
-        given = scratch.save(given.select("pair", "context", "n", "retained", extends.alias("extends"), mixed.alias("p")), f"given{depth}")
-        scratch.drop(f"pairs{depth}")
-        scratch.drop(f"given{depth - 1}")
-        wanted = F.col("retained") | F.col("extends") | (F.lit(depth == 1) & (F.col("n") >= at_least))
-        back = scratch.save(has.select("block", "pair").join(given.where(wanted), "pair").select("block", "pair", "context", "n", "retained", "extends", "p"), f"back{depth}")
-        scratch.drop(f"has{depth}")
-        answers.append(back.where("retained").select("block", F.lit(depth).alias("kind"), F.col("pair").alias("name"), F.log10("p").alias("p")))
-        if back.where("extends").isEmpty():
-            break
-        # what is scored or counted at the next depth stands in a context that extends
-        shorter = given.where("extends").select(F.col("pair").alias("shorter"), "p")
-        told = back.where("extends").select("block", F.lit(0).alias("kind"), F.col("context").alias("name")).distinct()
-        if depth == 1:
-            told = told.unionByName(back.where(F.col("n") >= at_least).select("block", F.lit(1).alias("kind"), F.col("pair").alias("name")))
-        told = told.withColumns({"held_out": null("boolean"), "text": null("string")})
-
-    texts = rows.select("block", F.lit(depth + 1).alias("kind"), null("binary").alias("token"), null("long").alias("c"), null("long").alias("name"), null("double").alias("p"), "doc_id", "held_out", "text")
-    odd = {"doc_id": null("long"), "held_out": null("boolean"), "text": null("string")}
-    told = counted.select("block", F.lit(0).alias("kind"), "token", "c").withColumns({"name": null("long"), "p": null("double")} | odd)
-    for x in answers:
-        told = told.unionByName(x.withColumns({"token": null("binary"), "c": null("long")} | odd))
-    dealt = told.unionByName(texts).repartition(parts, "block").sortWithinPartitions("block", "kind")
-    return map_arrow(dealt, _score(model, depth), SCORE)
+        depth = len(spread) + 1
+        answers = scratch.save(meet(False, ASKED).groupBy("bucket").applyInArrow(_tested(depth, p), TOLD), f"told{depth}", block_mb=16)
+        if answers.isEmpty():
+            return meet(True, SCORE)
+        spread.append(_spread(answers, depth, p))
+        told = told.unionByName(answers.select("block", "depth", "bucket", "n", "says", "total", "k"), allowMissingColumns=True)
 
 
 def op8_suffix_tree(spark: SparkSession, sf_dir: str, p: Tree = Tree()) -> DataFrame:  # noqa: B008
-    docs = table(spark, sf_dir, "documents")
-    place = docs.metadataColumn("_metadata")  # whatever the names of its columns
-    block = F.xxhash64(place["file_path"], F.floor(place["row_index"] / p.rows))
-    return score_documents(spark, docs.select("doc_id", "text", block.alias("block")), p)
+    return score_documents(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), p)

@@ -226,3 +226,17 @@ def test_suffix_tree_against_the_definition(spark):
     got = {r.doc_id: r.score for r in suffix_tree.score_documents(spark, df, p).collect()}
     assert got.keys() == want.keys()
     assert all(got[i] == pytest.approx(want[i], rel=1e-7) for i in want), deepest
+
+
+def test_suffix_tree_in_small_blocks_and_slices(spark):
+    """Many blocks, and contexts dealt to many buckets, give the scores of the definition; what is scored at last shuffles no text."""
+    rng = np.random.default_rng(5)
+    rows = {i: " ".join(f"w{rng.zipf(1.6) % 30}" for _ in range(rng.integers(0, 60))) for i in range(400)}
+    df = spark.createDataFrame([(i, t, 0) for i, t in rows.items()], "doc_id long, text string, block long")
+    want, deepest = tree_scores(rows, 2, suffix_tree.Tree().sigma)
+    assert deepest >= 1
+    scored = suffix_tree.score_documents(spark, df, suffix_tree.Tree(tokens=300, slice=50))
+    assert "text" not in scored._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: r.score for r in scored.collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i] == pytest.approx(want[i], rel=1e-7) for i in want)
