@@ -15,7 +15,8 @@ written once, dealt by block; only counts travel. A block sends each bucket of t
 numbers and counts in the order it named them. So do contexts, depth by depth: a block sends each bucket of contexts the pairs of
 a context and a next token it has, in training texts or not, with the context's share of the divergence from the parent's probabilities,
 which the block knows; the bucket adds up and tests; and back come the pairs' counts in the same order, and what the test says of the
-contexts. A block goes through all depths so far again, so nothing but these answers is kept. The pairs of a context that occurs very
+contexts. A block goes through the depths so far again, so little but these answers is kept; after depths 3, 6, 12 and so on it writes the
+places that go on, with their probabilities, and the sums of the others, and starts from there. The pairs of a context that occurs very
 often are dealt to many buckets, and their sums added. Contexts of two tokens and more are named by 64-bit hashes. A task holds one
 block's tokens and pairs, or one bucket's pairs; numbers travel as compressed bytes.
 
@@ -77,21 +78,44 @@ def _spans(tok: np.ndarray):
 
 
 def _packed(x: np.ndarray) -> bytes:
-    """Numbers as compressed bytes; whole ones, none below zero, in as few bytes each as the largest needs."""
+    """Numbers as compressed bytes, all first bytes, all second ones and so on; whole ones, none below zero, in as few as the largest needs."""
     if x.dtype.kind != "f":
         x = x.astype(np.min_scalar_type(int(x.max(initial=0))))
-    return x.dtype.char.encode() + x.nbytes.to_bytes(8, "little") + (pa.compress(x.tobytes(), codec="zstd", asbytes=True) if len(x) else b"")
+    return x.dtype.char.encode() + x.nbytes.to_bytes(8, "little") + (pa.compress(_by_place(x).tobytes(), codec="zstd", asbytes=True) if len(x) else b"")
+
+
+def _by_place(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T)
 
 
 def _unpacked(b: bytes) -> np.ndarray:
     kind, size = np.dtype(b[:1].decode()), int.from_bytes(b[1:9], "little")
-    return np.frombuffer(pa.decompress(b[9:], size, codec="zstd", asbytes=True), dtype=kind) if size else np.zeros(0, dtype=kind)
+    if not size:
+        return np.zeros(0, dtype=kind)
+    flat = np.frombuffer(pa.decompress(b[9:], size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(flat.reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
 
 
 def _joined(packed: list[bytes], kind) -> np.ndarray:
     return np.concatenate([_unpacked(b).astype(kind) for b in packed]) if packed else np.zeros(0, dtype=kind)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, a place of each, and which of them stands at each place; faster than np.unique, which wants first places."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(keys), dtype=np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], which
+
+
+def _stably(bucket: np.ndarray) -> np.ndarray:
+    """np.argsort in order of places, by counting where numbers are small."""
+    return np.argsort(bucket.astype(np.min_scalar_type(int(bucket.max(initial=0)))), kind="stable")
+
+
 def _cuts(sorted_keys: np.ndarray) -> np.ndarray:
     """Where runs of equal keys begin, and the end."""
     n = len(sorted_keys)
@@ -121,7 +145,7 @@ def _blocks(most: int):
             nonlocal made, n
             words, block = list(number), (task << 32) + made
             bucket = (_named(words) % np.uint64(TOKEN_BUCKETS)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = _stably(bucket)
             rank = np.empty(len(order), dtype=np.int64)
             rank[order] = np.arange(len(order))
             size, at = np.array([len(f) for f in flat]), np.concatenate(flat)
@@ -140,14 +164,15 @@ def _blocks(most: int):
             yield from _rows(out, BLOCKS).to_batches()
 
         for batch in batches:
-            for doc, out, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-                found = tokens(text.as_py())
-                flat.append(np.array([number.setdefault(w, len(number)) for w in found], dtype=np.int32))
-                docs.append(doc.as_py())
-                held.append(out.as_py())
-                n += len(found)
-                if n >= most:
-                    yield from flush()
+            for i in range(0, batch.num_rows, 512):
+                for doc, out, text in zip(*(batch.column(j).slice(i, 512).to_pylist() for j in range(3)), strict=True):
+                    found = tokens(text)
+                    flat.append(np.array([number.setdefault(w, len(number)) for w in found], dtype=np.int32))
+                    docs.append(doc)
+                    held.append(out)
+                    n += len(found)
+                    if n >= most:
+                        yield from flush()
         if docs:
             yield from flush()
 
@@ -262,6 +287,9 @@ ASKED = "block long, bucket int, context binary, spread binary, pairs binary, pa
 #: and number of successors where they are retained. One row of a bucket has the sums of its spread contexts.
 TOLD = "block long, depth int, bucket int, n binary, says binary, total binary, k binary, spread array<long>, sums array<long>, kinds array<long>, parts binary"
 
+#: What a block knows of itself after a depth, in the form of what it was told.
+STATE = "block long, depth int, bucket int, number binary, count binary, n binary, says binary, total binary, k binary"
+
 
 def _judged(total: np.ndarray, k: np.ndarray, x: np.ndarray, depth: int, p: Tree) -> np.ndarray:
     """1 for retained contexts, plus 2 for those that may be extended; x: the sum of n * ln(n / the parent's probability)."""
@@ -278,10 +306,10 @@ class _Block:
     the context of the last depth before a place may be extended; seen: count of the tokens before a place that are the
     next depth's context, -1 if it isn't known."""
 
-    def __init__(self, model: Model, p: Tree, row: dict, names: list[dict]):
+    def __init__(self, model: Model, p: Tree, row: dict, told: list[dict]):
         self.model, self.tree = model, p
         self.size, self.held, self.at = _unpacked(row["a"]).astype(np.int64), _unpacked(row["b"]).astype(bool), _unpacked(row["c"]).astype(np.int64)
-        names = sorted(names, key=lambda r: r["bucket"])
+        names = sorted((r for r in told if r["depth"] == 0), key=lambda r: r["bucket"])
         self.number = _joined([r["number"] for r in names], np.uint64)
         self.count = _joined([r["count"] for r in names], np.int64)
         self.start = np.cumsum(self.size) - self.size
@@ -291,22 +319,43 @@ class _Block:
         self.p = 10 ** model.root(self.count.astype(float))[self.at]
         self.depth, self.extends = 0, np.ones(len(self.at), dtype=bool)
         self.seen = np.append(0, self.count[self.at])
+        self.sums = np.zeros(len(self.size))
+        for state in (r for r in told if r["bucket"] < 0):
+            at = np.cumsum(_unpacked(state["number"]).astype(np.int64))
+            self.depth, self.sums = state["depth"], _unpacked(state["k"])
+            self.p, self.extends, self.seen = np.ones(len(self.at)), np.zeros(len(self.at), dtype=bool), np.full(len(self.at) + 1, -1)
+            self.p[at], self.extends[at], self.seen[at] = _unpacked(state["total"]), True, _unpacked(state["n"]).astype(np.int64) - 1
+
+    def going_on(self) -> np.ndarray:
+        """Places whose contexts of the next depth are asked for."""
+        self.rare = (self.seen >= 0) & (self.seen < max(2, self.tree.least))
+        return np.flatnonzero((self.before > self.depth) & self.extends & ~self.rare[:-1])
+
+    def state(self, block: int) -> pa.Table:
+        """The places that go on, and each text's sum of the others' log10 probabilities."""
+        at = self.going_on()
+        p = self.p.copy()
+        p[at] = 1
+        sums = self.sums + np.add.reduceat(np.log10(p), self.start)
+        row = (block, self.depth, -1, _packed(np.diff(at, prepend=0)), None, _packed(self.seen[at] + 1), None, _packed(self.p[at]), _packed(sums))
+        return _rows([[x] for x in row], STATE)
 
     def ask(self, buckets: int) -> None:
         """The distinct pairs of the next depth, in order of bucket, context and token."""
+        self.places = self.going_on()
         self.depth += 1
-        least = max(2, self.tree.least)
-        self.rare = (self.seen >= 0) & (self.seen < least)
-        self.places = np.flatnonzero((self.before >= self.depth) & self.extends & ~self.rare[:-1])
-        context = self.number[self.at[self.places - 1]] if self.depth == 1 else self.name(self.places, self.depth)
-        contexts, mine = np.unique(context, return_inverse=True)
+        if self.depth == 1:
+            contexts, _, rank = _distinct(self.number)
+            mine = rank[self.at[self.places - 1]]
+        else:
+            contexts, _, mine = _distinct(self.name(self.places, self.depth))
         width = max(1, len(self.number))
-        pairs, first, self.pair = np.unique(mine * width + self.at[self.places], return_index=True, return_inverse=True)
+        pairs, first, self.pair = _distinct(mine * width + self.at[self.places])
         which, token = pairs // width, self.number[pairs % width]
         slices = 1 + np.maximum(self.seen[self.places[first]], 0) // self.tree.slice
         part = np.where(slices > 1, splitmix(token) % slices.astype(np.uint64), 0).astype(np.uint64)
         bucket = (splitmix(contexts[which] + splitmix(part)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = _stably(bucket)
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
         self.pair = rank[self.pair]
@@ -351,17 +400,19 @@ class _Block:
         self.seen[self.places + 1] = n[self.pair]
 
 
-def _told(model: Model, p: Tree, buckets: int, spread: list[tuple], last: bool):
-    """What a block, having gone through the depths so far, asks of the next, or at last its scores."""
+def _told(model: Model, p: Tree, buckets: int, spread: list[tuple], schema: str):
+    """What a block, having gone through the depths so far, asks of the next (ASKED), its STATE, or at last its scores."""
 
     def run(blocks: pa.Table, told: pa.Table) -> pa.Table:
         row, told = blocks.to_pylist()[0], told.to_pylist()
-        block = _Block(model, p, row, [r for r in told if r["depth"] == 0])
-        for depth, far in enumerate(spread, 1):
+        block = _Block(model, p, row, told)
+        for far in spread[block.depth :]:
             block.ask(buckets)
-            block.hear([r for r in told if r["depth"] == depth], far)
-        if last:
+            block.hear([r for r in told if r["depth"] == block.depth and r["bucket"] >= 0], far)
+        if schema == SCORE:
             out = _scores(block, row["docs"])
+        elif schema == STATE:
+            out = block.state(row["block"])
         else:
             block.ask(buckets)
             out = block.asked(row["block"])
@@ -379,9 +430,9 @@ def _tested(depth: int, p: Tree):
         rows = sorted(part.to_pylist(), key=lambda r: r["block"])
         each = [np.cumsum(_unpacked(r["context"]).astype(np.uint64), dtype=np.uint64) for r in rows]
         runs = [_unpacked(r["pairs"]).astype(np.int64) for r in rows]
-        contexts, mine = np.unique(np.concatenate(each), return_inverse=True)
-        words, token = np.unique(_joined([r["token"] for r in rows], np.uint64), return_inverse=True)
-        pairs, back = np.unique(np.repeat(mine, np.concatenate(runs)) * len(words) + token, return_inverse=True)
+        contexts, _, mine = _distinct(np.concatenate(each))
+        words, _, token = _distinct(_joined([r["token"] for r in rows], np.uint64))
+        pairs, _, back = _distinct(np.repeat(mine, np.concatenate(runs)) * len(words) + token)
         n = np.bincount(back, weights=_joined([r["n"] for r in rows], np.float64))
         which = pairs // len(words)
         summed = lambda at, x: np.bincount(at, weights=x, minlength=len(contexts))
@@ -419,7 +470,7 @@ def _scores(block: _Block, docs: list) -> pa.Table:
     base = np.log10((c + 0.5) / (m.n + 0.5 * (m.v + 1)))
     add = lambda v: np.add.reduceat(v, block.start)
     known = add((c > 0).astype(np.int64)[block.at])
-    return _rows([docs, block.held, block.size, known, np.full(len(docs), m.n), add(base[block.at]), add(np.log10(block.p))], SCORE)
+    return _rows([docs, block.held, block.size, known, np.full(len(docs), m.n), add(base[block.at]), block.sums + add(np.log10(block.p))], SCORE)
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, p: Tree = Tree()) -> DataFrame:  # noqa: B008
@@ -434,16 +485,25 @@ def score_documents(spark: SparkSession, docs: DataFrame, p: Tree = Tree()) -> D
     model = Model(total.n, total.v, (total.n1, total.n2, total.n3, total.n4))
 
     buckets = max(parts, -(-total.n // 400_000))
-    told = names.select("block", F.lit(0).alias("depth"), "bucket", "number", "count", *(F.lit(None).cast("binary").alias(c) for c in ("n", "says", "total", "k")))
-    spread: list[tuple] = []
-    meet = lambda last, schema: blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_told(model, p, buckets, list(spread), last), schema)
+    named = names.select("block", F.lit(0).alias("depth"), "bucket", "number", "count", *(F.lit(None).cast("binary").alias(c) for c in ("n", "says", "total", "k")))
+    told, written, spread = named, 0, []
+
+    def meet(schema: str) -> DataFrame:
+        return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_told(model, p, buckets, list(spread), schema), schema)
+
     while True:
         depth = len(spread) + 1
-        answers = scratch.save(meet(False, ASKED).groupBy("bucket").applyInArrow(_tested(depth, p), TOLD), f"told{depth}", block_mb=16)
+        answers = scratch.save(meet(ASKED).groupBy("bucket").applyInArrow(_tested(depth, p), TOLD), f"told{depth}", block_mb=16)
         if answers.isEmpty():
-            return meet(True, SCORE)
+            return meet(SCORE)
         spread.append(_spread(answers, depth, p))
         told = told.unionByName(answers.select("block", "depth", "bucket", "n", "says", "total", "k"), allowMissingColumns=True)
+        if depth == (2 * written or 3):
+            told = named.unionByName(scratch.save(meet(STATE), f"state{depth}", block_mb=16))
+            for d in range(written + 1, depth + 1):
+                scratch.drop(f"told{d}")
+            scratch.drop(f"state{written}")
+            written = depth
 
 
 def op8_suffix_tree(spark: SparkSession, sf_dir: str, p: Tree = Tree()) -> DataFrame:  # noqa: B008

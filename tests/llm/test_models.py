@@ -229,13 +229,19 @@ def test_suffix_tree_against_the_definition(spark):
 
 
 def test_suffix_tree_in_small_blocks_and_slices(spark):
-    """Many blocks, and contexts dealt to many buckets, give the scores of the definition; what is scored at last shuffles no text."""
+    """Many blocks, contexts dealt to many buckets, and depths that start from what was written, give the scores of the definition;
+    what is scored at last shuffles no text."""
     rng = np.random.default_rng(5)
-    rows = {i: " ".join(f"w{rng.zipf(1.6) % 30}" for _ in range(rng.integers(0, 60))) for i in range(400)}
+    rows = {}
+    for i in range(300):
+        bits = [1, 0, 1, 0, 1]
+        for _ in range(rng.integers(0, 100)):  # each word depends on the five before it
+            bits.append(int(rng.random() < 1 / (1 + np.exp(-0.8 * (2 * sum(bits[-5:]) - 5)))))
+        rows[i] = " ".join("no yes".split()[b] for b in bits) + f" w{rng.integers(30)}"
     df = spark.createDataFrame([(i, t, 0) for i, t in rows.items()], "doc_id long, text string, block long")
     want, deepest = tree_scores(rows, 2, suffix_tree.Tree().sigma)
-    assert deepest >= 1
-    scored = suffix_tree.score_documents(spark, df, suffix_tree.Tree(tokens=300, slice=50))
+    assert deepest >= 4
+    scored = suffix_tree.score_documents(spark, df, suffix_tree.Tree(tokens=1500, slice=500))
     assert "text" not in scored._jdf.queryExecution().executedPlan().toString()
     got = {r.doc_id: r.score for r in scored.collect()}
     assert got.keys() == want.keys()
