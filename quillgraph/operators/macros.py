@@ -115,7 +115,8 @@ def card(macros: DataFrame, usage: DataFrame, reasons: DataFrame, calls: Graph,
 
 
 def node_reads(graph: MacroGraph, reads: DataFrame) -> DataFrame:
-    """(node, read) of what nodes read of their surroundings through the macros they list, and those below. reads: (macro, read)."""
-    seeds = graph.users.select("node", F.col("macro").alias("id")).distinct()
-    below = bfs(graph.calls, seeds).select("node", F.col("id").alias("macro"))
-    return below.join(reads, "macro").select("node", "read").distinct()
+    """(node, read) of what nodes read of their surroundings through the macros they list, and those below. reads: (macro, read). What is read
+    is carried up to all macros that come to it, so nodes, which are many, are joined once and never walk."""
+    seeds = reads.where("macro is not null").select(F.struct("read").alias("what"), F.col("macro").alias("id")).distinct()  # a struct is alike with null in it
+    above = bfs(graph.calls.flipped(), seeds).select("what.read", F.col("id").alias("macro"))
+    return graph.users.join(above, "macro").select("node", "read").distinct()

@@ -137,6 +137,22 @@ def test_fingerprints_take_the_strongest_class(spark):
     assert got == [("b", "s", "hashed", False), ("b", "u", "", True)]
 
 
+def test_reads_of_nodes_are_carried_up(spark):
+    """Through cycles, with null in what is read; nodes don't walk, so nothing of theirs is written but the list itself."""
+    pairs = lambda rows: spark.createDataFrame(rows, "node string, macro string")
+    calls = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "c")], "caller string, callee string")
+    graph = macros.build(ids(spark, "a", "b", "c", "d", "e"), pairs([("n1", "a"), ("n2", "d"), ("n3", "e"), ("n4", "c")]), pairs([]), calls)
+    reads = spark.createDataFrame([("c", "x"), ("c", "x"), ("d", "y"), ("b", None), (None, "z"), ("gone", "w")], "macro string, read string")
+    walked, bfs = [], macros.bfs
+    macros.bfs = lambda graph, seeds: walked.append(seeds.columns) or bfs(graph, seeds)
+    try:
+        got = {tuple(r) for r in macros.node_reads(graph, reads).collect()}
+    finally:
+        macros.bfs = bfs
+    assert got == {("n1", "x"), ("n1", None), ("n2", "x"), ("n2", "y"), ("n2", None), ("n4", "x"), ("n4", None)}
+    assert not any("node" in columns for columns in walked)
+
+
 def test_macros_are_met_once(spark):
     m = spark.createDataFrame([(c, "p", c) for c in "abcde"], "id string, package string, name string")
     pairs = lambda rows: spark.createDataFrame(rows, "node string, macro string")
