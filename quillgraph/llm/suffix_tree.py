@@ -32,6 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,16 @@ def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
+def _words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after another, as tokens() has them but for the ends, and each text's number of tokens."""
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(text.fill_null("")))
+    lists = pc.ascii_split_whitespace(bare)
+    words, empty = lists.flatten(), pc.equal(pc.binary_length(bare), 0).to_numpy(zero_copy_only=False)
+    if empty.any():
+        words = words.filter(pc.greater(pc.binary_length(words), 0))
+    return words, lists.value_lengths().to_numpy().astype(np.int64) - empty + 1
+
+
 def _named(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each token."""
     size = np.array([len(w) for w in words], dtype=np.int64)
@@ -138,17 +149,20 @@ def _blocks(most: int):
     """BLOCKS of rows (doc_id, held_out, text). A block numbers its distinct tokens in the order of their buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made, number = TaskContext.get().partitionId(), 0, {}
-        docs, held, flat, n = [], [], [], 0
+        task, made = TaskContext.get().partitionId(), 0
+        docs, held, sizes, flat, n = [], [], [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal made, n
-            words, block = list(number), (task << 32) + made
+            coded, block = pa.chunked_array(flat).combine_chunks().dictionary_encode(), (task << 32) + made
+            words, size = [*coded.dictionary.cast(pa.binary()).to_pylist(), END], np.concatenate(sizes)
+            at, ends = np.full(size.sum(), len(words) - 1), np.zeros(size.sum(), dtype=bool)
+            ends[np.cumsum(size) - 1] = True
+            at[~ends] = coded.indices.to_numpy()
             bucket = (_named(words) % np.uint64(TOKEN_BUCKETS)).astype(np.int64)
             order = _stably(bucket)
             rank = np.empty(len(order), dtype=np.int64)
             rank[order] = np.arange(len(order))
-            size, at = np.array([len(f) for f in flat]), np.concatenate(flat)
             train = np.repeat(~np.array(held), size)
             count = np.bincount(at[train], minlength=len(words))[order]
             out = [[block], [-1], [_packed(size)], [_packed(np.array(held).astype(np.uint8))], [_packed(rank[at])], [docs[:]]]
@@ -159,18 +173,23 @@ def _blocks(most: int):
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             made, n = made + 1, 0
-            for had in (docs, held, flat, number):
+            for had in (docs, held, sizes, flat):
                 had.clear()
             yield from _rows(out, BLOCKS).to_batches()
 
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
-                for doc, out, text in zip(*(batch.column(j).slice(i, 512).to_pylist() for j in range(3)), strict=True):
-                    found = tokens(text)
-                    flat.append(np.array([number.setdefault(w, len(number)) for w in found], dtype=np.int32))
-                    docs.append(doc)
-                    held.append(out)
-                    n += len(found)
+                doc, out, text = (batch.column(j).slice(i, 512) for j in range(3))
+                words, size = _words(text)
+                stop, a = np.append(0, np.cumsum(size)), 0
+                while a < len(size):
+                    b = min(int(np.searchsorted(stop, stop[a] + most - n)), len(size))  # the text that fills the block is its last
+                    docs += doc.slice(a, b - a).to_pylist()
+                    held += out.slice(a, b - a).to_pylist()
+                    sizes.append(size[a:b])
+                    flat.append(words.slice(stop[a] - a, stop[b] - b - stop[a] + a))
+                    n += stop[b] - stop[a]
+                    a = b
                     if n >= most:
                         yield from flush()
         if docs:
@@ -287,8 +306,9 @@ ASKED = "block long, bucket int, context binary, spread binary, pairs binary, pa
 #: and number of successors where they are retained. One row of a bucket has the sums of its spread contexts.
 TOLD = "block long, depth int, bucket int, n binary, says binary, total binary, k binary, spread array<long>, sums array<long>, kinds array<long>, parts binary"
 
-#: What a block knows of itself after a depth, in the form of what it was told.
-STATE = "block long, depth int, bucket int, number binary, count binary, n binary, says binary, total binary, k binary"
+#: A block with what it knows of itself after a depth: its tokens' numbers and counts, and the places that go on with the counts of their next
+#: contexts and their probabilities, and each text's sum of the others' log10 probabilities.
+STATE = "block long, a binary, b binary, c binary, docs array<long>, depth int, number binary, count binary, places binary, seen binary, p binary, sums binary"
 
 
 def _judged(total: np.ndarray, k: np.ndarray, x: np.ndarray, depth: int, p: Tree) -> np.ndarray:
@@ -309,64 +329,89 @@ class _Block:
     def __init__(self, model: Model, p: Tree, row: dict, told: list[dict]):
         self.model, self.tree = model, p
         self.size, self.held, self.at = _unpacked(row["a"]).astype(np.int64), _unpacked(row["b"]).astype(bool), _unpacked(row["c"]).astype(np.int64)
-        names = sorted((r for r in told if r["depth"] == 0), key=lambda r: r["bucket"])
+        written = row.get("depth") is not None
+        names = [row] if written else sorted((r for r in told if r["depth"] == 0), key=lambda r: r["bucket"])
         self.number = _joined([r["number"] for r in names], np.uint64)
         self.count = _joined([r["count"] for r in names], np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.before = np.arange(len(self.at)) - np.repeat(self.start, self.size)
         self.train = np.repeat(~self.held, self.size)
         self.name = _spans(splitmix(self.number)[self.at])
-        self.p = 10 ** model.root(self.count.astype(float))[self.at]
-        self.depth, self.extends = 0, np.ones(len(self.at), dtype=bool)
-        self.seen = np.append(0, self.count[self.at])
-        self.sums = np.zeros(len(self.size))
-        for state in (r for r in told if r["bucket"] < 0):
-            at = np.cumsum(_unpacked(state["number"]).astype(np.int64))
-            self.depth, self.sums = state["depth"], _unpacked(state["k"])
+        self.pair_at, self.first = None, None
+        if written:
+            at = np.cumsum(_unpacked(row["places"]).astype(np.int64))
+            self.depth, self.sums = row["depth"], _unpacked(row["sums"])
             self.p, self.extends, self.seen = np.ones(len(self.at)), np.zeros(len(self.at), dtype=bool), np.full(len(self.at) + 1, -1)
-            self.p[at], self.extends[at], self.seen[at] = _unpacked(state["total"]), True, _unpacked(state["n"]).astype(np.int64) - 1
+            self.p[at], self.extends[at], self.seen[at] = _unpacked(row["p"]), True, _unpacked(row["seen"]).astype(np.int64) - 1
+        else:
+            self.depth, self.sums = 0, np.zeros(len(self.size))
+            self.p, self.extends, self.seen = 10 ** model.root(self.count.astype(float))[self.at], np.ones(len(self.at), dtype=bool), np.append(0, self.count[self.at])
 
     def going_on(self) -> np.ndarray:
         """Places whose contexts of the next depth are asked for."""
         self.rare = (self.seen >= 0) & (self.seen < max(2, self.tree.least))
         return np.flatnonzero((self.before > self.depth) & self.extends & ~self.rare[:-1])
 
-    def state(self, block: int) -> pa.Table:
-        """The places that go on, and each text's sum of the others' log10 probabilities."""
+    def state(self, row: dict) -> pa.Table:
         at = self.going_on()
         p = self.p.copy()
         p[at] = 1
         sums = self.sums + np.add.reduceat(np.log10(p), self.start)
-        row = (block, self.depth, -1, _packed(np.diff(at, prepend=0)), None, _packed(self.seen[at] + 1), None, _packed(self.p[at]), _packed(sums))
-        return _rows([[x] for x in row], STATE)
+        known = [row[c] for c in ("block", "a", "b", "c", "docs")]
+        new = [self.depth, *map(_packed, (self.number, self.count, np.diff(at, prepend=0), self.seen[at] + 1, self.p[at], sums))]
+        return _rows([[x] for x in known + new], STATE)
+
+    def _contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The names of the contexts of this depth, each once, and which of them stands before each of the places. Where they all were pairs of the depth
+        before, one token back, these tell; else hashes are compared."""
+        if self.depth == 1:
+            mine, names = self.at[self.places - 1], self.number
+        else:
+            mine = None if self.pair_at is None else self.pair_at[self.places - 1]
+            if mine is None or mine.min(initial=0) < 0:
+                contexts, _, mine = _distinct(self.name(self.places, self.depth))
+                return contexts, mine
+            names = None
+        used = np.zeros(len(self.number if names is not None else self.first), dtype=bool)
+        used[mine] = True
+        ids, rank = np.flatnonzero(used), np.cumsum(used) - 1
+        return names[ids] if names is not None else self.name(self.first[ids] + 1, self.depth), rank[mine]
 
     def ask(self, buckets: int) -> None:
         """The distinct pairs of the next depth, in order of bucket, context and token."""
         self.places = self.going_on()
         self.depth += 1
-        if self.depth == 1:
-            contexts, _, rank = _distinct(self.number)
-            mine = rank[self.at[self.places - 1]]
-        else:
-            contexts, _, mine = _distinct(self.name(self.places, self.depth))
-        width = max(1, len(self.number))
-        pairs, first, self.pair = _distinct(mine * width + self.at[self.places])
-        which, token = pairs // width, self.number[pairs % width]
-        slices = 1 + np.maximum(self.seen[self.places[first]], 0) // self.tree.slice
-        part = np.where(slices > 1, splitmix(token) % slices.astype(np.uint64), 0).astype(np.uint64)
-        bucket = (splitmix(contexts[which] + splitmix(part)) % np.uint64(buckets)).astype(np.int64)
-        order = _stably(bucket)
+        contexts, mine = self._contexts()
+        home = lambda names, part: (splitmix(names + splitmix(part)) % np.uint64(buckets)).astype(np.int64)
+        bucket = home(contexts, np.zeros(1, dtype=np.uint64))
+        order = np.argsort(contexts)
+        order = order[_stably(bucket[order])]
         rank = np.empty(len(order), dtype=np.int64)
         rank[order] = np.arange(len(order))
-        self.pair = rank[self.pair]
-        self.bucket, self.context, self.token, self.spread = bucket[order], contexts[which[order]], token[order], slices[order] > 1
-        self.first = self.places[first[order]]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (self.context[1:] != self.context[:-1]) | (self.bucket[1:] != self.bucket[:-1])
-        self.run = np.append(np.flatnonzero(new), len(order))
+        contexts, bucket = contexts[order], bucket[order]
+        bits = max(1, len(self.number)).bit_length()
+        pairs, first, self.pair = _distinct((rank[mine] << bits) | self.at[self.places])
+        which, token, self.first = pairs >> bits, self.number[pairs & ((1 << bits) - 1)], self.places[first]
+        bucket, seen = bucket[which], self.seen[self.first]
+        self.spread = seen >= self.tree.slice
+        if self.spread.any():
+            far = np.flatnonzero(self.spread)
+            slices = (1 + seen[far] // self.tree.slice).astype(np.uint64)
+            bucket[far] = home(contexts[which[far]], splitmix(token[far]) % slices)
+            order = _stably(bucket)
+            rank = np.empty(len(order), dtype=np.int64)
+            rank[order] = np.arange(len(order))
+            self.pair = rank[self.pair]
+            bucket, which, token, self.spread, self.first = (x[order] for x in (bucket, which, token, self.spread, self.first))
+        self.bucket, self.context, self.token = bucket, contexts[which], token
+        new = np.ones(len(which), dtype=bool)
+        new[1:] = (which[1:] != which[:-1]) | (bucket[1:] != bucket[:-1])
+        self.run = np.append(np.flatnonzero(new), len(which))
+        self.pair_at = np.full(len(self.at), -1)
+        self.pair_at[self.places] = self.pair
 
     def asked(self, block: int) -> pa.Table:
-        n = np.bincount(self.pair, weights=self.train[self.places], minlength=len(self.first)).astype(np.int64)
+        n = np.bincount(self.pair[self.train[self.places]], minlength=len(self.first))
         head = self.run[:-1]
         parent = np.add.reduceat(n * np.log(self.p[self.first]), head) if len(head) else np.zeros(0)
         cut, out = _cuts(self.bucket), [[] for _ in range(8)]
@@ -387,17 +432,17 @@ class _Block:
         far = np.flatnonzero(self.spread[head])
         j = np.searchsorted(spread[0], self.context[head[far]])
         says[far], total[far], k[far] = (s[j] for s in spread[1:])
-        size = np.diff(self.run)
-        says, total, k = (np.repeat(x, size)[self.pair] for x in (says, total, k))
-        kept = (says & 1) > 0
-        at = self.places[kept]
-        total, k = total[kept], k[kept]
-        self.p[at] = (total * (n[self.pair[kept]] / total) + k * self.p[at]) / (total + k)
+        run = np.repeat(np.arange(len(head)), np.diff(self.run))[self.pair]
+        n, goes = n[self.pair], says[run]
+        kept = np.flatnonzero(goes & 1)
+        at, run = self.places[kept], run[kept]
+        total, k = total[run], k[run]
+        self.p[at] = (total * (n[kept] / total) + k * self.p[at]) / (total + k)
         self.extends = np.zeros(len(self.at), dtype=bool)
-        self.extends[self.places] = (says & 2) > 0
+        self.extends[self.places] = (goes & 2) > 0
         self.seen = np.full(len(self.at) + 1, -1)
         self.seen[1:][self.rare[:-1]] = 0
-        self.seen[self.places + 1] = n[self.pair]
+        self.seen[self.places + 1] = n
 
 
 def _told(model: Model, p: Tree, buckets: int, spread: list[tuple], schema: str):
@@ -408,11 +453,11 @@ def _told(model: Model, p: Tree, buckets: int, spread: list[tuple], schema: str)
         block = _Block(model, p, row, told)
         for far in spread[block.depth :]:
             block.ask(buckets)
-            block.hear([r for r in told if r["depth"] == block.depth and r["bucket"] >= 0], far)
+            block.hear([r for r in told if r["depth"] == block.depth], far)
         if schema == SCORE:
             out = _scores(block, row["docs"])
         elif schema == STATE:
-            out = block.state(row["block"])
+            out = block.state(row)
         else:
             block.ask(buckets)
             out = block.asked(row["block"])
@@ -478,15 +523,15 @@ def score_documents(spark: SparkSession, docs: DataFrame, p: Tree = Tree()) -> D
     scratch, parts = Scratch(spark), n_parts(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), in_fold(p.folds, p.held_out).alias("held_out"), "text")
     first = scratch.save(map_arrow(rows, _blocks(p.tokens), BLOCKS), "first", block_mb=16)
-    blocks = scratch.save_dealt(first.where("bucket < 0").drop("bucket"), parts, "block")
+    blocks = scratch.save_by(first.where("bucket < 0").drop("bucket"), "state0", parts, "block", block_mb=16)
     names = scratch.save(first.where("bucket >= 0").groupBy("bucket").applyInArrow(_number, NAMES), "names", block_mb=16)
     scratch.drop("first")
     total = names.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "n1", "n2", "n3", "n4"))).first()
     model = Model(total.n, total.v, (total.n1, total.n2, total.n3, total.n4))
 
-    buckets = max(parts, -(-total.n // 400_000))
+    buckets = max(parts, -(-total.n // 800_000))
     named = names.select("block", F.lit(0).alias("depth"), "bucket", "number", "count", *(F.lit(None).cast("binary").alias(c) for c in ("n", "says", "total", "k")))
-    told, written, spread = named, 0, []
+    told, written, spread = named, 0, []  # told: since the depth that was written
 
     def meet(schema: str) -> DataFrame:
         return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_told(model, p, buckets, list(spread), schema), schema)
@@ -498,11 +543,12 @@ def score_documents(spark: SparkSession, docs: DataFrame, p: Tree = Tree()) -> D
             return meet(SCORE)
         spread.append(_spread(answers, depth, p))
         told = told.unionByName(answers.select("block", "depth", "bucket", "n", "says", "total", "k"), allowMissingColumns=True)
-        if depth == (2 * written or 3):
-            told = named.unionByName(scratch.save(meet(STATE), f"state{depth}", block_mb=16))
-            for d in range(written + 1, depth + 1):
-                scratch.drop(f"told{d}")
-            scratch.drop(f"state{written}")
+        if depth == (2 * written or 2):
+            # from here on a block has its own state, and is told no more than later depths
+            blocks, old = scratch.save_by(meet(STATE), f"state{depth}", parts, "block", block_mb=16), f"state{written}"
+            told = told.limit(0)
+            for name in (old, "names", *(f"told{d}" for d in range(written + 1, depth + 1))):
+                scratch.drop(name)
             written = depth
 
 

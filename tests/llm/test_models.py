@@ -6,6 +6,7 @@ import sys
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from quillgraph.llm import quality, suffix_tree, toxicity
 from quillgraph.llm.fitting import logistic
@@ -246,3 +247,23 @@ def test_suffix_tree_in_small_blocks_and_slices(spark):
     got = {r.doc_id: r.score for r in scored.collect()}
     assert got.keys() == want.keys()
     assert all(got[i] == pytest.approx(want[i], rel=1e-7) for i in want)
+
+
+def test_suffix_tree_blocks_tell_themselves_what_was_written(spark):
+    """After the first depths a block's numbers and probabilities lie with it: later depths meet it with nothing but their own answers."""
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join("no yes".split()[b] for b in (rng.random(80) < 0.5).cumsum() % 2)) for i in range(120)]
+    scored = suffix_tree.score_documents(spark, spark.createDataFrame(rows, "doc_id long, text string"), suffix_tree.Tree(tokens=1500))
+    assert not [f for f in scored.inputFiles() if "/names/" in f]
+    assert scored.count() == len(rows)
+
+
+def test_suffix_tree_words_are_those_of_the_contract():
+    texts = [None, "", " ", "\t\x0b\x0c\r\n", "a", " A\x1cb  Ü\u2003É\x85\xa0z\x0bQ ", "\x00 \x1f", "end "]
+    table = pa.array(texts, pa.string())
+    words, size = suffix_tree._words(table)
+    want = [suffix_tree.tokens(t) for t in texts]
+    assert size.tolist() == [len(w) for w in want]
+    assert words.cast(pa.binary()).to_pylist() == [w for ws in want for w in ws if w != suffix_tree.END]
+    some, sizes = suffix_tree._words(table.slice(4, 3))
+    assert sizes.tolist() == [len(w) for w in want[4:7]] and some.cast(pa.binary()).to_pylist() == [w for ws in want[4:7] for w in ws if w]
