@@ -22,25 +22,32 @@ def value_class(role: Column) -> Column:
 
 def fingerprints(edges: DataFrame, columns: DataFrame, sources: DataFrame) -> DataFrame:
     """(seed, id, class, row) of the source columns (id) that each of some columns (id) is built from: by the strongest class of any path
-    of value edges (null if none), and whether it only decides rows. A walk up all levels that carries each column's best and walks on
-    only from what has become better; cycles end. Values start in sources that no value edge enters, or that are set where they are
+    of value edges (null if none), and whether it only decides rows. A walk along all levels that carries each start's best and walks on
+    only from what has become better; cycles end. A path is worth the same either way, so it starts from the columns or from the sources,
+    whichever are fewer: no more rows are held than nodes for each of those. Values start in sources that no value edge enters, or that are set where they are
     (roots) or outside of the project (sources: id, and own, true for those two); rows in sources that no edge enters at all and that carry
     no value of that column."""
     scratch = Scratch(edges.sparkSession)
     rows = edges.where("src <> dst").select(F.col("src"), F.col("dst"), value_class(F.col("role")).alias("c"))
     hops = scratch.save(rows.groupBy("src", "dst").agg(F.max("c").alias("c"), F.max(F.col("c").isNull()).alias("row")))
-    start = columns.select(F.col("id").alias("seed"), "id", F.lit(0).alias("class"), F.lit(False).alias("row"))
+    asked, own = columns.select("id").distinct(), F.coalesce(F.col("own"), F.lit(False)) if "own" in sources.columns else F.lit(False)
+    known = scratch.save(sources.withColumn("own", own).groupBy("id").agg(F.max("own").alias("own")))
+    down = known.count() < asked.count()
+    near, far = ("src", "dst") if down else ("dst", "src")
+    leaving = scratch.save(hops.select(F.col(near).alias("id")).distinct())
+    start = (known if down else asked).select(F.col("id").alias("seed"), "id", F.lit(0).alias("class"), F.lit(False).alias("row"))
 
     def step(changed: DataFrame) -> DataFrame:
-        now = changed.select("seed", F.col("id").alias("dst"), F.col("class").alias("held"), F.col("row").alias("was"))
-        met = hops.join(now, "dst")
+        # written, so that few rows are broadcast and none shuffle the edges
+        now = scratch.save(changed.join(leaving, "id", "left_semi").select("seed", F.col("id").alias(near), F.col("class").alias("held"), F.col("row").alias("was")))
+        met = hops.join(now, near)
         through = F.when(F.col("held").isNotNull() & F.col("c").isNotNull(), F.greatest("held", "c"))
-        return met.select("seed", F.col("src").alias("id"), through.alias("class"), (F.col("row") | (F.col("was") & F.col("c").isNotNull())).alias("row"))
+        return met.select("seed", F.col(far).alias("id"), through.alias("class"), (F.col("row") | (F.col("was") & F.col("c").isNotNull())).alias("row"))
 
     reach = fixpoint(start, step, ["seed", "id"], {"class": F.max("class"), "row": F.max("row")})
+    if down:
+        reach = reach.join(asked, "id", "left_semi").select(F.col("id").alias("seed"), F.col("seed").alias("id"), "class", "row")
     entered = hops.groupBy(F.col("dst").alias("id")).agg(F.max(F.col("c").isNotNull()).alias("valued"), F.lit(True).alias("entered"))
-    own = F.coalesce(F.col("own"), F.lit(False)) if "own" in sources.columns else F.lit(False)
-    known = sources.withColumn("own", own).groupBy("id").agg(F.max("own").alias("own"))
     ends = reach.join(known, "id").join(entered, "id", "left").na.fill(False, ["valued", "entered"])
     value = F.col("class").isNotNull() & (~F.col("valued") | F.col("own"))
     rows_only = F.col("row") & ~F.col("entered") & ~value

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text
 from quillgraph.operators import building, columns, jobs, lineage, macros, ranking, resolve, selection, traverse
 from quillgraph.operators.against import fingerprints
+from quillgraph.operators.traverse import fixpoint
 from quillgraph.sources import artifacts
 from quillgraph.streaming.refresh import refresh
 
@@ -137,6 +138,20 @@ def test_fingerprints_take_the_strongest_class(spark):
     assert got == [("b", "s", "hashed", False), ("b", "u", "", True)]
 
 
+def test_fingerprints_of_many_columns_are_walked_from_the_fewer_sources(spark, monkeypatch):
+    """What is held are pairs of a node and a source, not of a column and a node, and the answer is that of each column alone."""
+    tops = [("s", "m", "rename"), ("t", "m", "filter"), ("m", "s2", "cast"), ("x", "s2", "hash"), ("s2", "m", "rename"), ("t", "x", "rename")]
+    rows = tops + [(src, f"c{i}", role) for i in range(12) for src, role in (("m", "rename"), ("s2", "hash" if i % 3 else "join_key"), (f"n{i % 4}", "cast"))] + [("m", f"n{i}", "filter") for i in range(4)]
+    e, sources = spark.createDataFrame(rows, "src string, dst string, role string"), ids(spark, "s", "t")
+    names = [f"c{i}" for i in range(12)]
+    alone = [r for n in ("c0", "c1") for r in found(fingerprints(e, ids(spark, n), sources).fillna("", ["class"]))]  # walked from the column
+    held = []
+    monkeypatch.setattr("quillgraph.operators.against.fixpoint", lambda start, *rest: held.append(start.count()) or fixpoint(start, *rest))
+    got = found(fingerprints(e, ids(spark, *names), sources).fillna("", ["class"]))
+    assert [r for r in got if r[0] in ("c0", "c1")] == sorted(alone) and {r[0] for r in got} == set(names)
+    assert held == [2]
+
+
 def test_reads_of_nodes_are_carried_up(spark):
     """Through cycles, with null in what is read; nodes don't walk, so nothing of theirs is written but the list itself."""
     pairs = lambda rows: spark.createDataFrame(rows, "node string, macro string")
