@@ -293,3 +293,16 @@ def test_order_pairs_pair_no_steps(spark, monkeypatch):
     got = jobs.order_pairs(steps, needs, order)
     assert sorted(map(tuple, got.collect())) == [(0, 1, "reversed"), (1, 0, "ordered")]
     assert max(df.count() for df in written) <= 2 * n
+
+
+def test_steps_meet_chunks_of_nodes(spark, tmp_path):
+    """Pairs of steps and nodes are made in several tasks, a chunk's nodes in the same order for each step, so that they take little room."""
+    nodes = spark.range(3 * jobs.CHUNK).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), F.lit("m").alias("kind"))
+    u = selection.Universe(nodes, spark.createDataFrame([("n0", "n1")], "src string, dst string"))
+    steps = spark.range(700).select(F.col("id").alias("step"), F.lit("all").alias("selection"), F.array(F.lit("m")).alias("kinds"))
+    got = jobs.step_nodes(u, {"all": lambda u: u.pick(F.lit(True))}, steps)
+    got.write.parquet(str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.select("step", "id").distinct().count() == back.count() == 700 * 3 * jobs.CHUNK
+    files = [p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")]
+    assert sum(s > 10_000 for s in files) > 1 and sum(files) < back.count() / 4
