@@ -306,3 +306,15 @@ def test_steps_meet_chunks_of_nodes(spark, tmp_path):
     assert back.select("step", "id").distinct().count() == back.count() == 700 * 3 * jobs.CHUNK
     files = [p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")]
     assert sum(s > 10_000 for s in files) > 1 and sum(files) < back.count() / 4
+
+
+def test_starts_pair_no_jobs(spark, monkeypatch):
+    """Jobs that wait on an asset aren't paired with those that update it, so what is written between grows with the jobs."""
+    n, written = 500, []
+    defined = spark.range(2 * n).select("id", F.when(F.col("id") == 7, 2).otherwise(0), F.lit(None).cast("long"), F.lit(False)).toDF("job", "own", "after", "hidden")
+    waits = spark.range(n, 2 * n).select(F.col("id").alias("job"), F.lit("x").alias("asset"))
+    kept = jobs.Scratch.save
+    monkeypatch.setattr(jobs.Scratch, "save", lambda self, df: written.append(kept(self, df)) or written[-1])
+    got = jobs.starts(defined, waits, spark.range(n).select(F.col("id").alias("job"), F.lit("x").alias("asset")))
+    assert dict(found(got)) == {i: 2 if i == 7 or i >= n else 0 for i in range(2 * n)}
+    assert max(df.count() for df in written) <= 2 * n
