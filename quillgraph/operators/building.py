@@ -8,20 +8,31 @@ from pyspark.sql import functions as F
 from quillgraph.functions.scratch import Scratch
 from quillgraph.sources.artifacts import Manifest
 
+#: Pairs of a task, about.
+PAIRS = 1 << 17
+
 
 def nodes(manifest: Manifest) -> DataFrame:
     """The manifest's nodes, the first of an id, with the name that is shown: a source's with its group's, a versioned model's with
     its version."""
-    rows = manifest.nodes.withColumn("k", F.row_number().over(Window.partitionBy("project", "id").orderBy("place", "ord"))).where("k = 1")
+    scratch, keys = Scratch(manifest.nodes.sparkSession), ["project", "id"]
+    # only ids that occur again are gathered with their columns; of all others no more than their names is shuffled
+    again = scratch.save(manifest.nodes.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*(F.col(c).alias(f"__{c}") for c in keys)))
+    same = F.col("project").eqNullSafe(F.col("__project")) & F.col("id").eqNullSafe(F.col("__id"))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("place", "ord"))
+    rows = manifest.nodes.join(again, same, "left_semi").withColumn("k", first).where("k = 1").drop("k").unionByName(manifest.nodes.join(again, same, "left_anti"))
     shown = F.when(F.col("kind") == "source", F.concat_ws(".", "source_name", "name")).when((F.col("kind") == "model") & F.col("version").isNotNull(), F.concat(F.col("name"), F.lit(".v"), F.col("version"))).otherwise(F.col("name"))
-    return Scratch(rows.sparkSession).save(rows.withColumn("shown", shown).drop("k", "place", "ord"))  # edges and tests ask for them again and again
+    return rows.withColumn("shown", shown).drop("place", "ord")
 
 
 def edges(manifest: Manifest, known: DataFrame) -> DataFrame:
     """(project, src, dst, test) of ids that are both known and differ; test: the child is a test. Tests and operations have no
     children."""
     ends = known.select("project", "id", "kind")
-    pairs = manifest.parents.select("project", F.col("parent").alias("src"), F.col("id").alias("dst")).where("src <> dst").distinct()
+    pairs = manifest.parents.select("project", F.col("parent").alias("src"), F.col("id").alias("dst")).where("src <> dst")
+    # by number, for names take far less room where they are shuffled than in a task
+    tasks = max(int(known.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs.count() // PAIRS))
+    pairs = pairs.repartition(tasks, "project", "src").distinct()  # dealt as the next join asks
     pairs = pairs.join(ends.select("project", F.col("id").alias("src"), F.col("kind").alias("src_kind")), ["project", "src"])
     pairs = pairs.join(ends.select("project", F.col("id").alias("dst"), F.col("kind").alias("dst_kind")), ["project", "dst"])
     return pairs.where("dst_kind = 'test' or src_kind not in ('test', 'operation')").select("project", "src", "dst", (F.col("dst_kind") == "test").alias("test"))
