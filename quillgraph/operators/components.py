@@ -5,7 +5,7 @@ colours leave. Backwards from the nodes whose colour is their own id, within the
 rest is coloured again. Nodes without an edge in or out are trimmed first, a few rounds at a time, for they are alone.
 
 Reach is counted on the graph of components, which has no cycles, level by level, by longest path. A component carries the starts that
-reach it as words of 64 bits, a start's word being one of its own level's, so it never has more rows than pairs of start and component and
+reach it as words of 64 bits, small subtrees of starts in a word, so it never has more rows than pairs of start and component and
 up to 64 times fewer. A level's words are finished when it is taken; they are joined once to the edges that leave it, and wait in the folder of
 the level that they go to. So each edge is crossed once for a block of starts, whatever the levels between its ends. Blocks bound what is
 held at a time: no more than starts / 64 rows for each component.
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from quillgraph.functions.scratch import Scratch
 from quillgraph.operators.traverse import Graph, bfs, fixpoint, longest_paths
 
-#: Starts of a word.
-BITS = 64
+#: Starts of a word, and levels of a tree of two children each that fit into one.
+BITS, BAND = 64, 6
 
 
 def _trimmed(live: DataFrame, n: int, scratch: Scratch, rounds: int) -> tuple[DataFrame, int]:
@@ -88,14 +88,28 @@ def condensed(edges: DataFrame | Graph, parts: DataFrame) -> DataFrame:
     return rows.select(F.col("src_part").alias("src"), F.col("dst_part").alias("dst")).distinct()
 
 
-def _starts(levels: DataFrame, hops: DataFrame) -> DataFrame:
-    """(part, level, word, bit) of the components that edges leave: dealt among the words of their level by a hash, a few dozen each."""
-    some = levels.join(hops.select(F.col("src").alias("part")).distinct(), "part", "left_semi")
-    many = some.groupBy("level").agg(F.ceil(F.count("*") / (BITS / 2)).cast("long").alias("words"))
-    dealt = some.join(many, "level").withColumn("deal", F.pmod(F.xxhash64("part"), F.col("words")))
-    place = F.row_number().over(Window.partitionBy("level", "deal").orderBy("part")) - 1  # a few dozen of a word
-    word = F.struct("level", "deal", F.expr(f"place div {BITS}").alias("more"))
-    return dealt.withColumn("place", place).select("part", "level", F.xxhash64("level", "deal").alias("mix"), word.alias("word"), F.pmod("place", F.lit(BITS)).cast("int").alias("bit"))
+def _roots(onward: DataFrame, some: DataFrame, scratch: Scratch) -> DataFrame:
+    """some (part, level) with the root of the subtree of one parent each within BAND levels that they lie in; their own, if it has more than a word's parts."""
+    up = onward.where(f"from_level = level - 1 and level % {BAND} <> 0").groupBy(F.col("dst").alias("part")).agg(F.min("src").alias("root"))
+    rows = scratch.save(some.join(up, "part", "left").select("part", "level", F.coalesce("root", "part").alias("root")))
+    for _ in range((BAND - 1).bit_length() - 1):
+        above = rows.select(F.col("part").alias("root"), F.col("root").alias("higher"))
+        rows = scratch.save(rows.join(above, "root", "left").select("part", "level", F.coalesce("higher", "root").alias("root")))
+    large = rows.groupBy("root").agg(F.count("*").alias("n")).where(f"n > {BITS}").select("root", F.lit(True).alias("large"))
+    return rows.join(large, "root", "left").select("part", "level", F.when(F.col("large"), F.col("part")).otherwise(F.col("root")).alias("root"))
+
+
+def _starts(some: DataFrame, onward: DataFrame, scratch: Scratch) -> DataFrame:
+    """(part, level, mix, word, bit) of components (part, level) that edges leave: small subtrees are dealt among the words of their band of levels by a hash, a
+    few dozen parts each. So what is above a part in its own tree lies in a word for a band or two, not in one for each level. A word's number is
+    its smallest part's place where they were written."""
+    rows = _roots(onward, some, scratch).withColumn("band", F.expr(f"level div {BAND}"))
+    many = rows.groupBy("band").agg(F.ceil(F.count("*") / (BITS / 2)).cast("long").alias("words"))
+    dealt = rows.join(many, "band").select("part", "level", "root", "band", F.pmod(F.xxhash64("root"), "words").alias("deal"), F.monotonically_increasing_id().alias("at"))
+    place = F.row_number().over(Window.partitionBy("band", "deal").orderBy("root", "level", "part")) - 1  # a few dozen of a word
+    placed = scratch.save(dealt).withColumn("place", place).withColumn("more", F.expr(f"place div {BITS}"))
+    word = F.min("at").over(Window.partitionBy("band", "deal", "more"))
+    return placed.select("part", "level", F.xxhash64("band", "deal").alias("mix"), word.alias("word"), F.pmod("place", F.lit(BITS)).cast("int").alias("bit"))
 
 
 @dataclass(frozen=True)
@@ -118,12 +132,12 @@ def _carry(graph: Graph, block: int, asked: DataFrame | None = None) -> _Carried
     depth = longest_paths(sizes.select(F.col("part").alias("id")), Graph(hops))
     levels = scratch.save(depth.select(F.col("id").alias("part"), F.col("depth").alias("level")))
     some = levels if asked is None else levels.join(parts.join(asked, "id", "left_semi").select(F.col("component").alias("part")).distinct(), "part", "left_semi")
-    dealt = _starts(some, hops)
+    onward = scratch.save(hops.join(levels.withColumnRenamed("part", "dst"), "dst").join(levels.select(F.col("part").alias("src"), F.col("level").alias("from_level")), "src"))
+    dealt = _starts(some.join(hops.select(F.col("src").alias("part")).distinct(), "part", "left_semi"), onward, scratch)
     path, n = scratch.save_counted(dealt)
     starts = scratch.read(path, schema=dealt.schema)
     last = levels.agg(F.max("level")).first()[0]
     blocks = -(-n // block)
-    onward = scratch.save(hops.join(levels.withColumnRenamed("part", "dst"), "dst").join(levels.select(F.col("part").alias("src"), F.col("level").alias("from_level")), "src"))
     own = starts.select("part", "level", "mix", "word", F.expr("shiftleft(1L, bit)").alias("bits"))
     done, schema = [], own.select("part", "word", "bits").schema
     for b in range(blocks):
@@ -171,12 +185,13 @@ def reached(edges: DataFrame | Graph, pairs: DataFrame, block: int = 1 << 22) ->
 
 
 def reached_by_words(edges: DataFrame | Graph, rows: DataFrame, block: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
-    """(id, word, bits) twice, of rows (id, node) whose nodes are on no cycle: the starts that id's nodes are, and those that reach any of them from
-    another node. Two ids with a common bit have a node that reaches one of the other's; no pairs of nodes are made."""
+    """(id, word, bits) twice, of rows (id, node) whose nodes are on no cycle: the starts that id's nodes are, each word once, and those that reach any of
+    them from another node, a word as often as nodes have it. Two ids with a common bit have a node that reaches one of the other's; no pairs of
+    nodes are made."""
     graph = Graph.of(edges)
     c = _carry(graph, block, rows.select(F.col("node").alias("id")).distinct())
     placed = rows.join(c.parts.select(F.col("id").alias("node"), F.col("component").alias("part")), "node").select("id", "part")
-    put = lambda df: df.groupBy("id", "word").agg(F.bit_or("bits").alias("bits"))
     mine = c.starts.select("part", "word", F.expr("shiftleft(1L, bit)").alias("bits"))
     others = c.words.join(mine.withColumnRenamed("bits", "mine"), ["part", "word"], "left").select("part", "word", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("mine", F.lit(0).cast("long")))).alias("bits")).where("bits <> 0")
-    return put(placed.join(mine, "part")), put(placed.join(others, "part"))
+    own = placed.join(mine, "part").groupBy("id", "word").agg(F.bit_or("bits").alias("bits"))
+    return own, placed.join(Scratch(others.sparkSession).save(others), "part").select("id", "word", "bits")

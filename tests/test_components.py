@@ -46,3 +46,18 @@ def test_components_and_reach_are_those_of_the_closure(spark):
 def test_no_edges(spark):
     none = spark.createDataFrame([], "src string, dst string")
     assert components.strong_components(none).count() == components.cycles(none).count() == components.reach_all(none).count() == 0
+
+
+def test_what_is_above_lies_in_few_words(spark):
+    """Of a tree, a node's ancestors lie in a word for six levels or so; wide and narrow parts of a graph give the same reach as by definition."""
+    n = 2048
+    tree = spark.range(2, n).selectExpr("id div 2 AS src", "id AS dst")
+    own, above = components.reached_by_words(tree, spark.range(1, n).selectExpr("id", "id AS node"))
+    assert above.count() < 4 * n
+    met = above.withColumnRenamed("bits", "a").join(own.withColumnsRenamed({"id": "before", "bits": "o"}), "word").where("a & o <> 0").select("id", "before").distinct()
+    want = sorted((i, i >> k) for i in range(1, n) for k in range(1, 12) if i >> k and 2 * i < n)
+    assert sorted((r.id, r.before) for r in met.where(f"2 * id < {n}").collect()) == want
+    wide = tree.union(spark.range(300).selectExpr("1L AS src", "id + 10000 AS dst")).union(spark.range(300).selectExpr("id + 10000 AS src", "id % 7 + 20000 AS dst"))
+    below = {i: sum(1 for j in range(i + 1, n) if any(j >> k == i for k in range(1, 12))) for i in range(1, n)}
+    below |= {1: n - 2 + 307} | {i + 10000: 1 for i in range(300)} | {i + 20000: 0 for i in range(7)}
+    assert {r.id: r.n for r in components.reach_all(wide).collect()} == below
