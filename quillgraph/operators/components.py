@@ -7,7 +7,8 @@ rest is coloured again. Nodes without an edge in or out are trimmed first, a few
 Reach is counted on the graph of components, which has no cycles, level by level, by longest path. A component carries the starts that
 reach it as words of 64 bits, small subtrees of starts in a word, so it never has more rows than pairs of start and component and
 up to 64 times fewer. A level's words are finished when it is taken; they are joined once to the edges that leave it, and wait in the folder of
-the level that they go to. So each edge is crossed once for a block of starts, whatever the levels between its ends. Blocks bound what is
+the level that they go to. So each edge is crossed once for a block of starts, whatever the levels between its ends. A start whose edges all go to ends is
+not carried to be counted: it reaches what it has edges to. Components are looked for only if there are cycles. Blocks bound what is
 held at a time: no more than starts / 64 rows for each component.
 
 Null ends are no edges, repeated edges count once, and a node with an edge to itself is on a cycle of its own. Rounds are as many as the
@@ -26,6 +27,8 @@ from quillgraph.operators.traverse import Graph, bfs, fixpoint, longest_paths
 
 #: Starts of a word, and levels of a tree of two children each that fit into one.
 BITS, BAND = 64, 6
+#: Tasks among which the rows of a word are dealt.
+SHARES = 16
 
 
 def _trimmed(live: DataFrame, n: int, scratch: Scratch, rounds: int) -> tuple[DataFrame, int]:
@@ -89,21 +92,23 @@ def condensed(edges: DataFrame | Graph, parts: DataFrame) -> DataFrame:
 
 
 def _roots(onward: DataFrame, some: DataFrame, scratch: Scratch) -> DataFrame:
-    """some (part, level) with the root of the subtree of one parent each within BAND levels that they lie in; their own, if it has more than a word's parts."""
+    """some (part, level) with a band and the root of the subtree of one parent each within BAND levels that they lie in. If that has more than a word's parts,
+    each is its own root, and the band is of its level alone."""
     up = onward.where(f"from_level = level - 1 and level % {BAND} <> 0").groupBy(F.col("dst").alias("part")).agg(F.min("src").alias("root"))
     rows = scratch.save(some.join(up, "part", "left").select("part", "level", F.coalesce("root", "part").alias("root")))
     for _ in range((BAND - 1).bit_length() - 1):
         above = rows.select(F.col("part").alias("root"), F.col("root").alias("higher"))
         rows = scratch.save(rows.join(above, "root", "left").select("part", "level", F.coalesce("higher", "root").alias("root")))
     large = rows.groupBy("root").agg(F.count("*").alias("n")).where(f"n > {BITS}").select("root", F.lit(True).alias("large"))
-    return rows.join(large, "root", "left").select("part", "level", F.when(F.col("large"), F.col("part")).otherwise(F.col("root")).alias("root"))
+    band = F.when(F.col("large"), 2 * F.col("level") + 1).otherwise(F.expr(f"2 * (level div {BAND})"))
+    return rows.join(large, "root", "left").select("part", "level", band.alias("band"), F.when(F.col("large"), F.col("part")).otherwise(F.col("root")).alias("root"))
 
 
 def _starts(some: DataFrame, onward: DataFrame, scratch: Scratch) -> DataFrame:
     """(part, level, mix, word, bit) of components (part, level) that edges leave: small subtrees are dealt among the words of their band of levels by a hash, a
     few dozen parts each. So what is above a part in its own tree lies in a word for a band or two, not in one for each level. A word's number is
     its smallest part's place where they were written."""
-    rows = _roots(onward, some, scratch).withColumn("band", F.expr(f"level div {BAND}"))
+    rows = scratch.save(_roots(onward, some, scratch))
     many = rows.groupBy("band").agg(F.ceil(F.count("*") / (BITS / 2)).cast("long").alias("words"))
     dealt = rows.join(many, "band").select("part", "level", "root", "band", F.pmod(F.xxhash64("root"), "words").alias("deal"), F.monotonically_increasing_id().alias("at"))
     place = F.row_number().over(Window.partitionBy("band", "deal").orderBy("root", "level", "part")) - 1  # a few dozen of a word
@@ -112,28 +117,66 @@ def _starts(some: DataFrame, onward: DataFrame, scratch: Scratch) -> DataFrame:
     return placed.select("part", "level", F.xxhash64("band", "deal").alias("mix"), word.alias("word"), F.pmod("place", F.lit(BITS)).cast("int").alias("bit"))
 
 
+def _peeled(graph: Graph, scratch: Scratch) -> DataFrame | None:
+    """(part, level) of all ends by longest path, or None if there are cycles other than of a node with itself. A node counts the edges that still enter
+    it, and an edge is met once, where it lies, in the round in which its source is placed."""
+    hops = graph.edges.where("src <> dst")
+    entered = hops.groupBy(F.col("dst").alias("part")).agg(F.count("*").alias("n"))
+    path, n = scratch.save_counted(entered)
+    left = scratch.read(path, schema=entered.schema)
+    top = graph.edges.select(F.col("src").alias("part")).distinct().join(left, "part", "left_anti").select("part", F.lit(0).alias("level"))
+    path, placed = scratch.save_counted(top)
+    done = [path]
+    while n:
+        if not placed:
+            return None
+        now = scratch.read(path, schema=top.schema)
+        hit = now.join(hops, now["part"] == hops["src"]).groupBy(F.col("dst").alias("part")).agg(F.count("*").alias("hit"))
+        rest = scratch.save(left.join(hit, "part", "left").select("part", (F.col("n") - F.coalesce("hit", F.lit(0))).alias("n")))
+        path, placed = scratch.save_counted(rest.where("n = 0").select("part", F.lit(len(done)).alias("level")))
+        done.append(path)
+        n -= placed
+        left = rest.where("n > 0")
+    return scratch.read(*done, schema=top.schema)
+
+
 @dataclass(frozen=True)
 class _Carried:
-    """Starts (part, word, bit), and of each component that they reach the words that reach it (part, word, bits)."""
+    """Starts (part, word, bit), and of each component that they reach the words that reach it (part, word, bits). near: (part, met) of those that are not
+    carried, for all that they reach are ends: how many nodes they reach, with their own. single: every component is one node."""
 
     parts: DataFrame
     starts: DataFrame
     words: DataFrame
     sizes: DataFrame
+    near: DataFrame
+    single: bool
 
 
-def _carry(graph: Graph, block: int, asked: DataFrame | None = None) -> _Carried:
-    """Carries starts along the levels, all of them or those of the nodes asked (id)."""
+def _carry(graph: Graph, block: int, asked: DataFrame | None = None, with_near: bool = True) -> _Carried:
+    """Carries starts along the levels, all of them or those of the nodes asked (id); with_near: also those that reach nothing but ends."""
     spark = graph.edges.sparkSession
     scratch = Scratch(spark)
-    parts = strong_components(graph)
-    hops = scratch.save(condensed(graph, parts))
-    sizes = scratch.save(parts.groupBy(F.col("component").alias("part")).agg(F.count("*").alias("size")))
-    depth = longest_paths(sizes.select(F.col("part").alias("id")), Graph(hops))
-    levels = scratch.save(depth.select(F.col("id").alias("part"), F.col("depth").alias("level")))
+    levels = _peeled(graph, scratch)
+    single = levels is not None
+    if single:
+        hops = graph.edges.where("src <> dst").select("src", "dst")
+        parts, sizes = levels.select(F.col("part").alias("id"), F.col("part").alias("component")), levels.select("part", F.lit(1).cast("long").alias("size"))
+    else:
+        parts = strong_components(graph)
+        hops = scratch.save(condensed(graph, parts))
+        sizes = scratch.save(parts.groupBy(F.col("component").alias("part")).agg(F.count("*").alias("size")))
+        depth = longest_paths(sizes.select(F.col("part").alias("id")), Graph(hops))
+        levels = scratch.save(depth.select(F.col("id").alias("part"), F.col("depth").alias("level")))
     some = levels if asked is None else levels.join(parts.join(asked, "id", "left_semi").select(F.col("component").alias("part")).distinct(), "part", "left_semi")
-    onward = scratch.save(hops.join(levels.withColumnRenamed("part", "dst"), "dst").join(levels.select(F.col("part").alias("src"), F.col("level").alias("from_level")), "src"))
-    dealt = _starts(some.join(hops.select(F.col("src").alias("part")).distinct(), "part", "left_semi"), onward, scratch)
+    leave = hops.select(F.col("src").alias("part")).distinct()
+    ends = levels.join(leave.withColumn("leaves", F.lit(True)), "part", "left").select(F.col("part").alias("dst"), "level", "leaves")
+    onward = scratch.save(hops.join(levels.select(F.col("part").alias("src"), F.col("level").alias("from_level")), "src").join(ends, "dst").select("src", "dst", "from_level", "level", "leaves"))
+    far = onward.where("leaves").select(F.col("src").alias("part")).distinct()
+    reach = hops.join(far, F.col("src") == F.col("part"), "left_anti")
+    reach = reach.withColumn("size", F.lit(1)) if single else reach.join(sizes.withColumnRenamed("part", "dst"), "dst")
+    near = reach.groupBy(F.col("src").alias("part")).agg(F.sum("size").alias("met")).join(sizes, "part").select("part", (F.col("met") + F.col("size")).alias("met"))
+    dealt = _starts(some.join(leave if with_near else far, "part", "left_semi"), onward, scratch)
     path, n = scratch.save_counted(dealt)
     starts = scratch.read(path, schema=dealt.schema)
     last = levels.agg(F.max("level")).first()[0]
@@ -155,15 +198,20 @@ def _carry(graph: Graph, block: int, asked: DataFrame | None = None) -> _Carried
                 here = scratch.read(path, schema=schema)
                 sent = here.join(onward.where(F.col("from_level") == level), here["part"] == onward["src"]).select(F.col("dst").alias("part"), "word", "bits", "level")
                 sent.groupBy("part", "word", "level").agg(F.bit_or("bits").alias("bits")).write.mode("append").partitionBy("level").parquet(waiting)
-    return _Carried(parts, starts, scratch.read(*done, schema=schema) if done else spark.createDataFrame([], schema), sizes)
+    return _Carried(parts, starts, scratch.read(*done, schema=schema) if done else spark.createDataFrame([], schema), sizes, near, single)
 
 
 def reach_all(edges: DataFrame | Graph, block: int = 1 << 22) -> DataFrame:
     """(id, n) of all ends of edges: how many others each reaches. block: starts that are carried at a time."""
-    c = _carry(Graph.of(edges), block)
+    c = _carry(Graph.of(edges), block, with_near=False)
+    words = c.words.withColumn("size", F.lit(1).cast("long")) if c.single else c.words.join(c.sizes, "part")
+    # rows go to their sums, which are far wider than they are, some tasks for a word
+    words = words.select("word", F.pmod(F.xxhash64("part"), F.lit(SHARES)).alias("share"), "bits", "size")
+    words = words.repartition(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word", "share")
     sums = [F.sum(F.when(F.getbit("bits", F.lit(i)) == 1, F.col("size"))).alias(f"b{i}") for i in range(BITS)]
-    counts = c.words.join(c.sizes, "part").groupBy("word").agg(*sums).select("word", F.array(*(F.col(f"b{i}") for i in range(BITS))).alias("counts"))
-    per = c.starts.join(counts, "word").select("part", F.get("counts", F.col("bit")).alias("met"))
+    counts = words.groupBy("word", "share").agg(*sums).groupBy("word").agg(*(F.sum(f"b{i}").alias(f"b{i}") for i in range(BITS)))
+    counts = counts.select("word", F.array(*(F.col(f"b{i}") for i in range(BITS))).alias("counts"))
+    per = c.starts.join(counts, "word").select("part", F.get("counts", F.col("bit")).alias("met")).unionByName(c.near)
     rows = c.parts.select("id", F.col("component").alias("part")).join(c.sizes, "part").join(per, "part", "left")
     return rows.select("id", (F.coalesce("met", "size") - 1).alias("n"))
 

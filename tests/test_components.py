@@ -61,3 +61,15 @@ def test_what_is_above_lies_in_few_words(spark):
     below = {i: sum(1 for j in range(i + 1, n) if any(j >> k == i for k in range(1, 12))) for i in range(1, n)}
     below |= {1: n - 2 + 307} | {i + 10000: 1 for i in range(300)} | {i + 20000: 0 for i in range(7)}
     assert {r.id: r.n for r in components.reach_all(wide).collect()} == below
+
+
+def test_reach_without_cycles_looks_for_no_components(spark, monkeypatch):
+    """Without cycles nodes are placed by counting; starts whose edges go to ends alone are counted by these, and an edge to the node itself is none."""
+
+    def never(*_):
+        raise AssertionError("no components here")
+
+    monkeypatch.setattr(components, "strong_components", never)
+    edges = [("r", "a"), ("r", "b"), ("a", "x"), ("b", "x"), ("b", "y"), ("b", "y"), ("r", "x"), ("a", "a"), ("s", "s"), ("c", "a"), ("c", "z"), (None, "a"), ("a", None)]
+    got = {r.id: r.n for r in components.reach_all(spark.createDataFrame(edges, "src string, dst string"), block=1).collect()}
+    assert got == {"r": 4, "a": 1, "b": 2, "c": 3, "s": 0, "x": 0, "y": 0, "z": 0}
